@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import lines, mixing, quality, simhash
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op9_simhash": simhash.op9_simhash,
 }
 SQL = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op4_line_dedup": lines.OP4_SQL,
 }
