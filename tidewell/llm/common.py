@@ -31,11 +31,17 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_CLASS + "+"))
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that all executors share, and read from there."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; a temporary one where the cluster names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

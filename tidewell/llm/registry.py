@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, simhash
+from . import decontam, lines, mixing, quality, simhash
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 SQL = {
     "op2_quality_rules": quality.OP2_SQL,
