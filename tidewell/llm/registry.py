@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, mixing, quality, simhash
+from . import decontam, lines, mixing, quality, recompress, simhash
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op6_recompression": recompress.op6_recompression,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontam.op10_decontamination,
 }
 SQL = {
     "op2_quality_rules": quality.OP2_SQL,
     "op4_line_dedup": lines.OP4_SQL,
+    "op6_recompression": recompress.OP6_SQL,
 }
