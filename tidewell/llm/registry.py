@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, mixing, quality, recompress, simhash
+from . import chat, decontam, htmltext, lines, mixing, quality, recompress, simhash, suffix, urls
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_suffix_array": suffix.op3_suffix_array,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_recompression": recompress.op6_recompression,
+    "op7_url_filter": urls.op7_url_filter,
+    "op8_html_extraction": htmltext.op8_html_extraction,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontam.op10_decontamination,
 }
 SQL = {
+    "op1_chat_formatting": chat.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op6_recompression": recompress.OP6_SQL,
