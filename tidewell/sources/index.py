@@ -88,21 +88,21 @@ class Store:
         return jvm, path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict | None:
-        _, path, fs = self._path("_manifest.json")
+        _, path, fs = self._path("manifest.json")
         if not fs.exists(path):
             return None
-        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/_manifest.json").collect())
+        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json").collect())
         found = json.loads(text)
         if found.get("format_version") != FORMAT_VERSION:
             raise StorageError(f"format {found.get('format_version')}, expected {FORMAT_VERSION}")
         return found
 
     def _commit(self, manifest: dict) -> None:
-        jvm, new, fs = self._path(f"_manifest.{uuid.uuid4()}")
+        jvm, new, fs = self._path(f"new_manifest.{uuid.uuid4()}")
         out = fs.create(new)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        _, path, _ = self._path("_manifest.json")
+        _, path, _ = self._path("manifest.json")
         if fs.exists(path):
             fs.delete(path, False)
         if not fs.rename(new, path):
