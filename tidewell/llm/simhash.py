@@ -1,11 +1,13 @@
 """SimHash near-dedup: tiled exact comparison of fingerprints with numpy exclusive-or and bit counts.
 
-Fingerprints come from one Arrow pass over the texts. Distinct fingerprints are sorted by population count and cut into
-packed tiles. Two tiles meet only if their population counts can lie within the radius; inside a pair of tiles, runs of equal
-counts of the upper and the lower half are compared where the two differences add up to the radius at most. This loses no pair,
-for no two fingerprints differ in fewer bits than their counts do. A pair of tiles reports a spanning forest of its
-links, never the links themselves, so a group of n near copies costs n edges. Components follow by minimum labels with
-pointer jumping, each round in the shared checkpoint.
+Fingerprints of 64 bits or a multiple come from one Arrow pass over the texts. Distinct fingerprints are sorted by population count and cut
+into packed tiles. Two tiles, and two stretches of them, are compared only if their population counts can lie within the radius; this
+loses no pair, for two fingerprints differ in at least as many bits as their counts do. A pair of tiles reports a spanning forest
+of its links, never the links themselves, so a group of n near copies costs n edges. Components follow by minimum labels
+with pointer jumping, each round in the shared checkpoint.
+
+Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes shingles of five words and 256
+bits, and 52 of 256 bits stand for a similarity of 0.8. The comparison of all pairs is quadratic in the number of distinct fingerprints.
 
 A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
 class whatever their number; rows with a null id take part but name no component (a component of such rows alone has
@@ -19,70 +21,93 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, shared_checkpoint, table
+from .common import batches, mix64, shared_checkpoint, table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprints_of(texts: list[bytes | None], size: int = 4, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text as unsigned 64 bits."""
-    out = np.zeros(len(texts), dtype=np.uint64)
+_CHUNK = 1 << 15
+
+
+def _bit_sums(hashes: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """How often each of the 64 * words bits is set among the hashes of each text. Later words are scramblings of the hash."""
+    sums = []
+    for k in range(words):
+        h = hashes if k == 0 else mix64(hashes ^ np.uint64(k * 0xD1B54A32D192ED03 % (1 << 64)))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums.append(np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
+    return np.stack(sums, axis=1)
+
+
+def fingerprints_of(texts: list[bytes | None], size: int = 4, words: int = 1, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each text, as `words` unsigned 64-bit numbers."""
+    sums = np.zeros((len(texts), words, 64), dtype=np.int64)
+    totals = np.zeros(len(texts), dtype=np.int64)
     hashes: list[int] = []
     owner: list[int] = []
     counts: list[int] = []
 
     def fold() -> None:
-        bits = np.unpackbits(np.array(hashes, dtype=np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.r_[0, np.cumsum(counts)[:-1]]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        set_ = (2 * ones > np.array(counts)[:, None]).astype(np.uint8)
-        np.bitwise_or.at(out, owner, np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel())
+        nonlocal hashes, owner, counts
+        if hashes:
+            sums[owner] += _bit_sums(np.array(hashes, dtype=np.uint64), np.r_[0, np.cumsum(counts)[:-1]], words)
+        hashes, owner, counts = [], [], []
 
     digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
-        words = text.translate(_FOLD).split() if text else []
-        if not words:
+        parts = text.translate(_FOLD).split() if text else []
+        if not parts:
             continue
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        if len(words) <= size:
-            found = [digest(joined, seed)]
+        joined = b" ".join(parts)
+        if len(parts) <= size:
+            spans = [(0, len(joined))]
         else:
-            starts = [0, *ends[: len(words) - size].tolist()]
-            found = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
-        if len(found) > 65536:  # a very long text is counted by itself, piece by piece
-            total = np.zeros(64, dtype=np.int64)
-            for at in range(0, len(found), 65536):
-                total += np.unpackbits(np.array(found[at : at + 65536], dtype=np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits((2 * total > len(found)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
-            continue
-        hashes += found
-        owner.append(i)
-        counts.append(len(found))
-        if len(hashes) > 65536:
-            fold()
-            hashes, owner, counts = [], [], []
-    if hashes:
-        fold()
-    return out
-
-
-def _sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(stream):
-        texts = batch.column(batch.schema.names.index("_text")).cast(pa.large_binary()).to_pylist()
-        kept = [n for n in batch.schema.names if n != "_text"]
-        prints = pa.array(fingerprints_of(texts).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(n)) for n in kept] + [prints], names=[*kept, "fp"])
-
-
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, a (a hash of id and text) and fp, one row for each row of docs."""
+            ends = np.cumsum([len(w) + 1 for w in parts])
+            spans = list(zip([0, *ends[: len(parts) - size].tolist()], (ends[size - 1 :] - 1).tolist(), strict=True))
+        totals[i] = len(spans)
+        for at in range(0, len(spans), _CHUNK):  # a very long text is counted piece by piece
+            found = [digest(joined[a:b], seed) for a, b in spans[at : at + _CHUNK]]
+            if at:
+                fold()
+            hashes += found
+            owner.append(i)
+            counts.append(len(found))
+            if len(hashes) >= _CHUNK:
+                fold()
+    fold()
+    bits = (2 * sums > totals[:, None, None]).astype(np.uint8)
+    return np.packbits(bits, axis=2, bitorder="little").view(np.uint64).reshape(len(texts), words)
+
+
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Rows of unsigned numbers as big-endian bytes, which sort like the rows."""
+    raw, width = x.astype(">u8").tobytes(), 8 * x.shape[1]
+    return [raw[i : i + width] for i in range(0, len(raw), width)]
+
+
+def _unpacked(raw: bytes, words: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, words)
+
+
+def _signer(size: int, words: int):
+    def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            prints = fingerprints_of(batch.column(2).cast(pa.large_binary()).to_pylist(), size, words)
+            ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_packed(prints), pa.binary()), pa.array(ones)], names=["doc_id", "a", "fp", "ones"])
+
+    return sign
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, words: int = 1) -> DataFrame:
+    """doc_id, a (a hash of id and text), fp and ones (its bits set), one row for each row of docs."""
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     rows = docs.select(d.cast("long").alias("doc_id"), F.xxhash64(d.isNull(), t.isNull(), F.coalesce(t, F.lit(""))).alias("a"), t.alias("_text"))
-    return rows.mapInArrow(_sign, "doc_id long, a long, fp long")
+    return rows.mapInArrow(_signer(size, words), "doc_id long, a long, fp binary, ones int")
 
 
 _TILE = "tile long, low int, high int, fps binary"
@@ -90,23 +115,25 @@ _TILE = "tile long, low int, high int, fps binary"
 
 def _tiles(tile_rows: int):
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, k, rest = TaskContext.get().partitionId(), 0, np.zeros(0, dtype=np.int64)
+        part, k = TaskContext.get().partitionId(), 0
+        fps: list[bytes] = []
+        ones: list[int] = []
 
-        def tile(x: np.ndarray) -> pa.RecordBatch:
-            nonlocal k
-            n = np.bitwise_count(x.view(np.uint64))
+        def tile() -> pa.RecordBatch:
+            nonlocal k, fps, ones
             k += 1
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([n.min()], pa.int32()), pa.array([n.max()], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["tile", "low", "high", "fps"])
+            row = [pa.array([(part << 32) + k]), pa.array([min(ones)], pa.int32()), pa.array([max(ones)], pa.int32()), pa.array([b"".join(fps)], pa.binary())]
+            fps, ones = [], []
+            return pa.RecordBatch.from_arrays(row, names=["tile", "low", "high", "fps"])
 
         for batch in stream:
-            rest = np.r_[rest, batch.column(0).to_numpy()]
-            while len(rest) >= tile_rows:
-                yield tile(rest[:tile_rows])
-                rest = rest[tile_rows:]
-        if len(rest):
-            yield tile(rest)
+            for f, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fps.append(f)
+                ones.append(n)
+                if len(fps) == tile_rows:
+                    yield tile()
+        if fps:
+            yield tile()
 
     return cut
 
@@ -131,65 +158,64 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _roots(parent)
 
 
-def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.bitwise_count(x >> np.uint64(32)).astype(np.int64), np.bitwise_count(x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def _near(rows: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, other) places of the pairs within the radius. others: one contiguous line for each 64 bits."""
+    apart = np.bitwise_count(rows[:, 0, None] ^ others[0])
+    for k in range(1, rows.shape[1]):
+        more = np.bitwise_count(rows[:, k, None] ^ others[k])
+        np.minimum(apart, 255 - 64, out=apart)  # far beyond any radius in use, and no overflow
+        apart += more
+    return np.nonzero(apart <= radius)
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
-    """Pairs (fingerprint, root) of a spanning forest of the links between a and b, or within a if b is None."""
+def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, their roots): a spanning forest of the links between a and b, or within a if b is None."""
+    if not radius < 255 - 64:
+        raise ValueError("the radius is too large")
     sides = []
     for x in (a, b) if b is not None else (a,):
-        hi, lo = _halves(x)
-        order = np.argsort(hi * 64 + lo, kind="stable")
-        x, code = x[order], (hi * 64 + lo)[order]
-        codes, first = np.unique(code, return_index=True)
-        sides.append((x, codes, np.r_[first, len(x)]))
-    (xa, codes_a, at_a), (xb, codes_b, at_b) = sides[0], sides[-1]
+        ones = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        order = np.argsort(ones, kind="stable")
+        sides.append((x[order], ones[order]))
+    (xa, ones_a), (xb, ones_b) = sides[0], sides[-1]
+    lines = np.ascontiguousarray(xb.T)
     offset = len(xa) if b is not None else 0
-    every = np.r_[xa, xb] if b is not None else xa
-    rank = np.argsort(np.argsort(every, kind="stable"), kind="stable")  # roots are the least fingerprints
+    every = np.concatenate([xa, xb]) if b is not None else xa
+    order = np.lexsort(every.T[::-1])
+    rank = np.empty(len(every), dtype=np.int64)
+    rank[order] = np.arange(len(every))  # roots are the least fingerprints
     parent = np.arange(len(every))
-    for g, code in enumerate(codes_a):
-        rows = xa[at_a[g] : at_a[g + 1]]
-        hi, lo = divmod(int(code), 64)
-        for h in range(max(0, hi - radius), min(32, hi + radius) + 1):
-            room = radius - abs(h - hi)
-            f, t = np.searchsorted(codes_b, (h * 64 + max(0, lo - room), h * 64 + min(32, lo + room) + 1))
-            f, t = int(at_b[f]), int(at_b[t])
-            if b is None:
-                f = max(f, int(at_a[g]))
-            if f >= t:
-                continue
-            step = max(1, (1 << 21) // (t - f))
-            for r in range(0, len(rows), step):
-                near = np.bitwise_count(rows[r : r + step, None] ^ xb[None, f:t]) <= radius
-                i, j = np.nonzero(near)
-                if len(i):
-                    parent = _join(parent, rank[i + r + at_a[g]], rank[j + f + offset])
-    by_rank = np.empty_like(every)
-    by_rank[rank] = every
+    for r in range(0, len(xa), 16):
+        lo, hi = ones_a[r] - radius, ones_a[min(r + 16, len(xa)) - 1] + radius
+        f, t = int(np.searchsorted(ones_b, lo)), int(np.searchsorted(ones_b, hi, side="right"))
+        if b is None:
+            f = max(f, r)
+        for c in range(f, t, 1 << 13):
+            i, j = _near(xa[r : r + 16], lines[:, c : min(t, c + (1 << 13))], radius)
+            if len(i):
+                parent = _join(parent, rank[i + r], rank[j + c + offset])
     child = np.flatnonzero(parent != np.arange(len(parent)))
-    return np.stack([by_rank[child], by_rank[parent[child]]], axis=1).view(np.int64)
+    by_rank = every[order]
+    return by_rank[child], by_rank[parent[child]]
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: int):
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = linked(np.frombuffer(one, dtype=np.uint64), None if other is None else np.frombuffer(other, dtype=np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["u", "v"])
+                u, v = linked(_unpacked(one, words), None if other is None else _unpacked(other, words), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(_packed(u), pa.binary()), pa.array(_packed(v), pa.binary())], names=["u", "v"])
 
     return compare
 
 
-def links(prints: DataFrame, radius: int = 4) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, words: int = 1) -> DataFrame:
     """u, v: edges between distinct fingerprints whose components are those of all links within the radius."""
     spark = prints.sparkSession
-    distinct = shared_checkpoint(prints.select("fp").distinct())
+    distinct = shared_checkpoint(prints.select("fp", "ones").distinct())
     n, parts = distinct.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     tile_rows = max(1024, min(65536, -(-n // 24)))
-    count = F.bit_count("fp").cast("int")
-    ordered = distinct.repartitionByRange(max(1, min(parts, -(-n // tile_rows))), count, "fp").sortWithinPartitions(count, "fp")
+    ordered = distinct.repartitionByRange(max(1, min(parts, -(-n // tile_rows))), "ones", "fp").sortWithinPartitions("ones", "fp")
     tiles = shared_checkpoint(ordered.mapInArrow(_tiles(tile_rows), _TILE))
     about = tiles.select("tile", "low", "high")
     # two tiles within the radius share the strip that is the larger of their low counts, and only that one
@@ -198,7 +224,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     pairs = reach.join(other, "strip").filter((F.col("strip") == F.greatest("low1", "low2")) & (F.col("t1") <= F.col("t2"))).select("t1", "t2")
     packed = pairs.join(tiles.select(F.col("tile").alias("t1"), F.col("fps").alias("one")), "t1").join(tiles.select(F.col("tile").alias("t2"), F.col("fps").alias("other")), "t2")
     packed = packed.select("one", F.when(F.col("t1") != F.col("t2"), F.col("other")).alias("other")).repartition(max(parts, 4 * spark.sparkContext.defaultParallelism))
-    return packed.mapInArrow(_compare(radius), "u long, v long")
+    return packed.mapInArrow(_compare(radius, words), "u binary, v binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,10 +243,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, size: int = 4, words: int = 1) -> DataFrame:
     """doc_id, a, fp and component_id for each row of docs."""
-    prints = shared_checkpoint(fingerprints(docs, doc_id, text))
-    roots = components(links(prints, radius))
+    prints = shared_checkpoint(fingerprints(docs, doc_id, text, size, words))
+    roots = components(links(prints, radius, words))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = shared_checkpoint(classes)
@@ -229,13 +255,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select("doc_id", "a", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 52, size: int = 5, words: int = 4) -> DataFrame:
     """The rows of docs that represent their group: those of its least document id.
 
     Rows that repeat an id and a text are the same document and stay together. Of the rows without an id none stands for
     others, so all of them stay.
     """
-    found = near_duplicates(docs, doc_id, text, radius)
+    found = near_duplicates(docs, doc_id, text, radius, size, words)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id"), F.col("a").alias("_gone_a")).distinct().hint("shuffle_hash")
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     return docs.join(gone, (d.cast("long") == F.col("_gone_id")) & (F.xxhash64(d.isNull(), t.isNull(), F.coalesce(t, F.lit(""))) == F.col("_gone_a")), "left_anti")
@@ -243,4 +269,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
