@@ -6,7 +6,7 @@ loses no pair, for two fingerprints differ in at least as many bits as their cou
 of its links, never the links themselves, so a group of n near copies costs n edges. Components follow by minimum labels
 with pointer jumping, each round in the shared checkpoint.
 
-Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes shingles of five words and 256
+Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words and 256
 bits, and 52 of 256 bits stand for a similarity of 0.8. The comparison of all pairs is quadratic in the number of distinct fingerprints.
 
 A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
@@ -43,8 +43,8 @@ def _bit_sums(hashes: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
     return np.stack(sums, axis=1)
 
 
-def fingerprints_of(texts: list[bytes | None], size: int = 4, words: int = 1, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text, as `words` unsigned 64-bit numbers."""
+def fingerprints_of(texts: list[bytes | None], size: int = 4, words: int = 1, repeats: bool = True, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each text, as `words` unsigned 64-bit numbers. repeats: a shingle counts as often as it occurs, else once."""
     sums = np.zeros((len(texts), words, 64), dtype=np.int64)
     totals = np.zeros(len(texts), dtype=np.int64)
     hashes: list[int] = []
@@ -68,6 +68,8 @@ def fingerprints_of(texts: list[bytes | None], size: int = 4, words: int = 1, se
         else:
             ends = np.cumsum([len(w) + 1 for w in parts])
             spans = list(zip([0, *ends[: len(parts) - size].tolist()], (ends[size - 1 :] - 1).tolist(), strict=True))
+        if not repeats:
+            spans = list({digest(joined[a:b], seed): (a, b) for a, b in spans}.values())
         totals[i] = len(spans)
         for at in range(0, len(spans), _CHUNK):  # a very long text is counted piece by piece
             found = [digest(joined[a:b], seed) for a, b in spans[at : at + _CHUNK]]
@@ -93,21 +95,21 @@ def _unpacked(raw: bytes, words: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _signer(size: int, words: int):
+def _signer(size: int, words: int, repeats: bool):
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            prints = fingerprints_of(batch.column(2).cast(pa.large_binary()).to_pylist(), size, words)
+            prints = fingerprints_of(batch.column(2).cast(pa.large_binary()).to_pylist(), size, words, repeats)
             ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_packed(prints), pa.binary()), pa.array(ones)], names=["doc_id", "a", "fp", "ones"])
 
     return sign
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
     """doc_id, a (a hash of id and text), fp and ones (its bits set), one row for each row of docs."""
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     rows = docs.select(d.cast("long").alias("doc_id"), F.xxhash64(d.isNull(), t.isNull(), F.coalesce(t, F.lit(""))).alias("a"), t.alias("_text"))
-    return rows.mapInArrow(_signer(size, words), "doc_id long, a long, fp binary, ones int")
+    return rows.mapInArrow(_signer(size, words, repeats), "doc_id long, a long, fp binary, ones int")
 
 
 _TILE = "tile long, low int, high int, fps binary"
@@ -243,9 +245,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, size: int = 4, words: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, size: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
     """doc_id, a, fp and component_id for each row of docs."""
-    prints = shared_checkpoint(fingerprints(docs, doc_id, text, size, words))
+    prints = shared_checkpoint(fingerprints(docs, doc_id, text, size, words, repeats))
     roots = components(links(prints, radius, words))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -261,7 +263,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
     Rows that repeat an id and a text are the same document and stay together. Of the rows without an id none stands for
     others, so all of them stay.
     """
-    found = near_duplicates(docs, doc_id, text, radius, size, words)
+    found = near_duplicates(docs, doc_id, text, radius, size, words, repeats=False)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id"), F.col("a").alias("_gone_a")).distinct().hint("shuffle_hash")
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     return docs.join(gone, (d.cast("long") == F.col("_gone_id")) & (F.xxhash64(d.isNull(), t.isNull(), F.coalesce(t, F.lit(""))) == F.col("_gone_a")), "left_anti")
