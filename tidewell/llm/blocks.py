@@ -29,24 +29,27 @@ QUESTION = "part int, block long, payload binary"
 ANSWER = "block long, part int, payload binary"
 
 
-def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, k = TaskContext.get().partitionId(), 0
-    for batch in batches(stream, BLOCK_BYTES):
-        texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-        ids = np.array(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), dtype=np.int64)
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) + k]), pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([int(lengths.sum())])],
-            names=[x.split()[0] for x in BLOCK.split(", ")],
-        )
-        k += 1
+def _packer(block_bytes: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches(stream, block_bytes):
+            texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            ids = np.array(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), dtype=np.int64)
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + k]), pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([int(lengths.sum())])],
+                names=[x.split()[0] for x in BLOCK.split(", ")],
+            )
+            k += 1
+
+    return run
 
 
 def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The documents in blocks of about BLOCK_BYTES; a longer text is a block by itself."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return shared_checkpoint(rows.mapInArrow(_pack, BLOCK))
+    return shared_checkpoint(rows.mapInArrow(_packer(BLOCK_BYTES), BLOCK))
 
 
 class Block:
