@@ -173,3 +173,12 @@ def test_evaluation(spark, tmp_path):
     p.write_text("a: [")
     with pytest.raises(ConfigError):
         querysets.load_queries(spark, str(p))
+
+
+def test_smoke_report(spark, tmp_path):
+    p = tmp_path / "s.yaml"
+    p.write_text("queries:\n- {id: a, query: one, expect: c1}\n- {id: b, query: two}\n")
+    q = querysets.load_smoke(spark, str(p))
+    hits = spark.createDataFrame([("a", 1, "x|y", 0.5, None, 0.25)], "query_id string, rank long, chunk_id string, score double, vector_score double, bm25_score double")
+    text = evaluate.smoke_report(q, hits, "Smoke", "now")
+    assert "| 1 | x\\|y | 0.5000 | — | 0.2500 |" in text and text.endswith("Queries: 2, with hits: 1.\n")

@@ -77,3 +77,24 @@ def report(results: DataFrame, title: str, run_at: str) -> str:
     if failed:
         out += ["", "## Misses", ""] + [f"- {cell(r['query_id'])}: {', '.join(map(cell, r['missed']))}" for r in failed]
     return "\n".join(out) + "\n"
+
+
+def smoke_totals(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """total and answered (queries with a hit), as one row."""
+    answered = hits.select("query_id").distinct().withColumn("answered", F.lit(1))
+    return queries.join(answered, "query_id", "left").agg(F.count(F.lit(1)).alias("total"), F.count("answered").alias("answered"))
+
+
+def smoke_report(queries: DataFrame, hits: DataFrame, title: str, run_at: str) -> str:
+    """A Markdown report of a query set without ground truth: its hits, what was expected, and totals. hits: the top few of each query."""
+    by_query: dict = {}
+    for h in hits.orderBy("query_id", "rank").collect():
+        by_query.setdefault(h["query_id"], []).append(h)
+    number = lambda x: "—" if x is None else f"{x:.4f}"
+    cell = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
+    out = [f"# {title}", "", f"Run at {run_at}."]
+    for q in queries.orderBy("query_id").collect():
+        out += ["", f"## {q['query_id']}: {q['query']}", "", f"Expected: {q['expect'] or '—'}", "", "| rank | chunk | score | vector | full text |", "|---|---|---|---|---|"]
+        out += [f"| {h['rank']} | {cell(h['chunk_id'])} | {number(h['score'])} | {number(h['vector_score'])} | {number(h['bm25_score'])} |" for h in by_query.get(q["query_id"], [])]
+    total, answered = smoke_totals(queries, hits).first()
+    return "\n".join([*out, "", f"Queries: {total}, with hits: {answered}.", ""])

@@ -57,16 +57,16 @@ MARKDOWN_PARENTS = (
 
 
 def _turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk for each conversation whose id is even, and one for each turn, whose parent is its conversation's."""
+    """A chunk for each conversation of four turns or more, and one for each turn, whose parent is its conversation's."""
     c = read(spark, sf_dir, "conversations")
     name = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     title = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
-    top = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("conv_id % 2 = 0").select(name.alias("chunk_id"), F.concat(title, F.lit(" of "), F.col("n").cast("string")).alias("content"), F.array(title).alias("heading_path"), F.lit(None).cast("string").alias("parent_id"))
+    top = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4").select(name.alias("chunk_id"), F.concat(title, F.lit(" of "), F.col("n").cast("string")).alias("content"), F.array(title).alias("heading_path"), F.lit(None).cast("string").alias("parent_id"))
     turns = c.select(F.concat(name, F.lit("t"), F.col("turn").cast("string")).alias("chunk_id"), F.col("text").alias("content"), F.array(title, F.col("role")).alias("heading_path"), name.alias("parent_id"))
     return top.unionByName(turns)
 
 
-_TURNS = """top AS (SELECT 'c' || conv_id AS chunk_id, 'conversation ' || conv_id || ' of ' || count(*) AS content, NULL AS parent_id FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id),
+_TURNS = """top AS (SELECT 'c' || conv_id AS chunk_id, 'conversation ' || conv_id || ' of ' || count(*) AS content, NULL AS parent_id FROM conversations GROUP BY conv_id HAVING count(*) >= 4),
 ch AS (SELECT * FROM top UNION ALL SELECT 'c' || conv_id || 't' || turn, text, 'c' || conv_id FROM conversations)"""
 
 
