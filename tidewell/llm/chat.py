@@ -88,7 +88,7 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = render(reconstruct(conversation_events(rows))).withColumn("turns", parse(F.col("formatted")))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
