@@ -127,38 +127,52 @@ def questions_table(block: Block, found: list[tuple[int, bytes]]) -> pa.Table:
 
 
 class Names:
-    """Unique (text, name) pairs of a block, split by owning partition.
+    """The different names of a block, split by owning partition.
 
-    A partition gets, for each text with names there, the text's digest and its sorted names of 40 bits; the owner is taken from other bits of the name.
+    A partition gets each name once, with the digest of a text that has it, or twice, with two digests, if different texts of the
+    block have it. So what many documents share costs a block two entries. Entries go by digest; of a name 40 bits are
+    sent, and the owner is taken from other bits.
     """
 
-    def __init__(self, owner: np.ndarray, name: np.ndarray, n_parts: int):
+    def __init__(self, block: Block, owner: np.ndarray, name: np.ndarray, n_parts: int):
+        self.digests = block.digests()
         part = (name >> np.uint64(40)) % np.uint64(n_parts)
-        order = np.lexsort((name, owner, part))
-        p, o, x = part[order], owner[order], name[order]
+        digest = self.digests[:, 0][owner]
+        order = np.lexsort((digest, name, part))
+        p, x, d = part[order], name[order], digest[order]
         new = np.ones(len(x), dtype=bool)
-        new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1]) | (x[1:] != x[:-1])
-        group = np.cumsum(new) - 1
-        self.of = np.empty(len(x), dtype=np.int64)  # of each given pair, its place among the unique ones
-        self.of[order] = group
-        self.part, self.owner, self.name = p[new].astype(np.int64), o[new], x[new]
-        self.cuts = np.searchsorted(self.part, np.arange(n_parts + 1))
+        new[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1])
+        self.of = np.empty(len(x), dtype=np.int64)  # of each given pair, the place of its name
+        self.of[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(x)] - 1 if len(x) else first
+        self.name, self.low, self.high = x[first], d[first], d[last]
+        self.cuts = np.searchsorted(p[first].astype(np.int64), np.arange(n_parts + 1))
         self.n_parts = n_parts
 
-    def payload(self, part: int, digest: np.ndarray) -> bytes:
+    def _entries(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digest, name, place of the name) of each entry for a partition."""
         lo, hi = self.cuts[part], self.cuts[part + 1]
-        owners, counts = np.unique(self.owner[lo:hi], return_counts=True)
-        low = np.ascontiguousarray(self.name[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :5]
-        return np.array([len(owners), hi - lo], dtype=np.uint32).tobytes() + digest[owners].tobytes() + counts.astype(np.uint32).tobytes() + low.tobytes()
+        low, high, name = self.low[lo:hi], self.high[lo:hi], self.name[lo:hi]
+        two = np.flatnonzero(low != high)
+        digest, name, place = np.r_[low, high[two]], np.r_[name, name[two]], np.r_[np.arange(lo, hi), two + lo]
+        order = np.lexsort((name, digest))
+        return digest[order], name[order], place[order]
+
+    def payload(self, part: int) -> bytes:
+        digest, name, _ = self._entries(part)
+        owners, counts = np.unique(digest, return_counts=True)
+        low = np.ascontiguousarray(name).view(np.uint8).reshape(-1, 8)[:, :5]
+        return np.array([len(owners), len(name)], dtype=np.uint32).tobytes() + owners.tobytes() + counts.astype(np.uint32).tobytes() + low.tobytes()
 
     def shared(self, answers: dict[int, bytes]) -> np.ndarray:
-        """For each pair given: whether a different text has the name too. answers: bits by partition."""
-        bits = np.zeros(len(self.name), dtype=bool)
+        """For each pair given: whether different texts have the name. answers: bits of the entries, by partition."""
+        out = np.zeros(len(self.name), dtype=bool)
         for part in range(self.n_parts):
-            lo, hi = self.cuts[part], self.cuts[part + 1]
-            if hi > lo:
-                bits[lo:hi] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=hi - lo)
-        return bits[self.of]
+            if self.cuts[part + 1] > self.cuts[part]:
+                place = self._entries(part)[2]
+                out[place] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=len(place))
+        return out[self.of]
 
 
 def read_names(payload: memoryview) -> tuple[np.ndarray, np.ndarray]:
@@ -192,14 +206,32 @@ def reply_shared(names: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]
 # ---- equal texts ---------------------------------------------------------------------------------------------------
 
 
-def copies_payload(part: int, n_parts: int, ids: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The rows whose digest belongs to the partition, and their digests and ids."""
-    rows = np.flatnonzero(digests[:, 1] % np.uint64(n_parts) == part)
-    return rows, np.uint32(len(rows)).tobytes() + digests[rows].tobytes() + ids[rows].tobytes()
+class Copies:
+    """The different texts of a block, each with the least id that has it."""
+
+    def __init__(self, ids: np.ndarray, digests: np.ndarray):
+        order = np.lexsort((ids, digests[:, 1], digests[:, 0]))
+        d, self.ids = digests[order], ids
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = (d[1:] != d[:-1]).any(axis=1)
+        self.of = np.empty(len(ids), dtype=np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.digest, self.least = d[new], ids[order][new]
+
+    def places(self, part: int, n_parts: int) -> np.ndarray:
+        return np.flatnonzero(self.digest[:, 1] % np.uint64(n_parts) == part)
+
+    def payload(self, part: int, n_parts: int) -> bytes:
+        at = self.places(part, n_parts)
+        return np.uint32(len(at)).tobytes() + self.digest[at].tobytes() + self.least[at].tobytes()
+
+    def copied(self, later: np.ndarray) -> np.ndarray:
+        """For each text of the block, whether a smaller id has it. later: whether a smaller id than the block's least has each different text."""
+        return (self.ids > self.least[self.of]) | later[self.of]
 
 
 def reply_copies(payloads: list[bytes]) -> list[np.ndarray]:
-    """For each row, whether a row with a smaller id has the same text."""
+    """For each different text of each block, whether another block has it with a smaller id."""
     sizes = [int(np.frombuffer(p, dtype=np.uint32, count=1)[0]) for p in payloads]
     digest = np.concatenate([np.frombuffer(p, dtype=np.uint64, count=2 * n, offset=4).reshape(-1, 2) for p, n in zip(payloads, sizes, strict=True)])
     ids = np.concatenate([np.frombuffer(p, dtype=np.int64, count=n, offset=4 + 16 * n) for p, n in zip(payloads, sizes, strict=True)])
@@ -215,11 +247,11 @@ def reply_copies(payloads: list[bytes]) -> list[np.ndarray]:
 
 def first_questions(block: Block, names: Names) -> Iterator[tuple[int, bytes]]:
     """To each partition: the texts' digests and ids, and the names."""
-    digests = block.digests()
+    copies = Copies(block.ids, names.digests)
     for part in range(names.n_parts):
-        rows, copies = copies_payload(part, names.n_parts, block.ids, digests)
-        if len(rows) or names.cuts[part + 1] > names.cuts[part]:
-            yield part, np.uint32(len(copies)).tobytes() + copies + names.payload(part, digests[:, 0])
+        own = copies.payload(part, names.n_parts)
+        if len(own) > 4 or names.cuts[part + 1] > names.cuts[part]:
+            yield part, np.uint32(len(own)).tobytes() + own + names.payload(part)
 
 
 def reply_first(payloads: list[bytes]) -> list[bytes]:
@@ -231,13 +263,13 @@ def reply_first(payloads: list[bytes]) -> list[bytes]:
 
 def read_first(block: Block, names: Names, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(copy of a smaller id, for each text; shared with another text, for each name given)."""
-    digests = block.digests()
-    copy = np.zeros(len(block.ids), dtype=bool)
+    copies = Copies(block.ids, names.digests)
+    later = np.zeros(len(copies.least), dtype=bool)
     bits = {}
     for part in range(names.n_parts):
-        rows = np.flatnonzero(digests[:, 1] % np.uint64(names.n_parts) == part)
+        at = copies.places(part, names.n_parts)
         if part in answers:
-            n = -(-len(rows) // 8)
-            copy[rows] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8, count=n), count=len(rows))
+            n = -(-len(at) // 8)
+            later[at] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8, count=n), count=len(at))
             bits[part] = answers[part][n:]
-    return copy, names.shared(bits)
+    return copies.copied(later), names.shared(bits)

@@ -121,17 +121,17 @@ def symbols(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray,
     return x, own, lo, hi
 
 
-def _names(words: Words, window: int, n_parts: int) -> tuple[B.Names, np.ndarray, np.ndarray]:
+def _names(block: B.Block, words: Words, window: int, n_parts: int) -> tuple[B.Names, np.ndarray, np.ndarray]:
     """The symbols that some window of their text contains with all that decides them."""
     x, own, lo, hi = symbols(words)
     inside = (hi - lo <= window) & (lo >= words.first[own]) & (hi <= words.first[own + 1])
     x, own, lo, hi = x[inside], own[inside], lo[inside], hi[inside]
-    return B.Names(own, mix64(x ^ np.uint64(0x1D8E4E27C47D124F)), n_parts), lo, hi
+    return B.Names(block, own, mix64(x ^ np.uint64(0x1D8E4E27C47D124F)), n_parts), lo, hi
 
 
 def _candidates(block: B.Block, words: Words, window: int, n_parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(copies, for each text; start and hash of each window that may be repeated)."""
-    names, lo, hi = _names(words, window, n_parts)
+    names, lo, hi = _names(block, words, window, n_parts)
     copy, shared = B.read_first(block, names, answers)
     dead = np.zeros(len(words.hash) + 1, dtype=np.int64)
     np.add.at(dead, np.maximum(hi[~shared] - window, 0), 1)
@@ -201,7 +201,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     n_parts = B.partitions(packed, RAW_PER_PARTITION)
 
     def first(block: B.Block) -> Iterator[tuple[int, bytes]]:
-        return B.first_questions(block, _names(Words(block), window, n_parts)[0])
+        return B.first_questions(block, _names(block, Words(block), window, n_parts)[0])
 
     def second(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
         words = Words(block)
