@@ -2,8 +2,8 @@
 
 Fingerprints of 64 bits or a multiple come from one Arrow pass over the texts. Distinct fingerprints are sorted by population count and cut
 into packed tiles. Two tiles, and two stretches of them, are compared only if their population counts can lie within the radius; this
-loses no pair, for two fingerprints differ in at least as many bits as their counts do. A pair of tiles reports a spanning forest
-of its links, never the links themselves, so a group of n near copies costs n edges. Components follow by minimum labels
+loses no pair, for two fingerprints differ in at least as many bits as their counts do. A tile reports a spanning forest of
+its links and a pair of tiles what joins their components, never the links themselves. Components follow by minimum labels
 with pointer jumping, each round in the shared checkpoint.
 
 Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words and 256
@@ -112,10 +112,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return rows.mapInArrow(_signer(size, words, repeats), "doc_id long, a long, fp binary, ones int")
 
 
-_TILE = "tile long, low int, high int, fps binary"
+_TILE = "tile long, low int, high int, fps binary, roots binary"
 
 
-def _tiles(tile_rows: int):
+def _tiles(tile_rows: int, radius: int, words: int):
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
         fps: list[bytes] = []
@@ -124,9 +124,11 @@ def _tiles(tile_rows: int):
         def tile() -> pa.RecordBatch:
             nonlocal k, fps, ones
             k += 1
-            row = [pa.array([(part << 32) + k]), pa.array([min(ones)], pa.int32()), pa.array([max(ones)], pa.int32()), pa.array([b"".join(fps)], pa.binary())]
+            raw = b"".join(fps)
+            roots = forest(_unpacked(raw, words), None, radius).astype(np.int32).tobytes()
+            row = [pa.array([(part << 32) + k]), pa.array([min(ones)], pa.int32()), pa.array([max(ones)], pa.int32()), pa.array([raw], pa.binary()), pa.array([roots], pa.binary())]
             fps, ones = [], []
-            return pa.RecordBatch.from_arrays(row, names=["tile", "low", "high", "fps"])
+            return pa.RecordBatch.from_arrays(row, names=["tile", "low", "high", "fps", "roots"])
 
         for batch in stream:
             for f, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -170,23 +172,28 @@ def _near(rows: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.nonzero(apart <= radius)
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, their roots): a spanning forest of the links between a and b, or within a if b is None."""
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, roots: np.ndarray | None = None) -> np.ndarray:
+    """The root of each row of a, then of b, over the links between a and b (or within a): the place of its component's least fingerprint.
+
+    roots: those of links that are known already.
+    """
     if not radius < 255 - 64:
         raise ValueError("the radius is too large")
     sides = []
     for x in (a, b) if b is not None else (a,):
         ones = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-        order = np.argsort(ones, kind="stable")
-        sides.append((x[order], ones[order]))
-    (xa, ones_a), (xb, ones_b) = sides[0], sides[-1]
+        place = np.argsort(ones, kind="stable")
+        sides.append((x[place], ones[place], place))
+    (xa, ones_a, place_a), (xb, ones_b, place_b) = sides[0], sides[-1]
     lines = np.ascontiguousarray(xb.T)
-    offset = len(xa) if b is not None else 0
-    every = np.concatenate([xa, xb]) if b is not None else xa
+    every = np.concatenate([a, b]) if b is not None else a
     order = np.lexsort(every.T[::-1])
     rank = np.empty(len(every), dtype=np.int64)
-    rank[order] = np.arange(len(every))  # roots are the least fingerprints
+    rank[order] = np.arange(len(every))
     parent = np.arange(len(every))
+    if roots is not None:
+        parent[rank] = rank[roots]
+    rank_a, rank_b = rank[place_a], rank[place_b + (len(a) if b is not None else 0)]
     for r in range(0, len(xa), 16):
         lo, hi = ones_a[r] - radius, ones_a[min(r + 16, len(xa)) - 1] + radius
         f, t = int(np.searchsorted(ones_b, lo)), int(np.searchsorted(ones_b, hi, side="right"))
@@ -195,38 +202,70 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
         for c in range(f, t, 1 << 13):
             i, j = _near(xa[r : r + 16], lines[:, c : min(t, c + (1 << 13))], radius)
             if len(i):
-                parent = _join(parent, rank[i + r], rank[j + c + offset])
-    child = np.flatnonzero(parent != np.arange(len(parent)))
-    by_rank = every[order]
-    return by_rank[child], by_rank[parent[child]]
+                parent = _join(parent, rank_a[i + r], rank_b[j + c])
+    return order[parent[rank]]
+
+
+def linked(a: np.ndarray, b: np.ndarray | None, radius: int, roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, their roots): what the links between a and b (or within a) join that roots do not."""
+    every = np.concatenate([a, b]) if b is not None else a
+    own = np.arange(len(every))
+    found = forest(a, b, radius, roots)
+    new = (found != own) & (True if roots is None else roots == own)
+    return every[new], every[found[new]]
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(_packed(u), pa.binary()), pa.array(_packed(v), pa.binary())], names=["u", "v"])
+
+
+def _inner(words: int):
+    """The links inside tiles: an edge for each fingerprint that is not a root."""
+
+    def inner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for fps, roots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, r = _unpacked(fps, words), np.frombuffer(roots, dtype=np.int32)
+                child = np.flatnonzero(r != np.arange(len(r)))
+                yield _edges(x[child], x[r[child]])
+
+    return inner
 
 
 def _compare(radius: int, words: int):
+    """The links between tiles: edges between components of the two tiles, not between their members."""
+
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                u, v = linked(_unpacked(one, words), None if other is None else _unpacked(other, words), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(_packed(u), pa.binary()), pa.array(_packed(v), pa.binary())], names=["u", "v"])
+            for one, r1, other, r2 in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                a, b = _unpacked(one, words), _unpacked(other, words)
+                roots = np.r_[np.frombuffer(r1, dtype=np.int32), np.frombuffer(r2, dtype=np.int32) + len(a)]
+                yield _edges(*linked(a, b, radius, roots))
 
     return compare
 
 
 def links(prints: DataFrame, radius: int = 4, words: int = 1) -> DataFrame:
-    """u, v: edges between distinct fingerprints whose components are those of all links within the radius."""
+    """u, v: edges between distinct fingerprints whose components are those of all links within the radius.
+
+    A fingerprint has one edge at most from its own tile; two tiles add edges between their components only. A group of near copies in
+    t tiles so costs its size and a few edges for each two tiles, not one for each member and tile.
+    """
     spark = prints.sparkSession
     distinct = shared_checkpoint(prints.select("fp", "ones").distinct())
     n, parts = distinct.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     tile_rows = max(1024, min(65536, -(-n // 24)))
     ordered = distinct.repartitionByRange(max(1, min(parts, -(-n // tile_rows))), "ones", "fp").sortWithinPartitions("ones", "fp")
-    tiles = shared_checkpoint(ordered.mapInArrow(_tiles(tile_rows), _TILE))
+    tiles = shared_checkpoint(ordered.mapInArrow(_tiles(tile_rows, radius, words), _TILE))
     about = tiles.select("tile", "low", "high")
     # two tiles within the radius share the strip that is the larger of their low counts, and only that one
     reach = about.select(F.col("tile").alias("t1"), F.col("low").alias("low1"), F.explode(F.sequence("low", F.col("high") + radius)).alias("strip"))
     other = reach.select(F.col("t1").alias("t2"), F.col("low1").alias("low2"), "strip")
-    pairs = reach.join(other, "strip").filter((F.col("strip") == F.greatest("low1", "low2")) & (F.col("t1") <= F.col("t2"))).select("t1", "t2")
-    packed = pairs.join(tiles.select(F.col("tile").alias("t1"), F.col("fps").alias("one")), "t1").join(tiles.select(F.col("tile").alias("t2"), F.col("fps").alias("other")), "t2")
-    packed = packed.select("one", F.when(F.col("t1") != F.col("t2"), F.col("other")).alias("other")).repartition(max(parts, 4 * spark.sparkContext.defaultParallelism))
-    return packed.mapInArrow(_compare(radius, words), "u binary, v binary")
+    pairs = reach.join(other, "strip").filter((F.col("strip") == F.greatest("low1", "low2")) & (F.col("t1") < F.col("t2"))).select("t1", "t2")
+    side = lambda k: tiles.select(F.col("tile").alias(f"t{k}"), F.col("fps").alias(f"f{k}"), F.col("roots").alias(f"r{k}"))
+    packed = pairs.join(side(1), "t1").join(side(2), "t2").select("f1", "r1", "f2", "r2").repartition(max(parts, 4 * spark.sparkContext.defaultParallelism))
+    between = packed.mapInArrow(_compare(radius, words), "u binary, v binary")
+    return tiles.select("fps", "roots").mapInArrow(_inner(words), "u binary, v binary").unionByName(between)
 
 
 def components(edges: DataFrame) -> DataFrame:
