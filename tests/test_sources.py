@@ -152,10 +152,10 @@ def test_event_windows(spark):
 
 
 def test_enhancement(spark):
-    q = spark.createDataFrame([("1", "How does Router 跳转 work"), ("2", "scenarios"), ("3", "fix this Error"), ("4", "hello"), ("5", "ArkUI-X List.onScroll List.onScroll v2 a")], "query_id string, query string")
+    q = spark.createDataFrame([("1", "How does Router 跳转 work"), ("2", "scenarios"), ("3", "fix this Error"), ("4", "hello"), ("5", "FlexUI-X List.onScroll List.onScroll v2 a")], "query_id string, query string")
     r = {x.query_id: x for x in rule_enhance(q).collect()}
     assert [r[k].intent for k in "12345"] == ["api_lookup", "migration", "error_fix", "generic", "generic"]
-    assert r["5"].entities == ["ArkUI", "List.onScroll", "v2"] and r["4"].entities == []
+    assert r["5"].entities == ["FlexUI", "List.onScroll", "v2"] and r["4"].entities == []
     assert "hello" in r["4"].hyde_doc.split("\n")[0]
     assert q.select(classify_intent(F.lit(None).cast("string")), extract_entities(F.lit("A A b B"))).first()[1] == []
 
