@@ -7,7 +7,8 @@ first and last runs of all partitions (two small rows for each) settle its count
 for each document that loses lines; texts meet it in one join.
 
 A null or empty text is one empty line. Keys shorter than `min_chars` are never dropped. Rows that share a document id, null
-included, count as one document. Equal rows get equal bitmaps.
+included, count as one document. Equal rows get equal bitmaps. With keep_first the first place of a common line stays, and with
+keep_first="document" all its places in the first document (the least id) that holds it.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _runs(batch: pa.RecordBatch, last: tuple | None) -> tuple[dict[str, np.ndarr
     return c, np.r_[bounds, batch.num_rows], np.add.reduceat(new_doc.astype(np.int64), bounds), goes_on
 
 
-_EDGE = "part int, h1 long, h2 long, docs long, first_nil boolean, first_id long, last_nil boolean, last_id long"
+_EDGE = "part int, h1 long, h2 long, docs long, first_nil boolean, first_id long, first_a long, last_nil boolean, last_id long"
 
 
 def _edges(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,40 +81,51 @@ def _edges(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = [c["nil"][hi].item(), c["id"][hi].item()]
             if j == 0 and goes_on:
                 current[2] += int(docs[0])
-                current[5:] = end
+                current[6:] = end
             else:
-                current = [c["h1"][lo].item(), c["h2"][lo].item(), int(docs[j]), c["nil"][lo].item(), c["id"][lo].item(), *end]
+                current = [c["h1"][lo].item(), c["h2"][lo].item(), int(docs[j]), c["nil"][lo].item(), c["id"][lo].item(), c["a"][lo].item(), *end]
             first = current if first is None else first
         last = tuple(c[n][-1].item() for n in _DOC)
     if first is not None:
         found = [first] if current is first else [first, current]
         part = TaskContext.get().partitionId()
         columns = zip(*([part, *r] for r in found), strict=True)
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64())
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _EDGE.split(", ")])
 
 
-def _settle(edges: list) -> tuple[dict, set]:
-    """Documents of each key at a partition's edge, and the (partition, key) runs that an earlier partition began."""
+def _settle(edges: list) -> tuple[dict, set, dict]:
+    """Documents of each key at a partition's edge, the (partition, key) runs that an earlier partition began, and the key's first document."""
     total: dict[tuple[int, int], int] = {}
     later: set[tuple[int, int, int]] = set()
+    firsts: dict[tuple[int, int], tuple] = {}
     last: dict[tuple[int, int], tuple] = {}
     for e in edges:  # in order of partition and key
         key = (e["h1"], e["h2"])
         if key in total:
             later.add((e["part"], *key))
+        firsts.setdefault(key, (e["first_nil"], e["first_id"], e["first_a"]))
         total[key] = total.get(key, 0) + e["docs"] - (last.get(key) == (e["first_nil"], e["first_id"]))
         last[key] = (e["last_nil"], e["last_id"])
-    return total, later
+    return total, later, firsts
 
 
-def _dropper(total: dict, later: set, min_docs: int, keep_first: bool):
+def _dropper(total: dict, later: set, firsts: dict, min_docs: int, keep_first: bool | str):
     """Streams the rows of lines to drop; at most the rows of min_docs - 1 documents of one run wait."""
     names = ("nil", "id", "a", "pos")
+    whole = keep_first == "document"
+    same = names[:3] if whole else names  # what the rows that stay share with the first
+
+    def leading(c: dict, lo: int, hi: int, first: tuple) -> int:
+        """Rows of lo to hi that stay: those like the first of the key, which come first."""
+        alike = np.ones(hi - lo, dtype=bool)
+        for n, x in zip(same, first, strict=True):
+            alike &= c[n][lo:hi] == x
+        return int(alike.sum())
 
     def drop(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        key, docs, gone, wait, last = None, 0, None, [], None
+        key, docs, gone, wait, last, first = None, 0, None, [], None, None
         for batch in stream:
             if not batch.num_rows:
                 continue
@@ -123,14 +135,18 @@ def _dropper(total: dict, later: set, min_docs: int, keep_first: bool):
             inner[[0, -1]] = False  # they may go on in another batch or partition
             mask = np.repeat(inner, np.diff(bounds))
             if keep_first:
-                mask[bounds[:-1]] = False
+                began = np.repeat(bounds[:-1], np.diff(bounds))
+                mask &= np.logical_or.reduce([c[n] != c[n][began] for n in same])
             for j in dict.fromkeys((0, len(n_docs) - 1)):
                 lo, hi = bounds[j], bounds[j + 1]
-                head = 0
                 if not (j == 0 and goes_on):
                     key, docs, wait = (c["h1"][lo].item(), c["h2"][lo].item()), 0, []
                     gone = total[key] >= min_docs if key in total else None
-                    head = int(keep_first and (part, *key) not in later)
+                    if whole:
+                        first = firsts.get(key) or tuple(c[n][lo].item() for n in same)
+                    elif keep_first:  # equal rows are in one partition
+                        first = None if (part, *key) in later else tuple(c[n][lo].item() for n in same)
+                head = leading(c, lo, hi, first) if first is not None else 0
                 docs += int(n_docs[j])
                 if gone is None and docs >= min_docs:
                     gone = True
@@ -171,24 +187,24 @@ def _keep(text: pd.Series, n_bits: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool | str = False) -> DataFrame:
     """nil, id, a (the document's key) and pos of each line to drop."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = shared_checkpoint(line_rows(docs, doc_id, text, min_chars).repartitionByRange(n, *_SORT).sortWithinPartitions(*_SORT))
     edges = rows.mapInArrow(_edges, _EDGE).collect()  # two rows for each partition
     edges.sort(key=lambda e: (e["part"], e["h1"], e["h2"]))
-    total, later = _settle(edges)
-    return rows.mapInArrow(_dropper(total, later, min_docs, keep_first), "nil boolean, id long, a long, pos int")
+    total, later, firsts = _settle(edges)
+    return rows.mapInArrow(_dropper(total, later, firsts, min_docs, keep_first), "nil boolean, id long, a long, pos int")
 
 
-def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool | str = False) -> DataFrame:
     """nil, id, a, bits, n_bits and n_dropped for each document that loses lines."""
     found = dropped_lines(docs, doc_id, text, min_docs, min_chars, keep_first)
     at = found.groupBy("nil", "id", "a").agg(F.array_sort(F.collect_set("pos")).alias("gone")).withColumn("n_bits", F.element_at("gone", -1) + 1)
     return at.select("nil", "id", "a", "n_bits", _bitmap("n_bits", "gone").alias("bits"), F.size("gone").cast("long").alias("n_dropped"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, dropped: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool | str = False, dropped: str | None = None) -> DataFrame:
     """docs with `text` reduced to its kept lines; the number of lines lost in a column named by `dropped`.
 
     A null text stays null. Texts move once, to meet their bitmaps.
