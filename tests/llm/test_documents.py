@@ -159,6 +159,43 @@ def test_near_dedup(spark, empty_df):
     assert simhash.dedup(empty_df).count() == 0
 
 
+def brute_similar(texts, size=5):
+    """The least place of each text's component over all pairs with a Jaccard similarity of 0.8."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_dedup_verifies_links(spark, monkeypatch, block):
+    """Groups with similarities on both sides of 0.8; with small blocks they meet in pairs of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    r = random.Random(3)
+    texts = [None, "", " \n", "A b", "a  B", "a b c"]
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for k in range(16):
+            start = r.randrange(200)
+            n = (4, 12, 24, 30, 45, 60)[g] if k else 0  # so many words of a stretch are others
+            texts.append(" ".join(f"x{g}y{k}z{i}" if start <= i < start + n else w for i, w in enumerate(base)))
+    texts += texts[8:11] + [t.upper() for t in texts[30:33]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_similar(texts)
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < 90
+    assert sorted(x.doc_id for x in simhash.dedup(df).collect()) == sorted(set(want))
+    raw = simhash.near_duplicates(df, radius=52, size=5, words=4, repeats=False).select("component_id").distinct().count()
+    assert raw < len(set(want))  # the fingerprints alone join more
+
+
 def test_decontamination(spark, docs_df, empty_df):
     r = random.Random(4)
     items = ["".join(r.choice("abcdef ghi") for _ in range(120)) for _ in range(12)] + ["short it", "abc", "", None]

@@ -7,7 +7,10 @@ its links and a pair of tiles what joins their components, never the links thems
 with pointer jumping, each round in the shared checkpoint.
 
 Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words and 256
-bits, and 52 of 256 bits stand for a similarity of 0.8. The comparison of all pairs is quadratic in the number of distinct fingerprints.
+bits. Texts with a Jaccard similarity of 0.8 (cosine 0.889) differ in 39 bits on average, so the radius of 52 finds nearly all such pairs, and many less
+similar ones. Each link within the radius is verified by the exact Jaccard similarity of the distinct shingles unless verified links join its ends already.
+Only texts with a link move for this, in blocks of one group (a large group in several, each two of which meet) or of many small groups.
+The comparison of all pairs is quadratic in the number of distinct fingerprints, and verification in the size of a group whose links fail.
 
 A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
 class whatever their number; rows with a null id take part but name no component (a component of such rows alone has
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, mix64, shared_checkpoint, table
@@ -98,18 +101,23 @@ def _unpacked(raw: bytes, words: int) -> np.ndarray:
 def _signer(size: int, words: int, repeats: bool):
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            prints = fingerprints_of(batch.column(2).cast(pa.large_binary()).to_pylist(), size, words, repeats)
+            prints = fingerprints_of(batch.columns[-1].cast(pa.large_binary()).to_pylist(), size, words, repeats)
             ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_packed(prints), pa.binary()), pa.array(ones)], names=["doc_id", "a", "fp", "ones"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_packed(prints), pa.binary()), pa.array(ones)], names=[*batch.schema.names[:-1], "fp", "ones"])
 
     return sign
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
-    """doc_id, a (a hash of id and text), fp and ones (its bits set), one row for each row of docs."""
+def _row_hash(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.isNull(), text.isNull(), F.coalesce(text, F.lit("")))
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, words: int = 1, repeats: bool = True, body: bool = False) -> DataFrame:
+    """doc_id, a (a hash of id and text), fp and ones (its bits set), one row for each row of docs. body: also b (a hash of the text) and chars."""
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    rows = docs.select(d.cast("long").alias("doc_id"), F.xxhash64(d.isNull(), t.isNull(), F.coalesce(t, F.lit(""))).alias("a"), t.alias("_text"))
-    return rows.mapInArrow(_signer(size, words, repeats), "doc_id long, a long, fp binary, ones int")
+    of_text = [F.xxhash64(F.lit(2), F.coalesce(t, F.lit(""))).alias("b"), F.coalesce(F.length(t), F.lit(0)).cast("long").alias("chars")] if body else []
+    rows = docs.select(d.cast("long").alias("doc_id"), _row_hash(d, t).alias("a"), *of_text, t.alias("_text"))
+    return rows.mapInArrow(_signer(size, words, repeats), f"doc_id long, a long, {'b long, chars long, ' if body else ''}fp binary, ones int")
 
 
 _TILE = "tile long, low int, high int, fps binary, roots binary"
@@ -296,16 +304,165 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select("doc_id", "a", "fp", "component_id")
 
 
+#: Least Jaccard similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: A block of texts to verify holds about so many, or so many characters.
+BLOCK_TEXTS, BLOCK_CHARS = 256, 16_000_000
+
+
+def shingle_hashes(text: bytes | None, size: int, seed: int = 42) -> np.ndarray:
+    """The hashes of the distinct shingles, in order; none for a text without words."""
+    parts = text.translate(_FOLD).split() if text else []
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(parts[i : i + size]), seed) for i in range(max(1, len(parts) - size + 1))} if parts else ()
+    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ordered sets have a Jaccard similarity of SIMILAR at least; two empty sets have."""
+    if not len(a):
+        return not len(b)
+    place = np.searchsorted(a, b)
+    both = int((a[np.minimum(place, len(a) - 1)] == b).sum())
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, first: int | None = None, roots: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links, roots): stars over the places of fps, from each former root to its new one, with the components of all verified links within the radius.
+
+    first: only links between the first so many and the others count. roots: what is known already.
+    """
+    parent = list(range(len(fps))) if roots is None else roots.tolist()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    former = [x for x, up in enumerate(parent) if x == up]
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    lines, start = np.ascontiguousarray(fps[first or 0 :].T), first or 0
+    for r in range(0, len(fps) if first is None else first, 16):
+        i, j = _near(fps[r : r + 16 if first is None else min(r + 16, first)], lines, radius)
+        i, j = i + r, j + start
+        able = (SIMILAR[1] * np.minimum(n[i], n[j]) >= SIMILAR[0] * np.maximum(n[i], n[j])) & (i < j)
+        for x, y in zip(i[able].tolist(), j[able].tolist(), strict=True):
+            u, v = find(x), find(y)
+            if u != v and similar(sets[x], sets[y]):
+                parent[max(u, v)] = min(u, v)
+    return [(x, find(x)) for x in former if find(x) != x], np.array([find(x) for x in range(len(fps))], dtype=np.int32)
+
+
+def _shingler(size: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            sets = [shingle_hashes(t, size).tobytes() for t in batch.column(3).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["own", "block", "node", "hashes"])
+
+    return run
+
+
+def _sets(raw: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in raw]
+
+
+def _prints(nodes: list[bytes], words: int) -> np.ndarray:
+    return _unpacked(b"".join(x[: 8 * words] for x in nodes), words)
+
+
+_NODE_EDGES = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+
+def _node_edges(found: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.binary()) for k in (0, 1)], schema=_NODE_EDGES)
+
+
+def _within_blocks(radius: int, words: int):
+    """Each block with the links inside it."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for k in range(batch.num_rows):
+                own, block, rows = (batch.column(c)[k].as_py() for c in range(3))
+                nodes = [x["node"] for x in rows]
+                found, roots = verified(_prints(nodes, words), _sets([x["hashes"] for x in rows]), radius)
+                u, v = ([nodes[p[c]] for p in found] for c in (0, 1))
+                names, types = ("own", "block", "nodes", "hashes", "roots", "u", "v"), (pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+                # a group in one block has met itself; only a large one's texts go on
+                row = (own, block, nodes if own else [], [x["hashes"] for x in rows] if own else [], roots.tobytes(), u, v)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=list(names))
+
+    return run
+
+
+def _between_blocks(radius: int, words: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for k in range(batch.num_rows):
+                n1, h1, r1, n2, h2, r2 = (batch.column(c)[k].as_py() for c in range(6))
+                roots = np.r_[np.frombuffer(r1, dtype=np.int32), np.frombuffer(r2, dtype=np.int32) + len(n1)]
+                found, _ = verified(_prints(n1 + n2, words), _sets(h1 + h2), radius, len(n1), roots)
+                yield _node_edges(found, n1 + n2)
+
+    return run
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, radius: int, size: int, words: int) -> DataFrame:
+    """u, v: edges between nodes (fp and b) whose components are those of all links that are within the radius and similar.
+
+    classes: root (of the links within the radius), fp, b, chars, and the id and hash `a` of one row, for each distinct text.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weight = F.count(F.lit(1)) / BLOCK_TEXTS + F.sum("chars") / BLOCK_CHARS
+    groups = classes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), weight.alias("weight")).filter("n > 1").withColumn("k", F.ceil("weight").cast("int"))
+    groups = shared_checkpoint(groups)
+    m = max(1, int(np.ceil(groups.filter("k = 1").agg(F.sum("weight")).first()[0] or 0)))
+    own = F.when(F.col("k") > 1, F.col("root")).otherwise(F.lit(b""))
+    block = F.when(F.col("k") > 1, F.pmod(F.xxhash64("fp", "b"), F.col("k"))).otherwise(F.pmod(F.xxhash64("root"), F.lit(m))).cast("int")
+    node = F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0")))
+    asked = classes.join(groups, "root").select(F.coalesce("id", F.lit(0)).alias("_asked_id"), F.col("a").alias("_asked_a"), own.alias("own"), block.alias("block"), node.alias("node"))
+    d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    rows = docs.select(F.coalesce(d.cast("long"), F.lit(0)).alias("_id"), _row_hash(d, t).alias("_a"), t.alias("_text"))
+    met = rows.join(asked.hint("shuffle_hash"), (F.col("_id") == F.col("_asked_id")) & (F.col("_a") == F.col("_asked_a"))).dropDuplicates(["_id", "_a"])
+    sets = met.select("own", "block", "node", "_text").mapInArrow(_shingler(size), "own binary, block int, node binary, hashes binary")
+    packed = sets.groupBy("own", "block").agg(F.collect_list(F.struct("node", "hashes")).alias("rows"))
+    blocks = shared_checkpoint(packed.mapInArrow(_within_blocks(radius, words), "own binary, block int, nodes array<binary>, hashes array<binary>, roots binary, u array<binary>, v array<binary>"))
+    inside = blocks.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
+    pairs = groups.filter("k > 1").select(F.col("root").alias("own"), "k", F.explode(F.sequence(F.lit(0), F.col("k") - 2)).alias("b1"))
+    pairs = pairs.select("own", "b1", F.explode(F.sequence(F.col("b1") + 1, F.col("k") - 1)).alias("b2"))
+    side = lambda k: blocks.filter("own <> X''").select("own", F.col("block").alias(f"b{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("nodes", "hashes", "roots")))
+    both = pairs.join(side(1), ["own", "b1"]).join(side(2), ["own", "b2"]).select("nodes1", "hashes1", "roots1", "nodes2", "hashes2", "roots2")
+    between = both.repartition(max(parts, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_between_blocks(radius, words), "u binary, v binary")
+    return inside.unionByName(between)
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 52, size: int = 5, words: int = 4) -> DataFrame:
+    """doc_id, a and component_id for each row of docs: components of the links within the radius that are similar."""
+    prints = shared_checkpoint(fingerprints(docs, doc_id, text, size, words, repeats=False, body=True))
+    near = components(links(prints, radius, words))
+    classes = prints.groupBy("fp", "b").agg(F.min("doc_id").alias("least"), F.max("chars").alias("chars"), F.min(F.struct("doc_id", "a")).alias("one"))
+    classes = classes.join(near, classes["fp"] == near["node"], "left").select("fp", "b", "least", "chars", F.col("one.doc_id").alias("id"), F.col("one.a").alias("a"), F.coalesce("root", "fp").alias("root"))
+    classes = shared_checkpoint(classes)
+    roots = components(verified_links(docs, classes, doc_id, text, radius, size, words)).withColumnRenamed("root", "head")
+    own = F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0")))
+    named = classes.select("fp", "b", "least", own.alias("own")).join(roots, F.col("own") == roots["node"], "left").select("fp", "b", "least", F.coalesce("head", "own").alias("head"))
+    named = shared_checkpoint(named)
+    heads = named.groupBy("head").agg(F.min("least").alias("component_id"))
+    named = shared_checkpoint(named.join(heads, "head").select("fp", "b", "component_id"))
+    return prints.join(named, ["fp", "b"]).select("doc_id", "a", "component_id")
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 52, size: int = 5, words: int = 4) -> DataFrame:
     """The rows of docs that represent their group: those of its least document id.
 
     Rows that repeat an id and a text are the same document and stay together. Of the rows without an id none stands for
     others, so all of them stay.
     """
-    found = near_duplicates(docs, doc_id, text, radius, size, words, repeats=False)
+    found = similar_documents(docs, doc_id, text, radius, size, words)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id"), F.col("a").alias("_gone_a")).distinct().hint("shuffle_hash")
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    return docs.join(gone, (d.cast("long") == F.col("_gone_id")) & (F.xxhash64(d.isNull(), t.isNull(), F.coalesce(t, F.lit(""))) == F.col("_gone_a")), "left_anti")
+    return docs.join(gone, (d.cast("long") == F.col("_gone_id")) & (_row_hash(d, t) == F.col("_gone_a")), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
