@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -321,6 +322,24 @@ def test_html(spark):
     assert got == {1: "A & B\nOne two three four\nUnclosed\nNext &am", 2: "", 3: "", 4: "", 5: "a < b < c\nd"}
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<nav><svg class='i'/></nav>", "<svg data-x='a>b' /><div><svg><text>no</text></svg></div>", "<svg-icon></svg-icon>", "<select-box>", "<title-bar></title-bar><template-x></template-x>", "<svg>", "<SELECT name=a>", "<iframe src='x'/><iframe>no</iframe>", "<title>no</title><title>", "<object><svg>no</svg></object>"]
+    + ["<textarea>no</TEXTAREA ><noscript><p>no</p></noscript>", "<script-x></script-x>", "<script>'<svg>'</script>", "<style/>no</style>", "<math/>"],
+)
+def test_html_skips_no_article(before):
+    tree = htmltext.trained_tree()
+    words = "the old mill by the river was open to all people of the town"
+    page = f"{before}<article><h1>A title</h1><p>{words} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> so</p><p>{words} <select><option>no</select>twice</p></article><svg><title>no</title></svg><script>no"
+    assert htmltext.main_text(page, tree) == f"A title\n{words} x=1 so\n{words} twice"
+
+
+def test_html_unclosed_tags_take_linear_time():
+    began = time.monotonic()
+    assert [t for t, _ in htmltext.blocks("<svg>a" * 60_000)] == [" ".join("a" * 60_000)]
+    assert time.monotonic() - began < 10
+
+
 def test_html_tree_on_held_out_pages():
     """The tree of all labelled pages but one, on that one."""
     right = total = 0

@@ -7,7 +7,7 @@ decision tree, grown on the blocks of a few small labelled pages, says which blo
 of some hundred blocks; the tree travels inside the closure and the pages move nowhere.
 
 Null and empty pages give an empty text. Unclosed and misnested tags are tolerated, an unclosed script, style or comment ends with
-the page. Character references are decoded as browsers do, so a cut one stays as it is. Time and memory are linear in the page. Repeated
+the page. Other elements that hold no text of the page (svg, select and so on) are skipped up to their end tag; without one, or ended by "/>", they are empty. Character references are decoded as browsers do, so a cut one stays as it is. Time and memory are linear in the page. Repeated
 rows are treated alike.
 """
 
@@ -25,8 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import batches, table
 
+#: What follows a tag's name, with quoted values.
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(noscript|template|textarea|svg|iframe|select|title|object)(?=[\s/>])(?:{_REST}|[^>]*)>|<([/!?]?)([a-zA-Z][^\s/>]*)({_REST})>|[^<]+|<",
+    re.S | re.I,
+)
+_SKIPPED = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)(noscript|template|textarea|svg|iframe|select|title|object)(?=[\s/>])(?:{_REST}|[^>]*)>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -48,6 +54,22 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "paragraph", "in_main", "surrounds")
 
 
+def skipped_ends(page: str) -> dict[int, int]:
+    """Where the skipped elements end that begin at each place; none for those without an end tag of their own."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in _SKIPPED.finditer(page):
+        if not m[3]:
+            continue
+        begun = open_.setdefault(m[3].lower(), [])
+        if m[2]:
+            if begun:
+                ends[begun.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            begun.append(m.start())
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
     """The text of each block, and its words, link density, tag and ancestors."""
     found: list[tuple[str, tuple[float, ...]]] = []
@@ -68,8 +90,16 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
         tag = next((t for t, _, _ in reversed(stack) if t in _BLOCK), "")
         main, aside = stack[-1][1:] if stack else (False, False)
 
-    for m in _TOKEN.finditer(page):
-        kind, name = m[2], m[3]
+    skipped = skipped_ends(page)
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        kind, name = m[3], m[4]
+        if m[2]:
+            at = skipped.get(m.start(), at)
+            if m[2].lower() != "title":
+                parts.append(" ")
+            continue
         if name is None:
             text = m[0]
             if m[1] is None and not text.startswith("<!--"):
@@ -77,7 +107,7 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
                 parts.append(text)
                 if in_link:
                     linked += len(text.split())
-            elif m[1] and m[1].lower() not in ("title",):
+            elif m[1]:
                 parts.append(" ")
             continue
         if kind in ("!", "?"):
@@ -108,12 +138,12 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-        if name in _VOID:
+        if name in _VOID or (name == "math" and m[0].endswith("/>")):
             place()
             continue
         was_main, was_aside = stack[-1][1:] if stack else (False, False)
         is_aside = was_aside or (name in _ASIDE and not (name == "header" and was_main))
-        attrs = m[4]
+        attrs = m[5]
         if not is_aside and attrs and "=" in attrs:
             for a in _ATTR.findall(attrs):
                 if not _MARKS.isdisjoint(_WORD.findall("".join(a).lower())) and name not in ("html", "body"):
