@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidewell.llm import recompress, suffix
@@ -71,6 +72,66 @@ def test_small_blocks_give_the_same(spark, docs, docs_df, monkeypatch):
     assert got_bytes(docs_df.repartition(11)) == brute_bytes(docs)
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3])
+def test_hot_symbols_and_anchors(docs, docs_df, monkeypatch, hot):
+    """With hot = 0 every anchor is hot, so that all windows go by all they hold."""
+    monkeypatch.setattr("tidewell.llm.blocks.BLOCK_BYTES", 900)
+    monkeypatch.setattr("tidewell.llm.blocks.HOT_BLOCKS", hot)
+    assert got_words(docs_df.repartition(5)) == brute_words(docs)
+    assert got_bytes(docs_df.repartition(5)) == brute_bytes(docs)
+
+
+def test_common_phrase_in_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr("tidewell.llm.blocks.BLOCK_BYTES", 2000)
+    monkeypatch.setattr("tidewell.llm.blocks.HOT_BLOCKS", 4)
+    r = random.Random(6)
+    phrase = " ".join(f"w{k}" for k in range(12))
+    rows = [(i, f"{r.randrange(40)} x{r.randrange(4)} {phrase} y{r.randrange(4)} {r.randrange(40)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got_words(df) == brute_words(rows) and got_bytes(df) == brute_bytes(rows)
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    """The two Thue-Morse words over a and b have equal polynomial hashes to any odd base; they are different words all the same."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    blocks = [recompress.Words(_block(f"{x} {x}".encode())).hash for x in (one, other)]
+    assert (blocks[0] == blocks[1]).all()
+    twelve = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{twelve} {one}"), (2, f"{twelve} {other}"), (3, f"{twelve} {one}"), (4, f"{one} {other} {twelve}"), (5, f"{one} {one} {twelve}"), (6, f"{one} {other} {twelve}")]
+    got = got_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_words(rows) and [x[2] for x in got] == [0, 0, 13, 0, 0, 14]
+
+
+def _block(data):
+    from tidewell.llm import blocks
+
+    row = {"block": 0, "ids": np.array([0]).tobytes(), "lengths": np.array([len(data)]).tobytes(), "data": zstandard.compress(data), "raw": len(data)}
+    return blocks.Block(row)
+
+
+def test_equal_hashes_do_not_make_equal_rows(monkeypatch):
+    monkeypatch.setattr(recompress, "mix64", lambda x: x & np.uint64(3))  # nearly all collide
+    r = np.random.default_rng(1)
+    rows, ids = r.integers(0, 3, (500, 4), dtype=np.uint64), r.integers(0, 99, 500)
+    least = {}
+    for x, i in zip(map(tuple, rows.tolist()), ids.tolist(), strict=True):
+        least[x] = min(least.get(x, i), i)
+    assert recompress.least_of_equal(rows, ids).tolist() == [least[tuple(x)] for x in rows.tolist()]
+
+
+def test_permuted_prefixes():
+    r = random.Random(3)
+    for text in (bytes(r.randrange(2) for _ in range(300)), b"abcabcab" * 30, b"a" * 90, bytes(r.randrange(256) for _ in range(200)) * 2):
+        t = np.frombuffer(text, dtype=np.uint8)
+        sa = suffix.suffix_array(t)
+        got = suffix.permuted_prefixes(t, sa, 60, np.arange(0, len(t), 40))
+        for k in range(1, len(sa)):
+            a, b = text[sa[k] :], text[sa[k - 1] :]
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert min(got[sa[k]], 20) == min(n, 20)  # 60 less the way from a start
+
+
 def test_periodic_texts(spark):
     rows = [(1, "ab" * 100), (2, "ab" * 40 + "c" + "ab" * 40), (3, "a" * 200), (4, "b" + "a" * 60), (5, "x y " * 30), (6, "y x " * 30), (7, "z " * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -107,7 +168,7 @@ def test_suffix_array(alphabet):
     r = random.Random(alphabet)
     for n in (1, 2, 7, 60, 900):
         t = bytes(r.randrange(alphabet) for _ in range(n)) * r.choice((1, 2))
-        got = suffix.suffix_array(np.frombuffer(t, dtype=np.uint8), max(2, len(t)))
+        got = suffix.suffix_array(np.frombuffer(t, dtype=np.uint8))
         assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 

@@ -1,18 +1,21 @@
 """Packed blocks of documents, and questions that blocks put to hash partitions.
 
 Both substring operators work in rounds: every block of documents sends packed arrays of names to the partitions that own
-them, a partition answers each block with a few bits for each name, and the block goes on with the answers. Names travel as
-binary arrays, so a round costs some bytes for each name and a handful of rows for each block, and what many documents share is
-merged within the block before it is sent. Blocks lie in the shared checkpoint, so every round sees the same blocks.
+them, a partition answers each block with some bits or a number for each name, and the block goes on with the answers. Names travel as
+binary arrays and what many documents share is merged within the block before it is sent. A block writes to the partitions that own
+one of its names and to no others, so a round has as many messages as there are names at most, whatever the number of partitions.
+Partitions are dealt out as the input needs them, each to a task of its own size. Blocks lie in the shared checkpoint, so every round
+sees the same blocks.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import batches, shared_checkpoint
 
 BLOCK_BYTES = 2 << 20
+#: Blocks that lie in one task.
+BLOCKS_PER_TASK = 32
+#: A name that more blocks than this have is hot: what it stands for is dealt out by more than the name.
+HOT_BLOCKS = 64
 #: Stands for a null id: greater than all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -65,8 +72,8 @@ class Block:
         return self.data[self.starts[i] : self.ends[i]]
 
     def digests(self) -> np.ndarray:
-        """128 bits of each text, as two unsigned columns."""
-        raw = b"".join(xxhash.xxh3_128_digest(self.text(i)) for i in range(len(self.ids)))
+        """128 bits of a cryptographic hash of each text, as two unsigned columns."""
+        raw = b"".join(blake2b(self.text(i), digest_size=16).digest() for i in range(len(self.ids)))
         return np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
 
 
@@ -75,6 +82,11 @@ def partitions(blocks: DataFrame, raw_per_partition: int) -> int:
     return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-raw // raw_per_partition))
 
 
+def tasks(blocks: DataFrame) -> int:
+    """So many tasks that each has about BLOCKS_PER_TASK blocks."""
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BLOCKS_PER_TASK))
+
+
 def ask(blocks: DataFrame, question: Callable[[Block], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """The first questions of each block: (partition, payload) pairs."""
 
@@ -90,37 +102,66 @@ def ask(blocks: DataFrame, question: Callable[[Block], Iterator[tuple[int, bytes
     return blocks.mapInArrow(run, QUESTION)
 
 
-def answer(questions: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """One answer for each question, given all questions that a partition got. Negative partitions hand questions back as they are."""
+Reply = Callable[[int, list[bytes]], list[bytes]]
+
+
+def answer(questions: DataFrame, reply: Reply, n_parts: int) -> DataFrame:
+    """One answer for each question, given a partition's number and all questions that it got. Negative partitions hand questions back as they are."""
 
     def run(group: pa.Table) -> pa.Table:
         parts, blocks, payloads = (group.column(c).to_pylist() for c in ("part", "block", "payload"))
         if parts[0] >= 0:
             order = sorted(range(len(blocks)), key=lambda i: blocks[i])
-            replies = reply([payloads[i] for i in order])
+            replies = reply(parts[0], [payloads[i] for i in order])
             for i, x in zip(order, replies, strict=True):
                 payloads[i] = x
         return pa.table([pa.array(blocks, pa.int64()), pa.array(parts, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "part", "payload"])
 
-    return questions.groupBy("part").applyInArrow(run, ANSWER)
+    return questions.repartition(n_parts, "part").groupBy("part").applyInArrow(run, ANSWER)
 
 
-def proceed(blocks: DataFrame, answers: DataFrame, step: Callable[[Block, dict[int, bytes]], pa.Table], schema: str, types: pa.Schema) -> DataFrame:
+def _answers(table: pa.Table) -> dict[int, bytes]:
+    return dict(zip(table.column("part").to_pylist(), table.column("payload").to_pylist(), strict=True))
+
+
+def proceed(blocks: DataFrame, answers: DataFrame, step: Callable[[Block, dict[int, bytes]], pa.Table], schema: str, types: pa.Schema, n_tasks: int) -> DataFrame:
     """step(block, answers by partition) for each block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = dict(zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True))
+        got = _answers(right)
         out = [step(Block(row), got) for row in left.to_pylist()]
         return pa.concat_tables(out) if out else types.empty_table()
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return blocks.repartition(n_tasks, "block").groupBy("block").cogroup(answers.repartition(n_tasks, "block").groupBy("block")).applyInArrow(run, schema)
+
+
+def go_on(answers: DataFrame, step: Callable[[int, object, dict[int, bytes]], pa.Table], n_tasks: int) -> DataFrame:
+    """step(block, what it kept, answers by partition) for each block, without its texts: the next questions."""
+
+    def run(group: pa.Table) -> pa.Table:
+        got = _answers(group)
+        state = next(p for p in got if p < 0)
+        return step(group.column("block")[0].as_py(), load(got.pop(state)), got)
+
+    return answers.repartition(n_tasks, "block").groupBy("block").applyInArrow(run, QUESTION)
+
+
+def dump(value: object) -> bytes:
+    """Arrays, packed."""
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
+
+
+def load(payload: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))  # noqa: S301 - written by dump in the same job
 
 
 QUESTION_TYPES = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 
 
-def questions_table(block: Block, found: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([p for p, _ in found], pa.int32()), pa.array([block.block] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], schema=QUESTION_TYPES)
+def questions_table(block: int, state: object, found: list[tuple[int, bytes]]) -> pa.Table:
+    """The questions of a block, and what it keeps for the next step."""
+    found = [*found, (-1 - block * 0x9E3779B1 % (1 << 30), dump(state))]  # no two blocks need to share a group
+    return pa.table([pa.array([p for p, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], schema=QUESTION_TYPES)
 
 
 # ---- names shared by different texts -------------------------------------------------------------------------------
@@ -147,12 +188,14 @@ class Names:
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(x)] - 1 if len(x) else first
         self.name, self.low, self.high = x[first], d[first], d[last]
-        self.cuts = np.searchsorted(p[first].astype(np.int64), np.arange(n_parts + 1))
+        self.parts, cuts = np.unique(p[first], return_index=True)
+        ends = np.r_[cuts, len(first)][1:]
+        self.cuts = {p: (lo, hi) for p, lo, hi in zip(self.parts.tolist(), cuts.tolist(), ends.tolist(), strict=False)}
         self.n_parts = n_parts
 
     def _entries(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(digest, name, place of the name) of each entry for a partition."""
-        lo, hi = self.cuts[part], self.cuts[part + 1]
+        lo, hi = self.cuts.get(part, (0, 0))
         low, high, name = self.low[lo:hi], self.high[lo:hi], self.name[lo:hi]
         two = np.flatnonzero(low != high)
         digest, name, place = np.r_[low, high[two]], np.r_[name, name[two]], np.r_[np.arange(lo, hi), two + lo]
@@ -165,14 +208,14 @@ class Names:
         low = np.ascontiguousarray(name).view(np.uint8).reshape(-1, 8)[:, :5]
         return np.array([len(owners), len(name)], dtype=np.uint32).tobytes() + owners.tobytes() + counts.astype(np.uint32).tobytes() + low.tobytes()
 
-    def shared(self, answers: dict[int, bytes]) -> np.ndarray:
-        """For each pair given: whether different texts have the name. answers: bits of the entries, by partition."""
-        out = np.zeros(len(self.name), dtype=bool)
-        for part in range(self.n_parts):
-            if self.cuts[part + 1] > self.cuts[part]:
-                place = self._entries(part)[2]
-                out[place] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=len(place))
-        return out[self.of]
+    def verdicts(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair given: whether different texts have the name, and whether it is hot. answers: bits of the entries, by partition."""
+        out = np.zeros((2, len(self.name)), dtype=bool)
+        for part in self.cuts:
+            place = self._entries(part)[2]
+            bits = np.frombuffer(answers[part], dtype=np.uint8).reshape(2, -1)
+            out[:, place] = np.unpackbits(bits, axis=1, count=len(place))
+        return out[0, self.of], out[1, self.of]
 
 
 def read_names(payload: memoryview) -> tuple[np.ndarray, np.ndarray]:
@@ -186,21 +229,25 @@ def read_names(payload: memoryview) -> tuple[np.ndarray, np.ndarray]:
     return names.view(np.uint64).ravel(), np.repeat(digest, counts)
 
 
-def reply_shared(names: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each pair of each question, whether two different texts have its name."""
+def reply_names(names: list[tuple[np.ndarray, np.ndarray]], hot_blocks: int) -> list[np.ndarray]:
+    """For each pair of each question, whether two different texts have its name, and whether more than hot_blocks questions do."""
     name = np.concatenate([n for n, _ in names])
     digest = np.concatenate([d for _, d in names])
+    asker = np.repeat(np.arange(len(names)), [len(n) for n, _ in names])
     order = np.argsort(name, kind="stable")
-    x, d = name[order], digest[order]
+    x, d, q = name[order], digest[order], asker[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = x[1:] != x[:-1]
     at = np.flatnonzero(new)
     if not len(at):
-        return [np.zeros(0, dtype=bool) for _ in names]
-    many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-    out = np.empty(len(x), dtype=bool)
-    out[order] = np.repeat(many, np.diff(np.r_[at, len(x)]))
-    return np.split(out, np.cumsum([len(n) for n, _ in names])[:-1])
+        return [np.zeros((2, 0), dtype=bool) for _ in names]
+    other = new.copy()  # a name comes twice from one block at most, one after the other
+    other[1:] |= q[1:] != q[:-1]
+    runs = np.diff(np.r_[at, len(x)])
+    out = np.empty((2, len(x)), dtype=bool)
+    out[0, order] = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), runs)
+    out[1, order] = np.repeat(np.add.reduceat(other.astype(np.int64), at) > hot_blocks, runs)
+    return np.split(out, np.cumsum([len(n) for n, _ in names])[:-1], axis=1)
 
 
 # ---- equal texts ---------------------------------------------------------------------------------------------------
@@ -218,11 +265,14 @@ class Copies:
         self.of[order] = np.cumsum(new) - 1
         self.digest, self.least = d[new], ids[order][new]
 
-    def places(self, part: int, n_parts: int) -> np.ndarray:
-        return np.flatnonzero(self.digest[:, 1] % np.uint64(n_parts) == part)
+    def by_part(self, n_parts: int) -> dict[int, np.ndarray]:
+        """The places of the texts that each partition owns."""
+        part = (self.digest[:, 1] % np.uint64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        parts, first = np.unique(part[order], return_index=True)
+        return dict(zip(parts.tolist(), np.split(order, first[1:]), strict=True))
 
-    def payload(self, part: int, n_parts: int) -> bytes:
-        at = self.places(part, n_parts)
+    def payload(self, at: np.ndarray) -> bytes:
         return np.uint32(len(at)).tobytes() + self.digest[at].tobytes() + self.least[at].tobytes()
 
     def copied(self, later: np.ndarray) -> np.ndarray:
@@ -246,30 +296,34 @@ def reply_copies(payloads: list[bytes]) -> list[np.ndarray]:
 
 
 def first_questions(block: Block, names: Names) -> Iterator[tuple[int, bytes]]:
-    """To each partition: the texts' digests and ids, and the names."""
+    """To each partition that owns some: the texts' digests and ids, and the names."""
     copies = Copies(block.ids, names.digests)
-    for part in range(names.n_parts):
-        own = copies.payload(part, names.n_parts)
-        if len(own) > 4 or names.cuts[part + 1] > names.cuts[part]:
-            yield part, np.uint32(len(own)).tobytes() + own + names.payload(part)
+    places = copies.by_part(names.n_parts)
+    none = np.zeros(0, dtype=np.int64)
+    for part in sorted({*places, *names.cuts}):
+        own = copies.payload(places.get(part, none))
+        yield part, np.uint32(len(own)).tobytes() + own + names.payload(part)
+
 
+def reply_first(hot_blocks: int) -> Reply:
+    def reply(part: int, payloads: list[bytes]) -> list[bytes]:
+        heads = [int(np.frombuffer(p, dtype=np.uint32, count=1)[0]) for p in payloads]
+        copies = reply_copies([p[4 : 4 + n] for p, n in zip(payloads, heads, strict=True)])
+        found = reply_names([read_names(p[4 + n :]) for p, n in zip(payloads, heads, strict=True)], hot_blocks)
+        return [np.packbits(c).tobytes() + np.packbits(s, axis=1).tobytes() for c, s in zip(copies, found, strict=True)]
 
-def reply_first(payloads: list[bytes]) -> list[bytes]:
-    heads = [int(np.frombuffer(p, dtype=np.uint32, count=1)[0]) for p in payloads]
-    copies = reply_copies([p[4 : 4 + n] for p, n in zip(payloads, heads, strict=True)])
-    shared = reply_shared([read_names(p[4 + n :]) for p, n in zip(payloads, heads, strict=True)])
-    return [np.packbits(c).tobytes() + np.packbits(s).tobytes() for c, s in zip(copies, shared, strict=True)]
+    return reply
 
 
-def read_first(block: Block, names: Names, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(copy of a smaller id, for each text; shared with another text, for each name given)."""
+def read_first(block: Block, names: Names, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(copy of a smaller id, for each text; shared with another text and hot, for each name given)."""
     copies = Copies(block.ids, names.digests)
     later = np.zeros(len(copies.least), dtype=bool)
+    places = copies.by_part(names.n_parts)
     bits = {}
-    for part in range(names.n_parts):
-        at = copies.places(part, names.n_parts)
-        if part in answers:
-            n = -(-len(at) // 8)
-            later[at] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8, count=n), count=len(at))
-            bits[part] = answers[part][n:]
-    return copies.copied(later), names.shared(bits)
+    for part, payload in answers.items():
+        at = places.get(part, np.zeros(0, dtype=np.int64))
+        n = -(-len(at) // 8)
+        later[at] = np.unpackbits(np.frombuffer(payload, dtype=np.uint8, count=n), count=len(at))
+        bits[part] = payload[n:]
+    return copies.copied(later), *names.verdicts(bits)

@@ -1,18 +1,24 @@
 """Substring dedup by recompression of word sequences.
 
-Each text is a sequence of word symbols. A first round names maximal runs of equal symbols, further rounds name pairs of neighbours,
-one drawn from a left and one from a right half of the alphabet. A name is a hash of what it stands for and of the round, so equal word
-sequences get equal interior symbols in all documents without talking to each other; only their ends depend on what surrounds
-them, and every symbol carries the stretch of words that decides it. Then the engine asks, globally, which high-level symbols occur in
-different texts. A window of `window` words that contains the deciding stretch of a symbol of one text only cannot be repeated
-elsewhere and is ruled out. The windows that remain are verified: their hashes meet, with the least document id that has each.
-
-No repeat is lost: a repeated window has repeated symbols wherever their stretch lies inside it. Exact copies of a
-smaller document are recognised as a whole, and what copies share among themselves counts once. Windows are compared by 64-bit hashes whose
-owning partition adds further bits; a false match of a window among N others has a chance of N / 2^64.
+Each text is a sequence of word symbols. Maximal runs of equal symbols become one, then pairs of neighbours do, one drawn from a left and one
+from a right half of the alphabet, round after round. Equal word sequences get equal interior symbols in all documents; only their
+ends depend on what surrounds them, and every symbol carries the stretch of words that decides it.
+
+1. Reveal. Symbols get provisional names, hashes of what they stand for, and the engine asks globally which high-level symbols occur in different
+   texts. A window of `window` words that contains the deciding stretch of a symbol of one text only cannot be repeated and is
+   ruled out. Hash collisions can only leave a window in, never rule one out.
+2. Name. For the stretches that remain, Spark rounds name words, then runs and pairs, globally: each block sends the different
+   definitions that it has (the bytes of words, pairs of names) to the partitions that own them, and these give out numbers. Equal numbers mean equal words: definitions
+   are compared as they are, not by hash.
+3. Verify. Every window picks the highest symbol that it decides as its anchor and meets the other windows with that anchor. The anchor's name
+   verifies the words under it; the words to its left and right are compared one by one, by their numbers. A symbol that more than
+   blocks.HOT_BLOCKS blocks have is no anchor, and windows without an anchor are dealt out by all their words, so a common phrase in many contexts spreads over all partitions.
+
+No repeat is lost: a repeated window decides the same symbols wherever it lies. Exact copies of a smaller document are recognised as a whole by
+128 bits of BLAKE2, and what copies share among themselves counts once.
 
 Null, empty and blank texts have no words. Rows of equal id do not remove each other's words. A null id counts as
-greater than all ids. An empty table gives an empty result.
+greater than all ids. A long text is a block by itself. Columns besides id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ from . import blocks as B
 from .common import mix64, table
 
 WINDOW = 13
-ROUNDS = 4
 RAW_PER_PARTITION = 64 << 20
+#: Rounds of pairs in which provisional names are given, and in which global ones are.
+ROUNDS, NAMED_ROUNDS = 4, 3
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -45,10 +52,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a block: a hash of each, the text of each, and the words of each text."""
+    """The words of a block: a hash, the text and the bytes of each, and the words of each text. Different words may have one hash."""
 
     def __init__(self, block: B.Block):
-        hashes, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        hashes, owners, begins, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         texts, at = range(len(block.ids)), 0
         while at < len(texts):  # a few hundred kilobytes at a time, whole texts
             to = max(at + 1, int(np.searchsorted(block.ends, block.starts[at] + (1 << 19), side="right")))
@@ -64,60 +71,69 @@ class Words:
             h = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
             hashes.append(mix64(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
             bounds = np.cumsum(block.lengths[at:to] + 1)
-            owners.append(np.searchsorted(bounds, starts, side="right") + at)
+            text = np.searchsorted(bounds, starts, side="right")
+            owners.append(text + at)
+            begins.append(starts - text + block.starts[at])  # without the line feeds in between
+            sizes.append(ends - starts)
             at = to
-        self.hash, self.owner = np.concatenate(hashes), np.concatenate(owners)
+        self.hash, self.owner, self.begin, self.size = (np.concatenate(x) for x in (hashes, owners, begins, sizes))
         self.first = np.searchsorted(self.owner, np.arange(len(block.ids) + 1))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of every window of words that lies in one text."""
+    def windows(self, size: int) -> np.ndarray:
+        """The start of every window of words that lies in one text."""
         n = len(self.hash) - size + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        total, have, done, base, power = None, self.hash, 0, _ODD, 1
-        left = size
-        while left:  # by the binary digits of size, from the lowest
-            if left & 1:
-                piece = have[done : done + n]
-                total = piece.copy() if total is None else total * base + piece
-                done += power
-            left >>= 1
-            if left:
-                have = have[:-power] * base + have[power:]
-                base, power = np.uint64(int(base) ** 2 % (1 << 64)), power * 2
-        start = np.flatnonzero(self.owner[:n] == self.owner[size - 1 :])
-        return start, mix64(total[start])
+        return np.flatnonzero(self.owner[:n] == self.owner[size - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
 
 
-def symbols(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, owner, lo, hi): the symbols after the last round, and the words [lo, hi) that decide each; these may reach beyond its text."""
-    x, own = words.hash, words.owner
-    if not len(x):
-        return x, own, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+_FAR = 1 << 40
+
+
+def _runs(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the maximal runs of equal symbols of one owner."""
+    start = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (x[1:] != x[:-1])]) if len(x) else np.zeros(0, dtype=np.int64)
+    return start, np.r_[start[1:], len(x)].astype(np.int64)
+
+
+def _pairs(right: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which symbols become one with the next, and the words [lo, hi) that decide each symbol after that (of a pair: at its first).
+
+    right: the half of the alphabet that each symbol is in. A left symbol that stays single depends on what follows, a right one on what precedes;
+    at the ends of a text or stretch that lies beyond it.
+    """
     same = own[1:] == own[:-1]
-    start = np.flatnonzero(np.r_[True, ~(same & (x[1:] == x[:-1]))])
-    end = np.r_[start[1:], len(x)]
+    pair = np.zeros(len(right), dtype=bool)
+    pair[:-1] = same & ~right[:-1] & right[1:]
+    after, before = np.full(len(right), _FAR), np.full(len(right), -_FAR)
+    after[:-1][same], before[1:][same] = hi[1:][same], lo[:-1][same]
+    nxt = np.minimum(np.arange(len(right)) + 1, len(right) - 1)
+    new_lo = np.where(pair, np.minimum(lo, lo[nxt]), np.where(right, np.minimum(lo, before), lo))
+    new_hi = np.where(pair, np.maximum(hi, hi[nxt]), np.where(right, hi, np.maximum(hi, after)))
+    return pair, new_lo, new_hi
+
+
+def _half(x: np.ndarray, r: int) -> np.ndarray:
+    return (mix64(x ^ np.uint64(r * 0x51ED270B)) >> np.uint64(13)) & np.uint64(1) == 1
+
+
+def _stay(pair: np.ndarray) -> np.ndarray:
+    """All but the second symbols of pairs."""
+    return ~np.r_[False, pair[:-1]] if len(pair) else pair
+
+
+def symbols(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(provisional name, owner, lo, hi): the symbols after the last round, and the words [lo, hi) that decide each; these may reach beyond its text."""
+    start, end = _runs(words.hash, words.owner)
     length = end - start
-    x = np.where(length > 1, mix64(x[start] + length.astype(np.uint64) * _ODD), x[start])
-    own, lo, hi = own[start], start - 1, end + 1  # a run ends where its neighbours differ
+    x, own = words.hash[start], words.owner[start]
+    x = np.where(length > 1, mix64(x + length.astype(np.uint64) * _ODD), x)
+    lo, hi = start - 1, end + 1  # a run ends where its neighbours differ
     for r in range(1, rounds + 1):
-        right = (mix64(x ^ np.uint64(r * 0x51ED270B)) >> np.uint64(13)) & np.uint64(1) == 1
-        same = own[1:] == own[:-1]
-        pair = np.zeros(len(x) + 1, dtype=bool)  # of i: i and i + 1 become one
-        pair[:-2] = same & ~right[:-1] & right[1:]
-        pair = pair[:-1]
-        # what a symbol that stays single depends on: a left one on what follows, a right one on what precedes
-        after, before = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), np.iinfo(np.int64).min)
-        after[:-1][same], before[1:][same] = hi[1:][same], lo[:-1][same]
-        after = np.where(after == np.iinfo(np.int64).max, hi + 1 + len(words.hash), after)
-        before = np.where(before == np.iinfo(np.int64).min, -1 - len(words.hash), before)
-        nxt = np.minimum(np.arange(len(x)) + 1, len(x) - 1)
-        new_lo = np.where(pair, np.minimum(lo, lo[nxt]), np.where(right, np.minimum(lo, before), lo))
-        new_hi = np.where(pair, np.maximum(hi, hi[nxt]), np.where(right, hi, np.maximum(hi, after)))
-        name = np.where(pair, mix64(x * _ODD + mix64(x[nxt] + np.uint64(r))), x)
-        stays = np.ones(len(x), dtype=bool)
-        stays[1:] = ~pair[:-1]
-        x, own, lo, hi = name[stays], own[stays], new_lo[stays], new_hi[stays]
+        if not len(x):
+            break
+        pair, lo, hi = _pairs(_half(x, r), own, lo, hi)
+        x = np.where(pair, mix64(x * _ODD + mix64(np.r_[x[1:], x[:1]] + np.uint64(r))), x)
+        stays = _stay(pair)
+        x, own, lo, hi = x[stays], own[stays], lo[stays], hi[stays]
     return x, own, lo, hi
 
 
@@ -129,67 +145,275 @@ def _names(block: B.Block, words: Words, window: int, n_parts: int) -> tuple[B.N
     return B.Names(block, own, mix64(x ^ np.uint64(0x1D8E4E27C47D124F)), n_parts), lo, hi
 
 
-def _candidates(block: B.Block, words: Words, window: int, n_parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(copies, for each text; start and hash of each window that may be repeated)."""
+def _candidates(block: B.Block, words: Words, window: int, n_parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(copies, for each text; start of each window that may be repeated)."""
     names, lo, hi = _names(block, words, window, n_parts)
-    copy, shared = B.read_first(block, names, answers)
+    copy, shared, _ = B.read_first(block, names, answers)
     dead = np.zeros(len(words.hash) + 1, dtype=np.int64)
     np.add.at(dead, np.maximum(hi[~shared] - window, 0), 1)
     np.add.at(dead, lo[~shared] + 1, -1)
-    start, h = words.windows(window)
-    alive = (np.cumsum(dead)[start] == 0) & ~copy[words.owner[start]]
-    return copy, start[alive], h[alive]
-
-
-class _Verify:
-    """Unique window hashes of a block with the least id that has each, split by owning partition."""
-
-    def __init__(self, ids: np.ndarray, h: np.ndarray, n_parts: int):
-        part = (mix64(h ^ np.uint64(0x589965CC75374CC3)) % np.uint64(n_parts)).astype(np.int64)
-        order = np.lexsort((ids, h, part))
-        p, x, i = part[order], h[order], ids[order]
-        new = np.ones(len(x), dtype=bool)
-        new[1:] = (x[1:] != x[:-1]) | (p[1:] != p[:-1])
-        self.of = np.empty(len(x), dtype=np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.part, self.hash, self.id = p[new], x[new], i[new]
-        self.cuts = np.searchsorted(self.part, np.arange(n_parts + 1))
+    start = words.windows(window)
+    return copy, start[(np.cumsum(dead)[start] == 0) & ~copy[words.owner[start]]]
+
+
+# ---- global names --------------------------------------------------------------------------------------------------
+
+
+def _number(k: np.ndarray, part: int, n_parts: int, level: int) -> np.ndarray:
+    """The name of the k-th definition of a partition: different for different definitions, partitions and levels."""
+    return ((k.astype(np.uint64) * np.uint64(n_parts) + np.uint64(part)) * np.uint64(NAMED_ROUNDS + 1) + np.uint64(level)) + np.uint64(1)
+
+
+def _split(part: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each partition."""
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    return dict(zip(parts.tolist(), np.split(order, first[1:]), strict=True)) if len(part) else {}
+
+
+def _owner(h: np.ndarray, n_parts: int) -> np.ndarray:
+    return (mix64(h ^ np.uint64(0x589965CC75374CC3)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _reply_words(n_parts: int, hot: int):
+    """Numbers for words, which come as their bytes."""
+
+    def reply(part: int, payloads: list[bytes]) -> list[bytes]:
+        asked = [B.load(p) for p in payloads]
+        askers: dict[bytes, int] = {}
+        for words in asked:
+            for w in words:
+                askers[w] = askers.get(w, 0) + 1
+        number = dict(zip(sorted(askers), _number(np.arange(len(askers)), part, n_parts, 0).tolist(), strict=True))
+        return [B.dump((np.array([number[w] for w in words], dtype=np.uint64), np.array([askers[w] > hot for w in words], dtype=bool))) for words in asked]
+
+    return reply
+
+
+def _reply_pairs(n_parts: int, level: int, hot_blocks: int):
+    """Numbers for pairs of codes, each of a symbol and how often it is repeated; the second is zero for a run by itself."""
+
+    def reply(part: int, payloads: list[bytes]) -> list[bytes]:
+        asked = [B.load(p) for p in payloads]
+        every = np.concatenate(asked)
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        x = every[order]
+        new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
+        k = np.empty(len(x), dtype=np.int64)
+        k[order] = np.cumsum(new) - 1
+        hot = np.bincount(k) > hot_blocks  # a block asks once
+        sizes = np.cumsum([len(a) for a in asked])[:-1]
+        return [B.dump((n, h)) for n, h in zip(np.split(_number(k, part, n_parts, level), sizes), np.split(hot[k], sizes), strict=True)]
+
+    return reply
+
+
+class _Live:
+    """The stretches of words of a block that may be repeated: their symbols so far, and the anchor of each of their windows.
+
+    Words count from 0 on over all stretches. start: the windows, as first words. Symbols: x (name), own (stretch), a and b (the words it
+    stands for), lo and hi (the words that decide it). Anchors: level, a, size and name; name zero where there is none.
+    """
+
+    def __init__(self, first: np.ndarray, count: np.ndarray, ids: np.ndarray, window: int):
+        """first, count: word of the block where a stretch begins, and its windows. ids: its document."""
+        self.window, self.first, self.count, self.ids = window, first, count, ids
+        size = count + window - 1
+        self.offset = np.cumsum(size) - size
+        n = int(size.sum())
+        self.own = np.repeat(np.arange(len(first)), size)
+        self.place = np.arange(n) - self.offset[self.own] + first[self.own] if n else np.zeros(0, dtype=np.int64)
+        self.is_start = np.arange(n) - self.offset[self.own] < count[self.own]
+        self.a = self.lo = np.arange(n)
+        self.b = self.hi = np.arange(n) + 1
+        self.words = self.x = np.zeros(n, dtype=np.uint64)
+        self.anchor, self.anchor_size, self.anchor_name = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64)
+        self.pending: tuple = ()
+
+    def asked(self, part: np.ndarray, first: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
+        """Remembers which answer belongs to which symbol. part: owner of each definition. Returns the definitions of each partition."""
+        places = _split(part)
+        self.pending = (first, of, places)
+        return places
+
+    def named(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols that got names, their names and whether they are hot)."""
+        first, of, places = self.pending
+        self.pending = ()
+        name, hot = np.zeros(sum(map(len, places.values())), dtype=np.uint64), np.zeros(sum(map(len, places.values())), dtype=bool)
+        for part, at in places.items():
+            name[at], hot[at] = B.load(answers[part])
+        return first, name[of], hot[of]
+
+    def pick_anchors(self, hot: np.ndarray) -> None:
+        """Windows that decide a symbol of this level take it as anchor: the least by hash, the first of equal ones."""
+        inside = ~hot & (self.hi - self.lo <= self.window) & (self.lo >= self.offset[self.own]) & (self.hi <= (self.offset + self.count + self.window - 1)[self.own])
+        at = np.flatnonzero(inside)
+        if not len(at):
+            return
+        key, none = mix64(self.x[at]), np.uint64(0xFFFFFFFFFFFFFFFF)
+        least, leftmost = np.full(len(self.words), none), np.full(len(self.words), _FAR)
+        lo, hi = self.lo[at], self.hi[at]
+        first = np.maximum(hi - self.window, self.offset[self.own[at]])
+        for k in range(self.window):
+            ok = lo - k >= first
+            np.minimum.at(least, lo[ok] - k, key[ok])
+        for k in range(self.window):
+            ok = lo - k >= first
+            ok[ok] = least[lo[ok] - k] == key[ok]
+            np.minimum.at(leftmost, lo[ok] - k, at[ok])
+        got = np.flatnonzero(self.is_start & (leftmost < _FAR))
+        symbol = leftmost[got]
+        self.anchor[got], self.anchor_size[got], self.anchor_name[got] = self.a[symbol], self.b[symbol] - self.a[symbol], self.x[symbol]
+
+    def keep(self, stays: np.ndarray) -> None:
+        self.x, self.own, self.a, self.b, self.lo, self.hi = (v[stays] for v in (self.x, self.own, self.a, self.b, self.lo, self.hi))
+
+
+def _ask_words(block: B.Block, words: Words, live: _Live, n_parts: int) -> list[tuple[int, bytes]]:
+    known: dict[bytes, int] = {}
+    data, h = block.data, []
+    of = np.empty(len(live.place), dtype=np.int64)
+    for i, (at, size, x) in enumerate(zip(words.begin[live.place].tolist(), words.size[live.place].tolist(), words.hash[live.place].tolist(), strict=True)):
+        w = data[at : at + size]
+        k = known.setdefault(w, len(known))
+        if k == len(h):
+            h.append(x)
+        of[i] = k
+    texts = list(known)
+    places = live.asked(_owner(np.array(h, dtype=np.uint64), n_parts), np.arange(len(of)), of)
+    return [(part, B.dump([texts[k] for k in at.tolist()])) for part, at in places.items()]
+
+
+def _ask_pairs(live: _Live, level: int, n_parts: int) -> list[tuple[int, bytes]]:
+    """The definitions of this level's symbols: runs of words and pairs at the first, pairs afterwards."""
+    if not len(live.x):
+        live.asked(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        return []
+    bits = np.uint64(live.window.bit_length() + 1)
+    if level == 1:
+        start, end = _runs(live.x, live.own)
+        length = np.minimum(end - start, 2 * live.window)  # no window decides a longer run
+        live.b, live.hi = live.b[end - 1], end + 1
+        live.x, live.own, live.a = live.x[start], live.own[start], live.a[start]
+        live.lo = start - 1
+        outer = np.r_[True, live.own[1:] != live.own[:-1]], np.r_[live.own[1:] != live.own[:-1], True]
+        live.lo, live.hi = np.where(outer[0], -_FAR, live.lo), np.where(outer[1], _FAR, live.hi)
+    else:
+        length = np.ones(len(live.x), dtype=np.int64)
+    code = (live.x << bits) + length.astype(np.uint64)
+    pair, live.lo, live.hi = _pairs(_half(code, level), live.own, live.lo, live.hi)
+    nxt = np.r_[code[1:], code[:1]]
+    live.b = np.where(pair, np.r_[live.b[1:], live.b[:1]], live.b)
+    define = pair | (length > 1)
+    stays = _stay(pair)
+    live.keep(stays)
+    define, pair, code, nxt = define[stays], pair[stays], code[stays], nxt[stays]
+    first = np.flatnonzero(define)
+    wanted = np.stack([code[first], np.where(pair[first], nxt[first], np.uint64(0))], axis=1)
+    order = np.lexsort((wanted[:, 1], wanted[:, 0]))
+    x = wanted[order]
+    new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)][: len(x)]
+    of = np.empty(len(x), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    each = x[new]
+    places = live.asked(_owner(mix64(each[:, 0]) + each[:, 1], n_parts), first, of)
+    return [(part, B.dump(each[at])) for part, at in places.items()]
+
+
+# ---- verification --------------------------------------------------------------------------------------------------
+
+
+class _Segments:
+    """The different runs of windows of a block with one anchor, each with the least id that has it, for the partition that owns the anchor."""
+
+    def __init__(self, live: _Live, n_parts: int):
+        start = np.flatnonzero(live.is_start)
+        own = np.searchsorted(live.offset, start, side="right") - 1
+        name, anchor = live.anchor_name[start], live.anchor[start]
+        new = np.r_[True, (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1]) | (name[1:] != name[:-1]) | (anchor[1:] != anchor[:-1]) | (name[1:] == 0)][: len(start)]
+        at = np.flatnonzero(new)
+        self.first, self.count, self.ids = start[at], np.diff(np.r_[at, len(start)]), live.ids[own[at]]
+        self.place = live.place[self.first] if len(at) else np.zeros(0, dtype=np.int64)  # word of the block
+        known: dict[tuple, int] = {}
+        self.of, least, self.items = np.empty(len(at), dtype=np.int64), [], []
+        words = live.words.tobytes()
+        h = []
+        for r, (f, c, a, size, n, i) in enumerate(zip(self.first.tolist(), self.count.tolist(), anchor[at].tolist(), live.anchor_size[self.first].tolist(), name[at].tolist(), self.ids.tolist(), strict=True)):
+            a = a if n else f
+            item = (n, a - f, size if n else 0, c, words[8 * f : 8 * a] + words[8 * (a + (size if n else 0)) : 8 * (f + c + live.window - 1)])
+            k = known.setdefault(item, len(known))
+            if k == len(least):
+                least.append(i)
+                self.items.append(item)
+                h.append(n)
+            elif i < least[k]:
+                least[k] = i
+            self.of[r] = k
+        self.least = np.array(least, dtype=np.int64)
+        h = np.array(h, dtype=np.uint64)
+        for k in np.flatnonzero(h == 0).tolist():  # no anchor: all words decide
+            h[k] = np.bitwise_xor.reduce(mix64(np.frombuffer(self.items[k][4], dtype=np.uint64) * _powers(_ODD, live.window)))
+        self.places = _split(_owner(h, n_parts))
 
     def payloads(self) -> Iterator[tuple[int, bytes]]:
-        for part in np.flatnonzero(np.diff(self.cuts)).tolist():
-            lo, hi = self.cuts[part], self.cuts[part + 1]
-            ids, index = np.unique(self.id[lo:hi], return_inverse=True)
-            order = np.argsort(index, kind="stable")  # by id, so that ids cost next to nothing
-            counts = np.bincount(index, minlength=len(ids)).astype(np.uint32)
-            yield part, np.array([len(ids), hi - lo], dtype=np.uint32).tobytes() + ids.tobytes() + counts.tobytes() + self.hash[lo:hi][order].tobytes()
-
-    def earlier(self, answers: dict[int, bytes]) -> np.ndarray:
-        """For each unique hash: whether some other block has it with a smaller id."""
-        out = np.zeros(len(self.hash), dtype=bool)
-        for part in np.flatnonzero(np.diff(self.cuts)).tolist():
-            lo, hi = self.cuts[part], self.cuts[part + 1]
-            index = np.unique(self.id[lo:hi], return_inverse=True)[1]
-            order = np.argsort(index, kind="stable")
-            out[lo:hi][order] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=hi - lo).astype(bool)
-        return out
-
-
-def _reply_windows(payloads: list[bytes]) -> list[bytes]:
-    hashes, ids = [], []
-    for p in payloads:
-        n_ids, n = (int(v) for v in np.frombuffer(p, dtype=np.uint32, count=2))
-        ids.append(np.repeat(np.frombuffer(p, dtype=np.int64, count=n_ids, offset=8), np.frombuffer(p, dtype=np.uint32, count=n_ids, offset=8 + 8 * n_ids)))
-        hashes.append(np.frombuffer(p, dtype=np.uint64, count=n, offset=8 + 12 * n_ids))
-    sizes = [len(x) for x in hashes]
-    h, i = np.concatenate(hashes), np.concatenate(ids)
+        for part, at in self.places.items():
+            mine = [self.items[k] for k in at.tolist()]
+            head = np.array([(n, d, s, c) for n, d, s, c, _ in mine], dtype=np.uint64)
+            yield part, B.dump((head, self.least[at], b"".join(w for *_, w in mine)))
+
+
+def _rows(head: np.ndarray, words: np.ndarray, window: int) -> np.ndarray:
+    """A row for each window: anchor, its place in the window, and the words outside it (zero inside)."""
+    name, offset, size, count = head[:, 0], *head[:, 1:].astype(np.int64).T
+    lengths = count + window - 1 - size
+    base = np.cumsum(lengths) - lengths
+    of = np.repeat(np.arange(len(head)), count)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    out = np.zeros((len(of), window + 2), dtype=np.uint64)
+    out[:, 0], out[:, 1] = name[of], (offset[of] - i).astype(np.uint64)
+    for t in range(window):
+        at = i + t
+        left, right = at < offset[of], at >= (offset + size)[of]
+        place = base[of] + at - np.where(right, size[of], 0)
+        seen = left | right
+        out[seen, 2 + t] = words[place[seen]]
+    return out
+
+
+def least_of_equal(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row: the least id among the rows equal to it. Rows are sorted by a hash and compared as they are."""
+    h = mix64(rows[:, 0])
+    for t in range(1, rows.shape[1]):
+        h = mix64(h * _ODD + rows[:, t])
     order = np.argsort(h, kind="stable")
-    x, k = h[order], i[order]
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = x[1:] != x[:-1]
+
+    def starts(order: np.ndarray) -> np.ndarray:
+        x = rows[order]
+        return np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
+
+    new = starts(order)
+    if (new[1:] & (h[order][1:] == h[order][:-1])).any():  # different rows with one hash: sort by the rows themselves
+        order = np.lexsort(rows.T)
+        new = starts(order)
     at = np.flatnonzero(new)
-    later = np.empty(len(x), dtype=bool)
-    later[order] = k > np.repeat(np.minimum.reduceat(k, at), np.diff(np.r_[at, len(x)]))
-    return [np.packbits(x).tobytes() for x in np.split(later, np.cumsum(sizes)[:-1])]
+    out = np.empty(len(rows), dtype=np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(np.r_[at, len(rows)]))
+    return out
+
+
+def _reply_windows(window: int):
+    """For each window of each segment: whether a smaller id has it."""
+
+    def reply(part: int, payloads: list[bytes]) -> list[bytes]:
+        asked = [B.load(p) for p in payloads]
+        rows = np.concatenate([_rows(head, np.frombuffer(words, dtype=np.uint64), window) for head, _, words in asked])
+        ids = np.concatenate([np.repeat(least, head[:, 3].astype(np.int64)) for head, least, _ in asked])
+        later = least_of_equal(rows, ids) < ids
+        sizes = np.cumsum([int(head[:, 3].sum()) for head, *_ in asked])[:-1]
+        return [np.packbits(x).tobytes() for x in np.split(later, sizes)]
+
+    return reply
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -198,35 +422,61 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words, joined by spaces), one row for each row of docs."""
     packed = B.pack(docs, doc_id, text)
-    n_parts = B.partitions(packed, RAW_PER_PARTITION)
+    n_parts, n_tasks, hot = B.partitions(packed, RAW_PER_PARTITION), B.tasks(packed), B.HOT_BLOCKS
 
-    def first(block: B.Block) -> Iterator[tuple[int, bytes]]:
+    def reveal(block: B.Block) -> Iterator[tuple[int, bytes]]:
         return B.first_questions(block, _names(block, Words(block), window, n_parts)[0])
 
-    def second(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
+    def begin(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
         words = Words(block)
-        copy, start, h = _candidates(block, words, window, n_parts, answers)
-        state = np.zeros(len(words.hash), dtype=bool)
-        state[start] = True
-        own = np.packbits(copy).tobytes() + np.packbits(state).tobytes()
-        found = list(_Verify(block.ids[words.owner[start]], h, n_parts).payloads())
-        return B.questions_table(block, [*found, (-1 - int(block.block % n_parts), own)])
-
-    def third(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
+        copy, start = _candidates(block, words, window, n_parts, answers)
+        own = words.owner[start]
+        at = np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1])][: len(start)])
+        live = _Live(start[at], np.diff(np.r_[at, len(start)]), block.ids[own[at]], window)
+        found = _ask_words(block, words, live, n_parts)
+        return B.questions_table(block.block, (np.packbits(copy), live), found)
+
+    def name(level: int):
+        def step(block: int, state: tuple[np.ndarray, _Live], answers: dict[int, bytes]) -> pa.Table:
+            copy, live = state
+            at, names, hot_names = live.named(answers)
+            hot = np.zeros(len(live.x), dtype=bool)
+            live.x = live.x.copy()
+            live.x[at], hot[at] = names, hot_names
+            if level == 0:
+                live.words = live.x
+            fresh = np.zeros(len(live.x), dtype=bool)
+            fresh[at] = True
+            live.pick_anchors(hot | ~fresh)
+            if level < NAMED_ROUNDS:
+                found = _ask_pairs(live, level + 1, n_parts)
+                return B.questions_table(block, (copy, live), found)
+            segments = _Segments(live, n_parts)
+            found = list(segments.payloads())
+            segments.items = []
+            return B.questions_table(block, (copy, segments), found)
+
+        return step
+
+    def finish(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
         words = Words(block)
-        state = next(v for k, v in answers.items() if k < 0)
-        n = -(-len(block.ids) // 8)
-        copy = np.unpackbits(np.frombuffer(state, dtype=np.uint8, count=n), count=len(block.ids)).astype(bool)
-        alive = np.unpackbits(np.frombuffer(state, dtype=np.uint8, offset=n), count=len(words.hash)).astype(bool)
-        every, hashes = words.windows(window)
-        keep = alive[every]
-        start, h = every[keep], hashes[keep]
-        ids = block.ids[words.owner[start]]
-        verify = _Verify(ids, h, n_parts)
-        gone = (ids > verify.id[verify.of]) | verify.earlier(answers)[verify.of]
+        bits, segments = B.load(next(v for k, v in answers.items() if k < 0))
+        copy = np.unpackbits(bits, count=len(block.ids)).astype(bool)
+        count = np.zeros(len(segments.least), dtype=np.int64)
+        count[segments.of] = segments.count
+        base = np.cumsum(count) - count
+        later = np.zeros(int(count.sum()), dtype=bool)
+        for part, at in segments.places.items():
+            n = count[at]
+            place = np.repeat(base[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            later[place] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=int(n.sum()))
+        n = segments.count
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = later[np.repeat(base[segments.of], n) + i] | np.repeat(segments.ids > segments.least[segments.of], n)
+        start = (np.repeat(segments.place, n) + i)[gone]
         cover = np.zeros(len(words.hash) + 1, dtype=np.int64)
-        np.add.at(cover, start[gone], 1)
-        np.add.at(cover, start[gone] + window, -1)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + window, -1)
         removed = np.cumsum(cover[:-1]) > 0
         long_copy = copy & (np.diff(words.first) >= window)
         removed |= long_copy[words.owner]
@@ -240,9 +490,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
             kept.append(b" ".join(w))
         return pa.table([pa.array(block.ids, mask=block.ids == B.NO_ID), pa.array(np.diff(words.first)), pa.array(counts), pa.array(kept, pa.binary())], schema=_OUT)
 
-    answers = B.answer(B.ask(packed, first), B.reply_first)
-    questions = B.proceed(packed, answers, second, B.QUESTION, B.QUESTION_TYPES)
-    out = B.proceed(packed, B.answer(questions, _reply_windows), third, "doc_id long, n_words long, n_removed long, kept binary", _OUT)
+    answers = B.answer(B.ask(packed, reveal), B.reply_first(hot), n_parts)
+    answers = B.answer(B.proceed(packed, answers, begin, B.QUESTION, B.QUESTION_TYPES, n_tasks), _reply_words(n_parts, hot), n_parts)
+    for level in range(NAMED_ROUNDS):
+        answers = B.answer(B.go_on(answers, name(level), n_tasks), _reply_pairs(n_parts, level + 1, hot), n_parts)
+    answers = B.answer(B.go_on(answers, name(NAMED_ROUNDS), n_tasks), _reply_windows(window), n_parts)
+    out = B.proceed(packed, answers, finish, "doc_id long, n_words long, n_removed long, kept binary", _OUT, n_tasks)
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
