@@ -54,9 +54,21 @@ def _packer(block_bytes: int):
 
 
 def pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The documents in blocks of about BLOCK_BYTES; a longer text is a block by itself."""
+    """The documents in blocks of about BLOCK_BYTES; a longer text is a block by itself.
+
+    Blocks are dealt out by their number, BLOCKS_PER_TASK to a task, and stay there: answers come to them, they do not move again. The plan of that one step
+    is not adaptive, for an adaptive one forgets how its rows are dealt out.
+    """
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return shared_checkpoint(rows.mapInArrow(_packer(BLOCK_BYTES), BLOCK))
+    packed = shared_checkpoint(rows.mapInArrow(_packer(BLOCK_BYTES), BLOCK))
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed.count() // BLOCKS_PER_TASK))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return shared_checkpoint(packed.repartition(n_tasks, "block"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 class Block:
@@ -82,11 +94,6 @@ def partitions(blocks: DataFrame, raw_per_partition: int) -> int:
     return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-raw // raw_per_partition))
 
 
-def tasks(blocks: DataFrame) -> int:
-    """So many tasks that each has about BLOCKS_PER_TASK blocks."""
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BLOCKS_PER_TASK))
-
-
 def ask(blocks: DataFrame, question: Callable[[Block], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """The first questions of each block: (partition, payload) pairs."""
 
@@ -124,7 +131,7 @@ def _answers(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("part").to_pylist(), table.column("payload").to_pylist(), strict=True))
 
 
-def proceed(blocks: DataFrame, answers: DataFrame, step: Callable[[Block, dict[int, bytes]], pa.Table], schema: str, types: pa.Schema, n_tasks: int) -> DataFrame:
+def proceed(blocks: DataFrame, answers: DataFrame, step: Callable[[Block, dict[int, bytes]], pa.Table], schema: str, types: pa.Schema) -> DataFrame:
     """step(block, answers by partition) for each block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -132,18 +139,8 @@ def proceed(blocks: DataFrame, answers: DataFrame, step: Callable[[Block, dict[i
         out = [step(Block(row), got) for row in left.to_pylist()]
         return pa.concat_tables(out) if out else types.empty_table()
 
-    return blocks.repartition(n_tasks, "block").groupBy("block").cogroup(answers.repartition(n_tasks, "block").groupBy("block")).applyInArrow(run, schema)
-
-
-def go_on(answers: DataFrame, step: Callable[[int, object, dict[int, bytes]], pa.Table], n_tasks: int) -> DataFrame:
-    """step(block, what it kept, answers by partition) for each block, without its texts: the next questions."""
-
-    def run(group: pa.Table) -> pa.Table:
-        got = _answers(group)
-        state = next(p for p in got if p < 0)
-        return step(group.column("block")[0].as_py(), load(got.pop(state)), got)
-
-    return answers.repartition(n_tasks, "block").groupBy("block").applyInArrow(run, QUESTION)
+    dealt = answers.repartition(blocks.rdd.getNumPartitions(), "block")
+    return blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(run, schema)
 
 
 def dump(value: object) -> bytes:
@@ -159,11 +156,16 @@ QUESTION_TYPES = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("paylo
 
 
 def questions_table(block: int, state: object, found: list[tuple[int, bytes]]) -> pa.Table:
-    """The questions of a block, and what it keeps for the next step."""
+    """The questions of a block, and what it keeps for the next step: see kept."""
     found = [*found, (-1 - block * 0x9E3779B1 % (1 << 30), dump(state))]  # no two blocks need to share a group
     return pa.table([pa.array([p for p, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], schema=QUESTION_TYPES)
 
 
+def kept(answers: dict[int, bytes]) -> object:
+    """What a block kept from the step before; the rest of answers are answers."""
+    return load(answers.pop(next(part for part in answers if part < 0)))
+
+
 # ---- names shared by different texts -------------------------------------------------------------------------------
 
 
@@ -315,6 +317,11 @@ def reply_first(hot_blocks: int) -> Reply:
     return reply
 
 
+def reply_whole(hot_blocks: int) -> Reply:
+    """Answers to payloads of names alone."""
+    return lambda part, payloads: [np.packbits(s, axis=1).tobytes() for s in reply_names([read_names(p) for p in payloads], hot_blocks)]
+
+
 def read_first(block: Block, names: Names, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(copy of a smaller id, for each text; shared with another text and hot, for each name given)."""
     copies = Copies(block.ids, names.digests)

@@ -25,6 +25,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, with underscores before it until no column is called so, in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))
@@ -61,6 +69,13 @@ def batches(table_iter: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> I
             yield batch.slice(at, step)
 
 
+def words8(t: np.ndarray) -> np.ndarray:
+    """Eight bytes from each position on, packed, the first lowest; zeros follow the end."""
+    padded = np.zeros(len(t) + 8, dtype=np.uint8)
+    padded[: len(t)] = t
+    return np.lib.stride_tricks.as_strided(padded, (len(t), 8), (1, 1)).copy().view("<u8").ravel()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -1,14 +1,18 @@
 """HTML extraction: flat text blocks, judged by a decision tree.
 
-A page is read once from left to right into flat blocks, the stretches of text between block-level tags. Each block knows its words and
-link density, those of both neighbours, its tag, and whether an ancestor is an article or main element or one
-of menus, footers, sidebars, forms, adverts, notices and comments (by tag, role or a word of class and id). A
-decision tree, grown on the blocks of a few small labelled pages, says which blocks are main text. Training takes a fixed table
-of some hundred blocks; the tree travels inside the closure and the pages move nowhere.
-
-Null and empty pages give an empty text. Unclosed and misnested tags are tolerated, an unclosed script, style or comment ends with
-the page. Other elements that hold no text of the page (svg, select and so on) are skipped up to their end tag; without one, or ended by "/>", they are empty. Character references are decoded as browsers do, so a cut one stays as it is. Time and memory are linear in the page. Repeated
-rows are treated alike.
+A page is read once from left to right into flat blocks, the stretches of text between block-level tags. A block knows its words and
+link density, those of both neighbours, its tag, and where it stands: whether an article or main element holds it, whether the page has
+one at all, and whether an element by its tag (nav, footer, ...) or by a word of its class, id, role or label (advert, comments, ...) surrounds it. Only what lies
+between the block and its article or main element counts for the latter two. A decision tree, grown on the blocks of a small labelled table, says which
+blocks are main text. Where a page has no article or main element, it goes by words and link densities of the block and its
+neighbours. The table is a fixed set of some fifty made-up pages; the tree travels inside the closure and the pages move nowhere.
+
+Null and empty pages give an empty text. Unclosed and misnested tags are tolerated: a new paragraph, item or cell ends the open one, an
+unclosed script, style or comment ends with the page, and so does a tag without its ">". Scripts, styles, templates, drawings (svg), frames, titles of the
+window and controls (select, textarea, button) hold no text of the page; without an end tag they are empty, except scripts and styles. The text of
+math, noscript and object elements counts as any other. Character references are decoded as browsers do, so a cut one stays as it
+is. Every character is looked at a bounded number of times, so time and memory are linear in the page, also for hostile and very long ones. Repeated rows are treated alike. An empty
+table gives an empty result. Extra columns pass through whatever their names; a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -23,138 +27,200 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import batches, free_name, table
 
-#: What follows a tag's name, with quoted values.
-_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(noscript|template|textarea|svg|iframe|select|title|object)(?=[\s/>])(?:{_REST}|[^>]*)>|<([/!?]?)([a-zA-Z][^\s/>]*)({_REST})>|[^<]+|<",
-    re.S | re.I,
-)
-_SKIPPED = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)(noscript|template|textarea|svg|iframe|select|title|object)(?=[\s/>])(?:{_REST}|[^>]*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_PART = re.compile(r"[a-z]+")
+_RAW = frozenset("script style title textarea iframe".split())
+_CLOSER = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in _RAW}
+_NESTED = frozenset("svg select template button".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_ASIDE = frozenset("nav footer aside form button menu dialog header".split())
+#: Open elements that a start tag ends, and those that keep it from reaching further out.
+_CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+_ASIDE = frozenset("nav footer aside form menu dialog header".split())
 _MAIN = frozenset(("article", "main"))
-#: Words of class, id and role that mark what surrounds an article.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LABELS = frozenset("class id role aria-label".split())
+#: Words that mark what surrounds an article, and words beside which some of them do not.
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar side aside nav navbar navigation menu submenu footer header masthead cookie cookies consent notice gdpr popup modal overlay "
+    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar navbar nav navigation menu submenu cookie cookies consent notice gdpr popup modal overlay "
     "comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget widgets complementary contentinfo search toolbar".split()
 )
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "paragraph", "in_main", "surrounds")
-
-
-def skipped_ends(page: str) -> dict[int, int]:
-    """Where the skipped elements end that begin at each place; none for those without an end tag of their own."""
-    ends: dict[int, int] = {}
-    open_: dict[str, list[int]] = {}
-    for m in _SKIPPED.finditer(page):
-        if not m[3]:
-            continue
-        begun = open_.setdefault(m[3].lower(), [])
-        if m[2]:
-            if begun:
-                ends[begun.pop()] = m.end()
-        elif not m[0].endswith("/>"):
-            begun.append(m.start())
-    return ends
+_PLACES = frozenset("header footer side aside masthead".split())
+_OWN = frozenset("article post entry content story body text main title".split())
+_STATES = frozenset("has with without no layout is".split())
+
+#: Of a block: itself, its neighbours, its tag, and where it stands.
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "paragraph", "in_main", "page_has_main", "in_aside_tag", "in_marked_element")
+
+
+class _Tags:
+    """The tags of a page, from left to right: (start, end, "/" or "", name, where its attributes begin). Comments and raw elements are passed over."""
+
+    def __init__(self, page: str):
+        self.page, self.none_ahead = page, set()
+
+    def _find(self, what: str, at: int) -> int:
+        """Where `what` comes next, or -1; a search that failed is not made again."""
+        if what in self.none_ahead:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none_ahead.add(what)
+        return found
+
+    def _end(self, at: int) -> int:
+        """Past the ">" of a tag; values in quotes may hold others. -1 without one."""
+        page = self.page
+        while m := _STOP.search(page, at):
+            at = m.end()
+            if m[0] == ">":
+                return at
+            back = m.start() - 1
+            while page[back] in " \t\n\r\f":
+                back -= 1
+            if page[back] == "=":
+                close = self._find(m[0], at)
+                if close >= 0:
+                    at = close + 1
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, int]]:
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            head = page[at : at + 1]
+            if head == "!" and page.startswith("<!--", start):
+                end = start + 5 if page.startswith("<!-->", start) else self._find("-->", start + 4) + 3
+                end = len(page) if end == 2 else end
+                yield start, end, "!", "", end
+            elif head in ("!", "?"):
+                end = self._find(">", at) + 1 or len(page)
+                yield start, end, "!", "", end
+            elif m := _NAME.match(page, at + (head == "/")):
+                end = self._end(m.end())
+                if end < 0:
+                    yield start, len(page), "!", "", len(page)
+                    return
+                kind, name = "/" if head == "/" else "", m[0].lower()
+                if kind or name not in _RAW:
+                    yield start, end, kind, name, m.end()
+                else:
+                    key = f"</{name}"
+                    close = None if key in self.none_ahead else _CLOSER[name].search(page, end)
+                    if close:
+                        gt = self._end(close.end())
+                        end = gt if gt >= 0 else len(page)
+                    else:
+                        self.none_ahead.add(key)
+                        end = len(page) if name in ("script", "style") else end
+                    yield start, end, "!", " ", end
+            else:
+                continue
+            at = end
+
+
+def _marked(attributes: str, heading: bool) -> bool:
+    """Whether a word of class, id, role or label says that this is not the article. A title may be called what it likes."""
+    if heading or "=" not in attributes:
+        return False
+    for m in _ATTR.finditer(attributes):
+        if m[1].lower() in _LABELS:
+            for token in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = set(_PART.findall(token))
+                if not parts & _STATES and (parts & _MARKS or (parts & _PLACES and not parts & _OWN)):
+                    return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
-    """The text of each block, and its words, link density, tag and ancestors."""
+    """The text of each block, and its words, link density, tag and place."""
     found: list[tuple[str, tuple[float, ...]]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, within main, within what surrounds it
+    names: list[str] = []  # the open block elements
+    places: list[tuple[bool, bool, bool]] = []  # of each: within main, within an aside tag, within a marked element
+    open_: dict[str, list[int]] = {}  # where each is open
     parts: list[str] = []
-    linked, in_link, tag, main, aside = 0, False, "", False, False
+    linked, link = 0, -1  # words in links; how deep the open link began
+    tags = list(_Tags(page))
+
+    ends: dict[int, int] = {}  # of nested elements without text: the tag that ends each
+    begun: dict[str, list[int]] = {}
+    for i, (_, end, kind, name, _) in enumerate(tags):
+        if name in _NESTED:
+            if kind == "/" and begun.get(name):
+                ends[begun[name].pop()] = i
+            elif kind == "" and page[end - 2] != "/":
+                begun.setdefault(name, []).append(i)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             words = "".join(parts).split()
             if words:
-                found.append((" ".join(words), (float(len(words)), min(1.0, linked / len(words)), float(tag in _HEADINGS), float(tag in ("p", "blockquote", "pre", "")), float(main), float(aside))))
+                tag, (main, aside, marked) = (names[-1], places[-1]) if names else ("", (False, False, False))
+                found.append((" ".join(words), (float(len(words)), min(1.0, linked / len(words)), float(tag in _HEADINGS), float(tag in ("p", "blockquote", "pre")), float(main), float(aside), float(marked))))
         parts, linked = [], 0
 
-    def place() -> None:
-        nonlocal tag, main, aside
-        tag = next((t for t, _, _ in reversed(stack) if t in _BLOCK), "")
-        main, aside = stack[-1][1:] if stack else (False, False)
-
-    skipped = skipped_ends(page)
-    at = 0
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        kind, name = m[3], m[4]
-        if m[2]:
-            at = skipped.get(m.start(), at)
-            if m[2].lower() != "title":
-                parts.append(" ")
-            continue
-        if name is None:
-            text = m[0]
-            if m[1] is None and not text.startswith("<!--"):
-                text = html.unescape(text)
-                parts.append(text)
-                if in_link:
-                    linked += len(text.split())
-            elif m[1]:
-                parts.append(" ")
-            continue
-        if kind in ("!", "?"):
-            continue
-        name = name.lower()
-        if name == "br":
+    def close(depth: int) -> None:
+        nonlocal link
+        while len(names) > depth:
+            open_[names.pop()].pop()
+            places.pop()
+        if link > depth:
+            link = -1
+
+    def text(lo: int, hi: int) -> None:
+        nonlocal linked
+        if lo < hi:
+            t = html.unescape(page[lo:hi])
+            parts.append(t)
+            if link >= 0:
+                linked += len(t.split())
+
+    at, i, has_main = 0, 0, False
+    while i < len(tags):
+        start, end, kind, name, rest = tags[i]
+        text(at, start)
+        at = end
+        if i in ends:
+            i = ends[i]
+            at = tags[i][1]
             parts.append(" ")
-            continue
-        if name == "a":
-            in_link = kind != "/"
-            continue
-        block = name in _BLOCK
-        if block:
+        elif name == "br" or kind == "!":
+            parts.append(" " if name else "")
+        elif name == "a":
+            link = -1 if kind else len(names)
+        elif name == "hr":
             flush()
-        if kind == "/":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            if block:
-                place()
-            continue
-        if block:
-            ends = _CLOSES.get(name, ()) or ({"p"} if name != "hr" else ())
-            for i in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
-        if name in _VOID or (name == "math" and m[0].endswith("/>")):
-            place()
-            continue
-        was_main, was_aside = stack[-1][1:] if stack else (False, False)
-        is_aside = was_aside or (name in _ASIDE and not (name == "header" and was_main))
-        attrs = m[5]
-        if not is_aside and attrs and "=" in attrs:
-            for a in _ATTR.findall(attrs):
-                if not _MARKS.isdisjoint(_WORD.findall("".join(a).lower())) and name not in ("html", "body"):
-                    is_aside = True
-        stack.append((name, was_main or name in _MAIN, is_aside))
-        if block:
-            place()
-        else:
-            main, aside = stack[-1][1:]
+        elif name in _BLOCK:
+            flush()
+            if kind:
+                if open_.get(name):
+                    close(open_[name][-1])
+            else:
+                if names and names[-1] == "p":
+                    close(len(names) - 1)
+                if name in _CLOSES:
+                    inner, outer = (max((open_[n][-1] for n in group if open_.get(n)), default=-1) for group in _CLOSES[name])
+                    if inner > outer:
+                        close(inner)
+                main, aside, marked = places[-1] if places else (False, False, False)
+                if name in _MAIN:
+                    main, aside, marked, has_main = True, False, False, True
+                if name not in ("html", "body"):
+                    aside = aside or (name in _ASIDE and not (name == "header" and main))
+                    marked = marked or _marked(page[rest:end], name in _HEADINGS)
+                open_.setdefault(name, []).append(len(names))
+                names.append(name)
+                places.append((main, aside, marked))
+        i += 1
+    text(at, len(page))
     flush()
-    return found
+    return [(t, (*x[:5], float(has_main), *x[5:])) for t, x in found]
 
 
 def featured(page: str) -> tuple[list[str], np.ndarray]:
@@ -168,53 +234,81 @@ def featured(page: str) -> tuple[list[str], np.ndarray]:
     return [t for t, _ in found], np.hstack([own[:, :2], around[:-2], around[2:], own[:, 2:]])
 
 
-#: Labelled pages: blocks that begin with the mark are main text.
-MARK = "@@"
-_P = "the river ran past the old mill and the people of the town came to see it every day in the summer of that year"
+#: The labelled table. {n} stands for n words, [n] for a link of n words, and @ before a block marks main text. Each page is taken in all SCALES.
 LABELLED = (
-    f"<nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>About us</a></li></ul></nav><div class=ad>Buy one of these and get another for nothing today.</div><article><h1>@@ The old mill</h1><p>@@ {_P}</p><p>@@ Short one.</p><p>@@ To.</p><p>@@ {_P} {_P}</p></article><footer>&copy; the town paper &middot; all rights reserved by us.</footer>",
-    f"<header><a href=/>Paper</a> <span>Daily news for all of you</span></header><main><h2>@@ A title</h2><p>@@ {_P}</p><ul><li>@@ first point of three</li><li>@@ <a href=x>second</a> point</li></ul><blockquote>@@ {_P}</blockquote></main><aside><h3>Related</h3><p>{_P}</p><a href=1>One more</a></aside>",
-    f"<body><div class='menu top'><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><h1>@@ Without an article</h1><p>@@ {_P} {_P}</p><p>@@ {_P}</p></div><div><a href=1>Next page of this</a> <a href=2>Back</a></div><div id=footer>Contact us at the office on any day of the week</div>",
-    f"<article><header><h1>@@ Title in a header</h1></header><p>@@ {_P} <a href=4>with a link</a></p><div class='advert box'>{_P}</div><p>@@ So it goes.</p><section class=comments><p>{_P}</p><p>I like this.</p></section></article><form><label>Your name</label><p>Send us a letter</p></form>",
-    f"<div role=navigation><ul><li><a href=1>Start</a><li><a href=2>Shop</a></ul></div><div class=cookie-notice>We use cookies to make this page work for you and others. <a href=1>More</a></div><article><p>@@ {_P}</p><p>@@ Yes.</p><table><tr><td>@@ one</td><td>@@ 12</td></tr></table><pre>@@ x = 1</pre></article><div class=sidebar><p>{_P}</p></div>",
-    f"<div><a href=1>Home</a> | <a href=2>Login</a></div><div>@@ {_P} {_P}</div><div>@@ {_P}</div><div>@@ {_P} <a href=1>here</a> and there</div><div><a href=3>Terms of use</a> <a href=4>Privacy</a></div>",
-    f"<nav><a href=1>A</a></nav><article><h1>@@ Last</h1><p><b>@@ {_P}<br><p>@@ {_P}</p><p>@@ <a href=5>a line that is a link</a></p></article><div class='social share'>Tell your friends about this story</div><footer><p>{_P}</p></footer>",
+    "<header>[1] {4}</header><nav><ul><li>[1]<li>[2]<li>[1]</ul></nav><div class=advert>{9}</div><article><h1>@{6}</h1><p>@{40}</p><p>@{1}</p><p>@{12} [2] {9}</p><ul><li>@[3]<li>@{4}</ul><p>@{25}</p></article><aside><h3>{2}</h3><p>{14}</p></aside><footer>{11}</footer>",
+    "<div role=navigation>[1] [1] [2]</div><main><h2>@{4}</h2><p>@{30}</p><blockquote>@{18}</blockquote><table><tr><td>@{1}<td>@{2}</table><p>@{2}</p></main><div class=sidebar><p>{22}</p><p>[4]</p></div><footer><p>{17}</p></footer>",
+    "<article><header><h1>@{7}</h1><p>@{5}</p></header><p>@{35}</p><div class='ad box'>{12}</div><p>@{3}</p><p>@[6]</p><section class=comments><h3>{2}</h3><p>{30}</p><p>{6}</p></section></article><form><p>{8}</p></form>",
+    "<nav>[1] [1]</nav><div class=cookie-notice>{14} [1]</div><article><p>@{20}</p><pre>@{5}</pre><div>@{11}</div><footer>{6}</footer><div class=share>[1] [1] {2}</div></article><footer>{5} [1]</footer>",
+    "<main><article><h1>@{5}</h1><p>@{28}</p><aside><p>{12}</p></aside><p>@{1}</p></article><div class=related><p>[5]</p><p>[6]</p></div></main>",
+    "<div>[1] [1] [1]</div><div>[2]</div><h1>@{6}</h1><div>@{45}</div><div>@{3}</div><div>@{30}</div><div>@{20} [1] {15}</div><div>[2] [3]</div><div>{4} [1]</div>",
+    "<ul><li>[1]<li>[2]<li>[1]<li>[1]</ul><p>@{38}</p><p>@{6}</p><p>@{42}</p><ul><li>@{9}<li>@{12}</ul><p>@{33}</p><ul><li>[3]<li>[4]<li>[2]</ul><div>{3}</div>",
+    "<table><tr><td>[1]<td>[1]<td>[2]</table><center><h2>@{4}</h2></center><p>@{50}</p><p>@{24} [3] {20}</p><p>@{4}</p><p>@{40}</p><p>[1] [1]</p><address>{6} [1]</address>",
+    "<div>{3}</div><div>[1]</div><div>[1]</div><div>[2]</div><h1>@{5}</h1><p>@{22}</p><p>@{31}</p><p>@{2}</p><p>@{27}</p><h3>{2}</h3><div>[6]</div><div>[7]</div><div>[5]</div><div>{5}</div>",
+    "<div>[2] {1} [2]</div><div>@{60}</div><div>@{55}</div><div>@{48}</div><div>[2] {2}</div><div>{2} [2]</div>",
+    "<div><p>[1] [1] [1]</p></div><div class=post><h2 class=post-header>@{5}</h2><p>@{26}</p><p>@{5}</p><p>@{36}</p></div><div class=comments><p>{25}</p><p>{18}</p></div><div id=footer><p>{9}</p></div>",
+    "<div class=promo><p>{15}</p></div><h1>@{7}</h1><p>@{34}</p><div class='banner ad'><p>{10}</p></div><p>@{29}</p><p>@{8}</p><p>@{30}</p><div class=newsletter><p>{16}</p></div><p>[2] [2]</p>",
+    "<h1>@{4}</h1><p>@{18}</p><p>@{21}</p><p>@{3}</p><p>@{25}</p>",
+    "<p>@{30}</p><p>@{44}</p>",
+    "<div>[1] [1] [1] [1]</div><div>{2}</div><p>@{33}</p><p>@{29} [1] {4}</p><div>{2}</div><div>[3]</div><div>{4}</div><div>[4]</div>",
+    "<dl><dt>[1]<dd>[2]<dt>[1]<dd>[2]</dl><div>@{41}</div><div>@{7}</div><div>@{52}</div><dl><dt>{1}<dd>[2]<dt>{1}<dd>[3]</dl>",
+    "<article><h2>@{3}</h2><p>@[2]</p><h2>@{2}</h2><ul><li>@[1]<li>@[3]<li>@[2]</ul><div>@{6}</div><div>@[4]</div><div>@{2}</div></article>",
+    "<main><div>@[3]</div><div>@{3}</div><table><tr><td>@[1]<td>@{1}<td>@[2]</table><p>@{1}</p></main>",
+    "<nav>[1]</nav><article><div>@{9}</div><p>@[1]</p><div>@{4}</div><h3>@{2}</h3><div>@[3]</div></article><div>[2]</div><div>{40}</div>",
+    "<nav>[2]</nav><div>@{25}</div><div>@{6}</div><div>@{37}</div><footer>{20}</footer>",
+    "<header><p>{10}</p></header><h1>@{6}</h1><p>@{23}</p><p>@{2}</p><p>@{40}</p><aside><p>{19}</p></aside>",
 )
+SCALES = (0.5, 1.0, 3.0)
+MARK = "\ue000"
+_VOCABULARY = "the river ran past an old mill and people of our town came to see it every day in summer".split()
+
+
+def labelled_pages() -> list[str]:
+    pages, k = [], 0
+
+    def words(n: int) -> str:
+        nonlocal k
+        k += n
+        return " ".join(_VOCABULARY[(k + i) % len(_VOCABULARY)] for i in range(n))
+
+    for page in LABELLED:
+        for scale in SCALES:
+            size = lambda m, scale=scale: max(1, round(int(m[1]) * (scale if int(m[1]) > 3 else 1)))
+            made = re.sub(r"\{(\d+)\}", lambda m: words(size(m)), page)
+            made = re.sub(r"\[(\d+)\]", lambda m: f"<a href=#>{words(size(m))}</a>", made)
+            pages.append(made.replace("@", MARK))
+    return pages
+
+
+def training_table(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, whether it is main text) of the blocks of marked pages. A mark is part of a word."""
+    found = [featured(p) for p in pages]
+    return np.vstack([x for _, x in found]), np.array([MARK in t for texts, _ in found for t in texts])
 
 
-def _grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple | bool:
-    """A tree of (feature, threshold, tree up to it, tree beyond it); leaves are verdicts."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 3) -> tuple | bool:
+    """A tree of (feature, threshold, tree up to it, tree beyond it); leaves are verdicts and come of `least` blocks or more."""
     if depth == 0 or y.all() or not y.any():
         return bool(y.mean() >= 0.5)
-    best = (2.0, -1, 0.0)
+    best = (2 * y.mean() * (1 - y.mean()) - 1e-12, -1, 0.0)
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for threshold in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= threshold
+            if min(low.sum(), (~low).sum()) < least:
+                continue
             impurity = sum(part.sum() / len(y) * 2 * (q := y[part].mean()) * (1 - q) for part in (low, ~low))
             if impurity < best[0] - 1e-12:
                 best = (float(impurity), f, float(threshold))
     if best[1] < 0:
         return bool(y.mean() >= 0.5)
     low = x[:, best[1]] <= best[2]
-    return best[1], best[2], _grow(x[low], y[low], depth - 1), _grow(x[~low], y[~low], depth - 1)
+    return best[1], best[2], grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
 @lru_cache(maxsize=1)
-def trained_tree(depth: int = 6) -> tuple | bool:
-    pages = [featured(p) for p in LABELLED]
-    x = np.vstack([f for _, f in pages])
-    marked = np.array([t.startswith(MARK) for texts, _ in pages for t in texts])
-    # the mark itself counts as a word; take it off again, also where it is a neighbour's
-    at = 0
-    for texts, _ in pages:
-        own = marked[at : at + len(texts)].astype(float)
-        rows = x[at : at + len(texts)]
-        rows[:, 0] -= own
-        rows[1:, 2] -= own[:-1]
-        rows[:-1, 4] -= own[1:]
-        at += len(texts)
-    return _grow(x, marked, depth)
+def trained_tree(depth: int = 8) -> tuple | bool:
+    return grow(*training_table(labelled_pages()), depth)
 
 
 def classify(tree: tuple | bool, x: np.ndarray) -> np.ndarray:
@@ -235,7 +329,8 @@ def extract(pages: DataFrame, page_html: str = "html", text: str = "text") -> Da
     """pages with `text`, the main text, in place of the html column."""
     tree = trained_tree()
     kept = [c for c in pages.columns if c not in (page_html, text)]
-    rows = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{page_html}`").alias("_html"))
+    raw = free_name(pages.columns, "html")
+    rows = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{page_html}`").alias(raw))
     schema = rows.select(*(F.col(f"`{c}`") for c in kept), F.lit("").cast("string").alias(text)).schema
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

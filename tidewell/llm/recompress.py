@@ -6,10 +6,10 @@ ends depend on what surrounds them, and every symbol carries the stretch of word
 
 1. Reveal. Symbols get provisional names, hashes of what they stand for, and the engine asks globally which high-level symbols occur in different
    texts. A window of `window` words that contains the deciding stretch of a symbol of one text only cannot be repeated and is
-   ruled out. Hash collisions can only leave a window in, never rule one out.
+   ruled out; of the windows that remain, the same is asked of each as a whole. Hash collisions can only leave a window in, never rule one out.
 2. Name. For the stretches that remain, Spark rounds name words, then runs and pairs, globally: each block sends the different
    definitions that it has (the bytes of words, pairs of names) to the partitions that own them, and these give out numbers. Equal numbers mean equal words: definitions
-   are compared as they are, not by hash.
+   are compared as they are, not by hash. Between rounds a block keeps the numbers only; its symbols follow from its text and from them.
 3. Verify. Every window picks the highest symbol that it decides as its anchor and meets the other windows with that anchor. The anchor's name
    verifies the words under it; the words to its left and right are compared one by one, by their numbers. A symbol that more than
    blocks.HOT_BLOCKS blocks have is no anchor, and windows without an anchor are dealt out by all their words, so a common phrase in many contexts spreads over all partitions.
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import mix64, table
+from .common import mix64, table, words8
 
 WINDOW = 13
 RAW_PER_PARTITION = 64 << 20
 #: Rounds of pairs in which provisional names are given, and in which global ones are.
-ROUNDS, NAMED_ROUNDS = 4, 3
+ROUNDS, NAMED_ROUNDS = 4, 2
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -54,12 +54,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 class Words:
     """The words of a block: a hash, the text and the bytes of each, and the words of each text. Different words may have one hash."""
 
-    def __init__(self, block: B.Block):
+    def __init__(self, block: B.Block, only: np.ndarray | None = None):
+        """only: the places of the texts to read; the others count as empty."""
         hashes, owners, begins, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        texts, at = range(len(block.ids)), 0
+        texts = np.arange(len(block.ids)) if only is None else only
+        total, at = np.cumsum(block.lengths[texts]), 0
         while at < len(texts):  # a few hundred kilobytes at a time, whole texts
-            to = max(at + 1, int(np.searchsorted(block.ends, block.starts[at] + (1 << 19), side="right")))
-            joined = b"\n".join(block.text(i) for i in range(at, to)) + b"\n"
+            to = max(at + 1, int(np.searchsorted(total, total[at] - block.lengths[texts[at]] + (1 << 19), side="right")))
+            own = texts[at:to]
+            joined = b"\n".join(block.text(i) for i in own.tolist()) + b"\n"
             data = np.frombuffer(joined, dtype=np.uint8)
             word = ~_SPACE[data]
             edge = np.flatnonzero(word[1:] != word[:-1]) + 1
@@ -70,10 +73,10 @@ class Words:
             np.cumsum(_LETTER[data] * _powers(_ODD, len(data)), out=sums[1:])
             h = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
             hashes.append(mix64(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
-            bounds = np.cumsum(block.lengths[at:to] + 1)
+            bounds = np.cumsum(block.lengths[own] + 1)
             text = np.searchsorted(bounds, starts, side="right")
-            owners.append(text + at)
-            begins.append(starts - text + block.starts[at])  # without the line feeds in between
+            owners.append(own[text])
+            begins.append(starts - np.r_[0, bounds][text] + block.starts[own[text]])
             sizes.append(ends - starts)
             at = to
         self.hash, self.owner, self.begin, self.size = (np.concatenate(x) for x in (hashes, owners, begins, sizes))
@@ -84,6 +87,12 @@ class Words:
         n = len(self.hash) - size + 1
         return np.flatnonzero(self.owner[:n] == self.owner[size - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
 
+    def window_hashes(self, start: np.ndarray, size: int) -> np.ndarray:
+        total = np.zeros(max(0, len(self.hash) - size + 1), dtype=np.uint64)
+        for k in range(size):
+            total = total * _ODD + self.hash[k : k + len(total)]
+        return mix64(total[start])
+
 
 _FAR = 1 << 40
 
@@ -211,13 +220,15 @@ def _reply_pairs(n_parts: int, level: int, hot_blocks: int):
 class _Live:
     """The stretches of words of a block that may be repeated: their symbols so far, and the anchor of each of their windows.
 
-    Words count from 0 on over all stretches. start: the windows, as first words. Symbols: x (name), own (stretch), a and b (the words it
-    stands for), lo and hi (the words that decide it). Anchors: level, a, size and name; name zero where there is none.
+    Words count from 0 on over all stretches. Symbols: x (name), own (stretch), a and b (the words it stands for), lo and hi (the words that
+    decide it). Anchors: first word, size and name, for each word that starts a window; name zero where there is none.
     """
 
-    def __init__(self, first: np.ndarray, count: np.ndarray, ids: np.ndarray, window: int):
-        """first, count: word of the block where a stretch begins, and its windows. ids: its document."""
-        self.window, self.first, self.count, self.ids = window, first, count, ids
+    def __init__(self, start: np.ndarray, owner: np.ndarray, ids: np.ndarray, window: int):
+        """start: the words where windows begin. owner: the text of each of these. ids: of the texts."""
+        at = np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1])][: len(start)])
+        first, count = start[at], np.diff(np.r_[at, len(start)])
+        self.window, self.first, self.count, self.ids = window, first, count, ids[owner[at]]
         size = count + window - 1
         self.offset = np.cumsum(size) - size
         n = int(size.sum())
@@ -228,31 +239,17 @@ class _Live:
         self.b = self.hi = np.arange(n) + 1
         self.words = self.x = np.zeros(n, dtype=np.uint64)
         self.anchor, self.anchor_size, self.anchor_name = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64)
-        self.pending: tuple = ()
-
-    def asked(self, part: np.ndarray, first: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
-        """Remembers which answer belongs to which symbol. part: owner of each definition. Returns the definitions of each partition."""
-        places = _split(part)
-        self.pending = (first, of, places)
-        return places
-
-    def named(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols that got names, their names and whether they are hot)."""
-        first, of, places = self.pending
-        self.pending = ()
-        name, hot = np.zeros(sum(map(len, places.values())), dtype=np.uint64), np.zeros(sum(map(len, places.values())), dtype=bool)
-        for part, at in places.items():
-            name[at], hot[at] = B.load(answers[part])
-        return first, name[of], hot[of]
-
-    def pick_anchors(self, hot: np.ndarray) -> None:
-        """Windows that decide a symbol of this level take it as anchor: the least by hash, the first of equal ones."""
-        inside = ~hot & (self.hi - self.lo <= self.window) & (self.lo >= self.offset[self.own]) & (self.hi <= (self.offset + self.count + self.window - 1)[self.own])
-        at = np.flatnonzero(inside)
+
+    def name(self, at: np.ndarray, names: np.ndarray, hot: np.ndarray) -> None:
+        """Gives the symbols at some places their names. Windows that decide one that is not hot take it as anchor: the least by hash, the first of equal ones."""
+        self.x = self.x.copy()
+        self.x[at] = names
+        inside = ~hot & (self.hi[at] - self.lo[at] <= self.window) & (self.lo[at] >= self.offset[self.own[at]]) & (self.hi[at] <= (self.offset + self.count + self.window - 1)[self.own[at]])
+        at = at[inside]
         if not len(at):
             return
-        key, none = mix64(self.x[at]), np.uint64(0xFFFFFFFFFFFFFFFF)
-        least, leftmost = np.full(len(self.words), none), np.full(len(self.words), _FAR)
+        key = mix64(self.x[at])
+        least, leftmost = np.full(len(self.words), np.uint64(0xFFFFFFFFFFFFFFFF)), np.full(len(self.words), _FAR)
         lo, hi = self.lo[at], self.hi[at]
         first = np.maximum(hi - self.window, self.offset[self.own[at]])
         for k in range(self.window):
@@ -266,59 +263,96 @@ class _Live:
         symbol = leftmost[got]
         self.anchor[got], self.anchor_size[got], self.anchor_name[got] = self.a[symbol], self.b[symbol] - self.a[symbol], self.x[symbol]
 
-    def keep(self, stays: np.ndarray) -> None:
-        self.x, self.own, self.a, self.b, self.lo, self.hi = (v[stays] for v in (self.x, self.own, self.a, self.b, self.lo, self.hi))
-
-
-def _ask_words(block: B.Block, words: Words, live: _Live, n_parts: int) -> list[tuple[int, bytes]]:
-    known: dict[bytes, int] = {}
-    data, h = block.data, []
-    of = np.empty(len(live.place), dtype=np.int64)
-    for i, (at, size, x) in enumerate(zip(words.begin[live.place].tolist(), words.size[live.place].tolist(), words.hash[live.place].tolist(), strict=True)):
-        w = data[at : at + size]
-        k = known.setdefault(w, len(known))
-        if k == len(h):
-            h.append(x)
-        of[i] = k
-    texts = list(known)
-    places = live.asked(_owner(np.array(h, dtype=np.uint64), n_parts), np.arange(len(of)), of)
-    return [(part, B.dump([texts[k] for k in at.tolist()])) for part, at in places.items()]
-
-
-def _ask_pairs(live: _Live, level: int, n_parts: int) -> list[tuple[int, bytes]]:
-    """The definitions of this level's symbols: runs of words and pairs at the first, pairs afterwards."""
-    if not len(live.x):
-        live.asked(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        return []
-    bits = np.uint64(live.window.bit_length() + 1)
-    if level == 1:
-        start, end = _runs(live.x, live.own)
-        length = np.minimum(end - start, 2 * live.window)  # no window decides a longer run
-        live.b, live.hi = live.b[end - 1], end + 1
-        live.x, live.own, live.a = live.x[start], live.own[start], live.a[start]
-        live.lo = start - 1
-        outer = np.r_[True, live.own[1:] != live.own[:-1]], np.r_[live.own[1:] != live.own[:-1], True]
-        live.lo, live.hi = np.where(outer[0], -_FAR, live.lo), np.where(outer[1], _FAR, live.hi)
-    else:
-        length = np.ones(len(live.x), dtype=np.int64)
-    code = (live.x << bits) + length.astype(np.uint64)
-    pair, live.lo, live.hi = _pairs(_half(code, level), live.own, live.lo, live.hi)
-    nxt = np.r_[code[1:], code[:1]]
-    live.b = np.where(pair, np.r_[live.b[1:], live.b[:1]], live.b)
-    define = pair | (length > 1)
-    stays = _stay(pair)
-    live.keep(stays)
-    define, pair, code, nxt = define[stays], pair[stays], code[stays], nxt[stays]
-    first = np.flatnonzero(define)
-    wanted = np.stack([code[first], np.where(pair[first], nxt[first], np.uint64(0))], axis=1)
-    order = np.lexsort((wanted[:, 1], wanted[:, 0]))
-    x = wanted[order]
-    new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)][: len(x)]
-    of = np.empty(len(x), dtype=np.int64)
-    of[order] = np.cumsum(new) - 1
-    each = x[new]
-    places = live.asked(_owner(mix64(each[:, 0]) + each[:, 1], n_parts), first, of)
-    return [(part, B.dump(each[at])) for part, at in places.items()]
+    def name_words(self, of: np.ndarray, names: np.ndarray, hot: np.ndarray) -> None:
+        self.name(np.arange(len(of)), names[of], hot[of])
+        self.words = self.x
+
+    def pair(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Makes the symbols of this level, of runs of words and pairs at the first and pairs afterwards: (definitions, symbols to name, definition of each)."""
+        none = np.zeros(0, dtype=np.int64)
+        if not len(self.x):
+            return np.zeros((0, 2), dtype=np.uint64), none, none
+        bits = np.uint64(self.window.bit_length() + 1)
+        length = np.ones(len(self.x), dtype=np.int64)
+        if level == 1:
+            start, end = _runs(self.x, self.own)
+            length = np.minimum(end - start, 2 * self.window)  # no window decides a longer run
+            self.a, self.b, self.lo, self.hi = self.a[start], self.b[end - 1], start - 1, end + 1
+            self.x, self.own = self.x[start], self.own[start]
+            change = self.own[1:] != self.own[:-1]
+            self.lo, self.hi = np.where(np.r_[True, change], -_FAR, self.lo), np.where(np.r_[change, True], _FAR, self.hi)
+        code = (self.x << bits) + length.astype(np.uint64)
+        pair, lo, hi = _pairs(_half(code, level), self.own, self.lo, self.hi)
+        nxt, b = np.r_[code[1:], code[:1]], np.where(pair, np.r_[self.b[1:], self.b[:1]], self.b)
+        stays = _stay(pair)
+        self.x, self.own, self.a, self.b, self.lo, self.hi = (v[stays] for v in (self.x, self.own, self.a, b, lo, hi))
+        define, pair, code, nxt = (pair | (length > 1))[stays], pair[stays], code[stays], nxt[stays]
+        first = np.flatnonzero(define)
+        wanted = np.stack([code[first], np.where(pair[first], nxt[first], np.uint64(0))], axis=1)
+        order = np.lexsort((wanted[:, 1], wanted[:, 0]))
+        x = wanted[order]
+        new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)][: len(x)]
+        of = np.empty(len(x), dtype=np.int64)
+        of[order] = np.cumsum(new) - 1
+        return x[new], first, of
+
+
+def distinct_words(block: B.Block, words: Words, place: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(the different words at some places, a hash of each, which one is at each place). Words of one hash are compared byte by byte."""
+    h, begin, size = words.hash[place], words.begin[place], words.size[place]
+    each, one, of = np.unique(h, return_index=True, return_inverse=True)
+    data, w = block.data, words8(np.frombuffer(block.data, dtype=np.uint8))
+    same = size == size[one][of]
+    live, at = np.flatnonzero(same), 0
+    while len(live):
+        left = size[live] - at
+        mask = np.where(left >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
+        differ = ((w[begin[live] + at] ^ w[begin[one][of[live]] + at]) & mask) != 0
+        same[live[differ]] = False
+        at += 8
+        live = live[~differ & (left > 8)]
+    if same.all():
+        return [data[i : i + n] for i, n in zip(begin[one].tolist(), size[one].tolist(), strict=True)], each, of
+    known: dict[tuple[int, bytes], int] = {}
+    of = np.array([known.setdefault((x, data[i : i + n]), len(known)) for x, i, n in zip(h.tolist(), begin.tolist(), size.tolist(), strict=True)], dtype=np.int64)
+    return [w for _, w in known], np.array([x for x, _ in known], dtype=np.uint64), of
+
+
+def _collect(places: dict[int, np.ndarray], answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(names, whether they are hot) of definitions, from the answers of their owners."""
+    n = sum(map(len, places.values()))
+    names, hot = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
+    for part, at in places.items():
+        names[at], hot[at] = B.load(answers[part])
+    return names, hot
+
+
+def _replay(block: B.Block, state: dict, answers: dict[int, bytes] | None, n_parts: int) -> tuple[_Live, list, dict[int, np.ndarray]]:
+    """The live stretches with all names known so far, those of answers among them; and the definitions to ask next, with their owners.
+
+    state: texts (places of those with live windows), windows (bits, one for each word of these texts), window, and tables (names and hot bits, for each level).
+    Appends to the tables. After the last level there is nothing to ask.
+    """
+    words = Words(block, state["texts"])
+    start = np.flatnonzero(np.unpackbits(state["windows"], count=len(words.hash)))
+    live = _Live(start, words.owner[start], block.ids, state["window"])
+    asked, h, of = distinct_words(block, words, live.place)
+    places = _split(_owner(h, n_parts))
+    tables = state["tables"]
+    for level in range(NAMED_ROUNDS + 1):
+        if level == len(tables):
+            if answers is None:
+                return live, asked, places
+            tables.append(_collect(places, answers))
+            answers = None
+        if level == 0:
+            live.name_words(of, *tables[0])
+        else:
+            live.name(first, *(t[of] for t in tables[level]))
+        if level < NAMED_ROUNDS:
+            asked, first, of = live.pair(level + 1)
+            places = _split(_owner(mix64(asked[:, 0]) + asked[:, 1], n_parts))
+    return live, [], {}
 
 
 # ---- verification --------------------------------------------------------------------------------------------------
@@ -334,7 +368,7 @@ class _Segments:
         new = np.r_[True, (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1]) | (name[1:] != name[:-1]) | (anchor[1:] != anchor[:-1]) | (name[1:] == 0)][: len(start)]
         at = np.flatnonzero(new)
         self.first, self.count, self.ids = start[at], np.diff(np.r_[at, len(start)]), live.ids[own[at]]
-        self.place = live.place[self.first] if len(at) else np.zeros(0, dtype=np.int64)  # word of the block
+        self.place = live.place[self.first] if len(at) else np.zeros(0, dtype=np.int64)  # word of the live texts
         known: dict[tuple, int] = {}
         self.of, least, self.items = np.empty(len(at), dtype=np.int64), [], []
         words = live.words.tobytes()
@@ -362,6 +396,20 @@ class _Segments:
             head = np.array([(n, d, s, c) for n, d, s, c, _ in mine], dtype=np.uint64)
             yield part, B.dump((head, self.least[at], b"".join(w for *_, w in mine)))
 
+    def gone(self, answers: dict[int, bytes]) -> np.ndarray:
+        """The first words of the windows that a smaller document has too."""
+        size = np.zeros(len(self.least), dtype=np.int64)
+        size[self.of] = self.count
+        base = np.cumsum(size) - size
+        later = np.zeros(int(size.sum()), dtype=bool)
+        for part, at in self.places.items():
+            n = size[at]
+            place = np.repeat(base[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            later[place] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=int(n.sum()))
+        n = self.count
+        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return (np.repeat(self.place, n) + i)[later[np.repeat(base[self.of], n) + i] | np.repeat(self.ids > self.least[self.of], n)]
+
 
 def _rows(head: np.ndarray, words: np.ndarray, window: int) -> np.ndarray:
     """A row for each window: anchor, its place in the window, and the words outside it (zero inside)."""
@@ -422,80 +470,81 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words, joined by spaces), one row for each row of docs."""
     packed = B.pack(docs, doc_id, text)
-    n_parts, n_tasks, hot = B.partitions(packed, RAW_PER_PARTITION), B.tasks(packed), B.HOT_BLOCKS
+    n_parts, hot = B.partitions(packed, RAW_PER_PARTITION), B.HOT_BLOCKS
 
     def reveal(block: B.Block) -> Iterator[tuple[int, bytes]]:
         return B.first_questions(block, _names(block, Words(block), window, n_parts)[0])
 
+    def whole(block: B.Block, words: Words, start: np.ndarray) -> B.Names:
+        return B.Names(block, words.owner[start], words.window_hashes(start, window), n_parts)
+
     def begin(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
         words = Words(block)
         copy, start = _candidates(block, words, window, n_parts, answers)
-        own = words.owner[start]
-        at = np.flatnonzero(np.r_[True, (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1])][: len(start)])
-        live = _Live(start[at], np.diff(np.r_[at, len(start)]), block.ids[own[at]], window)
-        found = _ask_words(block, words, live, n_parts)
-        return B.questions_table(block.block, (np.packbits(copy), live), found)
-
-    def name(level: int):
-        def step(block: int, state: tuple[np.ndarray, _Live], answers: dict[int, bytes]) -> pa.Table:
-            copy, live = state
-            at, names, hot_names = live.named(answers)
-            hot = np.zeros(len(live.x), dtype=bool)
-            live.x = live.x.copy()
-            live.x[at], hot[at] = names, hot_names
-            if level == 0:
-                live.words = live.x
-            fresh = np.zeros(len(live.x), dtype=bool)
-            fresh[at] = True
-            live.pick_anchors(hot | ~fresh)
-            if level < NAMED_ROUNDS:
-                found = _ask_pairs(live, level + 1, n_parts)
-                return B.questions_table(block, (copy, live), found)
-            segments = _Segments(live, n_parts)
-            found = list(segments.payloads())
-            segments.items = []
-            return B.questions_table(block, (copy, segments), found)
-
-        return step
+        live = np.zeros(len(words.hash), dtype=bool)
+        live[start] = True
+        names = whole(block, words, start)
+        return B.questions_table(block.block, (np.packbits(copy), np.packbits(live)), [(part, names.payload(part)) for part in names.cuts])
 
-    def finish(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
+    def prune(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
+        copy, bits = B.kept(answers)
         words = Words(block)
-        bits, segments = B.load(next(v for k, v in answers.items() if k < 0))
+        start = np.flatnonzero(np.unpackbits(bits, count=len(words.hash)))
+        start = start[whole(block, words, start).verdicts(answers)[0]]
+        live = np.zeros(len(words.hash), dtype=bool)
+        live[start] = True
+        texts = np.unique(words.owner[start])
+        inside = np.zeros(len(block.ids), dtype=bool)
+        inside[texts] = True
+        state = {"copy": copy, "texts": texts, "windows": np.packbits(live[inside[words.owner]]), "window": window, "tables": []}
+        _, asked, places = _replay(block, state, None, n_parts)
+        return B.questions_table(block.block, state, [(part, B.dump([asked[k] for k in at.tolist()])) for part, at in places.items()])
+
+    def name(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
+        state = B.kept(answers)
+        live, asked, places = _replay(block, state, answers, n_parts)
+        if len(state["tables"]) <= NAMED_ROUNDS:
+            return B.questions_table(block.block, state, [(part, B.dump(asked[at])) for part, at in places.items()])
+        segments = _Segments(live, n_parts)
+        found = list(segments.payloads())
+        segments.items = []
+        return B.questions_table(block.block, (state["copy"], state["texts"], segments), found)
+
+    def finish(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
+        bits, texts, segments = B.kept(answers)
         copy = np.unpackbits(bits, count=len(block.ids)).astype(bool)
-        count = np.zeros(len(segments.least), dtype=np.int64)
-        count[segments.of] = segments.count
-        base = np.cumsum(count) - count
-        later = np.zeros(int(count.sum()), dtype=bool)
-        for part, at in segments.places.items():
-            n = count[at]
-            place = np.repeat(base[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            later[place] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=int(n.sum()))
-        n = segments.count
-        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gone = later[np.repeat(base[segments.of], n) + i] | np.repeat(segments.ids > segments.least[segments.of], n)
-        start = (np.repeat(segments.place, n) + i)[gone]
-        cover = np.zeros(len(words.hash) + 1, dtype=np.int64)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + window, -1)
+        gone = segments.gone(answers)
+        split = [block.text(i).split() for i in range(len(block.ids))]
+        n_words = np.array([len(w) for w in split], dtype=np.int64)
+        first = np.zeros(len(block.ids), dtype=np.int64)  # of the words of the live texts
+        first[texts] = np.cumsum(n_words[texts]) - n_words[texts]
+        cover = np.zeros(int(n_words[texts].sum()) + 1, dtype=np.int64)
+        np.add.at(cover, gone, 1)
+        np.add.at(cover, gone + window, -1)
         removed = np.cumsum(cover[:-1]) > 0
-        long_copy = copy & (np.diff(words.first) >= window)
-        removed |= long_copy[words.owner]
-        counts = np.add.reduceat(np.r_[removed, False].astype(np.int64), words.first[:-1]) if len(block.ids) else np.zeros(0, dtype=np.int64)
-        counts = np.where(np.diff(words.first) > 0, counts, 0)
-        kept = []
-        for i, c in enumerate(counts.tolist()):
-            w = block.text(i).split()
-            if c:
-                w = [] if c == len(w) else [x for x, g in zip(w, removed[words.first[i] : words.first[i + 1]].tolist(), strict=True) if not g]
+        live = np.zeros(len(block.ids), dtype=bool)
+        live[texts] = True
+        counts, kept = np.zeros(len(block.ids), dtype=np.int64), []
+        for i, w in enumerate(split):
+            if copy[i] and len(w) >= window:
+                counts[i], w = len(w), []
+            elif live[i]:
+                g = removed[first[i] : first[i] + len(w)]
+                counts[i] = np.count_nonzero(g)
+                w = [x for x, gone in zip(w, g.tolist(), strict=True) if not gone] if counts[i] else w
             kept.append(b" ".join(w))
-        return pa.table([pa.array(block.ids, mask=block.ids == B.NO_ID), pa.array(np.diff(words.first)), pa.array(counts), pa.array(kept, pa.binary())], schema=_OUT)
+        return pa.table([pa.array(block.ids, mask=block.ids == B.NO_ID), pa.array(n_words), pa.array(counts), pa.array(kept, pa.binary())], schema=_OUT)
+
+    def proceed(answers: DataFrame, step) -> DataFrame:
+        return B.proceed(packed, answers, step, B.QUESTION, B.QUESTION_TYPES)
 
     answers = B.answer(B.ask(packed, reveal), B.reply_first(hot), n_parts)
-    answers = B.answer(B.proceed(packed, answers, begin, B.QUESTION, B.QUESTION_TYPES, n_tasks), _reply_words(n_parts, hot), n_parts)
-    for level in range(NAMED_ROUNDS):
-        answers = B.answer(B.go_on(answers, name(level), n_tasks), _reply_pairs(n_parts, level + 1, hot), n_parts)
-    answers = B.answer(B.go_on(answers, name(NAMED_ROUNDS), n_tasks), _reply_windows(window), n_parts)
-    out = B.proceed(packed, answers, finish, "doc_id long, n_words long, n_removed long, kept binary", _OUT, n_tasks)
+    answers = B.answer(proceed(answers, begin), B.reply_whole(hot), n_parts)
+    answers = B.answer(proceed(answers, prune), _reply_words(n_parts, hot), n_parts)
+    for level in range(1, NAMED_ROUNDS + 1):
+        answers = B.answer(proceed(answers, name), _reply_pairs(n_parts, level, hot), n_parts)
+    answers = B.answer(proceed(answers, name), _reply_windows(window), n_parts)
+    out = B.proceed(packed, answers, finish, "doc_id long, n_words long, n_removed long, kept binary", _OUT)
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
