@@ -197,32 +197,56 @@ def test_near_dedup_verifies_links(spark, monkeypatch, block):
     assert raw < len(set(want))  # the fingerprints alone join more
 
 
-def test_decontamination(spark, docs_df, empty_df):
+def brute_edits(item, text):
+    """Least edits between the item and any stretch of text, cell by cell."""
+    row = [0] * (len(text) + 1)
+    for i, ch in enumerate(item, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j - 1] + (ch != c), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def edited(r, x, edits, letters="qz"):
+    y = list(x)
+    for _ in range(edits):
+        p = r.randrange(len(y))
+        kind = r.randrange(3)
+        if kind == 0:
+            y[p] = r.choice(letters)
+        elif kind == 1 and len(y) > 1:
+            del y[p]
+        else:
+            y.insert(p, r.choice(letters))
+    return "".join(y)
+
+
+def test_decontamination(spark, empty_df):
+    """Items of all lengths, also those whose budget leaves nothing of the lemma's bound for eight characters."""
     r = random.Random(4)
-    items = ["".join(r.choice("abcdef ghi") for _ in range(120)) for _ in range(12)] + ["short it", "abc", "", None]
+    plain = lambda t: " ".join((t or "").lower().split())
+    noise = lambda n: "".join(r.choice("abcdef ghi") for _ in range(n))
+    items = [plain(noise(n)) for n in (5, 7, 8, 9, 10, 12, 15, 20, 23, 30, 31, 40, 80, 120)] + ["", None]
     rows = []
-    for n in range(60):
-        x, edits = list(items[n % 12]), n % 13
-        for _ in range(edits):
-            p = r.randrange(len(x))
-            x[p] = r.choice("xyz")
-        rows.append((n, "start " + "zz yy " * (n % 5) + "".join(x).upper() + "\n\n end"))
-    rows += [(100, None), (101, ""), (102, "x ABC y"), (103, "nothing here")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(x.doc_id, x.item_id): x.edits for x in decontam.occurrences(docs, bench).collect()}
-    want = {}
+    for n in range(160):
+        x = items[n % 14]
+        rows.append((n, noise(r.randrange(50)) + edited(r, x, r.randrange(len(x) // 10 + 2)).upper() * r.choice((1, 1, 3)) + "\n " + noise(r.randrange(50))))
+    rows += [(900, None), (901, ""), (902, " \t\n"), (903, items[12]), (903, items[12]), (None, items[13]), (904, "nothing here")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, start int, item_id int").repartition(3)
+    bench = spark.createDataFrame([(k, t, 0) for k, t in enumerate(items)], "item_id long, text string, edits int")
+    got = sorted(((-1 if x.doc_id is None else x.doc_id, x.item_id, x.edits) for x in decontam.occurrences(docs, bench).collect()))
+    want, hit = [], set()
     for i, t in rows:
         for k, item in enumerate(items):
-            a, b = decontam.normal(item), decontam.normal(t)
-            budget = int(0.1 * len(a)) if len(a) >= 24 else 0
-            if a and b:
-                d = decontam.align(decontam.codes(a), decontam.codes(b))[0]
-                if d <= min(budget, max(0, (len(a) - decontam.Q) // decontam.Q)):
-                    want[i, k] = d
-    assert got == want and len(want) > 50
+            if item and plain(t) and (e := brute_edits(item, plain(t))) <= len(item) // 10:
+                want.append((-1 if i is None else i, k, e))
+                hit.add(i)
+    assert got == sorted(want) and len(want) > 100 and sum(e > 0 for *_, e in want) > 20
+    for x in decontam.occurrences(docs.filter("doc_id < 40"), bench).collect():
+        assert brute_edits(items[x.item_id], plain(dict(rows)[x.doc_id])[x.start : x.end]) == x.edits
     kept = decontam.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i, _ in rows if i not in hit)
     assert decontam.occurrences(empty_df, bench).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
@@ -231,9 +255,18 @@ def test_decontamination_pieces(monkeypatch):
     r = random.Random(2)
     item = "".join(r.choice("abcdefgh ") for _ in range(200))
     filler = "".join(r.choice("stuvwxyz ") for _ in range(3000))
-    index = decontam.Index([(1, item)])
+    benchmark = decontam.Benchmark([(1, item)])
     for at in range(0, 3000, 97):
-        assert decontam.scan([decontam.normal(filler[:at] + " " + item + " " + filler[at:])], index)
+        assert decontam.scan([decontam.normal(filler[:at] + " " + item + " " + filler[at:])], benchmark)
+
+
+def test_decontamination_of_a_repetitive_text():
+    """Nearly every diagonal of the text reaches the bound; each costs its band only."""
+    item = "abcdefgh" * 25
+    began = time.monotonic()
+    assert not decontam.scan(["abcdefgx" * 30_000], decontam.Benchmark([(1, item)]))
+    (found,) = decontam.scan(["abcdefgh" * 5 + "x" + "abcdefgh" * 19 + "abcdefg" + "x" * 4000], decontam.Benchmark([(1, item)]))
+    assert found[4] == brute_edits(item, "abcdefgh" * 5 + "x" + "abcdefgh" * 19 + "abcdefg" + "x" * 40) and time.monotonic() - began < 20
 
 
 def test_mixing(spark, docs, docs_df, empty_df):
@@ -286,6 +319,27 @@ def test_chat_round_trip(spark):
     assert {r.conv_id: [(x.role, x.text) for x in r.turns] for r in out} == {c: [(a, b) for _, a, b in sorted(v)] for c, v in want.items()}
 
 
+def brute_chat(events):
+    """The final (turn, role, text) of each conversation, event by event."""
+    convs = {}
+    low = lambda t: -(10**30) if t is None else t
+    for c, seq, turn, kind, role, text in sorted(events, key=lambda e: (e[1], e[4] or "", e[5] or "")):
+        turns = convs.setdefault(c, {})
+        mine = turns.setdefault(low(turn), [])
+        if kind not in ("delta", "edit", "regenerate") or not mine:
+            mine.append([seq, role or "", text or "", False])
+        elif kind == "delta":
+            mine[-1][2] += text or ""
+        else:
+            mine[-1][2] = text or ""
+        if kind == "regenerate":
+            for t, messages in turns.items():
+                if t > low(turn):
+                    for m in messages:
+                        m[3] = m[3] or m[0] < seq
+    return {c: [(m[1], m[2]) for t in sorted(turns) for m in turns[t] if not m[3]] for c, turns in convs.items()}
+
+
 def test_chat_events(spark):
     schema = "conv_id long, seq long, turn long, kind string, role string, text string"
     ev = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", ""), (1, 2, 1, "delta", "assistant", "Hel"), (1, 3, 1, "delta", "assistant", "lo"), (1, 4, 2, "message", "user", "x"), (1, 5, 1, "regenerate", "assistant", "Bye"), (1, 6, 1, "delta", "assistant", "!"), (1, 7, 2, "message", "user", "y"), (1, 8, 0, "edit", "user", "hey"), (2, 0, 0, "delta", "user", "lost")]
@@ -294,64 +348,179 @@ def test_chat_events(spark):
     assert chat.render(chat.reconstruct(spark.createDataFrame([], schema))).count() == 0
 
 
-def test_url_rules(spark):
+def test_chat_events_against_brute_force(spark):
+    """Long conversations with regenerations in many blocks of turns, in no order, and other columns beside."""
+    r = random.Random(9)
+    ev = []
+    for c, turns in ((1, 400), (2, 30), (None, 9), (-5, 200)):
+        for seq in range(6 * turns):
+            turn = None if r.random() < 0.01 else r.randrange(-3, turns)
+            ev.append((c, seq, turn, r.choice(("message", "message", "delta", "delta", "edit", "regenerate", "odd", None)), r.choice(("user", "assistant", None)), r.choice((f"t{seq}", "", None))))
+    want = brute_chat(ev)
+    r.shuffle(ev)
+    df = spark.createDataFrame([(*e, 1, 2, "x") for e in ev], "conv_id long, seq long, turn long, kind string, role string, text string, block int, nil int, again string").repartition(5)
+    messages = chat.reconstruct(df)
+    out = chat.render(messages).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.learned_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    assert {x.conv_id: [(t.role, t.text) for t in x.turns] for x in out} == {c: v for c, v in want.items() if v}
+    for x in out:
+        texts = [t for role, t in want[x.conv_id] if role == "assistant"]
+        assert x.loss == "".join(texts) and [x.formatted[s.start : s.end] for s in x.loss_spans] == texts  # nothing to escape here
+
+
+def test_chat_log_ends_in_the_conversations(spark):
+    """The log of a table has all kinds of events and folds back to its rows, whatever the texts hold."""
+    texts = ["", "plain", "\\", "###", "</turn>", "\\### Assistant: </turn> ok", "é𝄞 ü" * 50, None]
+    rows = [(c, t, ("user", "assistant")[t % 2], texts[(c + 3 * t) % len(texts)]) for c in range(12) for t in range(c * 12)]
+    rows += [(1, 3, "assistant", "twin"), (1, 3, "assistant", "twin"), (None, None, "assistant", "x"), (None, 2, None, "y"), (5, None, "user", "z"), (6, (1 << 63) - 1, "assistant", "last"), (6, -(1 << 63), "assistant", "first")]
+    events = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"} and events.count() > 2 * len(rows)
+    out = chat.render(chat.reconstruct(events.repartition(6))).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.learned_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    want = {}
+    for c, t, role, text in rows:
+        want.setdefault(c, []).append((-(1 << 64) if t is None else t, role or "", text or ""))
+    assert {r.conv_id: [(x.role, x.text) for x in r.turns] for r in out} == {c: [(a, b) for _, a, b in sorted(v)] for c, v in want.items()}
+    assert {r.conv_id: r.loss for r in out} == {c: "".join(b for _, a, b in sorted(v) if a == "assistant") for c, v in want.items()}
+
+
+def test_url_rules(spark, empty_df):
     cases = {
         "https://a.EXAMPLE.net/en/1?x": ("a.example.net", "/en/1", "example.net/en/", "allow"), "http://x.net/en/": ("x.net", "/en/", "net/", "block"), "http://example.com/de/5#f": ("example.com", "/de/5", "example.com/de/", "block"),
         "http://w.org/fr/1": ("w.org", "/fr/1", "org/fr/", "allow"), "http://notexample.net/en/1": ("notexample.net", "/en/1", "net/", "block"), "http://w.org": ("w.org", "", None, None), "http://a.net?x": ("a.net", "", None, None),
-        "no scheme": ("", "", None, None), None: ("", "", None, None), "": ("", "", None, None), "x://y://z/p": ("y:", "//z/p", None, None), "http://casino-win.example.com/en/3": ("casino-win.example.com", "/en/3", None, "block"),
+        "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "x://y://z/p": ("y:", "//z/p", None, None), "http://royal-casino.example.com/en/3": ("royal-casino.example.com", "/en/3", None, "block"),
     }
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(cases)], "page_id long, url string, host string")
-    got = {r.url: r for r in urls.judge(df).collect()}
-    for u, (host, path, rule, verdict) in cases.items():
-        assert (got[u].host, got[u].path, got[u].rule) == (host, path, rule) and got[u].verdict in ("allow", "block") and verdict in (None, got[u].verdict)
+    df = spark.createDataFrame([(i, u, "clash", 1, 2) for i, u in enumerate(cases)], "page_id long, url string, HOST string, ruled int, Verdict int")
+    out = urls.judge(df.unionAll(df))
+    assert out.columns == ["page_id", "url", "ruled", "host", "path", "rule", "score", "verdict"]
+    got = out.collect()
+    assert len(got) == 2 * len(cases) and len({r.page_id for r in got}) == len(cases)
+    for r in got:
+        host, path, rule, verdict = cases[r.url]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and verdict in (None, r.verdict)
+    assert urls.judge(empty_df.select("doc_id", F.col("text").alias("url"))).count() == 0
+    long = spark.createDataFrame([("http://poker-casino.example.com/" + "q1w2/" * 40_000,)], "url string")
+    assert urls.judge(long).first().verdict == "block"  # the path does not drown the host
+
+
+def test_url_model_on_other_names(spark):
+    """Names that the table lacks: such as share word parts with it, and such as share none and must be allowed."""
+    bad = ["onlinecasinos", "bestpoker", "gamblers", "freepornsite", "e-pharmacies", "cheapviagras", "slotsbets", "adultwebcams", "spambacklinks", "jackpots-lottery", "paydayloan", "replicas"]
+    good = ["historical-society", "universities", "schools", "musicals", "bakers", "gardeners", "national-archives", "weatherman", "mapsandbooks", "citymuseums", "farmers-markets", "chessclub"]
+    alien = ["xylophone", "quixotic", "wuthering", "jyväskylä", "zzyzx", "ytterby", "kwikfit", "uxbridge", "vowchurch", "iffley", "yggdrasil", "ouzel"]
+    df = spark.createDataFrame([(f"http://www.{n}.example.com/en/{i}", k) for k, names in enumerate((bad, good, alien)) for i, n in enumerate(names)], "url string, k int")
+    blocked = {r.k: r.n for r in urls.judge(df).groupBy("k").agg(F.count_if(F.col("verdict") == "block").alias("n")).collect()}
+    assert blocked[0] >= 6 and blocked[1] <= 1 and blocked[2] <= 2
+
+
+def reference_text(page):
+    """The extraction by Python's own parser, for pages with an article: the blocks under it that are under no aside element or marked one."""
+    import html.parser
+
+    class Reader(html.parser.HTMLParser):
+        block = set("article p h1 h2 h3 div section ul li footer nav aside header body form table tr td blockquote pre".split())
+
+        def __init__(self):
+            super().__init__()
+            self.open, self.out, self.text = [], [], []
+
+        def flush(self):
+            words = "".join(self.text).split()
+            inside = [i for i, (t, _) in enumerate(self.open) if t == "article"]
+            if words and inside and not any(mark for _, mark in self.open[inside[-1] + 1 :]):
+                self.out.append(" ".join(words))
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.text.append(" ")
+            if tag in self.block:
+                self.flush()
+                if self.open and self.open[-1][0] == "p":
+                    self.open.pop()
+                self.open.append((tag, tag in ("nav", "aside", "footer", "form") or any(k == "class" and v in ("comments", "ad") for k, v in attrs)))
+            elif tag in ("script", "style", "title"):
+                self.open.append((tag, True))
+
+        def handle_endtag(self, tag):
+            if tag in self.block or tag in ("script", "style", "title"):
+                if tag in ("script", "style", "title"):
+                    self.text = []
+                else:
+                    self.flush()
+                if any(t == tag for t, _ in self.open):
+                    while self.open.pop()[0] != tag:
+                        pass
+
+        def handle_data(self, data):
+            if not (self.open and self.open[-1][0] in ("script", "style", "title")):
+                self.text.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.flush()
+    return "\n".join(reader.out)
+
+
+def test_html_against_a_parser():
+    """Made-up pages of all sorts of blocks, extracted by an independent reader."""
+    r = random.Random(5)
+    words = lambda n: " ".join(r.choice(("mill", "r&amp;d", "town", "&eacute;t&eacute;", "river", "a&lt;b", "old")) for _ in range(n))
+    tree = htmltext.trained_tree()
+    for _ in range(300):
+        body = ""
+        for _ in range(r.randrange(1, 9)):
+            body += r.choice((f"<p>{words(r.randrange(1, 40))}</p>", f"<p><b>{words(9)}<br>{words(2)}<p>{words(1)}</p>", f"<h2>{words(3)}</h2>", f"<ul><li><a href=x>{words(2)}</a></li><li>{words(4)}</li></ul>", f"<div class=ad>{words(6)}</div>"))
+            body += r.choice(("", "<script>var a='<p>';</script>", "<!-- <p>no</p> -->", f"<div class='comments'><p>{words(20)}</p></div>", f"<aside><p>{words(12)}</p></aside>", "\n", f"<span class=\"x>y\">{words(2)}</span>"))
+        page = f"<!DOCTYPE html><html><head><title>{words(3)}</title></head><body><nav><ul><li><a href=1>{words(1)}</a></li></ul></nav><div class='ad'>{words(8)}</div><article><h1>{words(4)}</h1>{body}</article><footer>&copy; {words(9)}</footer></body></html>"
+        assert htmltext.main_text(page, tree) == reference_text(page)
 
 
-def test_url_model_on_held_out_names(spark, monkeypatch):
-    """Names that the table does not have, made of parts that it has."""
-    bad = ["casino-bets", "cheap-casino", "win-bets", "adult-porn", "spam-links", "free-casino", "online-pills", "track-ads"]
-    good = ["therly", "ththan", "tionre", "thering-on", "therle", "museum-news", "travel-music", "school-book"]
-    df = spark.createDataFrame([(i, f"http://www.{n}.example.com/en/{i}", i < 8) for i, n in enumerate(bad + good)], "page_id long, url string, bad boolean")
-    right = urls.judge(df).filter((F.col("verdict") == "block") == F.col("bad")).count()
-    assert right >= 13
+def test_html(spark, empty_df):
+    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy this now please.</div><article><h1>A &amp; B</h1><p>One\n two&nbsp;three<br>four</p><p><b>Un<i>closed<p>Next &am</article><section class=comments><p>nice post</p></section><footer>&copy; me</footer>"
+    rows = [(1, "u", page, 1), (1, "u", page, 1), (2, None, None, 2), (3, "v", "", 3), (4, "w", "<script>no end", 4), (5, "x", "<article><p>a < b &lt; c</p><!-- <p>hidden</p> --><p>d", 5)]
+    out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, _html int"))
+    assert out.columns == ["page_id", "url", "_html", "text"]
+    got = sorted(tuple(r) for r in out.select("page_id", "text").collect())
+    one = "A & B\nOne two three four\nUnclosed\nNext &am"
+    assert got == [(1, one), (1, one), (2, ""), (3, ""), (4, ""), (5, "a < b < c\nd")]
+    assert htmltext.extract(empty_df.select("doc_id", F.col("text").alias("html"))).count() == 0
 
 
-def test_html(spark):
-    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy this now please.</div><article><h1>A &amp; B</h1><p>One\n two&nbsp;three<br>four</p><p><b>Un<i>closed<p>Next &am</article><section class=comments><p>nice post</p></section><footer>&copy; me</footer>"
-    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<script>no end"), (5, "x", "<article><p>a < b &lt; c</p><!-- <p>hidden</p> --><p>d")], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
-    assert got == {1: "A & B\nOne two three four\nUnclosed\nNext &am", 2: "", 3: "", 4: "", 5: "a < b < c\nd"}
+ARTICLE = "the old mill by the river was open to all people of the town"
 
 
 @pytest.mark.parametrize(
     "before",
-    ["<nav><svg class='i'/></nav>", "<svg data-x='a>b' /><div><svg><text>no</text></svg></div>", "<svg-icon></svg-icon>", "<select-box>", "<title-bar></title-bar><template-x></template-x>", "<svg>", "<SELECT name=a>", "<iframe src='x'/><iframe>no</iframe>", "<title>no</title><title>", "<object><svg>no</svg></object>"]
-    + ["<textarea>no</TEXTAREA ><noscript><p>no</p></noscript>", "<script-x></script-x>", "<script>'<svg>'</script>", "<style/>no</style>", "<math/>"],
+    ["<nav><svg class='i'/></nav>", "<svg data-x='a>b' /><div><svg><text>no</text></svg></div>", "<svg-icon></svg-icon>", "<select-box>", "<title-bar></title-bar><template-x></template-x>", "<svg>", "<SELECT name=a>", "<iframe src='x'/><iframe>no</iframe>", "<title>no</title><title>", "<svg><svg>no</svg></svg>"]
+    + ["<textarea>no</TEXTAREA >", "<script-x></script-x>", "<script>'<svg>'</script>", "<style/>no</style>", "<math/>", "<div class='layout has-sidebar'>", "<div id=sidebar-wrapper><p data-id='ad'></p>", "<p class=ad>" + "<b>" * 9 + "Buy now<p>", "<!-->"],
 )
 def test_html_skips_no_article(before):
     tree = htmltext.trained_tree()
-    words = "the old mill by the river was open to all people of the town"
-    page = f"{before}<article><h1>A title</h1><p>{words} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> so</p><p>{words} <select><option>no</select>twice</p></article><svg><title>no</title></svg><script>no"
-    assert htmltext.main_text(page, tree) == f"A title\n{words} x=1 so\n{words} twice"
+    page = f"{before}<article data-id='ad'><h1 class=\"post-header\">A title</h1><p>{ARTICLE} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> so</p><noscript><p>without scripts</p></noscript><ul><li><a href=1>link</a></li></ul><object>as text</object><p>{ARTICLE} <select><option>no</select>twice</p></article><svg><title>no</title></svg><script>no"
+    assert htmltext.main_text(page, tree) == f"A title\n{ARTICLE} x=1 so\nwithout scripts\nlink\nas text\n{ARTICLE} twice"
 
 
-def test_html_unclosed_tags_take_linear_time():
+@pytest.mark.parametrize("page", ["<script " * 100_000, '<a "' * 100_000, '<a x="' * 100_001, "<b>" * 50_000 + "<p>x</p>" * 50_000, "<svg>a" * 60_000, "<title>" * 100_000, "<!-- " * 100_000, "<div><li></li>" * 30_000, "&" * 300_000, "<" * 300_000, "<div class='" * 100_001], ids=lambda p: p[:6])
+def test_html_of_hostile_pages_takes_linear_time(page):
     began = time.monotonic()
-    assert [t for t, _ in htmltext.blocks("<svg>a" * 60_000)] == [" ".join("a" * 60_000)]
-    assert time.monotonic() - began < 10
-
-
-def test_html_tree_on_held_out_pages():
-    """The tree of all labelled pages but one, on that one."""
-    right = total = 0
-    for k in range(len(htmltext.LABELLED)):
-        pages = [htmltext.featured(p) for i, p in enumerate(htmltext.LABELLED) if i != k]
-        y = np.array([t.startswith(htmltext.MARK) for texts, _ in pages for t in texts])
-        tree = htmltext._grow(np.vstack([x for _, x in pages]), y, 6)
-        texts, x = htmltext.featured(htmltext.LABELLED[k])
-        right += int((htmltext.classify(tree, x) == [t.startswith(htmltext.MARK) for t in texts]).sum())
-        total += len(texts)
-    assert right / total > 0.85
-
-
-def test_schema_constant():
-    assert SCHEMA.startswith("doc_id long")
+    htmltext.main_text(page, htmltext.trained_tree())
+    assert time.monotonic() - began < 5
+
+
+def tree_features(tree):
+    return set() if isinstance(tree, bool) else {htmltext.FEATURES[tree[0]]} | tree_features(tree[2]) | tree_features(tree[3])
+
+
+def test_html_tree_on_held_out_layouts():
+    """The tree of all labelled layouts but one, on that one; then without the features that tags and class words give away."""
+    assert {"words", "link_density", "words_after", "link_density_before", "link_density_after"} <= tree_features(htmltext.trained_tree())
+    pages = htmltext.labelled_pages()
+    n = len(htmltext.SCALES)
+    for hidden, least in (((), 0.93), ((10, 11), 0.75), ((8, 9, 10, 11), 0.65)):
+        right = total = 0
+        for k in range(len(htmltext.LABELLED)):
+            x, y = htmltext.training_table([p for i, p in enumerate(pages) if i // n != k])
+            a, b = htmltext.training_table(pages[n * k : n * k + n])
+            x[:, hidden], a[:, hidden] = 0, 0
+            right += int((htmltext.classify(htmltext.grow(x, y, 8), a) == b).sum())
+            total += len(b)
+        assert right / total > least

@@ -168,8 +168,8 @@ def test_suffix_array(alphabet):
     r = random.Random(alphabet)
     for n in (1, 2, 7, 60, 900):
         t = bytes(r.randrange(alphabet) for _ in range(n)) * r.choice((1, 2))
-        got = suffix.suffix_array(np.frombuffer(t, dtype=np.uint8))
-        assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        for base in (0, 1 << 18):
+            assert suffix.suffix_array(np.frombuffer(t, dtype=np.uint8), base).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
 def test_symbols_agree_inside_equal_windows():

@@ -157,7 +157,7 @@ QUESTION_TYPES = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("paylo
 
 def questions_table(block: int, state: object, found: list[tuple[int, bytes]]) -> pa.Table:
     """The questions of a block, and what it keeps for the next step: see kept."""
-    found = [*found, (-1 - block * 0x9E3779B1 % (1 << 30), dump(state))]  # no two blocks need to share a group
+    found = [*found, (-1 - (block * 0x9E3779B97F4A7C15 % (1 << 64) >> 34), dump(state))]  # each block's in a group of its own, nearly
     return pa.table([pa.array([p for p, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], schema=QUESTION_TYPES)
 
 

@@ -2,15 +2,18 @@
 
 An event has a conversation, a sequence number, a turn, a kind, a role and a text. Kinds: `message` opens a message, `delta` adds to
 the message that its turn opened last, `edit` replaces that message's text, and `regenerate` does the same and also
-withdraws all messages of later turns that had begun by then. Events fold by (conversation, turn), so a long conversation is
-folded in many tasks; turns are rendered in blocks of TURNS, and only finished block strings meet per conversation.
+withdraws all messages of later turns that had begun by then. Events come in any order. They fold by (conversation, turn), and turns meet in blocks of
+TURNS, which render them; the latest regeneration before a turn is a running maximum within its block and one over the blocks before. So a
+long conversation is folded and rendered in many tasks, and only block strings meet per conversation.
 
 The template is "### role:\\ntext</turn>\\n" for each turn. In texts and roles, backslash, "###" and "</turn>" (in roles also the line
-feed) become backslash codes, so no text can pose as a marker and every text can be read back exactly.
+feed) become backslash codes, so no text can pose as a marker and every text can be read back exactly. The loss mask comes with the string: the
+spans of the assistant's texts, in characters.
 
-Null texts are empty, null roles are empty roles, null conversations form one conversation, null turns come first. Rows that tie in turn and
-sequence are ordered by role and text, and repeated message rows stay separate messages. Kinds are matched exactly; an event of another
-kind, or one that continues a message that was never opened, opens a message of its own. An empty table gives no rows.
+Null texts are empty, null roles are empty roles, null conversations form one conversation, null turns come first. Sequence numbers are of any type that
+has an order. Rows that tie in turn and sequence are ordered by role and text, and repeated message rows stay separate messages. Kinds are matched exactly; an event of another
+kind, or one that continues a message that was never opened, opens a message of its own. A very long conversation is one row of the output, as it must be, and is put
+together from its blocks. Other columns of the events are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
-TURNS = 64
+BITS = 6
+TURNS = 1 << BITS
 HEAD, END = "### ", "</turn>\n"
 _CODES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"))
 
@@ -37,35 +41,68 @@ def unescape(text: Column) -> Column:
     return text
 
 
+_KEYS = ("nil", "conv")  # of a conversation; neither is null
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """df with the keys of its conversation, and the block of its turn and the place there; the null turn has a block of its own."""
+    turn = F.col("turn").cast("long")
+    return df.select(
+        F.col("conv_id").isNull().alias("nil"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"), "*",
+        F.coalesce(F.shiftright(turn, BITS), F.lit(-(1 << 62))).cast("long").alias("block"), F.coalesce(turn.bitwiseAND(F.lit(TURNS - 1)), F.lit(0)).cast("int").alias("place"),
+    )
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """conv_id, turn, message, role and text of each final message. events: conv_id, seq, turn, kind, role, text."""
-    e = events.select("conv_id", "seq", "turn", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ("seq", "role", "text")
-    of_turn = Window.partitionBy("conv_id", "turn").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    e = _placed(events.select("conv_id", "seq", "turn", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    again = F.when(F.col("kind") == "regenerate", F.col("seq"))
+    # the latest regeneration in the blocks before each block: rows without texts
+    blocks = e.groupBy(*_KEYS, "block").agg(F.max(again).alias("again"))
+    before = F.max("again").over(Window.partitionBy(*_KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(*_KEYS, "block", before.alias("before"))
+    by_turn, order = Window.partitionBy(*_KEYS, "turn"), ("seq", "role", "text")
+    running = by_turn.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     goes_on = F.coalesce(F.col("kind").isin("delta", "edit", "regenerate"), F.lit(False))
-    e = e.withColumn("message", F.sum(F.when(goes_on, 0).otherwise(1)).over(of_turn)).withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(*order)))
-    e = e.withColumn("reset", F.max(F.when(~goes_on | F.col("kind").isin("edit", "regenerate"), F.col("i"))).over(of_turn))
-    start = F.max("reset").alias("start")
-    parts = e.groupBy("conv_id", "turn", "message").agg(start, F.array_sort(F.collect_list(F.struct("i", "seq", "role", "text"))).alias("parts"))
+    e = e.withColumn("again", F.max(again).over(by_turn))
+    e = e.withColumn("message", F.sum(F.when(goes_on, 0).otherwise(1)).over(running)).withColumn("i", F.row_number().over(by_turn.orderBy(*order)))
+    e = e.withColumn("reset", F.max(F.when(~goes_on | F.col("kind").isin("edit", "regenerate"), F.col("i"))).over(running))
+    parts = e.groupBy(*_KEYS, "turn", "message").agg(
+        F.first("conv_id").alias("conv_id"), F.first("block").alias("block"), F.first("place").alias("place"), F.first("again").alias("again"), F.max("reset").alias("start"),
+        F.array_sort(F.collect_list(F.struct("i", "seq", "role", "text"))).alias("parts"),
+    )
     kept = F.filter("parts", lambda p: p["i"] >= F.coalesce(F.col("start"), F.lit(0)))
-    # a message belongs to its first event's role, wherever its text begins
-    folded = parts.select("conv_id", "turn", "message", F.get("parts", F.lit(0))["role"].alias("role"), F.array_join(F.transform(kept, lambda p: p["text"]), "").alias("text"), F.get("parts", F.lit(0))["seq"].alias("began"))
-    again = events.filter(F.col("kind") == "regenerate").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "seq")).alias("again"))
-    other = again.withColumnRenamed("conv_id", "again_conv")
-    joined = folded.join(other, folded["conv_id"].eqNullSafe(other["again_conv"]), "left")
-    withdrawn = F.exists("again", lambda r: (r["turn"] < F.col("turn")) & (r["seq"] > F.col("began")))
-    return joined.filter(~F.coalesce(withdrawn, F.lit(False))).select("conv_id", "turn", "message", "role", "text")
-
-
-def render(messages: DataFrame, turns: int = TURNS) -> DataFrame:
-    """conv_id and formatted, one row for each conversation."""
-    role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n"))
-    piece = F.concat(F.lit(HEAD), role, F.lit(":\n"), escape(F.col("text")), F.lit(END))
-    rows = messages.select("conv_id", F.floor(F.col("turn") / turns).alias("block"), "turn", "message", piece.alias("piece"))
-    sorted_text = lambda items: F.array_join(F.transform(items, lambda x: x["piece"]), "")
-    # struct order puts nulls first, in blocks and in turns alike
-    blocks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "message", "piece"))).alias("items")).select("conv_id", "block", sorted_text(F.col("items")).alias("piece"))
-    return blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("items")).select("conv_id", sorted_text(F.col("items")).alias("formatted"))
+    first = F.get("parts", F.lit(0))  # a message belongs to its first event's role, wherever its text begins
+    folded = parts.select(*_KEYS, "conv_id", "block", "place", "turn", "message", "again", first["role"].alias("role"), F.array_join(F.transform(kept, lambda p: p["text"]), "").alias("text"), first["seq"].alias("began"))
+    joined = folded.join(blocks, [*_KEYS, "block"])
+    earlier = F.max("again").over(Window.partitionBy(*_KEYS, "block").orderBy("place").rangeBetween(Window.unboundedPreceding, -1))
+    late = lambda c: F.coalesce(F.col(c) > F.col("began"), F.lit(False))
+    return joined.withColumn("earlier", earlier).filter(~late("before") & ~late("earlier")).select("conv_id", "turn", "message", "role", "text")
+
+
+def render(messages: DataFrame, learned: str = "assistant") -> DataFrame:
+    """conv_id, formatted and loss_spans (start and end, in characters from 0, of each text of the learned role), one row for each conversation."""
+    role, text = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), escape(F.col("text"))
+    head = F.concat(F.lit(HEAD), role, F.lit(":\n"))
+    rows = _placed(messages).select("conv_id", *_KEYS, "block", "place", "message", (F.col("role") == learned).alias("learned"), F.length(head).alias("from"), F.length(text).alias("chars"), F.concat(head, text, F.lit(END)).alias("piece"))
+    ordered = Window.partitionBy(*_KEYS, "block").orderBy("place", "message")
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("piece").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")) + F.col("from"))
+    items = F.sort_array(F.collect_list(F.struct("place", "message", "piece", "learned", "at", "chars")))
+    blocks = rows.groupBy(*_KEYS, "block").agg(F.first("conv_id").alias("conv_id"), items.alias("items"))
+    span = lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["chars"]).alias("end"))
+    blocks = blocks.select(*_KEYS, "block", "conv_id", F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("piece"), F.transform(F.filter("items", lambda x: x["learned"]), span).alias("spans"))
+    before = F.coalesce(F.sum(F.length("piece").cast("long")).over(Window.partitionBy(*_KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    blocks = blocks.withColumn("before", before)
+    moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("before")).alias("start"), (x["end"] + F.col("before")).alias("end")))
+    blocks = blocks.select(*_KEYS, "block", "conv_id", "piece", moved.alias("spans"))
+    out = blocks.groupBy(*_KEYS).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("block", "piece", "spans"))).alias("items"))
+    return out.select("conv_id", F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("formatted"), F.flatten(F.transform("items", lambda x: x["spans"])).alias("loss_spans"))
+
+
+def learned_text(formatted: Column, spans: Column) -> Column:
+    """The texts under the spans, unescaped, one after another."""
+    cut = lambda chars: F.array_join(F.transform(spans, lambda s: F.array_join(F.slice(chars, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "")), "")
+    return unescape(let(F.split(formatted, ""), cut))
 
 
 def parse(formatted: Column) -> Column:
@@ -82,8 +119,33 @@ def parse(formatted: Column) -> Column:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The event log of finished conversations: one message for each row."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    """An event log that ends in these conversations, as a service would have written it.
+
+    By a hash of the row, a turn comes as one message; as an empty message and deltas; as a draft and its edit; as deltas and an edit; or as a draft, answered
+    by a message that a regeneration of the turn withdraws, and the deltas of that. Sequence numbers are (turn, row of the turn, step). Events are in no order.
+    """
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    text, n = F.col("text"), F.floor(F.length("text") / 3).cast("int")
+    thirds = F.substring(text, F.lit(1), n), F.substring(text, n + 1, n), F.substring(text, 2 * n + 1, F.length("text"))
+    kinds = {
+        0: (("message", text),),
+        1: (("message", F.lit("")), *(("delta", t) for t in thirds)),
+        2: (("message", F.concat(thirds[0], F.lit(" (draft)"))), ("edit", text)),
+        3: (("message", thirds[2]), ("delta", thirds[0]), ("edit", F.concat(thirds[0], thirds[1])), ("delta", thirds[2])),
+        4: (("message", F.concat(F.lit("Draft: "), thirds[1])), ("later", F.lit("An answer to the draft.")), ("regenerate", F.lit("")), *(("delta", t) for t in thirds)),
+    }
+
+    def event(step: int, kind: str, body: Column) -> Column:
+        turn, name = (F.col("turn") + 1, "message") if kind == "later" else (F.col("turn"), kind)
+        return F.struct(F.struct(F.col("turn"), F.col("row"), F.lit(step).alias("step")).alias("seq"), turn.alias("turn"), F.lit(name).alias("kind"), body.alias("text"))
+
+    style = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(5))
+    style = F.when((style == 4) & (F.col("turn").isNull() | (F.col("turn") == (1 << 63) - 1)), 1).otherwise(style)
+    events = F.array(*(event(step, kind, body) for step, (kind, body) in enumerate(kinds[0])))
+    for k in range(1, 5):
+        events = F.when(style == k, F.array(*(event(step, kind, body) for step, (kind, body) in enumerate(kinds[k])))).otherwise(events)
+    return rows.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.turn", "e.kind", "role", "e.text")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +154,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     out = render(reconstruct(conversation_events(rows))).withColumn("turns", parse(F.col("formatted")))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    out = out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    out = out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), learned_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 

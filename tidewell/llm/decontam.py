@@ -1,14 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared in lower case with each run of white space as one space. An item of m characters occurs in a
-document if some part of the document lies within k = `budget` * m edits of the whole item. By the q-gram lemma such a part shares
-at least m - q + 1 - k * q of the item's q-grams on k + 1 neighbouring diagonals, so one of the overlapping bands of 2 (k + 1)
-diagonals holds that many hits. A sliding count over all hits rules most of a text out first, by the same bound; hits are
-counted per band only where that passes, and bands that reach the bound are verified by alignment. No step loses an occurrence.
+document if some part of the document lies within k = floor(`budget` * m) edits of the whole item; a part of an item by itself is no occurrence. By the q-gram lemma such
+a part shares at least m - q + 1 - k * q of the item's q-grams on k + 1 neighbouring diagonals, so one of the overlapping bands of 2 (k + 1)
+diagonals holds that many hits. q is Q, or as much less as short items need for the bound to be positive, so no
+item's budget is cut. A sliding count over all hits rules most of a text out first, by the same bound; hits are counted per band only where that passes, and
+bands that reach the bound are verified by alignment within the band and k diagonals on either side: O(m k) cells, however repetitive the text. No step loses an
+occurrence.
 
 The benchmark is the stated query set. It is taken in blocks of at most BLOCK_CHARS characters, each broadcast for one scan of the documents, which
-move nowhere. Null and blank texts and items match nothing. Items too short for the bound are matched exactly. Repeated rows
-are judged alike. Long texts are scanned in overlapping pieces.
+move nowhere; a benchmark of n blocks costs n scans, and the broadcasts of a query stay until it is done. Null and blank texts and items match
+nothing. Items shorter than 1 / budget have no edits and are matched exactly. Repeated rows are judged alike. Long texts are scanned in overlapping pieces. Extra columns pass through
+whatever their names. An empty table or benchmark gives no occurrence.
 """
 
 from __future__ import annotations
@@ -38,30 +41,47 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """A hash of the Q = 8 characters from each position on."""
-    h, base = c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0x2545F4914F6CDD1D), _BASE
-    for step in (1, 2, 4):
-        if len(h) <= step:
-            return np.zeros(0, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            h = h[:-step] * base + h[step:]
-            base = base * base
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+def grams(c: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q characters from each position on."""
+    n = len(c) - q + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    one = c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0x2545F4914F6CDD1D)
+    total, have, done, base, power = None, one, 0, int(_BASE), 1
+    while done < q:  # by the binary digits of q, from the lowest
+        if q & power:
+            piece = have[done : done + n]
+            total = piece.copy() if total is None else total * np.uint64(base) + piece
+            done += power
+        if done < q:
+            have = have[:-power] * np.uint64(base) + have[power:]
+            base, power = base * base % (1 << 64), power * 2
+    return total * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Index:
-    """The q-grams of a block of items."""
+class Benchmark:
+    """A block of items: those matched exactly, and an index of the others for each q."""
 
     def __init__(self, items: list[tuple[int, str]], budget: float = BUDGET):
         known = [(i, n) for i, t in items if (n := normal(t))]
-        self.short = [(i, n) for i, n in known if len(n) < Q]
-        known = sorted(((i, n) for i, n in known if len(n) >= Q), key=lambda x: (len(x[1]), x[0] is None, x[0] or 0))
-        self.ids, self.texts = [i for i, _ in known], [n for _, n in known]
-        self.m = np.array([len(n) for n in self.texts], dtype=np.int64)
-        self.k = np.minimum((self.m * budget).astype(np.int64), np.maximum(0, (self.m - Q) // Q))
-        self.need = np.maximum(1, self.m - Q + 1 - self.k * Q)
-        all_grams = [grams(codes(n)) for n in self.texts]
+        edits = lambda n: int(len(n) * budget)
+        self.short = [(i, n) for i, n in known if not edits(n) and len(n) < Q]
+        groups: dict[int, list] = {}
+        for i, n in known:
+            if edits(n) or len(n) >= Q:
+                groups.setdefault(min(Q, len(n) // (edits(n) + 1)), []).append((i, n, edits(n)))
+        self.indexes = [Index(group, q) for q, group in sorted(groups.items(), reverse=True)]
+
+
+class Index:
+    """The q-grams of items (id, normal form, edits)."""
+
+    def __init__(self, items: list[tuple[int, str, int]], q: int):
+        known = sorted(items, key=lambda x: (len(x[1]), x[0] is None, x[0] or 0))
+        self.q, self.ids, self.texts = q, [i for i, _, _ in known], [n for _, n, _ in known]
+        self.m, self.k = np.array([len(n) for n in self.texts], dtype=np.int64), np.array([k for *_, k in known], dtype=np.int64)
+        self.need = self.m - q + 1 - self.k * q
+        all_grams = [grams(codes(n), q) for n in self.texts]
         flat = np.concatenate([np.zeros(0, dtype=np.uint64), *all_grams])
         item = np.repeat(np.arange(len(all_grams)), [len(g) for g in all_grams]).astype(np.int64)
         at = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(g)) for g in all_grams)])
@@ -95,43 +115,60 @@ def _near(hit: np.ndarray, index: Index) -> np.ndarray:
     return at[near]
 
 
-def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
-    """Least edits between the item and any stretch of part, and where the first such stretch ends."""
-    row = np.zeros(len(part) + 1, dtype=np.int32)
-    j = np.arange(len(part) + 1, dtype=np.int32)
-    for i, ch in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (part != ch), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - j) + j
-    end = int(np.argmin(row))
-    return int(row[end]), end
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """Least edits between the item and any stretch of text, and where the first such stretch ends, over the paths on diagonals low to high.
 
-
-def _verify(index: Index, item: int, text: str, lo: int, hi: int) -> tuple[int, int, int] | None:
-    """Start, end and edits of the best occurrence of the item in text[lo:hi]."""
+    A path is on diagonal d where it has d more characters of text than of the item behind it. Beyond its ends the text is taken to go on with characters that
+    no item has, which costs what leaving out the item's would.
+    """
+    width, m = high - low + 1, len(item)
+    padded = np.full(m + width, 0xFFFFFFFF, dtype=np.uint32)  # text[low : low + m + width]
+    a, b = max(low, 0), min(low + m + width, len(text))
+    if a < b:
+        padded[a - low : b - low] = text[a:b]
+    t = np.arange(width, dtype=np.int32)
+    row = np.zeros(width, dtype=np.int32)
+    for i, ch in enumerate(item):
+        new = row + (padded[i : i + width] != ch)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        row = np.minimum.accumulate(new - t) + t
+    best = int(np.argmin(row))
+    return int(row[best]), min(max(m + low + best, 0), len(text))
+
+
+def _verify(index: Index, item: int, text: str, first: int, last: int) -> tuple[int, int, int] | None:
+    """Start, end and edits of the best occurrence of the item in text whose hits lie on diagonals first to last."""
+    m, k = int(index.m[item]), int(index.k[item])
+    lo, hi = max(0, first - k), min(len(text), last + m + 2 * k)
     found = text.find(index.texts[item], lo, hi)
     if found >= 0:
-        return found, found + len(index.texts[item]), 0
-    if not index.k[item]:
+        return found, found + m, 0
+    if not k or hi <= lo:
         return None
     want, part = codes(index.texts[item]), codes(text[lo:hi])
-    edits, end = align(want, part)
-    if edits > index.k[item]:
+    edits, end = align(want, part, first - k - lo, last + k - lo)
+    if edits > k:
         return None
-    _, back = align(want[::-1], part[:end][::-1])
+    edits, back = align(want[::-1], part[:end][::-1], -2 * k, 2 * k)  # from the end back, by the same edits at most
     return lo + end - back, lo + end, edits
 
 
-def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
+def scan(texts: list[str], benchmark: Benchmark) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of the best occurrence of each item in each text (normal forms)."""
+    out = [found for index in benchmark.indexes for found in _scan(texts, index)]
+    for i, t in enumerate(texts):
+        out += [(i, item, at, at + len(n), 0) for item, n in benchmark.short if (at := t.find(n)) >= 0]
+    return out
+
+
+def _scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
 
     def put(i: int, item: int, found: tuple[int, int, int] | None) -> None:
         if found and ((i, item) not in best or (found[2], found[0]) < (best[i, item][2], best[i, item][0])):
             best[i, item] = found
 
-    pieces = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - index.reach), PIECE)] if len(index.m) else []
+    pieces = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - index.reach), PIECE)]
     group: list[tuple[int, int]] = []
     size = 0
 
@@ -142,7 +179,7 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]
         parts = [texts[i][at : at + PIECE + index.reach] for i, at in group]
         starts = np.r_[0, np.cumsum([len(p) + 1 for p in parts])]
         c = codes("\0".join(parts))
-        g = grams(c)
+        g = grams(c, index.q)
         at = _near(index.filter[(g >> np.uint64(64 - _BITS)).astype(np.int64)], index)
         place = np.searchsorted(index.grams, g[at])
         real = index.grams[np.minimum(place, len(index.grams) - 1)] == g[at]
@@ -164,22 +201,13 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]
             counts = np.bincount(back, weights=np.r_[counts, many]).astype(np.int64)
         own, band = keys // span, keys % span
         full = counts >= index.need[own % len(index.m)]
-        own, band = own[full], band[full]
-        at_once: dict[int, list[int]] = {}
-        for o, b in zip(own.tolist(), band.tolist(), strict=True):
-            at_once.setdefault(o, []).append(b)
-        for o, bands in at_once.items():
+        for o, b in zip(own[full].tolist(), band[full].tolist(), strict=True):
             (i, base), item = group[o // len(index.m)], o % len(index.m)
-            w, m, k = int(index.k[item]) + 1, int(index.m[item]), int(index.k[item])
-            off = int(starts[o // len(index.m)]) - base
-            run = [bands[0], bands[0]]
-            for b in [*bands[1:], None]:
-                if b is not None and b <= run[1] + 2:
-                    run[1] = b
-                    continue
-                lo, hi = (run[0] - 1) * w - index.reach - k - off, (run[1] + 1) * w - index.reach + m + 2 * k - off
-                put(i, item, _verify(index, item, texts[i], max(0, lo), min(len(texts[i]), max(0, hi))))
-                run = [b, b]
+            if (i, item) in best and not best[i, item][2] and best[i, item][0] <= base:
+                continue
+            w = int(index.k[item]) + 1
+            off = index.reach + int(starts[o // len(index.m)]) - base
+            put(i, item, _verify(index, item, texts[i], (b - 1) * w - off, (b + 1) * w - 1 - off))
         group, size = [], 0
 
     for i, at in pieces:
@@ -188,10 +216,7 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]
         if size >= PIECE:
             flush()
     flush()
-    out = [(i, index.ids[item], *x) for (i, item), x in best.items()]
-    for i, t in enumerate(texts):
-        out += [(i, item, at, at + len(n), 0) for item, n in index.short if (at := t.find(n)) >= 0]
-    return out
+    return [(i, index.ids[item], *x) for (i, item), x in best.items()]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -218,7 +243,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     out = spark.createDataFrame([], _FOUND)
     for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Index(block, budget))
+        shared = spark.sparkContext.broadcast(Benchmark(block, budget))
 
         def find(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches(stream, 4 << 20):
@@ -236,7 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out = docs
     place = docs.columns.index(text)
     for block in _blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, budget))
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, budget))
 
         def clean(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches(stream, 4 << 20):

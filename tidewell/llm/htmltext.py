@@ -33,9 +33,9 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _PART = re.compile(r"[a-z]+")
-_RAW = frozenset("script style title textarea iframe".split())
+_RAW = frozenset(("script", "style"))
 _CLOSER = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in _RAW}
-_NESTED = frozenset("svg select template button".split())
+_NESTED = frozenset("title textarea iframe svg select template button".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -117,7 +117,7 @@ class _Tags:
                         end = gt if gt >= 0 else len(page)
                     else:
                         self.none_ahead.add(key)
-                        end = len(page) if name in ("script", "style") else end
+                        end = len(page)
                     yield start, end, "!", " ", end
             else:
                 continue
@@ -263,6 +263,14 @@ MARK = "\ue000"
 _VOCABULARY = "the river ran past an old mill and people of our town came to see it every day in summer".split()
 
 
+#: Whatever stands in an article without a mark is main text: an article has these in every order of three.
+KINDS = ("<p>@{1}</p>", "<div>@{9}</div>", "<p>@{30}</p>", "<li>@[1]</li>", "<p>@[7]</p>", "<h3>@{2}</h3>")
+
+
+def _every_three(kinds: tuple[str, ...]) -> str:
+    return "<article>" + "".join(a + b + c for a in kinds for b in kinds for c in kinds) + "</article>"
+
+
 def labelled_pages() -> list[str]:
     pages, k = [], 0
 
@@ -271,8 +279,8 @@ def labelled_pages() -> list[str]:
         k += n
         return " ".join(_VOCABULARY[(k + i) % len(_VOCABULARY)] for i in range(n))
 
-    for page in LABELLED:
-        for scale in SCALES:
+    for page in (*LABELLED, _every_three(KINDS)):
+        for scale in SCALES if page in LABELLED else (1.0,):
             size = lambda m, scale=scale: max(1, round(int(m[1]) * (scale if int(m[1]) > 3 else 1)))
             made = re.sub(r"\{(\d+)\}", lambda m: words(size(m)), page)
             made = re.sub(r"\[(\d+)\]", lambda m: f"<a href=#>{words(size(m))}</a>", made)
@@ -303,7 +311,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 3) -> tuple | bo
     if best[1] < 0:
         return bool(y.mean() >= 0.5)
     low = x[:, best[1]] <= best[2]
-    return best[1], best[2], grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    below, above = grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    return below if isinstance(below, bool) and below is above else (best[1], best[2], below, above)
 
 
 @lru_cache(maxsize=1)

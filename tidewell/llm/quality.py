@@ -37,7 +37,7 @@ class Rule:
 
 #: The threshold table. Ratios of a text without words count as zero.
 RULES = (
-    Rule("n_words", low=50, high=1_000_000),
+    Rule("n_words", low=50),
     Rule("mean_word_chars", low=2.0, high=12.0),
     Rule("symbols_per_word", high=0.10),
     Rule("stop_word_ratio", low=0.05),
@@ -156,7 +156,7 @@ m AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words <= 1000000
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
          AND word_chars::DOUBLE / n_words >= 2 AND word_chars::DOUBLE / n_words <= 12 AND n_symbols::DOUBLE / n_words <= 0.1
          AND n_stop::DOUBLE / n_words >= 0.05 AND n_upper::DOUBLE / word_chars <= 0.4 AND n_dup_lines::DOUBLE / n_lines <= 0.5
          AND n_ell::DOUBLE / n_lines <= 0.3 AND n_bul::DOUBLE / n_lines <= 0.9 AS kept
