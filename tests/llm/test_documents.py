@@ -359,12 +359,11 @@ def test_chat_events_against_brute_force(spark):
     want = brute_chat(ev)
     r.shuffle(ev)
     df = spark.createDataFrame([(*e, 1, 2, "x") for e in ev], "conv_id long, seq long, turn long, kind string, role string, text string, block int, nil int, again string").repartition(5)
-    messages = chat.reconstruct(df)
-    out = chat.render(messages).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.learned_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    out = chat.render(chat.reconstruct(df)).withColumn("turns", chat.parse(F.col("formatted"))).collect()
     assert {x.conv_id: [(t.role, t.text) for t in x.turns] for x in out} == {c: v for c, v in want.items() if v}
     for x in out:
         texts = [t for role, t in want[x.conv_id] if role == "assistant"]
-        assert x.loss == "".join(texts) and [x.formatted[s.start : s.end] for s in x.loss_spans] == texts  # nothing to escape here
+        assert [x.formatted[s.start : s.end] for s in x.loss_spans] == texts  # nothing to escape here
 
 
 def test_chat_log_ends_in_the_conversations(spark):
@@ -374,7 +373,8 @@ def test_chat_log_ends_in_the_conversations(spark):
     rows += [(1, 3, "assistant", "twin"), (1, 3, "assistant", "twin"), (None, None, "assistant", "x"), (None, 2, None, "y"), (5, None, "user", "z"), (6, (1 << 63) - 1, "assistant", "last"), (6, -(1 << 63), "assistant", "first")]
     events = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert {r.kind for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"} and events.count() > 2 * len(rows)
-    out = chat.render(chat.reconstruct(events.repartition(6))).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.learned_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    blocks = chat.render_blocks(chat.reconstruct(events.repartition(6))).withColumn("loss", chat.learned_text(F.col("piece"), F.col("spans")))
+    out = chat.join_blocks(blocks, "loss").withColumn("turns", chat.parse(F.col("formatted"))).collect()
     want = {}
     for c, t, role, text in rows:
         want.setdefault(c, []).append((-(1 << 64) if t is None else t, role or "", text or ""))

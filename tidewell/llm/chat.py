@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import table
 
 BITS = 6
 TURNS = 1 << BITS
@@ -80,8 +80,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
     return joined.withColumn("earlier", earlier).filter(~late("before") & ~late("earlier")).select("conv_id", "turn", "message", "role", "text")
 
 
-def render(messages: DataFrame, learned: str = "assistant") -> DataFrame:
-    """conv_id, formatted and loss_spans (start and end, in characters from 0, of each text of the learned role), one row for each conversation."""
+def render_blocks(messages: DataFrame, learned: str = "assistant") -> DataFrame:
+    """The keys of a conversation, conv_id, block, piece (the block's string) and spans (start and end there of each text of the learned role, in characters from 0)."""
     role, text = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), escape(F.col("text"))
     head = F.concat(F.lit(HEAD), role, F.lit(":\n"))
     rows = _placed(messages).select("conv_id", *_KEYS, "block", "place", "message", (F.col("role") == learned).alias("learned"), F.length(head).alias("from"), F.length(text).alias("chars"), F.concat(head, text, F.lit(END)).alias("piece"))
@@ -90,19 +90,27 @@ def render(messages: DataFrame, learned: str = "assistant") -> DataFrame:
     items = F.sort_array(F.collect_list(F.struct("place", "message", "piece", "learned", "at", "chars")))
     blocks = rows.groupBy(*_KEYS, "block").agg(F.first("conv_id").alias("conv_id"), items.alias("items"))
     span = lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["chars"]).alias("end"))
-    blocks = blocks.select(*_KEYS, "block", "conv_id", F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("piece"), F.transform(F.filter("items", lambda x: x["learned"]), span).alias("spans"))
+    return blocks.select(*_KEYS, "conv_id", "block", F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("piece"), F.transform(F.filter("items", lambda x: x["learned"]), span).alias("spans"))
+
+
+def join_blocks(blocks: DataFrame, *also: str) -> DataFrame:
+    """conv_id, formatted and loss_spans (places in formatted), one row for each conversation; and other strings of the blocks, joined like formatted."""
     before = F.coalesce(F.sum(F.length("piece").cast("long")).over(Window.partitionBy(*_KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     blocks = blocks.withColumn("before", before)
     moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("before")).alias("start"), (x["end"] + F.col("before")).alias("end")))
-    blocks = blocks.select(*_KEYS, "block", "conv_id", "piece", moved.alias("spans"))
-    out = blocks.groupBy(*_KEYS).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("block", "piece", "spans"))).alias("items"))
-    return out.select("conv_id", F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("formatted"), F.flatten(F.transform("items", lambda x: x["spans"])).alias("loss_spans"))
+    out = blocks.withColumn("spans", moved).groupBy(*_KEYS).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("block", "piece", "spans", *also))).alias("items"))
+    joined = lambda c: F.array_join(F.transform("items", lambda x: x[c]), "")
+    return out.select("conv_id", joined("piece").alias("formatted"), F.flatten(F.transform("items", lambda x: x["spans"])).alias("loss_spans"), *(joined(c).alias(c) for c in also))
+
+
+def render(messages: DataFrame, learned: str = "assistant") -> DataFrame:
+    """conv_id, formatted and loss_spans (start and end, in characters from 0, of each text of the learned role), one row for each conversation."""
+    return join_blocks(render_blocks(messages, learned))
 
 
-def learned_text(formatted: Column, spans: Column) -> Column:
-    """The texts under the spans, unescaped, one after another."""
-    cut = lambda chars: F.array_join(F.transform(spans, lambda s: F.array_join(F.slice(chars, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "")), "")
-    return unescape(let(F.split(formatted, ""), cut))
+def learned_text(piece: Column, spans: Column) -> Column:
+    """The texts under the spans, unescaped, one after another. For the strings of blocks: each cut looks at the whole string."""
+    return unescape(F.array_join(F.transform(spans, lambda s: F.substring(piece, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), ""))
 
 
 def parse(formatted: Column) -> Column:
@@ -152,9 +160,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    out = render(reconstruct(conversation_events(rows))).withColumn("turns", parse(F.col("formatted")))
+    blocks = render_blocks(reconstruct(conversation_events(rows)))
+    out = join_blocks(blocks.withColumn("loss", learned_text(F.col("piece"), F.col("spans"))), "loss").withColumn("turns", parse(F.col("formatted")))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    out = out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), learned_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    out = out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), "loss", F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 

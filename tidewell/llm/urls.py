@@ -80,11 +80,11 @@ def features(host: Column, path: Column) -> Column:
     """The distinct hashed n-grams: numbers below 2^BITS for the host, and from there on for the path."""
 
     def of(text: Column, offset: int) -> Column:
-        def grams(c: Column) -> Column:
-            each = [F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i, n=n: (F.pmod(F.xxhash64(F.array_join(F.slice(c, i, n), "")), F.lit(1 << BITS)) + offset).cast("int"))).otherwise(F.array().cast("array<int>")) for n in SIZES]
-            return F.array_distinct(F.concat(*each))
+        def numbers(c: Column, n: int) -> Column:
+            number = lambda i: (F.pmod(F.xxhash64(F.concat(*(F.get(c, i + k) for k in range(n)))), F.lit(1 << BITS)) + offset).cast("int")
+            return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), number)).otherwise(F.array().cast("array<int>"))
 
-        return let(F.split(text, ""), grams)
+        return let(F.split(text, ""), lambda c: F.array_distinct(F.concat(*(numbers(c, n) for n in SIZES))))
 
     return F.concat(of(F.concat(F.lit("."), host, F.lit("/")), 0), of(path, 1 << BITS))
 
