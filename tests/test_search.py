@@ -41,26 +41,64 @@ def test_wrong_width_is_an_error(spark):
 
 
 def test_rrf(spark):
-    r = spark.createDataFrame([(1, "q", 1, "A"), (1, "q", 2, "B"), (2, "q", 1, "A"), (2, "q", 2, "C")], "list int, query_id string, rank long, chunk_id string")
-    a, b = r.filter("list = 1").drop("list"), r.filter("list = 2").drop("list")
-    out = rows(fusion.rrf_fuse([a, b]).orderBy("rank"), "chunk_id", "score")
-    assert [x[0] for x in out] == ["A", "B", "C"]
-    assert out[0][1] == pytest.approx(2 / 61, abs=1e-8) and out[1][1] == out[2][1] == pytest.approx(1 / 62, abs=1e-8)
-    assert rows(fusion.rrf_fuse([b, a]).orderBy("rank"), "chunk_id", "score") == out
+    ranks = {"x": {"m": 1, "n": 2, "o": 3}, "y": {"n": 1, "p": 2, "m": 4}, "z": {"o": 1}}
+    lists = [spark.createDataFrame([("q", r, c) for c, r in ranks[k].items()], "query_id string, rank long, chunk_id string") for k in "xyz"]
+    want = {c: sum(1 / (60 + r[c]) for r in ranks.values() if c in r) for c in "mnop"}
+    out = rows(fusion.rrf_fuse(lists).orderBy("rank"), "chunk_id", "score")
+    assert [c for c, _ in out] == sorted(want, key=lambda c: (-round(want[c], 9), c)) and all(s == pytest.approx(want[c], abs=1e-8) for c, s in out)
+    assert rows(fusion.rrf_fuse(lists[::-1]).orderBy("rank"), "chunk_id", "score") == out
+    tied = rows(fusion.rrf_fuse([lists[2], lists[1].filter("rank = 1")]).orderBy("rank"), "chunk_id")
+    assert tied == [("n",), ("o",)]  # equal scores: the lesser id first
     with pytest.raises(ValueError):
         fusion.rrf_fuse([])
 
 
-DOCS = [("d1", "列表下拉刷新组件 Refresh list"), ("d2", "coroutine scope and launch"), ("d3", "lifecycle onCreate")]
+BOATS = [("b1", "Ferries to the northern islands leave at noon", "Harbour / Timetable"), ("b2", "渡轮 时刻表 the night boat", "Harbour / Winter"), ("b3", "mooring fees, banana boats and anagrams", "Prices"), ("b4", None, "Lost and found"), ("b5", "", "")]
+
+
+def boats(spark):
+    return spark.createDataFrame(BOATS, "chunk_id string, content string, heading string")
 
 
 def test_bm25(spark):
-    docs = spark.createDataFrame(DOCS, "chunk_id string, content string")
-    ask = lambda t: rows(fulltext.bm25_topk(docs, spark.createDataFrame([("q", t)], "query_id string, query string"), 5).orderBy("rank"), "chunk_id")
-    assert ask("下拉刷新") == [("d1",)]
-    assert ask("launch scope") == [("d2",)]
-    assert ask("launch lifecycle") == []
-    assert ask("   ") == [] and ask("x") == []
+    ask = lambda t, **kw: rows(fulltext.bm25_topk(boats(spark), spark.createDataFrame([("q", t)], "query_id string, query string"), 5, **kw).orderBy("rank"), "chunk_id")
+    assert ask("时刻") == [("b2",)] and ask("NORTH leave") == [("b1",)] and ask("north mooring") == []
+    assert ask("   ") == [] and ask("x") == [] and ask("found") == [] and ask(None) == []
+    both = {"field": ("content", "heading")}
+    assert ask("found", **both) == [("b4",)] and ask("timetable noon", **both) == [("b1",)] and sorted(ask("harbour", **both)) == [("b1",), ("b2",)]
+    assert fulltext.bm25_topk(boats(spark).limit(0), spark.createDataFrame([("q", "boat")], "query_id string, query string"), 5).count() == 0
+
+
+def test_query_syntax(spark):
+    def ask(t):
+        q = spark.createDataFrame([("q", t)], "query_id string, query string")
+        return sorted(r[0] for r in rows(fulltext.bm25_topk(boats(spark), q, 5, field=("content", "heading"), syntax=True), "chunk_id"))
+
+    assert ask('"night boat"') == ["b2"] and ask('"boat night"') == [] and ask("boat -banana") == ["b2"] and ask("+boat +fees") == ["b3"]
+    assert ask("heading:harbour") == ["b1", "b2"] and ask("content:harbour") == [] and ask('heading:"lost and"') == ["b4"]
+    assert ask('boat "unclosed') == [] and ask("no:such") == [] and ask("-boat") == [] and ask('"') == []
+
+
+def test_overlapping_grams_count(spark):
+    assert [fulltext.occurrences(t, g) for t, g in (("banana", "ana"), ("aaaa", "aa"), ("aaaa", "aaa"), ("abab", "ab"), ("xyz", "zz"))] == [2, 3, 2, 2, 0]
+    d = spark.createDataFrame([("a", "banana aaaa"), ("b", None)], "chunk_id string, content string")
+    got = {r.term: r.tf for r in fulltext.postings(d).collect()}
+    assert all(fulltext.occurrences("banana aaaa", g) == n for g, n in got.items()) and sum(got.values()) == 10 + 9
+
+
+def test_scan_and_postings_agree(spark):
+    both = ("content", "heading")
+    post, n = fulltext.postings(boats(spark), field=both), len(BOATS)
+    avg = {f: sum(fulltext.gram_count(len(r[i] or "")) for r in BOATS) / n for i, f in ((1, "content"), (2, "heading"))}
+    q = spark.createDataFrame([("1", "boat"), ("2", "harbour the"), ("3", "an"), ("4", "the 时刻表"), ("5", "b")], "query_id string, query string")
+    scan = sorted(rows(fulltext.bm25_topk(boats(spark), q, 2, field=both), "query_id", "rank", "chunk_id", "score"))
+    assert scan == sorted(rows(fulltext.search_postings(post, n, avg, q, 2), "query_id", "rank", "chunk_id", "score")) and len(scan) > 5
+
+
+def test_null_vectors_are_not_found(spark):
+    c = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("r", None)], "query_id string, embedding array<double>")
+    assert rows(vector.vector_topk(c, q, 5), "query_id", "chunk_id") == [("q", "a")]
 
 
 def test_filters_differ_by_branch(spark):

@@ -1,14 +1,15 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell import api
-from tidewell.errors import ConfigError, NotFoundError, ParseError, ReadOnlyError, StorageError, UnsupportedLanguageError
+from tidewell.errors import ConfigError, DimensionError, NotFoundError, ParseError, ReadOnlyError, StorageError, UnsupportedLanguageError
 from tidewell.functions.embed import hash_embed, hash_model_id
 from tidewell.functions.enhance import classify_intent, extract_entities, rule_enhance
 from tidewell.functions.lang import detect_lang
-from tidewell.operators import evaluate
+from tidewell.operators import evaluate, fulltext
 from tidewell.sources import code, corpus, index, markdown, querysets
 from tidewell.streaming.ingest import first_seen, ingest, windowed_counts
 
@@ -125,6 +126,49 @@ def test_index_query_evaluate(spark, folder, tmp_path):
     assert store.count() == 4
 
 
+def chunks_of(spark, texts):
+    return spark.createDataFrame([(k, f"{k}.md", v, ["H", k], False, [1.0, 0.0]) for k, v in texts.items()], "chunk_id string, source string, content string, heading_path array<string>, deprecated boolean, embedding array<float>")
+
+
+def test_store_versions(spark, tmp_path):
+    """Each write adds a segment of its own size; statistics follow; a writer that dies half-way changes nothing."""
+    store = index.Store(spark, str(tmp_path / "s"))
+    with pytest.raises(NotFoundError):
+        store.open_or_create("m", 0)
+    assert store.open_or_create("m", 2)["embedder_dim"] == 2 and store.is_empty() and store.open_or_create("m", 0)["version"] == 1
+    with pytest.raises(StorageError):
+        store.open_or_create("other", 2)
+    store.upsert(chunks_of(spark, {f"k{i}": f"text number {i} " * 40 for i in range(50)}))
+    before = {p.name for p in (tmp_path / "s" / "segments").iterdir()}
+    store.upsert(chunks_of(spark, {"k1": "changed text", "new": "another"}))
+    store.delete(spark.createDataFrame([("k2",), ("nowhere",), ("k2",)], "chunk_id string"))
+    (first, second) = sorted((p for p in (tmp_path / "s" / "segments").iterdir() if p.name not in before), key=lambda p: (p / "chunks").exists())
+    assert spark.read.parquet(str(second / "chunks")).count() == 2 and not (first / "chunks").exists() and spark.read.parquet(str(second / "postings")).count() < 100
+    want = {f"k{i}": f"text number {i} " * 40 for i in range(50)} | {"k1": "changed text", "new": "another"}
+    del want["k2"]
+    check = lambda s: ({r.chunk_id: r.content for r in s.chunks("m", 2).collect()}, s.count(), s.postings().filter("id = 'k1' AND field = 'content'").count(), s.postings().filter("id = 'k2'").count())
+    assert check(store) == (want, 50, len(set(fulltext.gram_counts("changed text"))), 0)
+    full = {f: sum(fulltext.gram_count(len(v if f == "content" else f"H / {k}")) for k, v in want.items()) for f in ("content", "heading_path")}
+    assert {f: store.manifest()["lengths"][f] for f in full} == full
+    (tmp_path / "s" / "manifests" / ".half").write_text("{")  # written, and not yet moved
+    (tmp_path / "s" / "segments" / "orphan").mkdir()
+    assert check(index.Store(spark, str(tmp_path / "s"), read_only=True)) == check(store)
+    stale = store.manifest()
+    store.upsert(chunks_of(spark, {"k3": "third"}))
+    with pytest.raises(StorageError):
+        store._commit(stale | {"version": stale["version"] + 1})  # another writer was faster
+    want["k3"] = "third"
+    store.compact()
+    assert len(store.manifest()["segments"]) == 1 and "orphan" in store.vacuum() and check(store)[:2] == (want, 50)
+    assert len(list((tmp_path / "s" / "segments").iterdir())) == 1 and {f: store.manifest()["lengths"][f] for f in full} == {f: sum(fulltext.gram_count(len(v if f == "content" else f"H / {k}")) for k, v in want.items()) for f in full}
+    with pytest.raises(DimensionError):
+        store.upsert(chunks_of(spark, {"w": "x"}).withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    store.MAX_SEGMENTS = 2
+    for i in range(3):
+        store.upsert(chunks_of(spark, {"k4": f"round {i}"}))
+    assert len(store.manifest()["segments"]) <= 2 and store.chunks().filter("chunk_id = 'k4'").first().content == "round 2" and store.count() == 50
+
+
 def test_upserts(spark):
     a = spark.createDataFrame([("x", "first"), ("y", "stays")], "chunk_id string, content string")
     b = spark.createDataFrame([("x", "second"), ("x", "second"), ("z", "new")], "chunk_id string, content string")
@@ -152,21 +196,25 @@ def test_event_windows(spark):
 
 
 def test_enhancement(spark):
-    q = spark.createDataFrame([("1", "How does Router 跳转 work"), ("2", "scenarios"), ("3", "fix this Error"), ("4", "hello"), ("5", "FlexUI-X List.onScroll List.onScroll v2 a")], "query_id string, query string")
+    q = spark.createDataFrame([("1", "Which Router 跳转 opens the map"), ("2", "old scenarios"), ("3", "mend the Error"), ("4", "good day"), ("5", "use Tide_2 in Chart.draw Chart.draw of v7 b, now")], "query_id string, query string")
     r = {x.query_id: x for x in rule_enhance(q).collect()}
     assert [r[k].intent for k in "12345"] == ["api_lookup", "migration", "error_fix", "generic", "generic"]
-    assert r["5"].entities == ["FlexUI", "List.onScroll", "v2"] and r["4"].entities == []
-    assert "hello" in r["4"].hyde_doc.split("\n")[0]
+    assert r["5"].entities == ["Tide_2", "Chart.draw", "v7"] and r["4"].entities == []
+    assert "good day" in r["4"].hyde_doc.split("\n")[0]
     assert q.select(classify_intent(F.lit(None).cast("string")), extract_entities(F.lit("A A b B"))).first()[1] == []
 
 
 def test_evaluation(spark, tmp_path):
-    ret = spark.createDataFrame([("q1", 1, "a"), ("q1", 2, "b"), ("q1", 3, "c"), ("q2", 1, "x"), ("q2", 2, "y"), ("q2", 3, "z"), ("q3", 3, "a"), ("q3", 1, "x"), ("q3", 2, "y")], "query_id string, rank long, chunk_id string")
-    truth = spark.createDataFrame([("q1", ["a", "b"]), ("q2", ["m", "n"]), ("q3", ["a"]), ("q4", []), ("q5", None)], "query_id string, relevant array<string>")
-    r = {x.query_id: x for x in evaluate.per_query(ret, truth, 3).collect()}
-    assert [r[q].recall for q in ("q1", "q2", "q3", "q4", "q5")] == [1, 0, 1, 0, 0] and r["q3"].mrr == pytest.approx(1 / 3) and r["q2"].missed == ["m", "n"]
-    lat = spark.createDataFrame([("g", float(v)) for v in (5, 1, 4, 2)], "g string, v double")
-    assert tuple(evaluate.exact_percentiles(lat, "g", "v").first()) == ("g", 4.0, 5.0, 4)
+    """Four returned each: all, half, none, the last of three relevant; and a query without truth."""
+    got = {"all": "prst", "half": "pxry", "none": "wxyz", "late": "xyzp"}
+    ret = spark.createDataFrame([(q, k, c) for q, ids in got.items() for k, c in enumerate(ids, 1)], "query_id string, rank long, chunk_id string")
+    truth = spark.createDataFrame([("all", ["p", "r", "s", "t"]), ("half", ["r", "p", "u", "v"]), ("none", ["a"]), ("late", ["p", "u", "p", "v"]), ("empty", []), ("null", None)], "query_id string, relevant array<string>")
+    r = {x.query_id: x for x in evaluate.per_query(ret, truth, 4).collect()}
+    assert {q: r[q].recall for q in r} == {"all": 1, "half": 0.5, "none": 0, "late": pytest.approx(1 / 3), "empty": 0, "null": 0}
+    assert {q: r[q].mrr for q in r} == {"all": 1, "half": 1, "none": 0, "late": 0.25, "empty": 0, "null": 0} and r["late"].missed == ["u", "v"]
+    assert evaluate.per_query(ret, truth, 1).filter("query_id = 'late'").first().hits == 0
+    lat = spark.createDataFrame([("g", float(v)) for v in (5, 1, 4, 2)] + [("h", 7.0), ("n", None)], "g string, v double")
+    assert sorted(map(tuple, evaluate.exact_percentiles(lat, "g", "v").collect())) == [("g", 4.0, 5.0, 4), ("h", 7.0, 7.0, 1)]
     with pytest.raises(ConfigError):
         evaluate.summarize(evaluate.per_query(ret, truth.limit(0), 3))
     p = tmp_path / "bad.yaml"
@@ -175,6 +223,16 @@ def test_evaluation(spark, tmp_path):
         querysets.load_queries(spark, str(p))
 
 
+def test_percentiles_of_many_values(spark):
+    """With ties over the middle, and values in range buckets."""
+    r = random.Random(3)
+    values = {"a": [r.gauss(0, 1) for _ in range(5000)], "b": [float(r.randrange(3)) for _ in range(4001)], "c": [1.0] * 10}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double").repartition(6)
+    for x in evaluate.exact_percentiles(df, "g", "v").collect():
+        s = sorted(values[x.g])
+        assert (x.p50, x.p99, x.n) == (s[min(len(s) // 2, len(s) - 1)], s[-(-99 * len(s) // 100) - 1], len(s))
+
+
 def test_smoke_report(spark, tmp_path):
     p = tmp_path / "s.yaml"
     p.write_text("queries:\n- {id: a, query: one, expect: c1}\n- {id: b, query: two}\n")

@@ -40,27 +40,39 @@ def nearest_rank(values: Column, q: float) -> Column:
 
 
 def exact_percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """group, p50 (upper median) and p99 (nearest rank) without gathering a group anywhere.
+    """group, p50 (upper median), p99 (nearest rank) and n, exact, without gathering a group anywhere.
 
-    Values are counted first; places are cumulative counts over the distinct values of a group.
+    A mergeable sketch gives values shortly below and above each place, with room for its error. What lies below is counted, and only the few values
+    in between are put in order.
     """
     from pyspark.sql import Window
 
-    counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(group).orderBy(value)
-    placed = counted.withColumn("_to", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
-    at = lambda place: F.max(F.when((F.col("_to") - F.col("_n") <= place) & (place < F.col("_to")), F.col(value)))
-    p50 = F.least(F.floor(F.col("_all") / 2), F.col("_all") - 1)
-    p99 = F.ceil(F.col("_all") * 0.99) - 1
-    return placed.groupBy(group).agg(at(p50).alias("p50"), at(p99).alias("p99"), F.max("_all").alias("n"))
+    room, accuracy = 0.002, 10_000
+    g, v = F.col(group).alias("_g"), F.col(value).alias("_v")
+    rows = df.select(g, v).filter("_v IS NOT NULL")
+    near = [min(1.0, max(0.0, q + d)) for q in (0.5, 0.99) for d in (-room, room)]
+    bounds = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_b")).withColumnRenamed("_g", "_h")
+    places = F.array(F.least(F.floor(F.col("_n") / 2), F.col("_n") - 1), F.ceil(F.col("_n") * 0.99) - 1)
+    bounds = bounds.select("_h", "_n", F.explode(F.arrays_zip(F.array(F.lit(0), F.lit(1)).alias("k"), places.alias("place"))).alias("_p"), "_b").select("_h", "_n", "_p.k", "_p.place", F.get("_b", 2 * F.col("_p.k")).alias("_lo"), F.get("_b", 2 * F.col("_p.k") + 1).alias("_hi"))
+    met = rows.join(bounds, F.col("_g").eqNullSafe(F.col("_h")))
+    below = F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0))
+    # equal values between the bounds are counted, not listed
+    counted = met.withColumn("_in", F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))).groupBy("_g", "k", "_n", "place", "_in").agg(F.count(F.lit(1)).alias("_c"), below.alias("_below"))
+    base = F.sum("_below").over(Window.partitionBy("_g", "k"))
+    upto = F.sum(F.when(F.col("_in").isNotNull(), F.col("_c"))).over(Window.partitionBy("_g", "k").orderBy(F.col("_in").asc_nulls_first()))
+    placed = counted.withColumn("_to", base + upto)
+    hit = F.when((F.col("_to") - F.col("_c") <= F.col("place")) & (F.col("place") < F.col("_to")), F.col("_in"))
+    at = lambda k: F.max(F.when(F.col("k") == k, hit))
+    return placed.groupBy(F.col("_g").alias(group)).agg(at(0).alias("p50"), at(1).alias("p99"), F.max("_n").alias("n"))
 
 
 def summarize(results: DataFrame) -> DataFrame:
     """n_queries, mean recall and mrr, mean, p50 and p99 latency, as one row. An empty query set is an error."""
     if results.isEmpty():
         raise ConfigError("the query set is empty")
-    lat = F.collect_list("latency_ms")  # one number for each query of the set
-    return results.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"), F.avg("latency_ms").alias("latency_mean"), upper_median(lat).alias("latency_p50"), nearest_rank(lat, 0.99).alias("latency_p99"))
+    means = results.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"), F.avg("latency_ms").alias("latency_mean"))
+    places = exact_percentiles(results.withColumn("_all", F.lit(0)), "_all", "latency_ms").select(F.col("p50").alias("latency_p50"), F.col("p99").alias("latency_p99"))
+    return means.join(F.broadcast(places), F.lit(True), "left")  # one row each
 
 
 def report(results: DataFrame, title: str, run_at: str) -> str:

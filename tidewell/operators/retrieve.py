@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context
 from .filters import Filters, fulltext_filter, score_threshold, vector_filter
-from .fulltext import bm25_topk
+from .fulltext import bm25_topk, search_postings
 from .fusion import RRF_K, rank_hits, rrf_fuse
 from .vector import vector_topk
 
@@ -20,6 +20,27 @@ Embed = Callable[[Column], Column]
 Rerank = Callable[[DataFrame, int], DataFrame]
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """Stored postings (field, term, id, tf, dl) and the statistics of their documents."""
+
+    postings: DataFrame
+    n_docs: int
+    avg_dl: dict[str, float]
+
+
+#: What full text looks in: the content, and the headings above it joined by " / ".
+FIELDS = ("content", "heading_path")
+
+
+def with_fields(chunks: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """chunks with searchable strings, and their names."""
+    kinds = dict(chunks.dtypes)
+    if kinds.get("heading_path", "").startswith("array"):
+        chunks = chunks.withColumn("heading_path", F.array_join("heading_path", " / "))
+    return chunks, tuple(f for f in FIELDS if f in kinds)
+
+
 @dataclass(frozen=True)
 class Options:
     top_k: int = 5
@@ -51,7 +72,16 @@ def rerank_by(score: Callable[[Column, Column], Column]) -> Rerank:
     return run
 
 
-def fuse_branches(queries: DataFrame, chunks: DataFrame, embed: Embed, o: Options, k: int) -> DataFrame:
+def text_branch(words: DataFrame, chunks: DataFrame, o: Options, k: int, index: TextIndex | None) -> DataFrame:
+    """Full-text hits from the index, or from a scan without one. Only the index's postings of the words asked for are read."""
+    keep = fulltext_filter(o.filters)
+    if index is not None:
+        return search_postings(index.postings, index.n_docs, index.avg_dl, words, k, keep=chunks.filter(keep))
+    texts, fields = with_fields(chunks)
+    return bm25_topk(texts, words, k, field=fields, keep=keep)
+
+
+def fuse_branches(queries: DataFrame, chunks: DataFrame, embed: Embed, o: Options, k: int, index: TextIndex | None = None) -> DataFrame:
     """The fused hits of enhanced queries (raw, rewritten, hyde_doc) over chunks with embeddings."""
     per_branch = max(1, o.per_branch)
     asked = queries.filter(F.trim("raw") != "")
@@ -60,16 +90,16 @@ def fuse_branches(queries: DataFrame, chunks: DataFrame, embed: Embed, o: Option
     rankings = [branch.withColumn("vector_score", F.col("score"))]
     if o.fulltext:
         words = asked.select("query_id", F.col("rewritten").alias("query"))
-        rankings.append(bm25_topk(chunks, words, per_branch, keep=fulltext_filter(o.filters)).withColumn("bm25_score", F.col("score")))
+        rankings.append(text_branch(words, chunks, o, per_branch, index).withColumn("bm25_score", F.col("score")))
     return rrf_fuse(rankings, o.rrf_k, top_k=k)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, options: Options = Options(), enhance: Callable[[DataFrame], DataFrame] = passthrough, rerank: Rerank | None = None) -> DataFrame:
-    """Hits of queries (query_id, query) with content and metadata. Content is joined for the winners only."""
+def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, options: Options = Options(), enhance: Callable[[DataFrame], DataFrame] = passthrough, rerank: Rerank | None = None, index: TextIndex | None = None) -> DataFrame:
+    """Hits of queries (query_id, query) with content and metadata. Content is joined for the winners only. index: full text is answered from it, not from the chunks."""
     o = options
     enhanced = enhance(queries)
     k = max(o.pre_rerank_k, o.top_k) if rerank else o.top_k
-    hits = fuse_branches(enhanced, chunks, embed, o, k)
+    hits = fuse_branches(enhanced, chunks, embed, o, k, index)
     if o.threshold is not None:
         hits = score_threshold(hits, o.threshold)
     hits = hits.withColumnRenamed("source", "found_by")
@@ -84,3 +114,16 @@ def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, options: Optio
 def migration_query(from_platform: Column, code: Column, target: str) -> Column:
     """The query text of a migration search."""
     return F.concat(from_platform, F.lit(f" migration to {target}: "), code)
+
+
+#: The named form of `retrieve`, as other retrievers are called: (queries, k) -> hits.
+@dataclass(frozen=True)
+class HybridRetriever:
+    chunks: DataFrame
+    embed: Embed
+    options: Options = field(default_factory=Options)
+    index: TextIndex | None = None
+    name: str = "hybrid"
+
+    def __call__(self, queries: DataFrame, k: int) -> DataFrame:
+        return retrieve(queries, self.chunks, self.embed, replace(self.options, top_k=k), index=self.index)

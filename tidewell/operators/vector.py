@@ -74,9 +74,9 @@ def _partial(ids: list, queries: np.ndarray, k: int, digits: int):
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """query_id, rank, id and score: the k best of corpus (numeric or string id, vector) for each of queries (query_id, vector).
 
-    Scores are rounded to `digits`; ties go to the lesser id.
+    Scores are rounded to `digits`; ties go to the lesser id. A null vector is never found, and a null query finds nothing. A query set of b blocks costs b scans.
     """
-    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
     kinds = dict(rows.dtypes)["id"], dict(queries.dtypes)["query_id"]
     out = None
     block: list[tuple] = []
@@ -87,7 +87,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
         found = rows.mapInArrow(_partial(ids, matrix, k, digits), f"query_id {kinds[1]}, id {kinds[0]}, score double")
         out, block = found if out is None else out.unionByName(found), []
 
-    for q in queries.select("query_id", vector).toLocalIterator():
+    for q in queries.select("query_id", vector).filter(F.col(vector).isNotNull()).toLocalIterator():
         block.append((q[0], q[1]))
         if len(block) * max(1, len(q[1])) >= BLOCK_VALUES:
             search()

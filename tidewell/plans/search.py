@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.embed import hash_embed, letter_frequencies
 from ..operators.filters import Filters, fulltext_filter, score_threshold, vector_filter
-from ..operators.fulltext import bm25_topk, postings, term_stats
+from ..operators.fulltext import bm25_topk, postings, search_postings, term_stats
 from ..operators.fusion import rrf_fuse
-from ..operators.retrieve import Options, retrieve
+from ..operators.retrieve import Options, retrieve, with_fields
 from ..operators.vector import check_dim, vector_topk
+from ..sources.index import Store
 
 TEXTS = (("q1", "that with"), ("q2", "licensed under license"), ("q3", "Token"), ("q4", "und die"), ("q5", "par la"), ("q6", "a"))
 
@@ -137,6 +141,69 @@ def q_bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_FILTERED = _BM25.format(values=_VALUES, where="d.lang = 'en' AND d.source = 'src0'") + "SELECT query_id, rank, chunk_id, score FROM bm WHERE rank <= 10"
 
 
+#: Some words of these stand in headings only.
+FIELD_TEXTS = (*TEXTS, ("q7", "src0 that"), ("q8", "src1 de und"), ("q9", "src2"))
+
+
+def _with_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).withColumn("heading_path", F.col("tags")).withColumn("heading_path", F.concat("heading_path", "platforms"))
+
+
+def field_queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(FIELD_TEXTS), "query_id string, query string")
+
+
+def q_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content and headings: each word in either."""
+    docs, fields = with_fields(_with_headings(spark, sf_dir))
+    return bm25_topk(docs, field_queries(spark), 10, field=fields)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share; of this machine's only where no cluster names one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewell-')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store that got its documents in three writes and lost some in between."""
+    store = Store(spark, _scratch(spark, "store"))
+    chunks = _with_headings(spark, sf_dir)
+    store.save(chunks.filter("chunk_id % 3 < 2").withColumn("content", F.when(F.col("chunk_id") % 7 == 0, "replaced that").otherwise(F.col("content"))), "none", 0)
+    store.delete(chunks.filter("chunk_id % 5 = 0").select("chunk_id"))
+    store.upsert(chunks.filter("chunk_id % 3 = 2 OR chunk_id % 7 = 0 OR chunk_id % 5 = 0"))
+    index = store.text_index()
+    return search_postings(index.postings, index.n_docs, index.avg_dl, field_queries(spark), 10)
+
+
+_FIELDS_BM25 = """
+WITH d AS (SELECT doc_id, unnest([{'field': 'content', 'x': coalesce(text, '')}, {'field': 'heading_path', 'x': source || ' / ' || lang}], recursive := true) FROM documents),
+t AS (SELECT doc_id, field, list_filter(string_split(lower(x), ''), lambda y: y <> '') AS c FROM d),
+g AS (SELECT doc_id, field, unnest(list_concat(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS term FROM t),
+dl AS (SELECT doc_id, field, (greatest(0, len(c) - 1) + greatest(0, len(c) - 2))::DOUBLE AS dl FROM t),
+st AS (SELECT field, count(*)::DOUBLE AS n_docs, avg(dl) AS avg_dl FROM dl GROUP BY field),
+q AS (SELECT * FROM (VALUES {values}) AS v(query_id, query)),
+w AS (SELECT DISTINCT query_id, unnest(string_split(lower(query), ' ')) AS word FROM q),
+k AS (SELECT DISTINCT query_id, word, unnest(list_concat(list_transform(range(1, length(word)), lambda i: substr(word, i, 2)), list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3)))) AS term FROM w WHERE length(word) >= 2),
+p AS (SELECT doc_id, field, term, count(*)::DOUBLE AS tf FROM g WHERE term IN (SELECT term FROM k) GROUP BY 1, 2, 3),
+kw AS (SELECT query_id, word, count(*) AS n_terms FROM k GROUP BY 1, 2),
+nw AS (SELECT query_id, count(*) AS n_words FROM kw GROUP BY 1),
+df AS (SELECT field, term, count(*)::DOUBLE AS df FROM p GROUP BY 1, 2),
+bw AS (SELECT k.query_id, k.word, p.field, p.doc_id, count(*) AS n, sum(ln(1.0e0 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl))) AS s
+       FROM p JOIN k USING (term) JOIN df USING (field, term) JOIN dl USING (doc_id, field) JOIN st USING (field) GROUP BY 1, 2, 3, 4),
+bd AS (SELECT query_id, doc_id, sum(s) AS score, count(DISTINCT word) AS n FROM bw JOIN kw USING (query_id, word) WHERE n = n_terms GROUP BY 1, 2),
+bm AS (SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bd JOIN nw USING (query_id) WHERE n = n_words)
+""".replace("{values}", ", ".join(f"('{i}', '{t}')" for i, t in FIELD_TEXTS))
+BM25_FIELDS = _FIELDS_BM25 + "SELECT query_id, rank, chunk_id, score FROM bm WHERE rank <= 10"
+
+
+def q_hybrid_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter frequencies and stored postings of both fields, fused."""
+    store = Store(spark, _scratch(spark, "store"))
+    store.save(_with_headings(spark, sf_dir).withColumn("embedding", letter_frequencies(F.col("content"))), "letters", 26)
+    hits = retrieve(field_queries(spark), store.chunks("letters", 26), letter_frequencies, Options(top_k=10), index=store.text_index())
+    return hits.select("query_id", "rank", "chunk_id", "score", "vector_score", "bm25_score")
+
+
 def q_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full text and hash embeddings; hash vectors are Spark's own, so there is no SQL for it."""
     embed = lambda c: hash_embed(c, 64)
@@ -150,9 +217,7 @@ def q_hybrid_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LETTERS = "list_transform(range(97, 123), lambda c: (length(lower({0})) - length(replace(lower({0}), chr(c::INT), '')))::DOUBLE)"
-HYBRID_SQL = (
-    _BM25.format(values=_VALUES, where="TRUE")
-    + f""",
+_FUSED = f""",
 lv AS (SELECT doc_id, {_LETTERS.format("coalesce(text, '')")} AS v FROM documents),
 du AS (SELECT doc_id, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-9)) AS v FROM lv),
 qv AS (SELECT query_id, {_LETTERS.format("query")} AS v FROM q),
@@ -165,7 +230,8 @@ f AS (SELECT query_id, chunk_id, round(list_sum(list_sort(list(1.0e0 / (60.0e0 +
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f)
 SELECT query_id, rank, chunk_id, score, vector_score, bm25_score FROM o WHERE rank <= 10
 """
-)
+HYBRID_SQL = _BM25.format(values=_VALUES, where="TRUE") + _FUSED
+HYBRID_STORED = _FIELDS_BM25 + _FUSED
 
 
 def q_deprecated_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +278,11 @@ BEST_OF_SOURCE = "SELECT * FROM (SELECT source, doc_id, n_chars, row_number() OV
 QUERIES = {
     "vector_topk": q_vector_topk, "vector_topk_filtered": q_vector_topk_filtered, "vector_threshold": q_vector_threshold, "vector_dim_check": q_vector_dim_check,
     "rrf_fuse": q_rrf_fuse, "ngram_postings_stats": q_ngram_postings_stats, "bm25_topk": q_bm25_topk, "bm25_filtered": q_bm25_filtered,
-    "hybrid_topk": q_hybrid_topk, "hybrid_sql": q_hybrid_sql, "deprecated_excluded": q_deprecated_excluded, "api_version_semantics": q_api_version_semantics,
+    "bm25_fields": q_bm25_fields, "bm25_stored": q_bm25_stored, "hybrid_stored": q_hybrid_stored, "hybrid_topk": q_hybrid_topk, "hybrid_sql": q_hybrid_sql, "deprecated_excluded": q_deprecated_excluded, "api_version_semantics": q_api_version_semantics,
     "best_of_source": q_best_of_source,
 }
 SQL = {
     "vector_topk": VECTOR_TOPK, "vector_topk_filtered": VECTOR_TOPK_FILTERED, "vector_threshold": VECTOR_THRESHOLD, "vector_dim_check": VECTOR_DIM_CHECK,
     "rrf_fuse": RRF_FUSE, "ngram_postings_stats": NGRAM_POSTINGS_STATS, "bm25_topk": BM25_TOPK, "bm25_filtered": BM25_FILTERED,
-    "hybrid_sql": HYBRID_SQL, "deprecated_excluded": DEPRECATED_EXCLUDED, "api_version_semantics": API_VERSION_SEMANTICS, "best_of_source": BEST_OF_SOURCE,
+    "bm25_fields": BM25_FIELDS, "bm25_stored": BM25_FIELDS, "hybrid_stored": HYBRID_STORED, "hybrid_sql": HYBRID_SQL, "deprecated_excluded": DEPRECATED_EXCLUDED, "api_version_semantics": API_VERSION_SEMANTICS, "best_of_source": BEST_OF_SOURCE,
 }

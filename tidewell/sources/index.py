@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DimensionError, NotFoundError, ReadOnlyError, StorageError, UnsupportedLanguageError
-from ..operators.fulltext import corpus_stats, postings
+from ..operators.fulltext import gram_length, postings
+from ..operators.retrieve import FIELDS, TextIndex, with_fields
+from ..schema import CHUNK
 from . import corpus
 from .code import chunk_typescript
 from .markdown import chunk_markdown
@@ -74,54 +76,53 @@ def delete(base: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 class Store:
-    """Immutable versions of chunk and posting tables under one folder, and a manifest that names the current one.
+    """Chunks and postings in segments under one folder, and numbered manifests that list the segments of a version.
 
-    Writers make a new version and then replace the manifest, so readers always see a whole version. A read-only store cannot write.
+    A write adds one segment, in proportion to what it writes, and then a manifest; the highest number is the current version, so readers see a whole version or
+    the one before, also if a writer dies half-way, and of two writers of one version the later fails. A segment holds chunks, postings sorted by term, document lengths,
+    and the ids that it replaces or deletes in the segments before it; reading leaves those out by one join with these ids. `compact` writes
+    one segment of all that lives, after MAX_SEGMENTS writes by itself, and `vacuum` removes what no current manifest lists. A read-only store cannot write.
     """
 
+    MAX_SEGMENTS = 32
+
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
 
+    # ---- manifests
+
     def _path(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return jvm, path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._path(folder)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def manifest(self) -> dict | None:
-        _, path, fs = self._path("manifest.json")
-        if not fs.exists(path):
+        numbers = sorted(int(n[:-5]) for n in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit())
+        if not numbers:
             return None
-        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json").collect())
-        found = json.loads(text)
+        path, fs = self._path(f"manifests/{numbers[-1]:012}.json")
+        stream = fs.open(path)
+        try:
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
         if found.get("format_version") != FORMAT_VERSION:
             raise StorageError(f"format {found.get('format_version')}, expected {FORMAT_VERSION}")
         return found
 
-    def _commit(self, manifest: dict) -> None:
-        jvm, new, fs = self._path(f"new_manifest.{uuid.uuid4()}")
+    def _commit(self, manifest: dict) -> dict:
+        """Writes the manifest beside its place and moves it there; nothing that exists is touched."""
+        new, fs = self._path(f"manifests/.{uuid.uuid4()}")
         out = fs.create(new)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        _, path, _ = self._path("manifest.json")
-        if fs.exists(path):
-            fs.delete(path, False)
-        if not fs.rename(new, path):
-            raise StorageError("the manifest could not be replaced")
-
-    def save(self, chunks: DataFrame, model_id: str, dim: int, fulltext: bool = True) -> dict:
-        """Writes chunks (with embeddings) as a new version."""
-        if self.read_only:
-            raise ReadOnlyError(self.root)
-        if dim > 0 and "embedding" in chunks.columns and not chunks.filter(F.size("embedding") != dim).isEmpty():
-            raise DimensionError(f"an embedding is not of width {dim}")
-        version = uuid.uuid4().hex
-        chunks.write.parquet(f"{self.root}/{version}/chunks")
-        if fulltext:
-            stored = self.spark.read.parquet(f"{self.root}/{version}/chunks")
-            postings(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.root}/{version}/postings")
-            corpus_stats(stored).write.parquet(f"{self.root}/{version}/corpus_stats")
-        manifest = {"format_version": FORMAT_VERSION, "embedder_model_id": model_id, "embedder_dim": dim, "version": version, "fulltext": fulltext}
-        self._commit(manifest)
+        path, _ = self._path(f"manifests/{manifest['version']:012}.json")
+        if fs.exists(path) or not fs.rename(new, path):
+            fs.delete(new, False)
+            raise StorageError(f"version {manifest['version']} was written by another writer")
         return manifest
 
     def _current(self) -> dict:
@@ -130,34 +131,144 @@ class Store:
             raise NotFoundError(self.root)
         return found
 
+    # ---- reading
+
+    def _segments(self, m: dict, table: str) -> DataFrame | None:
+        """Rows of a table of all segments, with the place of their segment."""
+        parts = [self.spark.read.parquet(f"{self.root}/segments/{s}/{table}").withColumn("_segment", F.lit(i)) for i, s in enumerate(m["segments"]) if table not in m["without"].get(s, ())]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def _live(self, m: dict, table: str, key: str) -> DataFrame:
+        rows, gone = self._segments(m, table), self._segments(m, "replaced")
+        if rows is None:
+            raise NotFoundError(f"the store has no {table}")
+        if gone is not None:
+            last = gone.groupBy("chunk_id").agg(F.max("_segment").alias("_gone"))
+            rows = rows.join(last.withColumnRenamed("chunk_id", key), key, "left").filter(F.coalesce(F.col("_gone") <= F.col("_segment"), F.lit(True))).drop("_gone")
+        return rows.drop("_segment")
+
     def chunks(self, model_id: str | None = None, dim: int = 0) -> DataFrame:
-        """The current chunks; model and width, where given, must be those of the store."""
+        """The current chunks; model and width, where given, must be those of the store. Width 0 takes what the store has."""
         m = self._current()
         if model_id is not None and model_id != m["embedder_model_id"]:
             raise StorageError(f"indexed with {m['embedder_model_id']}, asked with {model_id}")
         if dim and dim != m["embedder_dim"]:
             raise DimensionError(f"width {m['embedder_dim']} in the store, {dim} asked")
-        return self.spark.read.parquet(f"{self.root}/{m['version']}/chunks")
+        return self._live(m, "chunks", "chunk_id")
 
     def postings(self) -> DataFrame:
+        """field, term, id, tf and dl of the current chunks."""
         m = self._current()
         if not m["fulltext"]:
             raise NotFoundError("the store has no full text")
-        return self.spark.read.parquet(f"{self.root}/{m['version']}/postings")
-
-    def upsert(self, new: DataFrame) -> dict:
-        m = self._current()
-        return self.save(upsert(self.chunks(), new), m["embedder_model_id"], m["embedder_dim"], m["fulltext"])
+        return self._live(m, "postings", "id")
 
-    def delete(self, ids: DataFrame) -> dict:
+    def text_index(self) -> TextIndex | None:
+        """What a full-text search reads: postings, and statistics that each write has kept up to date. None without full text."""
         m = self._current()
-        return self.save(delete(self.chunks(), ids), m["embedder_model_id"], m["embedder_dim"], m["fulltext"])
+        if not m["fulltext"]:
+            return None
+        n = m["lengths"]["n"]
+        return TextIndex(self.postings(), n, {f: m["lengths"][f] / n if n else 0.0 for f in FIELDS})
 
     def count(self) -> int:
-        return self.chunks().count()
+        return self._current()["lengths"]["n"]
 
     def is_empty(self) -> bool:
-        return self.chunks().isEmpty()
+        return self.count() == 0
+
+    # ---- writing
+
+    def _write(self, m: dict, chunks: DataFrame | None, gone: DataFrame | None = None, fresh: bool = False) -> dict:
+        """A new version: the segments of m, none of them if fresh, and one more with chunks, in place of those with their ids and of the ids in gone."""
+        name = uuid.uuid4().hex
+        base, without = f"{self.root}/segments/{name}", []
+        kept = dict.fromkeys(("n", *FIELDS), 0) if fresh else m["lengths"]
+        added = dict.fromkeys(kept, 0)
+        if chunks is None:
+            without += ["chunks", "postings", "lengths"]
+        else:
+            chunks.write.parquet(f"{base}/chunks")
+            stored, _ = with_fields(self.spark.read.parquet(f"{base}/chunks"))
+            if m["embedder_dim"] and "embedding" in stored.columns and not stored.filter(F.size("embedding") != m["embedder_dim"]).isEmpty():
+                raise DimensionError(f"an embedding is not of width {m['embedder_dim']}")
+            for f in FIELDS:
+                stored = stored if f in stored.columns else stored.withColumn(f, F.lit(""))
+            stored.select("chunk_id", *(gram_length(F.col(f)).cast("long").alias(f) for f in FIELDS)).write.parquet(f"{base}/lengths")
+            lengths = self.spark.read.parquet(f"{base}/lengths")
+            added = self._totals(lengths)
+            if m["fulltext"]:
+                postings(stored, field=FIELDS).repartitionByRange("term").sortWithinPartitions("term", "field", "id").write.parquet(f"{base}/postings")
+            else:
+                without.append("postings")
+            gone = lengths.select("chunk_id")
+        if fresh or not m["segments"]:
+            without.append("replaced")
+        else:
+            gone.write.parquet(f"{base}/replaced")
+            taken = self._totals(self._live(m, "lengths", "chunk_id").join(self.spark.read.parquet(f"{base}/replaced"), "chunk_id", "left_semi"))
+            kept = {k: v - taken[k] for k, v in kept.items()}
+        segments = [*([] if fresh else m["segments"]), name]
+        left_out = {s: w for s, w in (m["without"] | {name: without}).items() if s in segments}
+        return self._commit(m | {"version": m["version"] + 1, "segments": segments, "without": left_out, "lengths": {k: kept[k] + added[k] for k in added}})
+
+    @staticmethod
+    def _totals(lengths: DataFrame) -> dict:
+        r = lengths.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in FIELDS)).first()
+        return {k: int(r[k]) for k in ("n", *FIELDS)}
+
+    def _writable(self) -> None:
+        if self.read_only:
+            raise ReadOnlyError(self.root)
+
+    def open_or_create(self, model_id: str, dim: int, fulltext: bool = True) -> dict:
+        """The current manifest, or that of an empty store. An existing store must have this model and width; width 0 takes what the store has, which must exist then."""
+        found = self.manifest()
+        if found is not None:
+            if model_id != found["embedder_model_id"]:
+                raise StorageError(f"indexed with {found['embedder_model_id']}, asked with {model_id}")
+            if dim and dim != found["embedder_dim"]:
+                raise DimensionError(f"width {found['embedder_dim']} in the store, {dim} asked")
+            return found
+        if not dim:
+            raise NotFoundError(f"{self.root}: a new store needs a width")
+        self._writable()
+        return self.save(self.spark.createDataFrame([], CHUNK).withColumn("embedding", F.lit(None).cast("array<float>")), model_id, dim, fulltext)
+
+    def save(self, chunks: DataFrame, model_id: str, dim: int, fulltext: bool = True) -> dict:
+        """Writes chunks (with embeddings) in place of all that the store has."""
+        self._writable()
+        version = (self.manifest() or {"version": 0})["version"]
+        m = {"format_version": FORMAT_VERSION, "embedder_model_id": model_id, "embedder_dim": dim, "version": version, "segments": [], "without": {}, "fulltext": fulltext}
+        return self._write(m, chunks, fresh=True)
+
+    def _added(self, m: dict) -> dict:
+        return self.compact() if len(m["segments"]) > self.MAX_SEGMENTS else m
+
+    def upsert(self, new: DataFrame) -> dict:
+        """Adds chunks, in place of those with equal ids; of equal ids within new, one row stays."""
+        self._writable()
+        return self._added(self._write(self._current(), new.dropDuplicates(["chunk_id"])))
+
+    def delete(self, ids: DataFrame) -> dict:
+        self._writable()
+        return self._added(self._write(self._current(), None, ids.select("chunk_id").distinct()))
+
+    def compact(self) -> dict:
+        """A version of one segment with all live chunks."""
+        self._writable()
+        m = self._current()
+        return self._write(m, self._live(m, "chunks", "chunk_id"), fresh=True)
+
+    def vacuum(self) -> list[str]:
+        """Removes manifests before the current one and segments that it does not list; returns the segments removed. For when no reader is at an older version."""
+        self._writable()
+        m = self._current()
+        dead = [s for s in self._names("segments") if s not in m["segments"]]
+        for name in [f"segments/{s}" for s in dead] + [f"manifests/{n}" for n in self._names("manifests") if n != f"{m['version']:012}.json"]:
+            path, fs = self._path(name)
+            fs.delete(path, True)
+        return dead
 
 
 def index_folder(spark: SparkSession, root: str, store: Store, embed: Callable[[Column], Column], model_id: str, dim: int, dispatcher: Dispatcher | None = None, fulltext: bool = True) -> dict:
