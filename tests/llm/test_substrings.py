@@ -106,7 +106,7 @@ def test_words_of_one_hash_are_told_apart(spark):
 def _block(data):
     from tidewell.llm import blocks
 
-    row = {"block": 0, "ids": np.array([0]).tobytes(), "lengths": np.array([len(data)]).tobytes(), "data": zstandard.compress(data), "raw": len(data)}
+    row = {"block": 0, "ids": np.array([0]).tobytes(), "lengths": np.array([len(data)]).tobytes(), "digests": bytes(16), "data": zstandard.compress(data), "raw": len(data)}
     return blocks.Block(row)
 
 

@@ -31,7 +31,7 @@ HOT_BLOCKS = 64
 #: Stands for a null id: greater than all others.
 NO_ID = np.iinfo(np.int64).max
 
-BLOCK = "block long, ids binary, lengths binary, data binary, raw long"
+BLOCK = "block long, ids binary, lengths binary, digests binary, data binary, raw long"
 QUESTION = "part int, block long, payload binary"
 ANSWER = "block long, part int, payload binary"
 
@@ -44,8 +44,10 @@ def _packer(block_bytes: int):
             ids = np.array(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), dtype=np.int64)
             lengths = np.array([len(t) for t in texts], dtype=np.int64)
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            digests = b"".join(blake2b(t, digest_size=16).digest() for t in texts)
+            binary = [pa.array([x], pa.binary()) for x in (ids.tobytes(), lengths.tobytes(), digests, data)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + k]), pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary()), pa.array([data], pa.binary()), pa.array([int(lengths.sum())])],
+                [pa.array([(part << 32) + k]), *binary, pa.array([int(lengths.sum())])],
                 names=[x.split()[0] for x in BLOCK.split(", ")],
             )
             k += 1
@@ -76,6 +78,8 @@ class Block:
         self.block = row["block"]
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
+        #: 128 bits of a cryptographic hash of each text, as two unsigned columns.
+        self.digests = np.frombuffer(row["digests"], dtype=np.uint64).reshape(-1, 2)
         self.data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, row["raw"])) if row["raw"] else b""
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
@@ -83,11 +87,6 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
 
-    def digests(self) -> np.ndarray:
-        """128 bits of a cryptographic hash of each text, as two unsigned columns."""
-        raw = b"".join(blake2b(self.text(i), digest_size=16).digest() for i in range(len(self.ids)))
-        return np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
-
 
 def partitions(blocks: DataFrame, raw_per_partition: int) -> int:
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
@@ -172,84 +171,65 @@ def kept(answers: dict[int, bytes]) -> object:
 class Names:
     """The different names of a block, split by owning partition.
 
-    A partition gets each name once, with the digest of a text that has it, or twice, with two digests, if different texts of the
-    block have it. So what many documents share costs a block two entries. Entries go by digest; of a name 40 bits are
-    sent, and the owner is taken from other bits.
+    A partition gets each name once, 40 bits of it, and a bit that tells whether several texts of the block have it; the owner is taken from other bits.
     """
 
-    def __init__(self, block: Block, owner: np.ndarray, name: np.ndarray, n_parts: int):
-        self.digests = block.digests()
+    def __init__(self, owner: np.ndarray, name: np.ndarray, n_parts: int):
         part = (name >> np.uint64(40)) % np.uint64(n_parts)
-        digest = self.digests[:, 0][owner]
-        order = np.lexsort((digest, name, part))
-        p, x, d = part[order], name[order], digest[order]
+        order = np.lexsort((name, part))
+        p, x, own = part[order], name[order], owner[order]
         new = np.ones(len(x), dtype=bool)
         new[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1])
         self.of = np.empty(len(x), dtype=np.int64)  # of each given pair, the place of its name
         self.of[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(x)] - 1 if len(x) else first
-        self.name, self.low, self.high = x[first], d[first], d[last]
-        self.parts, cuts = np.unique(p[first], return_index=True)
+        self.name = x[first]
+        self.several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first) if len(x) else np.zeros(0, dtype=bool)
+        parts, cuts = np.unique(p[first], return_index=True)
         ends = np.r_[cuts, len(first)][1:]
-        self.cuts = {p: (lo, hi) for p, lo, hi in zip(self.parts.tolist(), cuts.tolist(), ends.tolist(), strict=False)}
-        self.n_parts = n_parts
-
-    def _entries(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(digest, name, place of the name) of each entry for a partition."""
-        lo, hi = self.cuts.get(part, (0, 0))
-        low, high, name = self.low[lo:hi], self.high[lo:hi], self.name[lo:hi]
-        two = np.flatnonzero(low != high)
-        digest, name, place = np.r_[low, high[two]], np.r_[name, name[two]], np.r_[np.arange(lo, hi), two + lo]
-        order = np.lexsort((name, digest))
-        return digest[order], name[order], place[order]
-
-    def payload(self, part: int) -> bytes:
-        digest, name, _ = self._entries(part)
-        owners, counts = np.unique(digest, return_counts=True)
-        low = np.ascontiguousarray(name).view(np.uint8).reshape(-1, 8)[:, :5]
-        return np.array([len(owners), len(name)], dtype=np.uint32).tobytes() + owners.tobytes() + counts.astype(np.uint32).tobytes() + low.tobytes()
+        self.cuts = {p: slice(lo, hi) for p, lo, hi in zip(parts.tolist(), cuts.tolist(), ends.tolist(), strict=False)}
+
+    def questions(self) -> list[tuple[int, bytes]]:
+        out = []
+        for part, at in self.cuts.items():
+            low = np.ascontiguousarray(self.name[at]).view(np.uint8).reshape(-1, 8)[:, :5]
+            out.append((part, np.uint32(len(low)).tobytes() + np.packbits(self.several[at]).tobytes() + low.tobytes()))
+        return out
 
     def verdicts(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each pair given: whether different texts have the name, and whether it is hot. answers: bits of the entries, by partition."""
+        """For each pair given: whether different texts have the name, and whether it is hot."""
         out = np.zeros((2, len(self.name)), dtype=bool)
-        for part in self.cuts:
-            place = self._entries(part)[2]
-            bits = np.frombuffer(answers[part], dtype=np.uint8).reshape(2, -1)
-            out[:, place] = np.unpackbits(bits, axis=1, count=len(place))
+        for part, at in self.cuts.items():
+            out[:, at] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8).reshape(2, -1), axis=1, count=at.stop - at.start)
         return out[0, self.of], out[1, self.of]
 
 
-def read_names(payload: memoryview) -> tuple[np.ndarray, np.ndarray]:
-    """(name, digest) of each pair in a payload."""
-    n_owners, n = np.frombuffer(payload, dtype=np.uint32, count=2)
-    digest = np.frombuffer(payload, dtype=np.uint64, count=n_owners, offset=8)
-    counts = np.frombuffer(payload, dtype=np.uint32, count=n_owners, offset=8 + 8 * int(n_owners))
-    low = np.frombuffer(payload, dtype=np.uint8, count=5 * int(n), offset=8 + 12 * int(n_owners)).reshape(-1, 5)
-    names = np.zeros((int(n), 8), dtype=np.uint8)
-    names[:, :5] = low
-    return names.view(np.uint64).ravel(), np.repeat(digest, counts)
-
-
-def reply_names(names: list[tuple[np.ndarray, np.ndarray]], hot_blocks: int) -> list[np.ndarray]:
-    """For each pair of each question, whether two different texts have its name, and whether more than hot_blocks questions do."""
-    name = np.concatenate([n for n, _ in names])
-    digest = np.concatenate([d for _, d in names])
-    asker = np.repeat(np.arange(len(names)), [len(n) for n, _ in names])
-    order = np.argsort(name, kind="stable")
-    x, d, q = name[order], digest[order], asker[order]
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = x[1:] != x[:-1]
-    at = np.flatnonzero(new)
-    if not len(at):
-        return [np.zeros((2, 0), dtype=bool) for _ in names]
-    other = new.copy()  # a name comes twice from one block at most, one after the other
-    other[1:] |= q[1:] != q[:-1]
-    runs = np.diff(np.r_[at, len(x)])
-    out = np.empty((2, len(x)), dtype=bool)
-    out[0, order] = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), runs)
-    out[1, order] = np.repeat(np.add.reduceat(other.astype(np.int64), at) > hot_blocks, runs)
-    return np.split(out, np.cumsum([len(n) for n, _ in names])[:-1], axis=1)
+def _read_names(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(payload, dtype=np.uint32, count=1)[0])
+    bits = -(-n // 8)
+    several = np.unpackbits(np.frombuffer(payload, dtype=np.uint8, count=bits, offset=4), count=n).astype(bool)
+    names = np.zeros((n, 8), dtype=np.uint8)
+    names[:, :5] = np.frombuffer(payload, dtype=np.uint8, count=5 * n, offset=4 + bits).reshape(-1, 5)
+    return names.view(np.uint64).ravel(), several
+
+
+def reply_names(hot_blocks: int) -> Reply:
+    """For each name: whether different texts have it, and whether more than hot_blocks blocks do. A block asks for a name once."""
+
+    def reply(part: int, payloads: list[bytes]) -> list[bytes]:
+        asked = [_read_names(p) for p in payloads]
+        name, several = np.concatenate([n for n, _ in asked]), np.concatenate([s for _, s in asked])
+        order = np.argsort(name, kind="stable")
+        x = name[order]
+        at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+        blocks = np.diff(np.r_[at, len(x)])
+        out = np.empty((2, len(x)), dtype=bool)
+        if len(x):
+            out[0, order] = np.repeat(np.logical_or.reduceat(several[order], at) | (blocks > 1), blocks)
+            out[1, order] = np.repeat(blocks > hot_blocks, blocks)
+        return [np.packbits(v, axis=1).tobytes() for v in np.split(out, np.cumsum([len(n) for n, _ in asked])[:-1], axis=1)]
+
+    return reply
 
 
 # ---- equal texts ---------------------------------------------------------------------------------------------------
@@ -272,7 +252,7 @@ class Copies:
         part = (self.digest[:, 1] % np.uint64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         parts, first = np.unique(part[order], return_index=True)
-        return dict(zip(parts.tolist(), np.split(order, first[1:]), strict=True))
+        return dict(zip(parts.tolist(), np.split(order, first[1:]), strict=True)) if len(part) else {}
 
     def payload(self, at: np.ndarray) -> bytes:
         return np.uint32(len(at)).tobytes() + self.digest[at].tobytes() + self.least[at].tobytes()
@@ -282,7 +262,16 @@ class Copies:
         return (self.ids > self.least[self.of]) | later[self.of]
 
 
-def reply_copies(payloads: list[bytes]) -> list[np.ndarray]:
+def _ask_copies(n_parts: int):
+    def ask(block: Block) -> Iterator[tuple[int, bytes]]:
+        copies = Copies(block.ids, block.digests)
+        for part, at in copies.by_part(n_parts).items():
+            yield part, copies.payload(at)
+
+    return ask
+
+
+def _reply_copies(part: int, payloads: list[bytes]) -> list[bytes]:
     """For each different text of each block, whether another block has it with a smaller id."""
     sizes = [int(np.frombuffer(p, dtype=np.uint32, count=1)[0]) for p in payloads]
     digest = np.concatenate([np.frombuffer(p, dtype=np.uint64, count=2 * n, offset=4).reshape(-1, 2) for p, n in zip(payloads, sizes, strict=True)])
@@ -294,43 +283,19 @@ def reply_copies(payloads: list[bytes]) -> list[np.ndarray]:
     at = np.flatnonzero(new)
     out = np.empty(len(i), dtype=bool)
     out[order] = i > np.repeat(i[at], np.diff(np.r_[at, len(i)])) if len(i) else False
-    return np.split(out, np.cumsum(sizes)[:-1])
-
-
-def first_questions(block: Block, names: Names) -> Iterator[tuple[int, bytes]]:
-    """To each partition that owns some: the texts' digests and ids, and the names."""
-    copies = Copies(block.ids, names.digests)
-    places = copies.by_part(names.n_parts)
-    none = np.zeros(0, dtype=np.int64)
-    for part in sorted({*places, *names.cuts}):
-        own = copies.payload(places.get(part, none))
-        yield part, np.uint32(len(own)).tobytes() + own + names.payload(part)
-
-
-def reply_first(hot_blocks: int) -> Reply:
-    def reply(part: int, payloads: list[bytes]) -> list[bytes]:
-        heads = [int(np.frombuffer(p, dtype=np.uint32, count=1)[0]) for p in payloads]
-        copies = reply_copies([p[4 : 4 + n] for p, n in zip(payloads, heads, strict=True)])
-        found = reply_names([read_names(p[4 + n :]) for p, n in zip(payloads, heads, strict=True)], hot_blocks)
-        return [np.packbits(c).tobytes() + np.packbits(s, axis=1).tobytes() for c, s in zip(copies, found, strict=True)]
-
-    return reply
+    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def reply_whole(hot_blocks: int) -> Reply:
-    """Answers to payloads of names alone."""
-    return lambda part, payloads: [np.packbits(s, axis=1).tobytes() for s in reply_names([read_names(p) for p in payloads], hot_blocks)]
+def copies(blocks: DataFrame, n_parts: int) -> DataFrame:
+    """Answers that read_copies understands. No text is read for them."""
+    light = blocks.select("block", "ids", "lengths", "digests", F.lit(b"").alias("data"), F.lit(0).cast("long").alias("raw"))
+    return answer(ask(light, _ask_copies(n_parts)), _reply_copies, n_parts)
 
 
-def read_first(block: Block, names: Names, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(copy of a smaller id, for each text; shared with another text and hot, for each name given)."""
-    copies = Copies(block.ids, names.digests)
-    later = np.zeros(len(copies.least), dtype=bool)
-    places = copies.by_part(names.n_parts)
-    bits = {}
-    for part, payload in answers.items():
-        at = places.get(part, np.zeros(0, dtype=np.int64))
-        n = -(-len(at) // 8)
-        later[at] = np.unpackbits(np.frombuffer(payload, dtype=np.uint8, count=n), count=len(at))
-        bits[part] = payload[n:]
-    return copies.copied(later), *names.verdicts(bits)
+def read_copies(block: Block, answers: dict[int, bytes], n_parts: int) -> np.ndarray:
+    """For each text, whether a smaller id has it."""
+    own = Copies(block.ids, block.digests)
+    later = np.zeros(len(own.least), dtype=bool)
+    for part, at in own.by_part(n_parts).items():
+        later[at] = np.unpackbits(np.frombuffer(answers[part], dtype=np.uint8), count=len(at))
+    return own.copied(later)

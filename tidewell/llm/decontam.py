@@ -29,6 +29,7 @@ Q = 8
 BUDGET = 0.1
 BLOCK_CHARS = 2_000_000
 PIECE = 1_000_000
+AT_ONCE = 1 << 19
 _BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,42 +116,60 @@ def _near(hit: np.ndarray, index: Index) -> np.ndarray:
     return at[near]
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Least edits between the item and any stretch of text, and where the first such stretch ends, over the paths on diagonals low to high.
+def align(items: list[np.ndarray], texts: list[np.ndarray], low: list[int], width: int) -> list[tuple[int, int]]:
+    """For each item and its text: least edits between the item and any stretch of the text, and where the first such stretch ends, over the paths on `width` diagonals
+    from low on.
 
-    A path is on diagonal d where it has d more characters of text than of the item behind it. Beyond its ends the text is taken to go on with characters that
-    no item has, which costs what leaving out the item's would.
+    A path is on diagonal d where it has d more characters of the text than of the item behind it. Beyond its ends a text is taken to go on with characters that
+    no item has, which costs what leaving out the item's would. All pairs advance together, one character of each item at a time, in groups of AT_ONCE cells.
     """
-    width, m = high - low + 1, len(item)
-    padded = np.full(m + width, 0xFFFFFFFF, dtype=np.uint32)  # text[low : low + m + width]
-    a, b = max(low, 0), min(low + m + width, len(text))
-    if a < b:
-        padded[a - low : b - low] = text[a:b]
-    t = np.arange(width, dtype=np.int32)
-    row = np.zeros(width, dtype=np.int32)
-    for i, ch in enumerate(item):
-        new = row + (padded[i : i + width] != ch)
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        row = np.minimum.accumulate(new - t) + t
-    best = int(np.argmin(row))
-    return int(row[best]), min(max(m + low + best, 0), len(text))
-
-
-def _verify(index: Index, item: int, text: str, first: int, last: int) -> tuple[int, int, int] | None:
-    """Start, end and edits of the best occurrence of the item in text whose hits lie on diagonals first to last."""
-    m, k = int(index.m[item]), int(index.k[item])
-    lo, hi = max(0, first - k), min(len(text), last + m + 2 * k)
-    found = text.find(index.texts[item], lo, hi)
-    if found >= 0:
-        return found, found + m, 0
-    if not k or hi <= lo:
-        return None
-    want, part = codes(index.texts[item]), codes(text[lo:hi])
-    edits, end = align(want, part, first - k - lo, last + k - lo)
-    if edits > k:
-        return None
-    edits, back = align(want[::-1], part[:end][::-1], -2 * k, 2 * k)  # from the end back, by the same edits at most
-    return lo + end - back, lo + end, edits
+    out: list[tuple[int, int]] = []
+    longest = max(map(len, items), default=0)
+    step = max(1, AT_ONCE // (longest + width))
+    for at in range(0, len(items), step):
+        some, parts, lows = items[at : at + step], texts[at : at + step], low[at : at + step]
+        m = np.array([len(x) for x in some])
+        padded = np.full((len(some), int(m.max()) + width), 0xFFFFFFFF, dtype=np.uint32)  # text[low : low + m + width]
+        letters = np.zeros((len(some), int(m.max())), dtype=np.uint32)
+        for r, (x, part, d) in enumerate(zip(some, parts, lows, strict=True)):
+            letters[r, : len(x)] = x
+            a, b = max(d, 0), min(d + padded.shape[1], len(part))
+            if a < b:
+                padded[r, a - d : b - d] = part[a:b]
+        t = np.arange(width, dtype=np.int32)
+        row = np.zeros((len(some), width), dtype=np.int32)
+        best = np.zeros((len(some), 2), dtype=np.int64)
+        for i in range(letters.shape[1]):
+            new = row + (padded[:, i : i + width] != letters[:, i : i + 1])
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            new -= t
+            row = np.minimum.accumulate(new, axis=1)
+            row += t
+            done = np.flatnonzero(m == i + 1)
+            if len(done):
+                best[done, 1] = row[done].argmin(axis=1)
+                best[done, 0] = row[done, best[done, 1]]
+        out += [(e, min(max(n + d + k, 0), len(part))) for (e, k), n, d, part in zip(best.tolist(), m.tolist(), lows, parts, strict=True)]
+    return out
+
+
+def verify(index: Index, bands: list[tuple[int, int, int, int]], texts: list[str]) -> list[tuple[int, int, tuple[int, int, int]]]:
+    """(text, item, (start, end, edits)) of the best occurrence in each band (text, item, first and last diagonal of its hits) that has one."""
+    found, groups = [], {}
+    for i, item, first, last in bands:
+        m, k = int(index.m[item]), int(index.k[item])
+        lo, hi = max(0, first - k), min(len(texts[i]), last + m + 2 * k)
+        exact = texts[i].find(index.texts[item], lo, hi)
+        if exact >= 0:
+            found.append((i, item, (exact, exact + m, 0)))
+        elif k and lo < hi:
+            groups.setdefault(k, []).append((i, item, lo, codes(index.texts[item]), codes(texts[i][lo:hi]), first - k - lo))
+    for k, group in groups.items():  # bands of one width
+        near = align([g[3] for g in group], [g[4] for g in group], [g[5] for g in group], 4 * k + 2)
+        group = [(i, item, lo, want, part[:end]) for (i, item, lo, want, part, _), (edits, end) in zip(group, near, strict=True) if edits <= k]
+        back = align([g[3][::-1] for g in group], [g[4][::-1] for g in group], [-2 * k] * len(group), 4 * k + 1)  # from the end back, by the same edits
+        found += [(i, item, (lo + len(part) - length, lo + len(part), edits)) for (i, item, lo, _, part), (edits, length) in zip(group, back, strict=True)]
+    return found
 
 
 def scan(texts: list[str], benchmark: Benchmark) -> list[tuple[int, int, int, int, int]]:
@@ -163,11 +182,6 @@ def scan(texts: list[str], benchmark: Benchmark) -> list[tuple[int, int, int, in
 
 def _scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-
-    def put(i: int, item: int, found: tuple[int, int, int] | None) -> None:
-        if found and ((i, item) not in best or (found[2], found[0]) < (best[i, item][2], best[i, item][0])):
-            best[i, item] = found
-
     pieces = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - index.reach), PIECE)]
     group: list[tuple[int, int]] = []
     size = 0
@@ -201,13 +215,15 @@ def _scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]
             counts = np.bincount(back, weights=np.r_[counts, many]).astype(np.int64)
         own, band = keys // span, keys % span
         full = counts >= index.need[own % len(index.m)]
+        bands = []
         for o, b in zip(own[full].tolist(), band[full].tolist(), strict=True):
             (i, base), item = group[o // len(index.m)], o % len(index.m)
-            if (i, item) in best and not best[i, item][2] and best[i, item][0] <= base:
-                continue
             w = int(index.k[item]) + 1
             off = index.reach + int(starts[o // len(index.m)]) - base
-            put(i, item, _verify(index, item, texts[i], (b - 1) * w - off, (b + 1) * w - 1 - off))
+            bands.append((i, item, (b - 1) * w - off, (b + 1) * w - 1 - off))
+        for i, item, occurrence in verify(index, bands, texts):
+            if (i, item) not in best or (occurrence[2], occurrence[0]) < (best[i, item][2], best[i, item][0]):
+                best[i, item] = occurrence
         group, size = [], 0
 
     for i, at in pieces:

@@ -146,23 +146,23 @@ def symbols(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray,
     return x, own, lo, hi
 
 
-def _names(block: B.Block, words: Words, window: int, n_parts: int) -> tuple[B.Names, np.ndarray, np.ndarray]:
+def _names(words: Words, window: int, n_parts: int) -> tuple[B.Names, np.ndarray, np.ndarray]:
     """The symbols that some window of their text contains with all that decides them."""
     x, own, lo, hi = symbols(words)
     inside = (hi - lo <= window) & (lo >= words.first[own]) & (hi <= words.first[own + 1])
     x, own, lo, hi = x[inside], own[inside], lo[inside], hi[inside]
-    return B.Names(block, own, mix64(x ^ np.uint64(0x1D8E4E27C47D124F)), n_parts), lo, hi
+    return B.Names(own, mix64(x ^ np.uint64(0x1D8E4E27C47D124F)), n_parts), lo, hi
 
 
-def _candidates(block: B.Block, words: Words, window: int, n_parts: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(copies, for each text; start of each window that may be repeated)."""
-    names, lo, hi = _names(block, words, window, n_parts)
-    copy, shared, _ = B.read_first(block, names, answers)
+def _candidates(words: Words, window: int, n_parts: int, answers: dict[int, bytes]) -> np.ndarray:
+    """The start of each window that may be repeated."""
+    names, lo, hi = _names(words, window, n_parts)
+    shared, _ = names.verdicts(answers)
     dead = np.zeros(len(words.hash) + 1, dtype=np.int64)
     np.add.at(dead, np.maximum(hi[~shared] - window, 0), 1)
     np.add.at(dead, lo[~shared] + 1, -1)
     start = words.windows(window)
-    return copy, start[(np.cumsum(dead)[start] == 0) & ~copy[words.owner[start]]]
+    return start[np.cumsum(dead)[start] == 0]
 
 
 # ---- global names --------------------------------------------------------------------------------------------------
@@ -472,25 +472,29 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     packed = B.pack(docs, doc_id, text)
     n_parts, hot = B.partitions(packed, RAW_PER_PARTITION), B.HOT_BLOCKS
 
-    def reveal(block: B.Block) -> Iterator[tuple[int, bytes]]:
-        return B.first_questions(block, _names(block, Words(block), window, n_parts)[0])
+    def read(block: B.Block, copy: np.ndarray) -> Words:
+        return Words(block, np.flatnonzero(np.unpackbits(copy, count=len(block.ids)) == 0))
 
-    def whole(block: B.Block, words: Words, start: np.ndarray) -> B.Names:
-        return B.Names(block, words.owner[start], words.window_hashes(start, window), n_parts)
+    def whole(words: Words, start: np.ndarray) -> B.Names:
+        return B.Names(words.owner[start], words.window_hashes(start, window), n_parts)
+
+    def reveal(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
+        copy = np.packbits(B.read_copies(block, answers, n_parts))
+        return B.questions_table(block.block, copy, _names(read(block, copy), window, n_parts)[0].questions())
 
     def begin(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
-        words = Words(block)
-        copy, start = _candidates(block, words, window, n_parts, answers)
+        copy = B.kept(answers)
+        words = read(block, copy)
+        start = _candidates(words, window, n_parts, answers)
         live = np.zeros(len(words.hash), dtype=bool)
         live[start] = True
-        names = whole(block, words, start)
-        return B.questions_table(block.block, (np.packbits(copy), np.packbits(live)), [(part, names.payload(part)) for part in names.cuts])
+        return B.questions_table(block.block, (copy, np.packbits(live)), whole(words, start).questions())
 
     def prune(block: B.Block, answers: dict[int, bytes]) -> pa.Table:
         copy, bits = B.kept(answers)
-        words = Words(block)
+        words = read(block, copy)
         start = np.flatnonzero(np.unpackbits(bits, count=len(words.hash)))
-        start = start[whole(block, words, start).verdicts(answers)[0]]
+        start = start[whole(words, start).verdicts(answers)[0]]
         live = np.zeros(len(words.hash), dtype=bool)
         live[start] = True
         texts = np.unique(words.owner[start])
@@ -538,8 +542,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     def proceed(answers: DataFrame, step) -> DataFrame:
         return B.proceed(packed, answers, step, B.QUESTION, B.QUESTION_TYPES)
 
-    answers = B.answer(B.ask(packed, reveal), B.reply_first(hot), n_parts)
-    answers = B.answer(proceed(answers, begin), B.reply_whole(hot), n_parts)
+    answers = B.answer(proceed(B.copies(packed, n_parts), reveal), B.reply_names(hot), n_parts)
+    answers = B.answer(proceed(answers, begin), B.reply_names(hot), n_parts)
     answers = B.answer(proceed(answers, prune), _reply_words(n_parts, hot), n_parts)
     for level in range(1, NAMED_ROUNDS + 1):
         answers = B.answer(proceed(answers, name), _reply_pairs(n_parts, level, hot), n_parts)
