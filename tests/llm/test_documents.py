@@ -161,15 +161,19 @@ def test_near_dedup(spark, empty_df):
 
 
 def brute_similar(texts, size=5):
-    """The least place of each text's component over all pairs with a Jaccard similarity of 0.8."""
-    sets = []
-    for t in texts:
-        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    """The least place of each text's component over all pairs of near copies."""
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    shingles = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+
+    def share(i, j):
+        w = words[i]
+        covered = {k + x for k in range(max(1, len(w) - size + 1)) if tuple(w[k : k + size]) in shingles[j] for x in range(min(size, len(w)))}
+        return len(covered) / len(w)
+
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if root[i] != root[j] and (not words[i] and not words[j] or words[i] and words[j] and shingles[i] & shingles[j] and min(share(i, j), share(j, i)) >= 0.8):
                 a, b = sorted((root[i], root[j]))
                 root = [a if x == b else x for x in root]
     return root
@@ -185,15 +189,18 @@ def test_near_dedup_verifies_links(spark, monkeypatch, block):
         base = [f"g{g}w{i}" for i in range(200)]
         for k in range(16):
             start = r.randrange(200)
-            n = (4, 12, 24, 30, 45, 60)[g] if k else 0  # so many words of a stretch are others
+            n = (4, 12, 24, 34, 45, 60)[g] if k else 0  # so many words of a stretch are others
             texts.append(" ".join(f"x{g}y{k}z{i}" if start <= i < start + n else w for i, w in enumerate(base)))
+    for k in range(12):  # scattered changes
+        texts.append(" ".join(f"v{k}u{i}" if k and r.random() < 0.05 else f"s{i}" for i in range(150)))
     texts += texts[8:11] + [t.upper() for t in texts[30:33]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, gone_id int, gone_a int").repartition(5)
     want = brute_similar(texts)
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
-    assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < 90
-    assert sorted(x.doc_id for x in simhash.dedup(df).collect()) == sorted(set(want))
-    raw = simhash.near_duplicates(df, radius=52, size=5, words=4, repeats=False).select("component_id").distinct().count()
+    assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < 95 and len(set(want[-18:-6])) < 3
+    out = simhash.dedup(df)
+    assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == sorted(set(want))
+    raw = simhash.near_duplicates(df, radius=128, size=5, words=6, repeats=False).select("component_id").distinct().count()
     assert raw < len(set(want))  # the fingerprints alone join more
 
 

@@ -40,13 +40,29 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a temporary one where the cluster names none."""
+    """The checkpoint folder that all executors share. Without one, a temporary folder in local mode; an error on a cluster, whose machines would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a shared_checkpoint that nothing is computed from any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove_folder(df.sparkSession, file.get())
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, and read from there."""
     shared_folder(df.sparkSession)

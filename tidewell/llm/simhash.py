@@ -3,18 +3,20 @@
 Fingerprints of 64 bits or a multiple come from one Arrow pass over the texts. Distinct fingerprints are sorted by population count and cut
 into packed tiles. Two tiles, and two stretches of them, are compared only if their population counts can lie within the radius; this
 loses no pair, for two fingerprints differ in at least as many bits as their counts do. A tile reports a spanning forest of
-its links and a pair of tiles what joins their components, never the links themselves. Components follow by minimum labels
-with pointer jumping, each round in the shared checkpoint.
-
-Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words and 256
-bits. Texts with a Jaccard similarity of 0.8 (cosine 0.889) differ in 39 bits on average, so the radius of 52 finds nearly all such pairs, and many less
-similar ones. Each link within the radius is verified by the exact Jaccard similarity of the distinct shingles unless verified links join its ends already.
+its links, as trees of few branches, and a pair of tiles what joins their components, never the links themselves. Components follow by minimum labels
+with pointer jumping, each round in the shared checkpoint and the one before it removed.
+
+Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words, 384
+bits and a radius of 128, and verifies each link within the radius, unless verified links join its ends already: two texts are near copies if of the words of each
+SIMILAR lie in shingles that the other has too. So single changed words cost what they are, wherever they stand, while a third of own text is always too much. All
+pairs with a Jaccard similarity of 0.8 are far within (they differ in 58 bits on average); by normal estimate the radius misses
+one in ten at a similarity of 0.4, and two texts without a shingle in common come within it once in 10^10 pairs.
 Only texts with a link move for this, in blocks of one group (a large group in several, each two of which meet) or of many small groups.
 The comparison of all pairs is quadratic in the number of distinct fingerprints, and verification in the size of a group whose links fail.
 
 A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
 class whatever their number; rows with a null id take part but name no component (a component of such rows alone has
-a null id). An empty table gives an empty result.
+a null id). Long texts are counted piece by piece. Extra columns pass through `dedup` whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, mix64, shared_checkpoint, table
+from .common import batches, forget, free_name, mix64, shared_checkpoint, table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -227,15 +229,22 @@ def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(_packed(u), pa.binary()), pa.array(_packed(v), pa.binary())], names=["u", "v"])
 
 
+BRANCHES = 16
+
+
 def _inner(words: int):
-    """The links inside tiles: an edge for each fingerprint that is not a root."""
+    """The links inside tiles: an edge for each fingerprint that is not a root, as trees in which none has more than BRANCHES + 1."""
 
     def inner(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for fps, roots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, r = _unpacked(fps, words), np.frombuffer(roots, dtype=np.int32)
-                child = np.flatnonzero(r != np.arange(len(r)))
-                yield _edges(x[child], x[r[child]])
+                order = np.lexsort((np.arange(len(r)) != r, r))  # each root before its members
+                first = np.flatnonzero(np.r_[True, r[order][1:] != r[order][:-1]][: len(r)])
+                start = np.repeat(first, np.diff(np.r_[first, len(r)]))
+                rank = np.arange(len(r)) - start
+                child = np.flatnonzero(rank)
+                yield _edges(x[order[child]], x[order[(start + (rank - 1) // BRANCHES)[child]]])
 
     return inner
 
@@ -278,17 +287,20 @@ def links(prints: DataFrame, radius: int = 4, words: int = 1) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node reachable over the edges, for each node that has one."""
-    edges = shared_checkpoint(edges.distinct())
-    both = shared_checkpoint(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = shared_checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    once = shared_checkpoint(edges.distinct())
+    both = shared_checkpoint(once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    forget(once)
+    labels = kept = shared_checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
     while True:
         heard = both.join(labels, both["u"] == labels["node"]).groupBy("v").agg(F.min("root").alias("heard"))
         told = labels.join(heard, labels["node"] == heard["v"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("heard", "root")).alias("root"))
         up = labels.select(F.col("node").alias("up"), F.col("root").alias("above"))
         new = shared_checkpoint(told.join(up, told["root"] == up["up"], "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
         changed = not new.filter("root < old").isEmpty()
-        labels = new.select("node", "root")
+        forget(kept)
+        kept, labels = new, new.select("node", "root")
         if not changed:
+            forget(both)
             return labels
 
 
@@ -299,35 +311,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = shared_checkpoint(classes)
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = shared_checkpoint(classes.groupBy("root").agg(F.min("least").alias("component_id")))  # apart from the join, so that a large component's classes spread
     named = shared_checkpoint(classes.join(named, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "a", "fp", "component_id")
 
 
-#: Least Jaccard similarity of near copies, as a fraction.
+#: The least share of each text's words that lie in common shingles, for near copies, as a fraction.
 SIMILAR = (4, 5)
 #: A block of texts to verify holds about so many, or so many characters.
 BLOCK_TEXTS, BLOCK_CHARS = 256, 16_000_000
 
 
 def shingle_hashes(text: bytes | None, size: int, seed: int = 42) -> np.ndarray:
-    """The hashes of the distinct shingles, in order; none for a text without words."""
+    """The hashes of the shingles from each word on; that of the whole text if it has no more than `size` words, none without words."""
     parts = text.translate(_FOLD).split() if text else []
     digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(parts[i : i + size]), seed) for i in range(max(1, len(parts) - size + 1))} if parts else ()
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+    found = [digest(b" ".join(parts[i : i + size]), seed) for i in range(max(1, len(parts) - size + 1))] if parts else []
+    return np.array(found, dtype=np.uint64)
+
+
+def _covered(a: np.ndarray, others: np.ndarray, size: int) -> bool:
+    """Whether SIMILAR of the words lie in shingles that are among others (in order). a: the shingle from each word on."""
+    place = np.searchsorted(others, a)
+    common = others[np.minimum(place, len(others) - 1)] == a
+    words = len(a) + size - 1
+    cover = np.zeros(words + 1, dtype=np.int32)
+    cover[: len(a)] += common
+    cover[size:] -= common
+    return SIMILAR[1] * int(np.count_nonzero(np.cumsum(cover))) >= SIMILAR[0] * words
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two ordered sets have a Jaccard similarity of SIMILAR at least; two empty sets have."""
-    if not len(a):
-        return not len(b)
-    place = np.searchsorted(a, b)
-    both = int((a[np.minimum(place, len(a) - 1)] == b).sum())
-    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+def similar(a: np.ndarray, b: np.ndarray, size: int) -> bool:
+    """Whether two texts, as shingle_hashes, are near copies; two texts without words are."""
+    if len(a) < 2 or len(b) < 2:
+        return np.array_equal(a, b)
+    return _covered(a, np.unique(b), size) and _covered(b, np.unique(a), size)
 
 
-def verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, first: int | None = None, roots: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+def verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, size: int, first: int | None = None, roots: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(links, roots): stars over the places of fps, from each former root to its new one, with the components of all verified links within the radius.
 
     first: only links between the first so many and the others count. roots: what is known already.
@@ -340,15 +361,14 @@ def verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, first: int |
         return x
 
     former = [x for x, up in enumerate(parent) if x == up]
-    n = np.array([len(x) for x in sets], dtype=np.int64)
     lines, start = np.ascontiguousarray(fps[first or 0 :].T), first or 0
     for r in range(0, len(fps) if first is None else first, 16):
         i, j = _near(fps[r : r + 16 if first is None else min(r + 16, first)], lines, radius)
         i, j = i + r, j + start
-        able = (SIMILAR[1] * np.minimum(n[i], n[j]) >= SIMILAR[0] * np.maximum(n[i], n[j])) & (i < j)
-        for x, y in zip(i[able].tolist(), j[able].tolist(), strict=True):
+        after = i < j
+        for x, y in zip(i[after].tolist(), j[after].tolist(), strict=True):
             u, v = find(x), find(y)
-            if u != v and similar(sets[x], sets[y]):
+            if u != v and similar(sets[x], sets[y], size):
                 parent[max(u, v)] = min(u, v)
     return [(x, find(x)) for x in former if find(x) != x], np.array([find(x) for x in range(len(fps))], dtype=np.int32)
 
@@ -377,7 +397,7 @@ def _node_edges(found: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.binary()) for k in (0, 1)], schema=_NODE_EDGES)
 
 
-def _within_blocks(radius: int, words: int):
+def _within_blocks(radius: int, size: int, words: int):
     """Each block with the links inside it."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +405,7 @@ def _within_blocks(radius: int, words: int):
             for k in range(batch.num_rows):
                 own, block, rows = (batch.column(c)[k].as_py() for c in range(3))
                 nodes = [x["node"] for x in rows]
-                found, roots = verified(_prints(nodes, words), _sets([x["hashes"] for x in rows]), radius)
+                found, roots = verified(_prints(nodes, words), _sets([x["hashes"] for x in rows]), radius, size)
                 u, v = ([nodes[p[c]] for p in found] for c in (0, 1))
                 names, types = ("own", "block", "nodes", "hashes", "roots", "u", "v"), (pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
                 # a group in one block has met itself; only a large one's texts go on
@@ -395,13 +415,13 @@ def _within_blocks(radius: int, words: int):
     return run
 
 
-def _between_blocks(radius: int, words: int):
+def _between_blocks(radius: int, size: int, words: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for k in range(batch.num_rows):
                 n1, h1, r1, n2, h2, r2 = (batch.column(c)[k].as_py() for c in range(6))
                 roots = np.r_[np.frombuffer(r1, dtype=np.int32), np.frombuffer(r2, dtype=np.int32) + len(n1)]
-                found, _ = verified(_prints(n1 + n2, words), _sets(h1 + h2), radius, len(n1), roots)
+                found, _ = verified(_prints(n1 + n2, words), _sets(h1 + h2), radius, size, len(n1), roots)
                 yield _node_edges(found, n1 + n2)
 
     return run
@@ -427,17 +447,17 @@ def verified_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
     met = rows.join(asked.hint("shuffle_hash"), (F.col("_id") == F.col("_asked_id")) & (F.col("_a") == F.col("_asked_a"))).dropDuplicates(["_id", "_a"])
     sets = met.select("own", "block", "node", "_text").mapInArrow(_shingler(size), "own binary, block int, node binary, hashes binary")
     packed = sets.groupBy("own", "block").agg(F.collect_list(F.struct("node", "hashes")).alias("rows"))
-    blocks = shared_checkpoint(packed.mapInArrow(_within_blocks(radius, words), "own binary, block int, nodes array<binary>, hashes array<binary>, roots binary, u array<binary>, v array<binary>"))
+    blocks = shared_checkpoint(packed.mapInArrow(_within_blocks(radius, size, words), "own binary, block int, nodes array<binary>, hashes array<binary>, roots binary, u array<binary>, v array<binary>"))
     inside = blocks.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
     pairs = groups.filter("k > 1").select(F.col("root").alias("own"), "k", F.explode(F.sequence(F.lit(0), F.col("k") - 2)).alias("b1"))
     pairs = pairs.select("own", "b1", F.explode(F.sequence(F.col("b1") + 1, F.col("k") - 1)).alias("b2"))
     side = lambda k: blocks.filter("own <> X''").select("own", F.col("block").alias(f"b{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("nodes", "hashes", "roots")))
     both = pairs.join(side(1), ["own", "b1"]).join(side(2), ["own", "b2"]).select("nodes1", "hashes1", "roots1", "nodes2", "hashes2", "roots2")
-    between = both.repartition(max(parts, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_between_blocks(radius, words), "u binary, v binary")
+    between = both.repartition(max(parts, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_between_blocks(radius, size, words), "u binary, v binary")
     return inside.unionByName(between)
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 52, size: int = 5, words: int = 4) -> DataFrame:
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 128, size: int = 5, words: int = 6) -> DataFrame:
     """doc_id, a and component_id for each row of docs: components of the links within the radius that are similar."""
     prints = shared_checkpoint(fingerprints(docs, doc_id, text, size, words, repeats=False, body=True))
     near = components(links(prints, radius, words))
@@ -448,21 +468,22 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     own = F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0")))
     named = classes.select("fp", "b", "least", own.alias("own")).join(roots, F.col("own") == roots["node"], "left").select("fp", "b", "least", F.coalesce("head", "own").alias("head"))
     named = shared_checkpoint(named)
-    heads = named.groupBy("head").agg(F.min("least").alias("component_id"))
+    heads = shared_checkpoint(named.groupBy("head").agg(F.min("least").alias("component_id")))
     named = shared_checkpoint(named.join(heads, "head").select("fp", "b", "component_id"))
     return prints.join(named, ["fp", "b"]).select("doc_id", "a", "component_id")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 52, size: int = 5, words: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 128, size: int = 5, words: int = 6) -> DataFrame:
     """The rows of docs that represent their group: those of its least document id.
 
     Rows that repeat an id and a text are the same document and stay together. Of the rows without an id none stands for
     others, so all of them stay.
     """
     found = similar_documents(docs, doc_id, text, radius, size, words)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id"), F.col("a").alias("_gone_a")).distinct().hint("shuffle_hash")
+    gone_id, gone_a = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_a")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_id), F.col("a").alias(gone_a)).distinct().hint("shuffle_hash")
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    return docs.join(gone, (d.cast("long") == F.col("_gone_id")) & (_row_hash(d, t) == F.col("_gone_a")), "left_anti")
+    return docs.join(gone, (d.cast("long") == F.col(gone_id)) & (_row_hash(d, t) == F.col(gone_a)), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
