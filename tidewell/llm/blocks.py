@@ -27,7 +27,7 @@ BLOCK_BYTES = 2 << 20
 #: Blocks that lie in one task.
 BLOCKS_PER_TASK = 32
 #: A name that more blocks than this have is hot: what it stands for is dealt out by more than the name.
-HOT_BLOCKS = 64
+HOT_BLOCKS = 512
 #: Stands for a null id: greater than all others.
 NO_ID = np.iinfo(np.int64).max
 

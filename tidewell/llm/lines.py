@@ -4,9 +4,9 @@ Each line becomes a row of two 64-bit hashes of its key, its document and its po
 by all of these and sorted within partitions, so a line that a third of all documents hold spreads over many
 partitions. One pass streams through each partition with constant memory; where a key goes on in the next partition, the
 first and last runs of all partitions (two small rows for each) settle its count. What comes back is a compressed bitmap
-for each document that loses lines; texts meet it in one join.
+for each document that loses lines; texts meet it in one join. Very long texts are lists of lines like others; their bitmaps have a bit for each line.
 
-A null or empty text is one empty line. Keys shorter than `min_chars` are never dropped. Rows that share a document id, null
+Ids are numbers, or text that reads as one. Extra columns pass through whatever their names; a count of lost lines may not take one. A null or empty text is one empty line. Keys shorter than `min_chars` are never dropped. Rows that share a document id, null
 included, count as one document. Equal rows get equal bitmaps. With keep_first the first place of a common line stays, and with
 keep_first="document" all its places in the first document (the least id) that holds it.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, shared_checkpoint, table
+from .common import WS, forget, free_name, shared_checkpoint, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SORT = ("h1", "h2", "nil", "id", "a", "pos")
@@ -190,7 +190,9 @@ def _keep(text: pd.Series, n_bits: pd.Series, bits: pd.Series) -> pd.Series:
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool | str = False) -> DataFrame:
     """nil, id, a (the document's key) and pos of each line to drop."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = shared_checkpoint(line_rows(docs, doc_id, text, min_chars).repartitionByRange(n, *_SORT).sortWithinPartitions(*_SORT))
+    cut = shared_checkpoint(line_rows(docs, doc_id, text, min_chars))  # texts are cut and hashed once; the sample for the ranges reads hashes
+    rows = shared_checkpoint(cut.repartitionByRange(n, *_SORT).sortWithinPartitions(*_SORT))
+    forget(cut)
     edges = rows.mapInArrow(_edges, _EDGE).collect()  # two rows for each partition
     edges.sort(key=lambda e: (e["part"], e["h1"], e["h2"]))
     total, later, firsts = _settle(edges)
@@ -210,14 +212,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     A null text stays null. Texts move once, to meet their bitmaps.
     """
     d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    key = {f"_{k}_of_line_row": v for k, v in _keys(d, t).items()}
+    if dropped and dropped.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {dropped} already")
+    keys = _keys(d, t)
+    own = {k: free_name(docs.columns, f"{k}_of_row") for k in keys}
     bitmaps = keep_bitmaps(docs, doc_id, text, min_docs, min_chars, keep_first)
-    bitmaps = bitmaps.select(*(F.col(k).alias(f"_{k}_of_bitmap") for k in bitmaps.columns)).hint("shuffle_hash")
-    on = [F.col(f"_{k}_of_line_row") == F.col(f"_{k}_of_bitmap") for k in ("nil", "id", "a")]
-    joined = docs.select("*", *(v.alias(k) for k, v in key.items())).join(bitmaps, on, "left")
-    out = [_keep(t, F.col("_n_bits_of_bitmap"), F.col("_bits_of_bitmap")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    found = {k: free_name(docs.columns, f"{k}_of_bitmap") for k in bitmaps.columns}
+    bitmaps = bitmaps.select(*(F.col(k).alias(v) for k, v in found.items())).hint("shuffle_hash")
+    on = [F.col(own[k]) == F.col(found[k]) for k in keys]
+    joined = docs.select("*", *(v.alias(own[k]) for k, v in keys.items())).join(bitmaps, on, "left")
+    out = [_keep(t, F.col(found["n_bits"]), F.col(found["bits"])).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if dropped:
-        out.append(F.coalesce(F.col("_n_dropped_of_bitmap"), F.lit(0).cast("long")).alias(dropped))
+        out.append(F.coalesce(F.col(found["n_dropped"]), F.lit(0).cast("long")).alias(dropped))
     return joined.select(*out)
 
 

@@ -7,8 +7,8 @@ groups of hashed documents, each group hands one residual unit up, and residuals
 tree has log_FAN(n) levels and no task ever holds more than about FAN units of a source, however large it is. The
 taken words of a source miss its target by one document's size at most.
 
-Null texts and texts without words have size zero and are never taken; a null source is a source of its own and
-comes last. Repeated rows are mixed one by one. Randomness is a hash of the rows, so reruns agree.
+Sources are ranked and filled up by running sums over range partitions, so there may be as many as there are hosts. Ids may be of any type that a hash takes. Null texts and texts without words have size zero and are never taken, very long ones are single units; a null source is a source of its own and
+comes last. Other columns are not read. An empty table gives no rows. Repeated rows are mixed one by one. Randomness is a hash of the rows, so reruns agree.
 """
 
 from __future__ import annotations
@@ -36,19 +36,35 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 
 def targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """source, n, source_size and target: shares by weight, held at cap times the source's size, the excess shared again."""
-    by_name, everything = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
     s = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    s = s.withColumn("rank", F.row_number().over(by_name))
-    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("double")).withColumn("most", cap * F.col("source_size"))
-    by_room = Window.orderBy(F.col("most") / F.col("weight"), "rank")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("place", F.row_number().over(by_room))
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("place", "level"))).over(everything)
-    s = s.withColumn("found", first["level"])
+    s = _running(s, {"rank": F.lit(1)}, F.col("source").asc_nulls_last())
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank").cast("long") % len(weights) + 1).cast("int")).cast("double")).withColumn("most", cap * F.col("source_size"))
+    # by the level at which each is full: what the fuller ones before it take leaves a level for the rest
+    s = shared_checkpoint(_running(s, {"most_before": F.col("most"), "weight_before": F.col("weight"), "place": F.lit(1)}, F.col("most") / F.col("weight"), "rank"))
+    total = s.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    s = s.crossJoin(F.broadcast(total))  # one row
+    level = (share * F.col("all_size") - F.col("most_before")) / (F.col("all_weight") - F.col("weight_before"))
+    s = s.withColumn("level", level)
+    first = s.filter(F.col("level") * F.col("weight") <= F.col("most")).agg(F.min(F.struct("place", "level"))["level"].alias("found"))
+    s = s.crossJoin(F.broadcast(first))  # one row
     return s.select("source", "n", "source_size", F.when(F.col("found").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("found") * F.col("weight"))).alias("target"))
 
 
+def _running(df: DataFrame, sums: dict[str, Column], *order: Column | str) -> DataFrame:
+    """df with running sums over all rows before each, in a global order: sums within range partitions, and of the partitions before. No task has all rows."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select("*", *(v.cast("double").alias(f"_{k}") for k, v in sums.items()))
+    rows = shared_checkpoint(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(*(F.sum(f"_{k}").alias(f"_{k}_of_part") for k in sums))  # a row for each partition
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    nil = F.lit(0.0)
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_{k}_of_part").over(ahead), nil).alias(f"_{k}_ahead") for k in sums))
+    out = rows.join(parts, "_part").select(*df.columns, *((F.coalesce(F.sum(f"_{k}").over(inner), nil) + F.col(f"_{k}_ahead")).alias(k) for k in sums))
+    return out
+
+
 def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")) / float(1 << 53)
 
@@ -73,9 +89,9 @@ def _trade(a: Column, b: Column, seed: int) -> Column:
     )
 
 
-def _round_group(units: Column, seed: int) -> Column:
+def _round_group(units: Column, seed: int, id_type: str) -> Column:
     """The units of a group, all but the last integral."""
-    unit_type = "struct<h:bigint,c:bigint,doc_id:bigint,size:bigint,base:bigint,p:double>"
+    unit_type = f"struct<h:bigint,c:bigint,doc_id:{id_type},size:bigint,base:bigint,p:double>"
     start = F.struct(F.get(units, F.lit(0)).alias("stays"), F.array().cast(f"array<{unit_type}>").alias("out"))
     merge = lambda acc, x: let(_trade(acc["stays"], x, seed), lambda t: F.struct(t["stays"].alias("stays"), F.array_append(acc["out"], t["left"]).alias("out")))
     return F.aggregate(F.slice(units, 2, F.size(units)), start, merge, lambda acc: F.array_append(acc["out"], acc["stays"]))
@@ -93,6 +109,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
     groups = F.ceil(F.col("n") / F.lit(FAN))
     fields = ("h", "c", "doc_id", "size", "base", "p")
+    id_type = dict(rows.dtypes)["doc_id"]
     done = [units.filter(~open_).select(*keys, *fields)]
     current = units.filter(open_).select(*keys, *fields, F.pmod(F.xxhash64(F.lit(seed), "h", "c"), groups).alias("b"))
     most = goal.agg(F.max("n")).first()[0] or 0
@@ -101,7 +118,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         most = -(-most // FAN)
         level += 1
         out = current.groupBy(*keys, "b").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("units"))
-        out = out.withColumn("units", _round_group(F.col("units"), seed + level))
+        out = out.withColumn("units", _round_group(F.col("units"), seed + level, id_type))
         out = out.withColumn("n", F.size("units")).select(*keys, "b", "n", F.posexplode("units").alias("i", "u"))
         out = out.select(*keys, *(F.col(f"u.{f}").alias(f) for f in fields), "b", (F.col("i") + 1 < F.col("n")).alias("decided"))
         if most <= 1:
@@ -114,5 +131,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return reduce(DataFrame.unionByName, done).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_mixing that no draw decides, and whether the draw keeps its bounds."""
+    near = F.abs(F.sum("taken").over(Window.partitionBy("target", "source_size")) - F.col("target")) <= F.max("size").over(Window.partitionBy("target", "source_size")) + 1e-6
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken").between(0, 2 * F.col("size")) & near).alias("in_bounds"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+MIXING_TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
+f(round, source, source_size, weight, target) AS (
+  SELECT 0, source, source_size, weight, NULL::DOUBLE FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, CASE WHEN target IS NULL AND share > 2 * source_size THEN 2.0 * source_size ELSE target END
+  FROM (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(target) OVER (), 0)) * weight / sum(weight) FILTER (target IS NULL) OVER () AS share FROM f)
+  WHERE round < (SELECT count(*) FROM s) + 1
+),
+l AS (SELECT * FROM f WHERE round = (SELECT max(round) FROM f)),
+t AS (SELECT source, source_size, coalesce(target, (1.5 * sum(source_size) OVER () - coalesce(sum(target) OVER (), 0)) * weight / sum(weight) FILTER (target IS NULL) OVER ()) AS target FROM l)
+SELECT d.doc_id, d.size, t.source_size, round(t.target, 6) AS target, TRUE AS in_bounds FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

@@ -1,4 +1,7 @@
-"""The registered queries of the training-data operators, and their SQL where SQL can express them."""
+"""The registered queries of the training-data operators, and their SQL where SQL can express them.
+
+mixing_targets and url_rules are views of op5_mixing and op7_url_filter without the columns that a draw or a model decides, so that SQL can check the rest.
+"""
 
 from __future__ import annotations
 
@@ -15,10 +18,15 @@ QUERIES = {
     "op8_html_extraction": htmltext.op8_html_extraction,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontam.op10_decontamination,
+    "mixing_targets": mixing.mixing_targets,
+    "url_rules": urls.url_rules,
 }
 SQL = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
+    "op3_suffix_array": suffix.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op6_recompression": recompress.OP6_SQL,
+    "mixing_targets": mixing.MIXING_TARGETS_SQL,
+    "url_rules": urls.URL_RULES_SQL,
 }
