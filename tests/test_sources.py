@@ -1,11 +1,18 @@
+import io
 import json
 import random
+import tarfile
+import threading
+import urllib.error
+import urllib.request
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell import api
 from tidewell.errors import ConfigError, DimensionError, NotFoundError, ParseError, ReadOnlyError, StorageError, UnsupportedLanguageError
+from tidewell.functions import embed
 from tidewell.functions.embed import hash_embed, hash_model_id
 from tidewell.functions.enhance import classify_intent, extract_entities, rule_enhance
 from tidewell.functions.lang import detect_lang
@@ -89,16 +96,16 @@ def folder(tmp_path):
 
 
 def test_index_query_evaluate(spark, folder, tmp_path):
-    embed = lambda c: hash_embed(c, 16)
+    by_hash = lambda c: hash_embed(c, 16)
     store = index.Store(spark, str(tmp_path / "store"))
     with pytest.raises(NotFoundError):
         store.chunks()
-    stats = index.index_folder(spark, str(folder), store, embed, hash_model_id(16), 16)
+    stats = index.index_folder(spark, str(folder), store, by_hash, hash_model_id(16), 16)
     assert stats == {"files": 4, "chunks": 5, "skipped": 1} and store.count() == 5
     assert {r.folder: r.n for r in corpus.folder_counts(corpus.scan(spark, str(folder))).collect()} == {"official": 2, "samples": 0, "migration": 0, "errors": 0, "custom": 0}
     bad = corpus.audit_utf8(corpus.scan(spark, str(folder))).collect()
     assert [(r.source, r.position, r.bytes_hex) for r in bad] == [("bad.md", 8, "ff")]
-    engine = api.Engine(spark, index.Store(spark, str(tmp_path / "store"), read_only=True), embed, hash_model_id(16), 16, str(folder))
+    engine = api.Engine(spark, index.Store(spark, str(tmp_path / "store"), read_only=True), by_hash, hash_model_id(16), 16, str(folder))
     hits = engine.one("Use the router to push a page.", k=2)
     assert hits[0]["source"] == "official/router.md" and hits[0]["rank"] == 1 and hits[0]["found_by"] == "hybrid"
     assert engine.one("Pass parameters here.", k=1, expand_parent=True)[0]["preview"] == "Use the router to push a page."
@@ -177,8 +184,8 @@ def test_upserts(spark):
 
 
 def test_streaming_ingest_resumes(spark, folder, tmp_path):
-    store, embed = index.Store(spark, str(tmp_path / "s")), lambda c: hash_embed(c, 8)
-    run = lambda: ingest(spark, str(folder), store, str(tmp_path / "cp"), embed, hash_model_id(8), 8).awaitTermination()
+    store, by_hash = index.Store(spark, str(tmp_path / "s")), lambda c: hash_embed(c, 8)
+    run = lambda: ingest(spark, str(folder), store, str(tmp_path / "cp"), by_hash, hash_model_id(8), 8).awaitTermination()
     run()
     assert store.count() == 5
     version = store.manifest()["version"]
@@ -240,3 +247,77 @@ def test_smoke_report(spark, tmp_path):
     hits = spark.createDataFrame([("a", 1, "x|y", 0.5, None, 0.25)], "query_id string, rank long, chunk_id string, score double, vector_score double, bm25_score double")
     text = evaluate.smoke_report(q, hits, "Smoke", "now")
     assert "| 1 | x\\|y | 0.5000 | — | 0.2500 |" in text and text.endswith("Queries: 2, with hits: 1.\n")
+
+
+def test_framing():
+    """Messages with a Content-Length header, one after another."""
+    out = io.BytesIO()
+    api.write_frame(out, {"id": 1, "text": "é"})
+    api.write_frame(out, {"method": "exit"})
+    lines = io.BytesIO(out.getvalue())
+    assert api.read_frame(lines) == {"id": 1, "text": "é"} and api.read_frame(lines) == {"method": "exit"} and api.read_frame(lines) is None
+    with pytest.raises(ConfigError):
+        api.read_frame(io.BytesIO(b"Other: 1\r\n\r\n{}"))
+
+
+def test_http_server_and_command_line(spark, folder, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr("tidewell.session.session", lambda *_, **__: spark)
+    root = str(tmp_path / "cli")
+    assert api.main(["--index", root, "--dim", "8", "index", str(folder), "--checkpoint", str(tmp_path / "cp")]) == 0
+    assert json.loads(capsys.readouterr().out) == {"chunks": 5}
+    api.main(["--index", root, "--dim", "8", "query", "router page", "-k", "1", "--rerank", "--pre-rerank-k", "3"])
+    assert "router.md" in capsys.readouterr().out
+    api.main(["corpus", "list", str(folder)])
+    assert "official 2" in capsys.readouterr().out
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        tar.add(folder / "official", "top/official")
+    api.main(["corpus", "pull", "--from-file", str(tmp_path / "a.tar"), "--target", str(tmp_path / "out"), "--strip-components", "1"])
+    assert capsys.readouterr().out == "2\n" and (tmp_path / "out" / "official" / "list.md").exists()
+    with pytest.raises(ConfigError):
+        corpus.unpack(str(tmp_path / "a.tar"), str(tmp_path / "out"))
+    engine = api.Engine(spark, index.Store(spark, root, read_only=True), lambda c: hash_embed(c, 8), hash_model_id(8), 8)
+    with api.http_server(engine, port=0) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{server.server_address[1]}"
+        assert json.load(urllib.request.urlopen(f"{base}/health"))["status"] == "ok"
+        found = json.load(urllib.request.urlopen(f"{base}/search", json.dumps({"query": "lazy list", "k": 1}).encode()))
+        assert found["hits"][0]["source"] == "official/list.md"
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"{base}/search", b"{")
+        server.shutdown()
+
+
+class FakeTokens:
+    """A tokenizer of one token for each word."""
+
+    def encode_batch(self, texts):
+        words = [(t if isinstance(t, str) else " ".join(t)).split() for t in texts]
+        width = max(map(len, words), default=0)
+        make = lambda w: type("E", (), {"ids": [len(x) for x in w] + [0] * (width - len(w)), "attention_mask": [1] * len(w) + [0] * (width - len(w)), "type_ids": [0] * width})()
+        return [make(w) for w in words]
+
+
+class FakeSession:
+    def __init__(self, run):
+        self.answer = run
+
+    def get_inputs(self):
+        return [type("I", (), {"name": n})() for n in ("input_ids", "attention_mask")]
+
+    def run(self, _, feed):
+        return [self.answer(feed)]
+
+
+def test_pooling_of_a_model():
+    """Means over the mask, of unit length; texts without tokens give zeros."""
+    hidden = lambda feed: np.stack([feed["input_ids"], feed["input_ids"] ** 2], axis=2).astype(float)
+    got = embed.pooled(FakeSession(hidden), FakeTokens(), ["ab abcd", "abc", ""])
+    want = [np.array([3.0, 10.0]), np.array([3.0, 9.0]), np.zeros(2)]
+    assert np.allclose(got, [w / max(1e-9, np.linalg.norm(w)) for w in want])
+
+
+@pytest.mark.parametrize("shape", [lambda x: x, lambda x: x[:, None], lambda x: np.stack([-x, x], axis=1)])
+def test_logits_of_a_reranker(shape):
+    """Scores of shape [n], [n, 1], or the second column of wider ones."""
+    total = lambda feed: shape(feed["input_ids"].sum(axis=1).astype(float))
+    assert embed.logits(FakeSession(total), FakeTokens(), [("ab", "abc"), ("a", "b")]) == [5.0, 2.0]

@@ -1,6 +1,6 @@
 """Request handlers over a store: HTTP-, MCP- and LSP-shaped messages as plain dictionaries, and a command line.
 
-Handlers are functions of a message; no socket is opened here. The search behind them is the same plan as for query sets.
+Handlers are functions of a message; http_server puts them behind a socket. The search behind them is the same plan as for query sets.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import sys
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any, BinaryIO, TextIO
 
 from pyspark.sql import Column, SparkSession
@@ -23,10 +24,11 @@ from .functions.enhance import rule_enhance
 from .operators.context import heading_display, lines_display, preview
 from .operators.evaluate import per_query, report
 from .operators.filters import Filters
-from .operators.retrieve import Options, passthrough, retrieve, stub_rerank
-from .sources.corpus import folder_counts, scan
+from .operators.retrieve import Options, migration_text, passthrough, retrieve, stub_rerank
+from .sources.corpus import folder_counts, scan, unpack
 from .sources.index import Store, index_folder
 from .sources.querysets import load_queries
+from .streaming.ingest import ingest
 
 DIM = 384
 
@@ -40,10 +42,10 @@ class Engine:
     dim: int = DIM
     corpus_root: str | None = None
 
-    def search(self, queries: list[tuple[str, str]], k: int = 5, enhance: bool = False, expand_parent: bool = False, threshold: float | None = None, filters: Filters | None = None, rerank: bool = False, chars: int = 500) -> list[dict[str, Any]]:
+    def search(self, queries: list[tuple[str, str]], k: int = 5, enhance: bool = False, expand_parent: bool = False, threshold: float | None = None, filters: Filters | None = None, rerank: bool = False, pre_rerank_k: int = 50, chars: int = 500) -> list[dict[str, Any]]:
         """Hits of (id, text) queries, best first."""
         chunks = self.store.chunks(self.model_id, self.dim)
-        o = Options(top_k=k, expand_parent=expand_parent, threshold=threshold, filters=filters or Filters(), fulltext=bool(self.store.manifest()["fulltext"]))
+        o = Options(top_k=k, pre_rerank_k=pre_rerank_k, expand_parent=expand_parent, threshold=threshold, filters=filters or Filters(), fulltext=bool(self.store.manifest()["fulltext"]))
         asked = self.spark.createDataFrame(queries, "query_id string, query string")
         hits = retrieve(asked, chunks, self.embed, o, rule_enhance if enhance else passthrough, stub_rerank if rerank else None, self.store.text_index())
         shown = hits.select("query_id", "rank", "chunk_id", "score", "vector_score", "bm25_score", F.col("found_by"), "source", "heading_path", heading_display(F.col("heading_path")).alias("heading"), lines_display(F.col("line_range")).alias("lines"), preview(F.col("content"), chars).alias("preview"))
@@ -112,7 +114,7 @@ def _call(engine: Engine, name: str, a: dict) -> str:
     if name == "migrate":
         if not isinstance(a.get("code"), str) or not isinstance(a.get("from"), str):
             raise ConfigError("code and from are needed")
-        return _hits_text("Migration", engine.one(f"{a['from']} migration to the target platform: {a['code']}", k=5, enhance=True, chars=800))
+        return _hits_text("Migration", engine.one(migration_text(a["from"], a["code"], "the target platform"), k=5, enhance=True, chars=800))
     if name == "validate":
         return json.dumps({"length": len(str(a.get("code", "")))})
     raise ConfigError(f"no such tool: {name}")
@@ -220,6 +222,36 @@ def serve_lsp(engine: Engine, lines: BinaryIO, out: BinaryIO) -> None:
             write_frame(out, answer)
 
 
+def http_server(engine: Engine, host: str = "127.0.0.1", port: int = 7654) -> ThreadingHTTPServer:
+    """A server that answers with handle_http; the caller runs and closes it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def _answer(self, method: str) -> None:
+            size = int(self.headers.get("Content-Length") or 0)
+            try:
+                body = json.loads(self.rfile.read(size)) if size else {}
+                status, answer = handle_http(engine, method, self.path.split("?")[0], body) if isinstance(body, dict) else (400, {"error": "ConfigError", "message": "not an object"})
+            except ValueError:
+                status, answer = 400, {"error": "ConfigError", "message": "not JSON"}
+            data = json.dumps(answer).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self) -> None:  # noqa: N802
+            self._answer("GET")
+
+        def do_POST(self) -> None:  # noqa: N802
+            self._answer("POST")
+
+        def log_message(self, *_: Any) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)
+
+
 # ---- evaluation and command line -------------------------------------------------------------------------------------
 
 
@@ -236,7 +268,7 @@ def evaluate(engine: Engine, path: str, k: int = 5, enhance: bool = False, reran
     return report(results.withColumn("latency_ms", F.lit(each).cast("long")), "Retrieval evaluation", run_at)
 
 
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidewell")
     p.add_argument("--index", default="index", help="folder of the store")
     p.add_argument("--dim", type=int, default=DIM)
@@ -244,35 +276,61 @@ def main(argv: list[str] | None = None) -> int:
     i = sub.add_parser("index")
     i.add_argument("source")
     i.add_argument("--no-fulltext", action="store_true")
+    i.add_argument("--checkpoint", help="folder of the progress; indexes what is new since the last run")
     q = sub.add_parser("query")
     q.add_argument("text")
     q.add_argument("-k", type=int, default=5)
     q.add_argument("--enhance", action="store_true")
     q.add_argument("--expand-parent", action="store_true")
     q.add_argument("--threshold", type=float)
-    c = sub.add_parser("corpus")
-    c.add_argument("source")
+    q.add_argument("--rerank", action="store_true")
+    q.add_argument("--pre-rerank-k", type=int, default=50)
+    c = sub.add_parser("corpus").add_subparsers(dest="action", required=True)
+    c.add_parser("list").add_argument("source")
+    for name in ("pull", "index-pull"):
+        pull = c.add_parser(name, help="unpack a local archive")
+        pull.add_argument("--from-file", required=True)
+        pull.add_argument("--target", required=True)
+        pull.add_argument("--force", action="store_true")
+        pull.add_argument("--strip-components", type=int, default=0)
     e = sub.add_parser("eval")
     e.add_argument("queries")
     e.add_argument("-k", type=int, default=5)
     e.add_argument("--enhance", action="store_true")
+    e.add_argument("--rerank", action="store_true")
     s = sub.add_parser("serve")
-    s.add_argument("--protocol", choices=("mcp", "lsp"), default="mcp")
-    a = p.parse_args(argv)
+    s.add_argument("--protocol", choices=("mcp", "lsp", "http"), default="mcp")
+    s.add_argument("--addr", default="127.0.0.1:7654")
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
+    if a.command == "corpus" and a.action != "list":
+        print(unpack(a.from_file, a.target, a.force, a.strip_components))
+        return 0
     from .session import session
 
     spark = session()
     engine = Engine(spark, Store(spark, a.index, read_only=a.command != "index"), lambda x: hash_embed(x, a.dim), hash_model_id(a.dim), a.dim)
-    if a.command == "index":
+    if a.command == "index" and a.checkpoint:
+        engine.store.open_or_create(engine.model_id, a.dim, not a.no_fulltext)
+        ingest(spark, a.source, engine.store, a.checkpoint, engine.embed, engine.model_id, a.dim).awaitTermination()
+        print(json.dumps({"chunks": engine.store.count()}))
+    elif a.command == "index":
         print(json.dumps(index_folder(spark, a.source, engine.store, engine.embed, engine.model_id, a.dim, fulltext=not a.no_fulltext)))
     elif a.command == "query":
-        hits = engine.one(a.text, k=a.k, enhance=a.enhance, expand_parent=a.expand_parent, threshold=a.threshold, chars=200)
+        hits = engine.one(a.text, k=a.k, enhance=a.enhance, expand_parent=a.expand_parent, threshold=a.threshold, rerank=a.rerank, pre_rerank_k=a.pre_rerank_k, chars=200)
         print("\n".join(f"{h['rank']}. [{h['score']:.4f}] {h['source']} {h['lines']} {h['heading']}\n   {h['preview']}" for h in hits) or "Nothing found.")
     elif a.command == "corpus":
         for r in folder_counts(scan(spark, a.source)).collect():
             print(r["folder"], r["n"])
     elif a.command == "eval":
-        print(evaluate(engine, a.queries, a.k, a.enhance, run_at=time.strftime("%Y-%m-%d %H:%M:%S")))
+        print(evaluate(engine, a.queries, a.k, a.enhance, a.rerank, run_at=time.strftime("%Y-%m-%d %H:%M:%S")))
+    elif a.protocol == "http":
+        host, _, port = a.addr.rpartition(":")
+        with http_server(engine, host, int(port)) as server:
+            server.serve_forever()
     elif a.protocol == "mcp":
         serve_mcp(engine, sys.stdin, sys.stdout)
     else:

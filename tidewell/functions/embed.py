@@ -54,6 +54,25 @@ def _session(model: str, tokenizer: str, max_tokens: int):
     return onnxruntime.InferenceSession(model), tokens
 
 
+def _feed(session, enc: list) -> dict[str, np.ndarray]:
+    feed = {"input_ids": [e.ids for e in enc], "attention_mask": [e.attention_mask for e in enc], "token_type_ids": [getattr(e, "type_ids", [0] * len(e.ids)) for e in enc]}
+    return {i.name: np.array(feed[i.name], dtype=np.int64) for i in session.get_inputs() if i.name in feed}
+
+
+def pooled(session, tokens, texts: list[str]) -> np.ndarray:
+    """Mean of the last hidden states over the mask, unit length; zeros for a text without tokens."""
+    enc = tokens.encode_batch(texts)
+    mask = np.array([e.attention_mask for e in enc], dtype=np.int64)
+    hidden = session.run(None, _feed(session, enc))[0]
+    return normalize((hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1))
+
+
+def logits(session, tokens, pairs: list[tuple[str, str]]) -> list[float]:
+    """Scores of (query, content) pairs: of shape [n], [n, 1], or the second column of wider ones."""
+    found = np.asarray(session.run(None, _feed(session, tokens.encode_batch(pairs)))[0])
+    return (found if found.ndim == 1 else found[:, 0] if found.shape[1] == 1 else found[:, 1]).astype(float).tolist()
+
+
 def onnx_embed(model: str, tokenizer: str, max_tokens: int = 512, batch: int = 32):
     """embed(column) -> column: mean pooling over the mask, unit length. The model is loaded once in each Python worker."""
 
@@ -62,12 +81,7 @@ def onnx_embed(model: str, tokenizer: str, max_tokens: int = 512, batch: int = 3
         for texts in stream:
             out: list = []
             for at in range(0, len(texts), batch):
-                enc = tokens.encode_batch([t or "" for t in texts.iloc[at : at + batch]])
-                ids, mask = np.array([e.ids for e in enc], dtype=np.int64), np.array([e.attention_mask for e in enc], dtype=np.int64)
-                feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-                hidden = session.run(None, {i.name: feed[i.name] for i in session.get_inputs() if i.name in feed})[0]
-                pooled = (hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1, keepdims=True), 1)
-                out += normalize(pooled).astype(np.float32).tolist()
+                out += pooled(session, tokens, [t or "" for t in texts.iloc[at : at + batch]]).astype(np.float32).tolist()
             yield pd.Series(out)
 
     return F.pandas_udf(run, T.ArrayType(T.FloatType()))
@@ -81,10 +95,7 @@ def onnx_rerank_score(model: str, tokenizer: str, max_tokens: int = 512, batch:
         for queries, contents in stream:
             out: list = []
             for at in range(0, len(queries), batch):
-                enc = tokens.encode_batch(list(zip(queries.iloc[at : at + batch], contents.iloc[at : at + batch], strict=True)))
-                feed = {"input_ids": np.array([e.ids for e in enc], dtype=np.int64), "attention_mask": np.array([e.attention_mask for e in enc], dtype=np.int64), "token_type_ids": np.array([e.type_ids for e in enc], dtype=np.int64)}
-                logits = np.asarray(session.run(None, {i.name: feed[i.name] for i in session.get_inputs() if i.name in feed})[0])
-                out += (logits if logits.ndim == 1 else logits[:, 0] if logits.shape[1] == 1 else logits[:, 1]).astype(float).tolist()
+                out += logits(session, tokens, list(zip(queries.iloc[at : at + batch], contents.iloc[at : at + batch], strict=True)))
             yield pd.Series(out)
 
     return F.pandas_udf(run, T.DoubleType())

@@ -29,6 +29,9 @@ class TextIndex:
     avg_dl: dict[str, float]
 
 
+#: So many hits of a query set may be broadcast.
+SMALL_HITS = 100_000
+
 #: What full text looks in: the content, and the headings above it joined by " / ".
 FIELDS = ("content", "heading_path")
 
@@ -103,6 +106,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, options: Optio
     if o.threshold is not None:
         hits = score_threshold(hits, o.threshold)
     hits = hits.withColumnRenamed("source", "found_by")
+    if queries.count() * k <= SMALL_HITS:  # k rows for each query at most: the winners go to the content, not the content to them
+        hits = F.broadcast(hits)
     full = hits.join(chunks.drop("embedding"), "chunk_id").join(enhanced.select("query_id", "raw"), "query_id")
     if rerank:
         full = rerank(full.withColumnRenamed("source", "file").withColumnRenamed("found_by", "source"), o.top_k).withColumnRenamed("source", "found_by").withColumnRenamed("file", "source")
@@ -116,6 +121,11 @@ def migration_query(from_platform: Column, code: Column, target: str) -> Column:
     return F.concat(from_platform, F.lit(f" migration to {target}: "), code)
 
 
+def migration_text(from_platform: str, code: str, target: str) -> str:
+    """migration_query of one request."""
+    return f"{from_platform} migration to {target}: {code}"
+
+
 #: The named form of `retrieve`, as other retrievers are called: (queries, k) -> hits.
 @dataclass(frozen=True)
 class HybridRetriever:
