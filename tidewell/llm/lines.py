@@ -193,7 +193,10 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     cut = shared_checkpoint(line_rows(docs, doc_id, text, min_chars))  # texts are cut and hashed once; the sample for the ranges reads hashes
     rows = shared_checkpoint(cut.repartitionByRange(n, *_SORT).sortWithinPartitions(*_SORT))
     forget(cut)
-    edges = rows.mapInArrow(_edges, _EDGE).collect()  # two rows for each partition
+    # two rows for each partition; only of keys that go on in another one, which are few, they come to the driver
+    edge = shared_checkpoint(rows.mapInArrow(_edges, _EDGE))
+    wide = edge.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = edge.join(wide, ["h1", "h2"], "left_semi").collect()
     edges.sort(key=lambda e: (e["part"], e["h1"], e["h2"]))
     total, later, firsts = _settle(edges)
     return rows.mapInArrow(_dropper(total, later, firsts, min_docs, keep_first), "nil boolean, id long, a long, pos int")

@@ -3,7 +3,8 @@
 Every measure is a Catalyst expression over the row itself, so the plan is one scan and one projection, with no
 shuffle and no user functions. A null text has no words; it and every text under the least length fail the base rule.
 Rows are judged one by one: repeated rows get equal verdicts and columns besides the key and the text pass through
-untouched in `quality_filter`. Windows of three words are compared by 64-bit hashes within one text.
+untouched in `quality_filter` whatever their names, while `judge` refuses to replace one. Windows of three words are compared by 64-bit hashes
+within one text. No text is too long: the work is linear in its words, and rules bound ratios, not lengths from above. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, let, table, words
+from .common import WS_CLASS, free_name, let, table, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -97,6 +98,8 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, column: str = "quality") -> DataFrame:
     """docs with a struct of all measures, ratios and verdicts in `column`."""
+    if column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs have a column {column} already")
     m = docs.withColumn(column, measures(F.col(f"`{text}`")))
     get = {k: F.col(f"`{column}`.w.{k}") for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words", "n_upper")}
     get |= {k: F.col(f"`{column}`.l.{k}") for k in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
@@ -122,9 +125,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with docs' own columns."""
-    column = "_quality"
-    while column in docs.columns:
-        column = "_" + column
+    column = free_name(docs.columns, "quality")
     return judge(docs, text, rules, column).filter(F.col(f"`{column}`.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
