@@ -11,8 +11,8 @@ bits and a radius of 128, and verifies each link within the radius, unless verif
 SIMILAR lie in shingles that the other has too. So single changed words cost what they are, wherever they stand, while a third of own text is always too much. All
 pairs with a Jaccard similarity of 0.8 are far within (they differ in 58 bits on average); by normal estimate the radius misses
 one in ten at a similarity of 0.4, and two texts without a shingle in common come within it once in 10^10 pairs.
-Only texts with a link move for this, in blocks of one group (a large group in several, each two of which meet) or of many small groups.
-The comparison of all pairs is quadratic in the number of distinct fingerprints, and verification in the size of a group whose links fail.
+Only texts with a link move for this, in blocks of one group or of many small groups. Of a large group's blocks the heads of their components meet, and then only what is not in
+the largest component meets the other blocks. The comparison of all pairs is quadratic in the number of distinct fingerprints, and verification in the size of a group whose links fail.
 
 A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
 class whatever their number; rows with a null id take part but name no component (a component of such rows alone has
@@ -398,42 +398,74 @@ def _node_edges(found: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBa
 
 
 def _within_blocks(radius: int, size: int, words: int):
-    """Each block with the links inside it."""
+    """Each block with the links inside it; of a large group's block also the heads of its components."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for k in range(batch.num_rows):
                 own, block, rows = (batch.column(c)[k].as_py() for c in range(3))
-                nodes = [x["node"] for x in rows]
-                found, roots = verified(_prints(nodes, words), _sets([x["hashes"] for x in rows]), radius, size)
+                nodes, hashes = [x["node"] for x in rows], [x["hashes"] for x in rows]
+                found, roots = verified(_prints(nodes, words), _sets(hashes), radius, size)
                 u, v = ([nodes[p[c]] for p in found] for c in (0, 1))
-                names, types = ("own", "block", "nodes", "hashes", "roots", "u", "v"), (pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+                heads = [i for i, r in enumerate(roots.tolist()) if i == r]
                 # a group in one block has met itself; only a large one's texts go on
-                row = (own, block, nodes if own else [], [x["hashes"] for x in rows] if own else [], roots.tobytes(), u, v)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=list(names))
+                row = (own, block, nodes if own else [], hashes if own else [], [nodes[i] for i in heads] if own else [], [hashes[i] for i in heads] if own else [], u, v)
+                lists = pa.list_(pa.binary())
+                types = (pa.binary(), pa.int32(), lists, lists, lists, lists, lists, lists)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _MET.split(", ")])
 
     return run
 
 
+_MET = "own binary, block int, nodes array<binary>, hashes array<binary>, head_nodes array<binary>, head_hashes array<binary>, u array<binary>, v array<binary>"
+
+
 def _between_blocks(radius: int, size: int, words: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for k in range(batch.num_rows):
-                n1, h1, r1, n2, h2, r2 = (batch.column(c)[k].as_py() for c in range(6))
-                roots = np.r_[np.frombuffer(r1, dtype=np.int32), np.frombuffer(r2, dtype=np.int32) + len(n1)]
-                found, _ = verified(_prints(n1 + n2, words), _sets(h1 + h2), radius, size, len(n1), roots)
+                rows, n2, h2 = (batch.column(c)[k].as_py() for c in range(3))
+                n1, h1 = [x["node"] for x in rows], [x["hashes"] for x in rows]
+                found, _ = verified(_prints(n1 + n2, words), _sets(h1 + h2), radius, size, len(n1))
                 yield _node_edges(found, n1 + n2)
 
     return run
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """own, block and rows (node and hashes) of rows (own, node, hashes), in blocks of about BLOCK_TEXTS of one group."""
+    sizes = rows.groupBy("own").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("k"))
+    dealt = rows.join(sizes, "own").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("k")).cast("int"))
+    return dealt.groupBy("own", "block").agg(F.collect_list(F.struct("node", "hashes")).alias("rows"))
+
+
+def _across_blocks(blocks: DataFrame, radius: int, size: int, words: int) -> DataFrame | None:
+    """u, v: the links that large groups have between their blocks, up to components. blocks: _MET rows of large groups.
+
+    First the heads of the blocks' components meet, which joins what a group of near copies has in all its blocks. What is then in a group's largest component need not meet itself
+    again: only the rest, if any, meets all blocks of its group.
+    """
+    heads = blocks.select("own", F.explode(F.arrays_zip("head_nodes", "head_hashes")).alias("e")).select("own", F.col("e.head_nodes").alias("node"), F.col("e.head_hashes").alias("hashes"))
+    met = shared_checkpoint(_blocked(heads).mapInArrow(_within_blocks(radius, size, words), _MET).select("own", F.explode(F.arrays_zip("u", "v")).alias("e")).select("own", "e.u", "e.v"))
+    inside = blocks.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
+    labels = components(inside.unionByName(met.select("u", "v")))
+    members = blocks.select("own", F.explode(F.arrays_zip("nodes", "hashes")).alias("e")).select("own", F.col("e.nodes").alias("node"), F.col("e.hashes").alias("hashes"))
+    members = members.join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left").select("own", "node", "hashes", F.coalesce("root", "node").alias("head"))
+    largest = members.groupBy("own", "head").agg(F.count(F.lit(1)).alias("n")).groupBy("own").agg(F.max_by("head", F.struct("n", "head")).alias("largest"))
+    rest = shared_checkpoint(members.join(largest, "own").filter("head <> largest").select("own", "node", "hashes"))
+    if rest.isEmpty():
+        return met.select("u", "v")
+    pairs = _blocked(rest).select("own", "rows").join(blocks.select("own", "nodes", "hashes"), "own").select("rows", "nodes", "hashes")
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * blocks.sparkSession.sparkContext.defaultParallelism)
+    return met.select("u", "v").unionByName(pairs.repartition(parts).mapInArrow(_between_blocks(radius, size, words), "u binary, v binary"))
+
+
 def verified_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, radius: int, size: int, words: int) -> DataFrame:
     """u, v: edges between nodes (fp and b) whose components are those of all links that are within the radius and similar.
 
     classes: root (of the links within the radius), fp, b, chars, and the id and hash `a` of one row, for each distinct text.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     weight = F.count(F.lit(1)) / BLOCK_TEXTS + F.sum("chars") / BLOCK_CHARS
     groups = classes.groupBy("root").agg(F.count(F.lit(1)).alias("n"), weight.alias("weight")).filter("n > 1").withColumn("k", F.ceil("weight").cast("int"))
     groups = shared_checkpoint(groups)
@@ -447,14 +479,12 @@ def verified_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
     met = rows.join(asked.hint("shuffle_hash"), (F.col("_id") == F.col("_asked_id")) & (F.col("_a") == F.col("_asked_a"))).dropDuplicates(["_id", "_a"])
     sets = met.select("own", "block", "node", "_text").mapInArrow(_shingler(size), "own binary, block int, node binary, hashes binary")
     packed = sets.groupBy("own", "block").agg(F.collect_list(F.struct("node", "hashes")).alias("rows"))
-    blocks = shared_checkpoint(packed.mapInArrow(_within_blocks(radius, size, words), "own binary, block int, nodes array<binary>, hashes array<binary>, roots binary, u array<binary>, v array<binary>"))
+    blocks = shared_checkpoint(packed.mapInArrow(_within_blocks(radius, size, words), _MET))
     inside = blocks.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
-    pairs = groups.filter("k > 1").select(F.col("root").alias("own"), "k", F.explode(F.sequence(F.lit(0), F.col("k") - 2)).alias("b1"))
-    pairs = pairs.select("own", "b1", F.explode(F.sequence(F.col("b1") + 1, F.col("k") - 1)).alias("b2"))
-    side = lambda k: blocks.filter("own <> X''").select("own", F.col("block").alias(f"b{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("nodes", "hashes", "roots")))
-    both = pairs.join(side(1), ["own", "b1"]).join(side(2), ["own", "b2"]).select("nodes1", "hashes1", "roots1", "nodes2", "hashes2", "roots2")
-    between = both.repartition(max(parts, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_between_blocks(radius, size, words), "u binary, v binary")
-    return inside.unionByName(between)
+    large = blocks.filter("own <> X''")
+    if large.isEmpty():
+        return inside
+    return inside.unionByName(_across_blocks(large, radius, size, words))
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 128, size: int = 5, words: int = 6) -> DataFrame:
