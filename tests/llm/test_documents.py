@@ -143,7 +143,9 @@ def test_linked_tiles(words, radius):
         assert {p: got.get(p, p) for p in root} == root
 
 
-def test_long_chain_of_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_long_chain_of_components(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_FOREST", small)
     n = 60
     edges = spark.createDataFrame([(bytes([i + 1]), bytes([i])) for i in range(n)] + [(b"\xf1", b"\xf0")], "u binary, v binary").repartition(7)
     got = {bytes(r.node)[0]: bytes(r.root)[0] for r in simhash.components(edges).collect()}

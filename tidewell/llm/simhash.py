@@ -4,7 +4,7 @@ Fingerprints of 64 bits or a multiple come from one Arrow pass over the texts. D
 into packed tiles. Two tiles, and two stretches of them, are compared only if their population counts can lie within the radius; this
 loses no pair, for two fingerprints differ in at least as many bits as their counts do. A tile reports a spanning forest of
 its links, as trees of few branches, and a pair of tiles what joins their components, never the links themselves. Components follow by minimum labels
-with pointer jumping, each round in the shared checkpoint and the one before it removed.
+with pointer jumping, each round in the shared checkpoint and the one before it removed; a forest of at most SMALL_FOREST edges is labelled in one task.
 
 Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words, 384
 bits and a radius of 128, and verifies each link within the radius, unless verified links join its ends already: two texts are near copies if of the words of each
@@ -285,9 +285,38 @@ def links(prints: DataFrame, radius: int = 4, words: int = 1) -> DataFrame:
     return tiles.select("fps", "roots").mapInArrow(_inner(words), "u binary, v binary").unionByName(between)
 
 
+#: So many edges at most are labelled in one task; more go round by round.
+SMALL_FOREST = 1 << 18
+
+
+def _label(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node with the least of its component."""
+    up: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in stream:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for at in range(0, len(nodes), 1 << 16):
+        some = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([find(x) for x in some], pa.binary())], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node reachable over the edges, for each node that has one."""
     once = shared_checkpoint(edges.distinct())
+    if once.count() <= SMALL_FOREST:
+        labels = shared_checkpoint(once.coalesce(1).mapInArrow(_label, "node binary, root binary"))
+        forget(once)
+        return labels
     both = shared_checkpoint(once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     forget(once)
     labels = kept = shared_checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
