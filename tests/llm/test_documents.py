@@ -202,7 +202,7 @@ def test_near_dedup_verifies_links(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < 95 and len(set(want[-18:-6])) < 3
     out = simhash.dedup(df)
     assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == sorted(set(want))
-    raw = simhash.near_duplicates(df, radius=128, size=5, words=6, repeats=False).select("component_id").distinct().count()
+    raw = simhash.near_duplicates(df, radius=88, size=5, words=4, repeats=False).select("component_id").distinct().count()
     assert raw < len(set(want))  # the fingerprints alone join more
 
 

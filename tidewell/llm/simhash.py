@@ -6,11 +6,11 @@ loses no pair, for two fingerprints differ in at least as many bits as their cou
 its links, as trees of few branches, and a pair of tiles what joins their components, never the links themselves. Components follow by minimum labels
 with pointer jumping, each round in the shared checkpoint and the one before it removed; a forest of at most SMALL_FOREST edges is labelled in one task.
 
-Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words, 384
-bits and a radius of 128, and verifies each link within the radius, unless verified links join its ends already: two texts are near copies if of the words of each
+Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words, 256
+bits and a radius of 88, and verifies each link within the radius, unless verified links join its ends already: two texts are near copies if of the words of each
 SIMILAR lie in shingles that the other has too. So single changed words cost what they are, wherever they stand, while a third of own text is always too much. All
-pairs with a Jaccard similarity of 0.8 are far within (they differ in 58 bits on average); by normal estimate the radius misses
-one in ten at a similarity of 0.4, and two texts without a shingle in common come within it once in 10^10 pairs.
+pairs with a Jaccard similarity of 0.8 are far within (they differ in 39 bits on average); by normal estimate the radius misses
+one in ten at a similarity of 0.4, and two texts without a shingle in common come within it three times in 10^7 pairs.
 Only texts with a link move for this, in blocks of one group or of many small groups. Of a large group's blocks the heads of their components meet, and then only what is not in
 the largest component meets the other blocks. The comparison of all pairs is quadratic in the number of distinct fingerprints, and verification in the size of a group whose links fail.
 
@@ -516,7 +516,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
     return inside.unionByName(_across_blocks(large, radius, size, words))
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 128, size: int = 5, words: int = 6) -> DataFrame:
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 88, size: int = 5, words: int = 4) -> DataFrame:
     """doc_id, a and component_id for each row of docs: components of the links within the radius that are similar."""
     prints = shared_checkpoint(fingerprints(docs, doc_id, text, size, words, repeats=False, body=True))
     near = components(links(prints, radius, words))
@@ -532,7 +532,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return prints.join(named, ["fp", "b"]).select("doc_id", "a", "component_id")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 128, size: int = 5, words: int = 6) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 88, size: int = 5, words: int = 4) -> DataFrame:
     """The rows of docs that represent their group: those of its least document id.
 
     Rows that repeat an id and a text are the same document and stay together. Of the rows without an id none stands for
