@@ -20,7 +20,7 @@ def rows(relation):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_give_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "benchmark"):
+    for t in ("documents", "conversations", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     names, want = rows(con.execute(registry.SQL[name]))
     df = registry.QUERIES[name](spark, str(DATA))
