@@ -119,4 +119,18 @@ def test_memory_of_words_is_bounded(tokenizer, monkeypatch):
     encode = packing.Encoder(P.path(NAME))
     for text in ("a b c d", "e f g a", "q " * 9 + "z" * 100, "h i j k l m n o p"):
         assert encode(text.encode(), 1).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
-        assert len(encode.known) <= 9 and not any(len(w) > packing.WORD_BYTES for w in encode.known)
+        assert len(encode.known) <= 9 and len(encode.parts) <= 9 and not any(len(w) > packing.WORD_BYTES for w in [*encode.known, *encode.parts])
+
+
+def test_words_are_those_of_whole_texts(tokenizer, monkeypatch):
+    """Plain and odd words of many alphabets, also when the ends of parts do not add up."""
+    r = random.Random(8)
+    letters = "abcXYZéßøıİŉǅªº²½×÷'’_-.,<|>09٣ΣςЖ日ａ́\u200b\xa0\x1c"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(50)) for _ in range(200)]
+    encode = packing.Encoder(P.path(NAME))
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [encode(t.encode(), 1).tolist() for t in texts] == want
+    encode.ends[:] = True
+    encode.known.clear()
+    encode.parts.clear()
+    assert [encode(t.encode(), 1).tolist() for t in texts] == want

@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +38,74 @@ POOL_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 17
 #: Words that a task remembers, and the longest of these in bytes.
-WORDS, WORD_BYTES = 200_000, 64
+WORDS, WORD_BYTES = 800_000, 64
+#: A part of a word, as the tokenizer's rule cuts words of ASCII and Latin letters without an apostrophe: a run of letters, a digit, a run of signs.
+_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 # ---- tokens ----------------------------------------------------------------------------------------------------------
 
 
 class Encoder:
-    """Ids of whole texts, by a tokenizer that never joins what ASCII white space parts."""
+    """Ids of whole texts, by a tokenizer that never joins what ASCII white space parts, folds case, and ends each of the parts it cuts a word into with a token of its own kind.
+
+    Words of plain letters, digits and signs are cut into these parts here; new parts go to the tokenizer many at a time, as one text in which the ends say which ids are whose. If
+    they do not add up, and for all other words, each is a text of its own.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, parts: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            return self._one_by_one(parts)
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, others = [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            cut = _PART.findall(t)
+            if sum(map(len, cut)) == len(t) and "<|" not in t:
+                plain.append((w, cut))
+            else:
+                others.append((w, t))
+        new = list({c for _, cut in plain for c in cut if c not in self.parts})
+        for at in range(0, len(new), 4096):
+            self.parts.update(zip(new[at : at + 4096], self._together(new[at : at + 4096]), strict=True))
+        self.known.update((w, self.parts[cut[0]] if len(cut) == 1 else b"".join(map(self.parts.__getitem__, cut))) for w, cut in plain)
+        for at in range(0, len(others), 4096):
+            self.known.update(zip((w for w, _ in others[at : at + 4096]), self._one_by_one([t for _, t in others[at : at + 4096]]), strict=True))
 
     def __call__(self, text: bytes, end_id: int) -> np.ndarray:
+        if b"<|" not in text:
+            text = text.lower()  # ASCII letters; fewer words to know
         words = text.split()  # of bytes: at ASCII white space only
-        new = [w for w in set(words) if w not in self.known]
+        new = list({w for w in words if w not in self.known})
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
+            self.parts.clear()
             new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (e.ids for e in found), strict=True))
-        ids = np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), (end_id,)), dtype="<u4")
+        self._learn(new)
+        ids = np.frombuffer(b"".join([*map(self.known.__getitem__, words), np.array([end_id], dtype="<u4").tobytes()]), dtype="<u4")
         for w in new:
             if len(w) > WORD_BYTES:
                 del self.known[w]
+                self.parts.pop(w.decode("utf-8", "replace"), None)
         return ids
 
 
