@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewell.errors import RetrievalError
 from tidewell.functions.embed import hash_embed
-from tidewell.operators import context, filters, fulltext, fusion, vector
+from tidewell.operators import blocks, context, filters, fulltext, fusion, vector
 from tidewell.operators.filters import Filters
 
 
@@ -88,11 +88,11 @@ def test_overlapping_grams_count(spark):
 
 def test_scan_and_postings_agree(spark):
     both = ("content", "heading")
-    post, n = fulltext.postings(boats(spark), field=both), len(BOATS)
-    avg = {f: sum(fulltext.gram_count(len(r[i] or "")) for r in BOATS) / n for i, f in ((1, "content"), (2, "heading"))}
-    q = spark.createDataFrame([("1", "boat"), ("2", "harbour the"), ("3", "an"), ("4", "the 时刻表"), ("5", "b")], "query_id string, query string")
-    scan = sorted(rows(fulltext.bm25_topk(boats(spark), q, 2, field=both), "query_id", "rank", "chunk_id", "score"))
-    assert scan == sorted(rows(fulltext.search_postings(post, n, avg, q, 2), "query_id", "rank", "chunk_id", "score")) and len(scan) > 5
+    index = blocks.index_of(boats(spark).repartition(3), both)
+    q = spark.createDataFrame([("1", "boat"), ("2", "harbour the"), ("3", "an"), ("4", "the 时刻表"), ("5", "b"), ("6", '"night boat"'), ("7", "heading:harbour -banana"), ("8", "nanaba")], "query_id string, query string")
+    for syntax in (False, True):
+        scan = sorted(rows(fulltext.bm25_topk(boats(spark), q, 2, field=both, syntax=syntax), "query_id", "rank", "chunk_id", "score"))
+        assert scan == sorted(rows(blocks.search_blocks(index, q, 2, syntax=syntax), "query_id", "rank", "chunk_id", "score")) and len(scan) > 5
 
 
 def test_null_vectors_are_not_found(spark):

@@ -47,7 +47,7 @@ class Engine:
         chunks = self.store.chunks(self.model_id, self.dim)
         o = Options(top_k=k, pre_rerank_k=pre_rerank_k, expand_parent=expand_parent, threshold=threshold, filters=filters or Filters(), fulltext=bool(self.store.manifest()["fulltext"]))
         asked = self.spark.createDataFrame(queries, "query_id string, query string")
-        hits = retrieve(asked, chunks, self.embed, o, rule_enhance if enhance else passthrough, stub_rerank if rerank else None, self.store.text_index())
+        hits = retrieve(asked, chunks, self.embed, o, rule_enhance if enhance else passthrough, stub_rerank if rerank else None, self.store.text_index(), self.store.vector_index())
         shown = hits.select("query_id", "rank", "chunk_id", "score", "vector_score", "bm25_score", F.col("found_by"), "source", "heading_path", heading_display(F.col("heading_path")).alias("heading"), lines_display(F.col("line_range")).alias("lines"), preview(F.col("content"), chars).alias("preview"))
         return [r.asDict() for r in shown.orderBy("query_id", "rank").collect()]  # k rows for each query
 
@@ -261,7 +261,7 @@ def evaluate(engine: Engine, path: str, k: int = 5, enhance: bool = False, reran
     chunks = engine.store.chunks(engine.model_id, engine.dim)
     o = replace(Options(top_k=k), fulltext=bool(engine.store.manifest()["fulltext"]))
     began = time.monotonic()
-    hits = retrieve(truth.select("query_id", "query"), chunks, engine.embed, o, rule_enhance if enhance else passthrough, stub_rerank if rerank else None, engine.store.text_index())
+    hits = retrieve(truth.select("query_id", "query"), chunks, engine.embed, o, rule_enhance if enhance else passthrough, stub_rerank if rerank else None, engine.store.text_index(), engine.store.vector_index())
     results = per_query(hits.select("query_id", "rank", "chunk_id"), truth, k).cache()
     n = max(1, results.count())
     each = int(1000 * (time.monotonic() - began) / n)

@@ -1,7 +1,7 @@
-"""Full-text search over character 2- and 3-grams of one or more fields, by scan or from stored postings.
+"""Full-text search over character 2- and 3-grams of one or more fields, by scan; `blocks` has the same from stored postings.
 
-Grams cross spaces and punctuation; query text is cut into words. A word matches a field that has all of its grams, a document matches if each word matches
-some field, and words of one character ask for nothing. Scores are BM25 with k1 = 1.2 and b = 0.75 for each field, summed over the
+Grams cross spaces and punctuation; query text is cut into words. A word matches a field that has its grams at following places, which is to say that has the word; a document
+matches if each word matches some field, and words of one character ask for nothing. Scores are BM25 with k1 = 1.2 and b = 0.75 for each field, summed over the
 distinct words of the query, the fields each matches and its distinct grams.
 
 Query syntax, by `parse_query`: "several words" in quotes stand together in the text, spaces included; `field:word` looks in one field only; -word must not match and +word must,
@@ -36,11 +36,11 @@ BLOCK_TERMS = 4096
 
 @dataclass(frozen=True)
 class Word:
-    """grams that some field (or the named one) must have, all of them, or must not."""
+    """What some field (or the named one) must hold as it is, or must not; a quoted phrase is a word with spaces."""
 
+    text: str
     grams: tuple[str, ...]
     field: str | None = None
-    phrase: str | None = None  # what must stand in the field as it is
     wanted: bool = True
 
 
@@ -61,9 +61,9 @@ def parse_query(text: str | None, fields: tuple[str, ...], syntax: bool = True)
             word = quoted or plain
             if not word.strip("+-"):
                 continue
-            found.append(Word(grams_of(word), field or None, quoted or None, sign != "-"))
+            found.append(Word(word, grams_of(word), field or None, sign != "-"))
     else:
-        found = [Word(grams_of(w)) for w in low.split()]
+        found = [Word(w, grams_of(w)) for w in low.split()]
     return [w for w in dict.fromkeys(found) if w.grams]
 
 
@@ -103,7 +103,7 @@ def _matches(words: list[Word], texts: list[str], fields: tuple[str, ...]) -> li
     """The (word, field) pairs that match, or None if the document does not."""
     pairs = []
     for w in words:
-        own = [f for f in range(len(texts)) if w.field in (None, fields[f]) and (w.phrase in texts[f] if w.phrase else all(g in texts[f] for g in w.grams))]
+        own = [f for f in range(len(texts)) if w.field in (None, fields[f]) and w.text in texts[f]]
         if bool(own) != w.wanted:
             return None
         if w.wanted:
@@ -237,57 +237,6 @@ def postings(docs: DataFrame, id_col: str = "chunk_id", field: str | tuple[str,
     return rows.mapInArrow(run, f"field string, term string, id {kind}, tf long, dl long").filter(F.octet_length("term") <= MAX_TERM_BYTES)
 
 
-def term_stats(post: DataFrame) -> DataFrame:
-    """term, df and cf of one field. post has a row for each term of a document, so counting needs no distinct."""
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
-def corpus_stats(docs: DataFrame, field: str = "content") -> DataFrame:
-    """n_docs and avg_dl. A text of n characters has (n - 1) + (n - 2) grams."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(gram_length(F.col(field)).cast("double")).alias("avg_dl"))
-
-
-def gram_length(text: Column) -> Column:
-    n = F.length(F.lower(F.coalesce(text, F.lit(""))))
-    return F.greatest(F.lit(0), n - 1) + F.greatest(F.lit(0), n - 2)
-
-
-def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
-    """query_id, word and term: the distinct grams of the distinct words of each query. Words of one character give none."""
-    word = F.explode(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.length(w) >= 2)))
-    words = queries.select("query_id", word.alias("word"))
-
-    def grams(w: Column, n: int) -> Column:
-        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    return words.select("query_id", "word", F.explode(F.array_distinct(F.concat(*(grams(F.col("word"), n) for n in SIZES)))).alias("term"))
-
-
-def search_postings(post: DataFrame, n_docs: int, avg_dl: dict[str, float], queries: DataFrame, k: int, id_col: str = "chunk_id", keep: DataFrame | None = None, digits: int = 6, text: str = "query") -> DataFrame:
-    """query_id, rank, id and score, from postings (field, term, id, tf, dl) and the statistics of their documents. keep: the ids that hits must be among.
-
-    Plain words only. The grams asked for become a filter on the scan, which stored postings, sorted by term, answer from a few row groups; document frequencies are
-    counted from the same rows. Only these postings are shuffled.
-    """
-    terms = query_terms(queries, text)
-    asked = [r[0] for r in terms.select("term").distinct().limit(BLOCK_TERMS + 1).collect()]
-    found = post.filter(F.col("term").isin(asked)) if len(asked) <= BLOCK_TERMS else post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    hits = found if keep is None else found.join(keep.select(F.col(id_col).alias("id")), "id", "left_semi")
-    avg = F.lit(None).cast("double")
-    for name, value in avg_dl.items():
-        avg = F.when(F.col("field") == name, F.lit(float(max(1e-9, value)))).otherwise(avg)
-    idf = F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
-    scored = hits.join(df, ["field", "term"]).join(terms, "term").withColumn("s", idf * tf)
-    sizes = terms.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n_terms"))
-    n_words = sizes.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_words"))
-    by_word = scored.groupBy("query_id", "id", "word", "field").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).join(sizes, ["query_id", "word"]).filter(F.col("n") == F.col("n_terms"))
-    by_doc = by_word.groupBy("query_id", "id").agg(F.sum("s").alias("score"), F.count_distinct("word").alias("n")).join(n_words, "query_id").filter(F.col("n") == F.col("n_words"))
-    full = by_doc.select("query_id", F.col("id").alias(id_col), F.round("score", digits).alias("score"))
-    return rank_hits(full, id_col).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
-
-
 def null_search(queries: DataFrame, id_type: str = "string", id_col: str = "chunk_id") -> DataFrame:
     """No hits: what a store without full text answers."""
     return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, rank long, {id_col} {id_type}, score double")

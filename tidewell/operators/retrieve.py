@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context
+from .blocks import TextIndex, search_blocks
+from .clusters import VectorIndex, clustered_topk
 from .filters import Filters, fulltext_filter, score_threshold, vector_filter
-from .fulltext import bm25_topk, search_postings
+from .fulltext import bm25_topk
 from .fusion import RRF_K, rank_hits, rrf_fuse
 from .vector import vector_topk
 
@@ -20,15 +22,6 @@ Embed = Callable[[Column], Column]
 Rerank = Callable[[DataFrame, int], DataFrame]
 
 
-@dataclass(frozen=True)
-class TextIndex:
-    """Stored postings (field, term, id, tf, dl) and the statistics of their documents."""
-
-    postings: DataFrame
-    n_docs: int
-    avg_dl: dict[str, float]
-
-
 #: So many hits of a query set may be broadcast.
 SMALL_HITS = 100_000
 
@@ -79,17 +72,18 @@ def text_branch(words: DataFrame, chunks: DataFrame, o: Options, k: int, index:
     """Full-text hits from the index, or from a scan without one. Only the index's postings of the words asked for are read."""
     keep = fulltext_filter(o.filters)
     if index is not None:
-        return search_postings(index.postings, index.n_docs, index.avg_dl, words, k, keep=chunks.filter(keep))
+        return search_blocks(index, words, k, keep=keep)
     texts, fields = with_fields(chunks)
     return bm25_topk(texts, words, k, field=fields, keep=keep)
 
 
-def fuse_branches(queries: DataFrame, chunks: DataFrame, embed: Embed, o: Options, k: int, index: TextIndex | None = None) -> DataFrame:
+def fuse_branches(queries: DataFrame, chunks: DataFrame, embed: Embed, o: Options, k: int, index: TextIndex | None = None, vectors_of: VectorIndex | None = None) -> DataFrame:
     """The fused hits of enhanced queries (raw, rewritten, hyde_doc) over chunks with embeddings."""
     per_branch = max(1, o.per_branch)
     asked = queries.filter(F.trim("raw") != "")
     vectors = asked.select("query_id", embed(F.coalesce("hyde_doc", "rewritten")).alias("embedding"))
-    branch = vector_topk(chunks.filter(vector_filter(o.filters)), vectors, per_branch)
+    keep = vector_filter(o.filters)
+    branch = vector_topk(chunks.filter(keep), vectors, per_branch) if vectors_of is None else clustered_topk(vectors_of, vectors, per_branch, keep=keep)
     rankings = [branch.withColumn("vector_score", F.col("score"))]
     if o.fulltext:
         words = asked.select("query_id", F.col("rewritten").alias("query"))
@@ -97,12 +91,12 @@ def fuse_branches(queries: DataFrame, chunks: DataFrame, embed: Embed, o: Option
     return rrf_fuse(rankings, o.rrf_k, top_k=k)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, options: Options = Options(), enhance: Callable[[DataFrame], DataFrame] = passthrough, rerank: Rerank | None = None, index: TextIndex | None = None) -> DataFrame:
-    """Hits of queries (query_id, query) with content and metadata. Content is joined for the winners only. index: full text is answered from it, not from the chunks."""
+def retrieve(queries: DataFrame, chunks: DataFrame, embed: Embed, options: Options = Options(), enhance: Callable[[DataFrame], DataFrame] = passthrough, rerank: Rerank | None = None, index: TextIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
+    """Hits of queries (query_id, query) with content and metadata. Content is joined for the winners only. index, vectors: each branch is answered from its index, not from the chunks."""
     o = options
     enhanced = enhance(queries)
     k = max(o.pre_rerank_k, o.top_k) if rerank else o.top_k
-    hits = fuse_branches(enhanced, chunks, embed, o, k, index)
+    hits = fuse_branches(enhanced, chunks, embed, o, k, index, vectors)
     if o.threshold is not None:
         hits = score_threshold(hits, o.threshold)
     hits = hits.withColumnRenamed("source", "found_by")
@@ -133,7 +127,8 @@ class HybridRetriever:
     embed: Embed
     options: Options = field(default_factory=Options)
     index: TextIndex | None = None
+    vectors: VectorIndex | None = None
     name: str = "hybrid"
 
     def __call__(self, queries: DataFrame, k: int) -> DataFrame:
-        return retrieve(queries, self.chunks, self.embed, replace(self.options, top_k=k), index=self.index)
+        return retrieve(queries, self.chunks, self.embed, replace(self.options, top_k=k), index=self.index, vectors=self.vectors)

@@ -46,6 +46,7 @@ def _partial(ids: list, queries: np.ndarray, k: int, digits: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
         for batch in stream:
+            batch = batch.filter(batch.column(1).is_valid())  # here, since a filter in the plan would compute the vectors twice
             if not batch.num_rows:
                 continue
             vectors = _matrix(batch.column(1))
@@ -76,7 +77,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
 
     Scores are rounded to `digits`; ties go to the lesser id. A null vector is never found, and a null query finds nothing. A query set of b blocks costs b scans.
     """
-    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
     kinds = dict(rows.dtypes)["id"], dict(queries.dtypes)["query_id"]
     out = None
     block: list[tuple] = []

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.embed import hash_embed, letter_frequencies
 from ..functions.enhance import rule_enhance
 from ..functions.lang import detect_lang
+from ..operators.blocks import search_blocks
 from ..operators.context import cite
 from ..operators.evaluate import per_query, smoke_totals, summarize
 from ..operators.filters import get_by_id
 from ..operators.fulltext import bm25_topk, null_search
 from ..operators.logs import by_key, by_type
 from ..operators.retrieve import Options, migration_query, rerank_by, retrieve, stub_rerank
+from ..shared import scratch
 from ..sources.corpus import audit_utf8, checksums, read_text, visible
 from ..sources.index import Dispatcher, Store
 from ..sources.markdown import chunk_markdown
 from ..sources.querysets import load_telemetry
 from ..streaming.ingest import sessions
 from .evaluation import _ASKED, _OTHERS, _asked, _ranked, _sql_template
-from .search import _BM25, _FUSED, _VALUES, _chunks, _scratch, read, text_queries
+from .search import _BM25, _FUSED, _VALUES, _chunks, read, text_queries
 
 # ---- files -----------------------------------------------------------------------------------------------------------
 
@@ -41,24 +43,30 @@ FROM pages WHERE page_id % 7 > 2 AND page_id % 5 <> 0
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first forty characters of each document as a file; every third has a byte that is not UTF-8 behind them."""
-    head = F.encode(F.substring("text", 1, 40), "UTF-8")
-    broken = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), F.concat(head, broken, F.encode(F.lit(" end"), "UTF-8")).alias("content"))
+    """Each document as a file; every third has a byte that is not UTF-8 before its text, one behind it, and a cut character at the end."""
+    whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    bad = lambda raw: F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit(raw))).otherwise(F.unhex(F.lit("")))
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), F.concat(bad("FF"), whole, bad("C0"), F.encode(F.lit(" end"), "UTF-8"), bad("E4BD")).alias("content"))
 
 
 def q_utf8_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_text(_files(spark, sf_dir)).select("source", F.md5("text").alias("text_md5"), "had_bad_bytes")
 
 
-UTF8_DECODE = "SELECT 'd' || doc_id AS source, md5(substr(text, 1, 40) || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END || ' end') AS text_md5, doc_id % 3 = 0 AS had_bad_bytes FROM documents"
+UTF8_DECODE = """
+SELECT 'd' || doc_id AS source, md5(CASE WHEN doc_id % 3 = 0 THEN chr(65533) || coalesce(text, '') || chr(65533) || ' end' || chr(65533) ELSE coalesce(text, '') || ' end' END) AS text_md5, doc_id % 3 = 0 AS had_bad_bytes
+FROM documents
+"""
 
 
 def q_utf8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_utf8(_files(spark, sf_dir)).select("source", "position", "bytes_hex")
 
 
-UTF8_AUDIT = "SELECT 'd' || doc_id AS source, strlen(substr(text, 1, 40))::BIGINT AS position, 'ff' AS bytes_hex FROM documents WHERE doc_id % 3 = 0"
+UTF8_AUDIT = """
+WITH f AS (SELECT 'd' || doc_id AS source, strlen(coalesce(text, ''))::BIGINT AS n FROM documents WHERE doc_id % 3 = 0)
+SELECT source, 0::BIGINT AS position, 'ff' AS bytes_hex FROM f UNION ALL SELECT source, n + 1, 'c0' FROM f UNION ALL SELECT source, n + 6, 'e4bd' FROM f
+"""
 
 
 def q_file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +81,11 @@ FILE_CHECKSUMS = "SELECT doc_id::VARCHAR AS source, sha256(text) AS sha256 FROM
 
 
 def _fronted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown files with front matter: two or three lines of it, and two sections."""
+    """Markdown files with front matter: two or three lines of it, a section with the document's text, and one with its source."""
     n = F.col("doc_id")
     front = F.concat(F.lit("---\napi_version: "), (n % 20).cast("string"), F.lit("\ntags: ["), "source", F.lit(", "), "lang", F.lit("]\n"), F.when(n % 2 == 0, "deprecated: true\n").otherwise(""), F.lit("---\n"))
-    body = F.concat(F.lit("# Document "), n.cast("string"), F.lit("\nlang "), "lang", F.lit("\n## Source\n"), "source", F.lit("\n"))
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\n| "))  # no line of it is a heading
+    body = F.concat(F.lit("# Document "), n.cast("string"), F.lit("\n| "), text, F.lit("\n## Source\n"), "source", F.lit("\n"))
     return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), n.cast("string"), F.lit(".md")).alias("source"), F.lit("markdown").alias("lang"), F.concat(front, body).alias("text"))
 
 
@@ -89,9 +98,11 @@ def q_frontmatter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("chunk_id", "api_version", F.array_join("tags", ",").alias("tags"), "deprecated", "type", F.col("line_range.start").cast("long").alias("start"))
 
 
-_FRONTED = """f AS (SELECT doc_id, lang, source, 'd' || doc_id || '.md' AS file, 'Document ' || doc_id AS h, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 4 END AS front FROM documents),
-c AS (SELECT doc_id, lang, source, file || '#' || h || '@' || (front + 2) AS chunk_id, h AS heading, front + 2 AS start, NULL AS parent_id, 'lang ' || lang AS content FROM f
-      UNION ALL SELECT doc_id, lang, source, file || '#' || h || '/Source@' || (front + 4), h || ' / Source', front + 4, file || '#' || h || '@' || (front + 2), source || chr(10) FROM f)"""
+_FRONTED = """f AS (SELECT doc_id, lang, source, 'd' || doc_id || '.md' AS file, 'Document ' || doc_id AS h, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 4 END AS front,
+                 '| ' || replace(replace(coalesce(text, ''), chr(13), ''), chr(10), chr(10) || '| ') AS body FROM documents),
+m AS (SELECT *, len(string_split(body, chr(10))) AS n FROM f),
+c AS (SELECT doc_id, lang, source, file || '#' || h || '@' || (front + 2) AS chunk_id, h AS heading, front + 2 AS start, front + 1 + n AS "end", NULL AS parent_id, body AS content FROM m
+      UNION ALL SELECT doc_id, lang, source, file || '#' || h || '/Source@' || (front + 3 + n), h || ' / Source', front + 3 + n, front + 4 + n, file || '#' || h || '@' || (front + 2), source || chr(10) FROM m)"""
 FRONTMATTER_SPLIT = f"WITH {_FRONTED} SELECT chunk_id, (doc_id % 20)::VARCHAR AS api_version, source || ',' || lang AS tags, doc_id % 2 = 0 AS deprecated, 'generic' AS type, start::BIGINT AS start FROM c"
 
 
@@ -99,15 +110,24 @@ def q_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(chunk_markdown(_fronted(spark, sf_dir)))
 
 
-CHUNK_IDS = f"""WITH {_FRONTED} SELECT chunk_id, heading, start::BIGINT AS start, (start + CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS "end", parent_id, content FROM c"""
+CHUNK_IDS = f"""WITH {_FRONTED} SELECT chunk_id, heading, start::BIGINT AS start, "end"::BIGINT AS "end", parent_id, content FROM c"""
+
+
+#: Sources by the remainder of p_partkey, with {n} for it. The first has statements only.
+_SHAPES = (
+    "x = {n};\nrun(x);\n",
+    "class Part{n} {\n  price(tax: number): number {\n    return tax; // {\n  }\n}\nfunction make{n}() { return '}'; }\n",
+    "@Component struct Page{n} { @State x: number = {n}\n  build() {\n    Text(`a ${`b ${x} {`} c`).width(1 / 2)\n  }\n  @Builder menu() { Row() {} }\n}\n",
+    "const r = /[`/]{2}'/;\n@Injectable() export class Svc{n}<T extends {x: number}> {\n  run = async (a: T): Promise<void> => {\n    go(a)\n  }\n}\n",
+    "export const f{n} = async (a: (x) => void) => {\n  a('}');\n}\nnamespace N{n} {\n  export enum E { A }\n}\ntype T{n} = { a: string }\n",
+    "/* class No { */\ninterface I{n} { a(): void; b: { c: number } }\nfunction g{n}(): { a: number } {\n  function h() { return a / 2 }\n  return h() / 3\n}\n",
+)
 
 
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources with a class, a method and a function; every fifth has statements only."""
     n = F.col("p_partkey").cast("string")
-    plain = F.concat(F.lit("x = "), n, F.lit(";\nrun(x);\n"))
-    full = F.concat(F.lit("class Part"), n, F.lit(" {\n  price(tax: number): number {\n    return tax; // {\n  }\n}\nfunction make"), n, F.lit("() { return '}'; }\n"))
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("p"), n, F.lit(".ts")).alias("source"), F.lit("arkts").alias("lang"), F.when(F.col("p_partkey") % 5 == 0, plain).otherwise(full).alias("text"))
+    text = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("p_partkey") % len(_SHAPES) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("p"), n, F.lit(".ts")).alias("source"), F.lit("arkts").alias("lang"), F.replace(text, F.lit("{n}"), n).alias("text"))
 
 
 def q_code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +136,13 @@ def q_code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CODE_CHUNKS = """
-WITH p AS (SELECT p_partkey AS n, 'p' || p_partkey || '.ts' AS f FROM part)
-SELECT f || '#Part' || n || '@1' AS chunk_id, 'Part' || n AS heading, 1::BIGINT AS start, 5::BIGINT AS "end", NULL AS parent_id, 'code_example' AS type FROM p WHERE n % 5 <> 0
-UNION ALL SELECT f || '#Part' || n || '/price@2', 'Part' || n || ' / price', 2, 4, f || '#Part' || n || '@1', 'code_example' FROM p WHERE n % 5 <> 0
-UNION ALL SELECT f || '#make' || n || '@6', 'make' || n, 6, 6, NULL, 'code_example' FROM p WHERE n % 5 <> 0
-UNION ALL SELECT f || '#@1', '', 1, 2, NULL, 'code_example' FROM p WHERE n % 5 = 0
+WITH shapes(k, path, start, "end", up) AS (VALUES
+  (0, '', 1, 2, NULL), (1, 'Part{n}', 1, 5, NULL), (1, 'Part{n}/price', 2, 4, 'Part{n}@1'), (1, 'make{n}', 6, 6, NULL), (2, 'Page{n}', 1, 6, NULL), (2, 'Page{n}/build', 2, 4, 'Page{n}@1'), (2, 'Page{n}/menu', 5, 5, 'Page{n}@1'),
+  (3, 'Svc{n}', 2, 6, NULL), (3, 'Svc{n}/run', 3, 5, 'Svc{n}@2'), (4, 'f{n}', 1, 3, NULL), (4, 'N{n}', 4, 6, NULL), (4, 'N{n}/E', 5, 5, 'N{n}@4'), (4, 'T{n}', 7, 7, NULL),
+  (5, 'I{n}', 2, 2, NULL), (5, 'g{n}', 3, 6, NULL), (5, 'g{n}/h', 4, 4, 'g{n}@3'))
+SELECT replace('p{n}.ts#' || path || '@' || start, '{n}', p_partkey::VARCHAR) AS chunk_id, replace(replace(path, '{n}', p_partkey::VARCHAR), '/', ' / ') AS heading, start::BIGINT AS start, "end"::BIGINT AS "end",
+       replace('p{n}.ts#' || up, '{n}', p_partkey::VARCHAR) AS parent_id, 'code_example' AS type
+FROM part JOIN shapes ON p_partkey % 6 = k
 """
 
 
@@ -136,7 +158,7 @@ def q_languages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LANGUAGES_UNION = """
 SELECT 'markdown' AS lang, 2 * count(*) AS chunks, count(*) AS files FROM documents
-UNION ALL SELECT 'arkts', sum(CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 3 END)::BIGINT, count(*) FROM part UNION ALL SELECT 'kotlin', 0, count(*) FROM part
+UNION ALL SELECT 'arkts', sum([1, 3, 3, 2, 4, 3][p_partkey % 6 + 1])::BIGINT, count(*) FROM part UNION ALL SELECT 'kotlin', 0, count(*) FROM part
 """
 
 
@@ -145,7 +167,7 @@ UNION ALL SELECT 'arkts', sum(CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 3 END)::BI
 
 def q_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved, upserted, deleted from, compacted and read again: what is left, by source."""
-    store, chunks = Store(spark, _scratch(spark, "store")), _chunks(spark, sf_dir)
+    store, chunks = Store(spark, scratch(spark, "store")), _chunks(spark, sf_dir)
     store.save(chunks.filter("chunk_id % 2 = 0"), "none", 0, fulltext=False)
     store.upsert(chunks.filter("chunk_id % 3 = 0").withColumn("content", F.lit("new")))
     store.delete(chunks.filter("chunk_id % 10 = 0").select("chunk_id"))
@@ -191,12 +213,16 @@ SMOKE_TOTALS = _BM25.format(values=_VALUES, where="TRUE") + "SELECT (SELECT coun
 
 
 def q_null_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store without full text has no hits for any query."""
-    asked = text_queries(spark)
-    return asked.join(null_search(asked, "long").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("hits"))
+    """A store without full text has no hits for any query, whatever it holds."""
+    store, asked = Store(spark, scratch(spark, "store")), text_queries(spark)
+    store.save(_chunks(spark, sf_dir), "none", 0, fulltext=False)
+    index = store.text_index()
+    hits = null_search(asked, "long") if index is None else search_blocks(index, asked, 10)
+    counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(counted, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("hits"), F.lit(store.chunks("none").count()).cast("long").alias("chunks"))
 
 
-NULL_SEARCH = f"SELECT query_id, 0::BIGINT AS hits FROM (VALUES {_VALUES}) AS v(query_id, query)"
+NULL_SEARCH = f"SELECT query_id, 0::BIGINT AS hits, (SELECT count(*) FROM documents) AS chunks FROM (VALUES {_VALUES}) AS v(query_id, query)"
 
 
 def _lettered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +340,7 @@ STATS_BY_FEATURE = "SELECT event_type AS feature, event_id % 2 <> 0 AS dashed, c
 
 def q_telemetry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as a log of JSON lines and read with the log's schema; what it lacks is null."""
-    folder = _scratch(spark, "log")
+    folder = scratch(spark, "log")
     e = read(spark, sf_dir, "events")
     e.select(F.col("event_id").cast("string").alias("commit"), F.col("event_type").alias("type"), F.floor("value").cast("int").alias("lines_added"), "props").write.json(folder)
     log = load_telemetry(spark, folder)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.embed import hash_embed, letter_frequencies
+from ..operators.blocks import gram_stats, search_blocks
+from ..operators.clusters import clustered_topk
 from ..operators.filters import Filters, fulltext_filter, score_threshold, vector_filter
-from ..operators.fulltext import bm25_topk, postings, search_postings, term_stats
+from ..operators.fulltext import bm25_topk
 from ..operators.fusion import rrf_fuse
 from ..operators.retrieve import Options, retrieve, with_fields
 from ..operators.vector import check_dim, vector_topk
+from ..shared import scratch
 from ..sources.index import Store
 
 TEXTS = (("q1", "that with"), ("q2", "licensed under license"), ("q3", "Token"), ("q4", "und die"), ("q5", "par la"), ("q6", "a"))
@@ -103,7 +103,7 @@ p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM g GROUP BY 1, 2)"""
 
 
 def q_ngram_postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_stats(postings(_chunks(spark, sf_dir)))
+    return gram_stats(_chunks(spark, sf_dir))
 
 
 NGRAM_POSTINGS_STATS = f"WITH {_GRAMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term"
@@ -121,7 +121,9 @@ n AS (SELECT query_id, count(*) AS n_terms FROM k GROUP BY 1),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM p WHERE term IN (SELECT term FROM k) GROUP BY 1),
 m AS (SELECT k.query_id, p.doc_id, sum(ln(1.0e0 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl))) AS score, count(*) AS n
       FROM p JOIN k USING (term) JOIN df USING (term) JOIN dl USING (doc_id) JOIN documents d USING (doc_id), st WHERE {where} GROUP BY 1, 2),
-bm AS (SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM m JOIN n USING (query_id) WHERE m.n = n.n_terms)
+wl AS (SELECT query_id, list(word) AS words FROM w WHERE length(word) >= 2 GROUP BY 1),
+bm AS (SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM m JOIN n USING (query_id) JOIN wl USING (query_id) JOIN documents USING (doc_id)
+       WHERE m.n = n.n_terms AND len(list_filter(words, lambda x: NOT contains(lower(text), x))) = 0)
 """
 )
 _VALUES = ", ".join(f"('{i}', '{t}')" for i, t in TEXTS)
@@ -159,20 +161,14 @@ def q_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_topk(docs, field_queries(spark), 10, field=fields)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share; of this machine's only where no cluster names one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewell-')}/{name}-{uuid.uuid4().hex}"
-
-
 def q_bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a store that got its documents in three writes and lost some in between."""
-    store = Store(spark, _scratch(spark, "store"))
+    store = Store(spark, scratch(spark, "store"))
     chunks = _with_headings(spark, sf_dir)
     store.save(chunks.filter("chunk_id % 3 < 2").withColumn("content", F.when(F.col("chunk_id") % 7 == 0, "replaced that").otherwise(F.col("content"))), "none", 0)
     store.delete(chunks.filter("chunk_id % 5 = 0").select("chunk_id"))
     store.upsert(chunks.filter("chunk_id % 3 = 2 OR chunk_id % 7 = 0 OR chunk_id % 5 = 0"))
-    index = store.text_index()
-    return search_postings(index.postings, index.n_docs, index.avg_dl, field_queries(spark), 10)
+    return search_blocks(store.text_index(), field_queries(spark), 10)
 
 
 _FIELDS_BM25 = """
@@ -189,18 +185,63 @@ kw AS (SELECT query_id, word, count(*) AS n_terms FROM k GROUP BY 1, 2),
 nw AS (SELECT query_id, count(*) AS n_words FROM kw GROUP BY 1),
 df AS (SELECT field, term, count(*)::DOUBLE AS df FROM p GROUP BY 1, 2),
 bw AS (SELECT k.query_id, k.word, p.field, p.doc_id, count(*) AS n, sum(ln(1.0e0 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl))) AS s
-       FROM p JOIN k USING (term) JOIN df USING (field, term) JOIN dl USING (doc_id, field) JOIN st USING (field) GROUP BY 1, 2, 3, 4),
+       FROM p JOIN k USING (term) JOIN df USING (field, term) JOIN dl USING (doc_id, field) JOIN st USING (field) JOIN d USING (doc_id, field) WHERE contains(lower(x), word) GROUP BY 1, 2, 3, 4),
 bd AS (SELECT query_id, doc_id, sum(s) AS score, count(DISTINCT word) AS n FROM bw JOIN kw USING (query_id, word) WHERE n = n_terms GROUP BY 1, 2),
 bm AS (SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bd JOIN nw USING (query_id) WHERE n = n_words)
 """.replace("{values}", ", ".join(f"('{i}', '{t}')" for i, t in FIELD_TEXTS))
 BM25_FIELDS = _FIELDS_BM25 + "SELECT query_id, rank, chunk_id, score FROM bm WHERE rank <= 10"
 
 
+#: Quoted phrases, words in one field, words that must or must not stand in a document.
+PHRASE_TEXTS = (("p1", '"of the"'), ("p2", 'licensed -"apache license"'), ("p3", "heading_path:src1 +und -die"), ("p4", "content:src0"), ("p5", '"und die" -heading_path:src2'), ("p6", 'heading_path:"src0 / en" the'), ("p7", '-that'), ("p8", '"that with" that'))
+
+
+def q_bm25_phrases_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and the rest of the query syntax, from a store that got its documents in two writes."""
+    store = Store(spark, scratch(spark, "store"))
+    chunks = _with_headings(spark, sf_dir)
+    store.save(chunks.filter("chunk_id % 2 = 0"), "none", 0)
+    store.upsert(chunks.filter("chunk_id % 2 = 1 OR chunk_id % 10 = 0"))
+    return search_blocks(store.text_index(), spark.createDataFrame(list(PHRASE_TEXTS), "query_id string, query string"), 10, syntax=True)
+
+
+BM25_PHRASES = """
+WITH d AS (SELECT doc_id, unnest([{'field': 'content', 'x': coalesce(text, '')}, {'field': 'heading_path', 'x': source || ' / ' || lang}], recursive := true) FROM documents),
+t AS (SELECT doc_id, field, list_filter(string_split(lower(x), ''), lambda y: y <> '') AS c FROM d),
+g AS (SELECT doc_id, field, unnest(list_concat(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS term FROM t),
+dl AS (SELECT doc_id, field, (greatest(0, len(c) - 1) + greatest(0, len(c) - 2))::DOUBLE AS dl FROM t),
+st AS (SELECT field, count(*)::DOUBLE AS n_docs, avg(dl) AS avg_dl FROM dl GROUP BY field),
+w(query_id, word, in_field, wanted) AS (VALUES ('p1', 'of the', NULL, TRUE), ('p2', 'licensed', NULL, TRUE), ('p2', 'apache license', NULL, FALSE), ('p3', 'src1', 'heading_path', TRUE), ('p3', 'und', NULL, TRUE), ('p3', 'die', NULL, FALSE),
+  ('p4', 'src0', 'content', TRUE), ('p5', 'und die', NULL, TRUE), ('p5', 'src2', 'heading_path', FALSE), ('p6', 'src0 / en', 'heading_path', TRUE), ('p6', 'the', NULL, TRUE), ('p8', 'that with', NULL, TRUE), ('p8', 'that', NULL, TRUE)),
+k AS (SELECT DISTINCT query_id, word, unnest(list_concat(list_transform(range(1, length(word)), lambda i: substr(word, i, 2)), list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3)))) AS term FROM w WHERE wanted),
+p AS (SELECT doc_id, field, term, count(*)::DOUBLE AS tf FROM g WHERE term IN (SELECT term FROM k) GROUP BY 1, 2, 3),
+df AS (SELECT field, term, count(*)::DOUBLE AS df FROM p GROUP BY 1, 2),
+mw AS (SELECT query_id, word, wanted, doc_id, field FROM w JOIN d ON (in_field IS NULL OR in_field = field) AND contains(lower(x), word)),
+ok AS (SELECT query_id, doc_id FROM mw GROUP BY 1, 2 HAVING count(DISTINCT word) FILTER (wanted) = (SELECT count(*) FROM w WHERE w.query_id = mw.query_id AND wanted) AND count(*) FILTER (NOT wanted) = 0),
+s AS (SELECT query_id, doc_id, sum(ln(1.0e0 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl))) AS score
+      FROM mw JOIN ok USING (query_id, doc_id) JOIN k USING (query_id, word) JOIN p USING (doc_id, field, term) JOIN df USING (field, term) JOIN dl USING (doc_id, field) JOIN st USING (field) WHERE wanted GROUP BY 1, 2),
+o AS (SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank, chunk_id, score FROM o WHERE rank <= 10
+"""
+
+
+def q_vector_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered search from a store of clusters that lost some vectors and got others again."""
+    corpus, queries = _vectors(spark, sf_dir)
+    tagged = corpus.select(F.col("vec_id").alias("chunk_id"), F.lit("").alias("content"), "embedding", F.array(F.concat(F.lit("t"), F.col("label").cast("string"))).alias("tags"), (F.col("label") == 2).alias("deprecated"))
+    store = Store(spark, scratch(spark, "store"))
+    store.save(tagged.filter("chunk_id % 4 < 3"), "none", 0, fulltext=False)
+    store.delete(tagged.filter("chunk_id % 3 = 0").select("chunk_id"))
+    store.upsert(tagged.filter("chunk_id % 4 = 3 OR chunk_id % 3 = 0"))
+    hits = clustered_topk(store.vector_index(), queries, 10, keep=vector_filter(Filters(tags=("t1", "t2", "t3"))))
+    return hits.withColumnRenamed("chunk_id", "vec_id")
+
+
 def q_hybrid_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letter frequencies and stored postings of both fields, fused."""
-    store = Store(spark, _scratch(spark, "store"))
+    store = Store(spark, scratch(spark, "store"))
     store.save(_with_headings(spark, sf_dir).withColumn("embedding", letter_frequencies(F.col("content"))), "letters", 26)
-    hits = retrieve(field_queries(spark), store.chunks("letters", 26), letter_frequencies, Options(top_k=10), index=store.text_index())
+    hits = retrieve(field_queries(spark), store.chunks("letters", 26), letter_frequencies, Options(top_k=10), index=store.text_index(), vectors=store.vector_index())
     return hits.select("query_id", "rank", "chunk_id", "score", "vector_score", "bm25_score")
 
 
@@ -278,11 +319,13 @@ BEST_OF_SOURCE = "SELECT * FROM (SELECT source, doc_id, n_chars, row_number() OV
 QUERIES = {
     "vector_topk": q_vector_topk, "vector_topk_filtered": q_vector_topk_filtered, "vector_threshold": q_vector_threshold, "vector_dim_check": q_vector_dim_check,
     "rrf_fuse": q_rrf_fuse, "ngram_postings_stats": q_ngram_postings_stats, "bm25_topk": q_bm25_topk, "bm25_filtered": q_bm25_filtered,
+    "bm25_phrases_stored": q_bm25_phrases_stored, "vector_topk_stored": q_vector_topk_stored,
     "bm25_fields": q_bm25_fields, "bm25_stored": q_bm25_stored, "hybrid_stored": q_hybrid_stored, "hybrid_topk": q_hybrid_topk, "hybrid_sql": q_hybrid_sql, "deprecated_excluded": q_deprecated_excluded, "api_version_semantics": q_api_version_semantics,
     "best_of_source": q_best_of_source,
 }
 SQL = {
     "vector_topk": VECTOR_TOPK, "vector_topk_filtered": VECTOR_TOPK_FILTERED, "vector_threshold": VECTOR_THRESHOLD, "vector_dim_check": VECTOR_DIM_CHECK,
     "rrf_fuse": RRF_FUSE, "ngram_postings_stats": NGRAM_POSTINGS_STATS, "bm25_topk": BM25_TOPK, "bm25_filtered": BM25_FILTERED,
+    "bm25_phrases_stored": BM25_PHRASES, "vector_topk_stored": VECTOR_TOPK_FILTERED,
     "bm25_fields": BM25_FIELDS, "bm25_stored": BM25_FIELDS, "hybrid_stored": HYBRID_STORED, "hybrid_sql": HYBRID_SQL, "deprecated_excluded": DEPRECATED_EXCLUDED, "api_version_semantics": API_VERSION_SEMANTICS, "best_of_source": BEST_OF_SOURCE,
 }

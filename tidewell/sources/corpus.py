@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import tarfile
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
@@ -52,24 +53,31 @@ def read_text(files: DataFrame) -> DataFrame:
 _BAD = "source string, position long, bytes_hex string, context string, guess string"
 
 
+def malformed(data: bytes) -> list[tuple[int, int]]:
+    """Begin and end of each malformed byte sequence, in one pass."""
+    found: list[tuple[int, int]] = []
+
+    def note(e: UnicodeDecodeError) -> tuple[str, int]:
+        found.append((e.start, e.end))
+        return "", e.end
+
+    codecs.register_error("tidewell.note", note)
+    codecs.decode(data, "utf-8", "tidewell.note")
+    return found
+
+
 def _bad_bytes(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in stream:
         rows = []
         for source, content in zip(pdf["source"], pdf["content"], strict=True):
-            data, at = bytes(content), 0
-            while at < len(data):
+            data = bytes(content)
+            for pos, end in malformed(data):
+                around = data[max(0, pos - 16) : end + 16]
                 try:
-                    data[at:].decode("utf-8")
-                    break
-                except UnicodeDecodeError as e:
-                    pos, end = at + e.start, at + e.end
-                    around = data[max(0, pos - 16) : end + 16]
-                    try:
-                        guess = around.decode("gb18030")
-                    except UnicodeDecodeError:
-                        guess = None
-                    rows.append((source, pos, data[pos:end].hex(), around.decode("utf-8", "replace"), guess))
-                    at = end
+                    guess = around.decode("gb18030")
+                except UnicodeDecodeError:
+                    guess = None
+                rows.append((source, pos, data[pos:end].hex(), around.decode("utf-8", "replace"), guess))
         yield pd.DataFrame(rows, columns=["source", "position", "bytes_hex", "context", "guess"])
 
 

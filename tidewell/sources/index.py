@@ -1,24 +1,32 @@
-"""Indexing: chunking by language, embedding, versioned snapshots, upserts and deletes."""
+"""Indexing: chunking by language, embedding, versioned snapshots, upserts and deletes by bitmaps."""
 
 from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DimensionError, NotFoundError, ReadOnlyError, StorageError, UnsupportedLanguageError
-from ..operators.fulltext import gram_length, postings
-from ..operators.retrieve import FIELDS, TextIndex, with_fields
+from ..operators.blocks import DOCS, SHIFT, WINDOW, TextIndex, build_blocks, decode_postings, term_counts
+from ..operators.clusters import VectorIndex, heads_of, with_clusters
+from ..operators.retrieve import FIELDS, with_fields
 from ..schema import CHUNK
+from ..shared import settled
 from . import corpus
 from .code import chunk_typescript
 from .markdown import chunk_markdown
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
+#: Rows of a bitmap, as Spark's bitmap functions count them.
+BUCKET_BITS = 15
+BUCKET = 1 << BUCKET_BITS
 Chunker = Callable[[DataFrame], DataFrame]
 
 
@@ -76,18 +84,25 @@ def delete(base: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 class Store:
-    """Chunks and postings in segments under one folder, and numbered manifests that list the segments of a version.
+    """Chunks, postings and vectors in segments under one folder, and numbered manifests that list the segments of a version.
 
     A write adds one segment, in proportion to what it writes, and then a manifest; the highest number is the current version, so readers see a whole version or
-    the one before, also if a writer dies half-way, and of two writers of one version the later fails. A segment holds chunks, postings sorted by term, document lengths,
-    and the ids that it replaces or deletes in the segments before it; reading leaves those out by one join with these ids. `compact` writes
-    one segment of all that lives, after MAX_SEGMENTS writes by itself, and `vacuum` removes what no current manifest lists. A read-only store cannot write.
+    the one before, also if a writer dies half-way, and of two writers of one version the later fails. A segment holds chunks by length, with row numbers; their ids in order; blocks of
+    postings by term; vectors by cluster; document frequencies, less those of what the write replaced; and bitmaps of the rows that it replaced or deleted in segments before it.
+
+    The rows that a write replaces are looked up by id, and only their texts are read again, for what they take from the statistics. Readers test the bitmaps at the scan, in no join;
+    they hold a bit for each row of a touched stretch, compressed. `compact` writes one segment of all that lives, by itself after MAX_SEGMENTS writes or when the bitmaps pass DEAD_BYTES, so what
+    a reader ships to its tasks is bounded; `vacuum` removes what no current manifest lists. A read-only store cannot write.
     """
 
     MAX_SEGMENTS = 32
+    DEAD_BYTES = 16 << 20
+    #: Most ids that become a filter on a lookup.
+    LOOKUP = 4096
 
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+        self._dead: tuple[int, Dead] | None = None
 
     # ---- manifests
 
@@ -133,19 +148,39 @@ class Store:
 
     # ---- reading
 
-    def _segments(self, m: dict, table: str) -> DataFrame | None:
-        """Rows of a table of all segments, with the place of their segment."""
-        parts = [self.spark.read.parquet(f"{self.root}/segments/{s}/{table}").withColumn("_segment", F.lit(i)) for i, s in enumerate(m["segments"]) if table not in m["without"].get(s, ())]
+    def _read(self, segment: str, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/segments/{segment}/{table}")
+
+    def dead(self, m: dict) -> Dead:
+        """The bitmaps of a version. They are kept for the next read of it."""
+        if self._dead is None or self._dead[0] != m["version"]:
+            maps: dict[tuple[int, int], np.ndarray] = {}
+            places = {s: i for i, s in enumerate(m["segments"])}
+            for s in m["segments"]:
+                if "dead" in m["tables"][s]:
+                    for r in self._read(s, "dead").filter(F.col("segment").isin(list(places))).collect():  # bounded by DEAD_BYTES
+                        key = places[r["segment"]], r["bucket"]
+                        bits = np.frombuffer(r["bits"], dtype=np.uint8)
+                        maps[key] = maps[key] | bits if key in maps else bits
+            self._dead = m["version"], Dead({k: zlib.compress(v.tobytes()) for k, v in maps.items()})
+        return self._dead[1]
+
+    def _segments(self, m: dict, table: str, live: bool = True) -> DataFrame | None:
+        """Rows of a table of all segments, with the place of their segment; without dead rows, where the table has row numbers."""
+        dead, parts = self.dead(m) if live else None, []
+        for i, s in enumerate(m["segments"]):
+            if table in m["tables"][s]:
+                rows = self._read(s, table)
+                if live and dead.touches(i):
+                    rows = rows.filter(dead.alive_in(i)(F.col("_row")))
+                parts.append(rows.withColumn("_segment", F.lit(i)))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
-    def _live(self, m: dict, table: str, key: str) -> DataFrame:
-        rows, gone = self._segments(m, table), self._segments(m, "replaced")
+    def _rows(self, m: dict) -> DataFrame:
+        rows = self._segments(m, "chunks")
         if rows is None:
-            raise NotFoundError(f"the store has no {table}")
-        if gone is not None:
-            last = gone.groupBy("chunk_id").agg(F.max("_segment").alias("_gone"))
-            rows = rows.join(last.withColumnRenamed("chunk_id", key), key, "left").filter(F.coalesce(F.col("_gone") <= F.col("_segment"), F.lit(True))).drop("_gone")
-        return rows.drop("_segment")
+            raise NotFoundError("the store has no chunks")
+        return rows
 
     def chunks(self, model_id: str | None = None, dim: int = 0) -> DataFrame:
         """The current chunks; model and width, where given, must be those of the store. Width 0 takes what the store has."""
@@ -154,22 +189,31 @@ class Store:
             raise StorageError(f"indexed with {m['embedder_model_id']}, asked with {model_id}")
         if dim and dim != m["embedder_dim"]:
             raise DimensionError(f"width {m['embedder_dim']} in the store, {dim} asked")
-        return self._live(m, "chunks", "chunk_id")
+        return self._rows(m).drop("_row", "_segment")
+
+    def _blocks(self, m: dict) -> DataFrame:
+        if not m["fulltext"]:
+            raise NotFoundError("the store has no full text")
+        return self._segments(m, "postings", live=False)
 
     def postings(self) -> DataFrame:
         """field, term, id, tf and dl of the current chunks."""
         m = self._current()
-        if not m["fulltext"]:
-            raise NotFoundError("the store has no full text")
-        return self._live(m, "postings", "id")
+        return decode_postings(self._blocks(m), self.dead(m).alive)
 
     def text_index(self) -> TextIndex | None:
-        """What a full-text search reads: postings, and statistics that each write has kept up to date. None without full text."""
+        """What a full-text search reads: blocks of postings, and statistics that each write has kept up to date. None without full text."""
         m = self._current()
         if not m["fulltext"]:
             return None
         n = m["lengths"]["n"]
-        return TextIndex(self.postings(), n, {f: m["lengths"][f] / n if n else 0.0 for f in FIELDS})
+        return TextIndex(self._blocks(m), self._segments(m, "terms", live=False), n, {f: m["lengths"][f] / n if n else 0.0 for f in FIELDS}, self._rows(m), self.dead(m).alive)
+
+    def vector_index(self) -> VectorIndex | None:
+        """What a vector search reads: vectors by cluster, with centres and radii. None without vectors."""
+        m = self._current()
+        vectors, heads = self._segments(m, "vectors"), self._segments(m, "clusters", live=False)
+        return None if vectors is None or heads is None else VectorIndex(vectors, heads)
 
     def count(self) -> int:
         return self._current()["lengths"]["n"]
@@ -179,43 +223,84 @@ class Store:
 
     # ---- writing
 
+    def _found(self, m: dict, ids: DataFrame) -> DataFrame | None:
+        """_segment, _row and chunk_id of the live rows with these ids."""
+        rows = self._segments(m, "ids")
+        if rows is None:
+            return None
+        few = [r[0] for r in ids.limit(self.LOOKUP + 1).collect()]
+        if len(few) <= self.LOOKUP:
+            return rows.filter(F.col("chunk_id").isin(few))  # read from the row groups that may hold them
+        return rows.join(ids, "chunk_id", "left_semi")
+
     def _write(self, m: dict, chunks: DataFrame | None, gone: DataFrame | None = None, fresh: bool = False) -> dict:
         """A new version: the segments of m, none of them if fresh, and one more with chunks, in place of those with their ids and of the ids in gone."""
         name = uuid.uuid4().hex
-        base, without = f"{self.root}/segments/{name}", []
-        kept = dict.fromkeys(("n", *FIELDS), 0) if fresh else m["lengths"]
-        added = dict.fromkeys(kept, 0)
-        if chunks is None:
-            without += ["chunks", "postings", "lengths"]
-        else:
-            chunks.write.parquet(f"{base}/chunks")
-            stored, _ = with_fields(self.spark.read.parquet(f"{base}/chunks"))
-            if m["embedder_dim"] and "embedding" in stored.columns and not stored.filter(F.size("embedding") != m["embedder_dim"]).isEmpty():
-                raise DimensionError(f"an embedding is not of width {m['embedder_dim']}")
-            for f in FIELDS:
-                stored = stored if f in stored.columns else stored.withColumn(f, F.lit(""))
-            stored.select("chunk_id", *(gram_length(F.col(f)).cast("long").alias(f) for f in FIELDS)).write.parquet(f"{base}/lengths")
-            lengths = self.spark.read.parquet(f"{base}/lengths")
-            added = self._totals(lengths)
+        base, tables, counts = f"{self.root}/segments/{name}", [], []
+        total = dict.fromkeys(("n", *FIELDS), 0) if fresh else dict(m["lengths"])
+
+        def write(table: str, rows: DataFrame, **options: str) -> None:
+            rows.write.options(**{"compression": "zstd", **options}).parquet(f"{base}/{table}")
+            tables.append(table)
+
+        small = {"parquet.block.size": str(8 << 20)}  # row groups that lookups can skip
+        if chunks is not None:
+            by_length = chunks.sortWithinPartitions(F.length("content")) if "content" in chunks.columns else chunks
+            write("chunks", by_length.withColumn("_row", F.monotonically_increasing_id()), **{"parquet.bloom.filter.enabled#chunk_id": "true"})
+            stored = self._read(name, "chunks")
+            if "embedding" in stored.columns:
+                if m["embedder_dim"] and not stored.filter(F.size("embedding") != m["embedder_dim"]).isEmpty():
+                    raise DimensionError(f"an embedding is not of width {m['embedder_dim']}")
+                write("vectors", with_clusters(stored.drop(*FIELDS)), **small)
+                write("clusters", heads_of(self._read(name, "vectors")))
+            write("ids", stored.select("chunk_id", "_row").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), **small)
+            gone = self._read(name, "ids").select("chunk_id")
             if m["fulltext"]:
-                postings(stored, field=FIELDS).repartitionByRange("term").sortWithinPartitions("term", "field", "id").write.parquet(f"{base}/postings")
+                write("postings", self._built(stored).sortWithinPartitions("term", "field", "win"), **small)
+                blocks = self._read(name, "postings")
+                counts.append(term_counts(blocks))
+                added = self._totals(blocks)
             else:
-                without.append("postings")
-            gone = lengths.select("chunk_id")
-        if fresh or not m["segments"]:
-            without.append("replaced")
-        else:
-            gone.write.parquet(f"{base}/replaced")
-            taken = self._totals(self._live(m, "lengths", "chunk_id").join(self.spark.read.parquet(f"{base}/replaced"), "chunk_id", "left_semi"))
-            kept = {k: v - taken[k] for k, v in kept.items()}
+                added = {"n": stored.count(), **dict.fromkeys(FIELDS, 0)}
+            total = {k: total[k] + added[k] for k in total}
+        hits = None if fresh or gone is None else self._found(m, gone)
+        if hits is not None:
+            # the rows themselves are few; what follows reads them from here
+            hits = settled(hits.select("_segment", "_row", "chunk_id"))
+            n = hits.count()
+            if n:
+                places = self.spark.createDataFrame(list(enumerate(m["segments"])), "_segment int, segment string")
+                bits = F.bitmap_construct_agg(F.col("_row").bitwiseAND(BUCKET - 1)).alias("bits")
+                write("dead", hits.join(F.broadcast(places), "_segment").groupBy("segment", F.shiftright("_row", BUCKET_BITS).alias("bucket")).agg(bits))  # a row for each segment of places
+                taken = {"n": n, **dict.fromkeys(FIELDS, 0)}
+                if m["fulltext"]:
+                    rows = self._segments(m, "chunks")
+                    if n <= self.LOOKUP:
+                        rows = rows.filter(F.col("chunk_id").isin([r[0] for r in hits.select("chunk_id").distinct().collect()]))
+                    killed = rows.join(hits.select("_segment", "_row"), ["_segment", "_row"], "left_semi")
+                    blocks = settled(self._built(killed))
+                    taken |= {f: v for f, v in self._totals(blocks).items() if f in FIELDS}
+                    counts.append(term_counts(blocks).withColumn("df", -F.col("df")))
+                total = {k: total[k] - taken[k] for k in total}
+        if counts:
+            write("terms", reduce(DataFrame.unionByName, counts).groupBy("field", "term").agg(F.sum("df").alias("df")).repartitionByRange("term").sortWithinPartitions("term"), **small)
         segments = [*([] if fresh else m["segments"]), name]
-        left_out = {s: w for s, w in (m["without"] | {name: without}).items() if s in segments}
-        return self._commit(m | {"version": m["version"] + 1, "segments": segments, "without": left_out, "lengths": {k: kept[k] + added[k] for k in added}})
+        listed = {s: w for s, w in (m["tables"] | {name: tables}).items() if s in segments}
+        return self._commit(m | {"version": m["version"] + 1, "segments": segments, "tables": listed, "lengths": total})
+
+    @staticmethod
+    def _built(rows: DataFrame) -> DataFrame:
+        """Blocks of rows with row numbers."""
+        rows, _ = with_fields(rows)
+        for f in FIELDS:
+            rows = rows if f in rows.columns else rows.withColumn(f, F.lit(""))
+        return build_blocks(rows, FIELDS)
 
     @staticmethod
-    def _totals(lengths: DataFrame) -> dict:
-        r = lengths.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in FIELDS)).first()
-        return {k: int(r[k]) for k in ("n", *FIELDS)}
+    def _totals(blocks: DataFrame) -> dict:
+        """Rows, and grams of each field, from the rows of documents that windows have."""
+        found = {r["field"]: r for r in blocks.filter(F.col("term") == DOCS).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+        return {"n": int(max((r["n"] for r in found.values()), default=0)), **{f: int(found[f]["total"]) if f in found else 0 for f in FIELDS}}
 
     def _writable(self) -> None:
         if self.read_only:
@@ -239,17 +324,23 @@ class Store:
         """Writes chunks (with embeddings) in place of all that the store has."""
         self._writable()
         version = (self.manifest() or {"version": 0})["version"]
-        m = {"format_version": FORMAT_VERSION, "embedder_model_id": model_id, "embedder_dim": dim, "version": version, "segments": [], "without": {}, "fulltext": fulltext}
+        m = {"format_version": FORMAT_VERSION, "embedder_model_id": model_id, "embedder_dim": dim, "version": version, "segments": [], "tables": {}, "fulltext": fulltext}
         return self._write(m, chunks, fresh=True)
 
     def _added(self, m: dict) -> dict:
-        return self.compact() if len(m["segments"]) > self.MAX_SEGMENTS else m
+        return self.compact() if len(m["segments"]) > self.MAX_SEGMENTS or self.dead(m).size > self.DEAD_BYTES else m
 
     def upsert(self, new: DataFrame) -> dict:
         """Adds chunks, in place of those with equal ids; of equal ids within new, one row stays."""
         self._writable()
         return self._added(self._write(self._current(), new.dropDuplicates(["chunk_id"])))
 
+    def replace(self, gone: DataFrame, new: DataFrame) -> dict:
+        """Adds chunks, in place of those with equal ids and of the ids in gone, as one version."""
+        self._writable()
+        once = new.dropDuplicates(["chunk_id"])
+        return self._added(self._write(self._current(), once, gone.select("chunk_id").distinct()))
+
     def delete(self, ids: DataFrame) -> dict:
         self._writable()
         return self._added(self._write(self._current(), None, ids.select("chunk_id").distinct()))
@@ -258,7 +349,7 @@ class Store:
         """A version of one segment with all live chunks."""
         self._writable()
         m = self._current()
-        return self._write(m, self._live(m, "chunks", "chunk_id"), fresh=True)
+        return self._write(m, self._rows(m).drop("_row", "_segment"), fresh=True)
 
     def vacuum(self) -> list[str]:
         """Removes manifests before the current one and segments that it does not list; returns the segments removed. For when no reader is at an older version."""
@@ -271,6 +362,43 @@ class Store:
         return dead
 
 
+class Dead:
+    """Compressed bitmaps of dead rows by place of segment and bucket of BUCKET rows; tasks look rows up in them."""
+
+    def __init__(self, maps: dict[tuple[int, int], bytes]):
+        self.maps = maps
+        self.size = sum(map(len, maps.values()))
+        self.places = {s for s, _ in maps}
+
+    def touches(self, segment: int) -> bool:
+        return segment in self.places
+
+    def alive_in(self, segment: int):
+        """alive(column of row numbers) -> column of booleans. Only the numbers go to Python."""
+        maps = {b: z for (s, b), z in self.maps.items() if s == segment}
+
+        @F.pandas_udf("boolean")
+        def alive(rows: pd.Series) -> pd.Series:
+            r = rows.to_numpy()
+            out = np.ones(len(r), dtype=bool)
+            for b in np.unique(r >> BUCKET_BITS).tolist():
+                if b in maps:
+                    own = (r >> BUCKET_BITS) == b
+                    bits = np.unpackbits(np.frombuffer(zlib.decompress(maps[b]), dtype=np.uint8), bitorder="little")
+                    out[own] = bits[r[own] & (BUCKET - 1)] == 0
+            return pd.Series(out)
+
+        return alive
+
+    def alive(self, segment: int, win: int) -> np.ndarray:
+        """The live rows of a window of postings."""
+        found = self.maps.get((segment, win >> (BUCKET_BITS - SHIFT)))
+        if found is None:
+            return np.ones(WINDOW, dtype=bool)
+        at = (win << SHIFT & (BUCKET - 1)) // 8
+        return np.unpackbits(np.frombuffer(zlib.decompress(found)[at : at + WINDOW // 8], dtype=np.uint8), bitorder="little") == 0
+
+
 def index_folder(spark: SparkSession, root: str, store: Store, embed: Callable[[Column], Column], model_id: str, dim: int, dispatcher: Dispatcher | None = None, fulltext: bool = True) -> dict:
     """Chunks, embeds and stores a folder; returns files, chunks and skipped."""
     d = dispatcher or Dispatcher.default()
