@@ -127,10 +127,8 @@ def brute_clusters(kept, k, rounds):
 
 
 @pytest.mark.parametrize(("k", "rounds", "block", "leaf"), [(12, 5, 64, 4), (1, 2, 8192, 48), (2000, 1, 100, 8)])
-def test_clusters(table, k, rounds, block, leaf, monkeypatch):
-    monkeypatch.setattr(clusters, "BLOCK", block)
-    monkeypatch.setattr(clusters, "LEAF", leaf)
-    assigned, centroids = clusters.cluster(table[1], k, rounds, width=8)
+def test_clusters(table, k, rounds, block, leaf):
+    assigned, centroids = clusters.cluster(table[1], k, rounds, width=8, block=block, leaf=leaf)
     got = clusters.with_inertia(assigned, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == brute_clusters(whole(table[0]), k, rounds)
 

@@ -33,7 +33,7 @@ MOST = 1 << 22
 # ---- trees -----------------------------------------------------------------------------------------------------------
 
 
-def build(x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def build(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The order of x's rows in the tree, and its nodes, parents first: lo and hi in that order, left and right child (-1: leaf), sums and radius."""
     order = np.arange(len(x))
     lo, hi, left, right, sums, radius = [0], [len(x)], [-1], [-1], [], []
@@ -45,7 +45,7 @@ def build(x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         sums.append(total)
         off = own - total / (b - a)
         radius.append(float(np.sqrt((off * off).sum(1).max())) * (1 + 1e-9))
-        if b - a > LEAF and (own != own[0]).any():
+        if b - a > leaf and (own != own[0]).any():
             widest = int((own.max(0) - own.min(0)).argmax())
             middle = (b - a) // 2
             order[a:b] = order[a:b][np.argpartition(own[:, widest], middle, kind="introselect")]
@@ -62,12 +62,12 @@ def build(x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 _BLOCK = ("x", "lo", "hi", "left", "right", "sums", "radius")
 
 
-def _blocks(width: int):
-    """Rows of (ids, x and the tree as bytes), one for each block of a task."""
+def _blocks(width: int, size: int, leaf: int):
+    """Rows of (ids, x and the tree as bytes), one for each `size` vectors of a task."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         x = as_matrix(rows.column("x").combine_chunks(), width)
-        order, tree = build(x)
+        order, tree = build(x, leaf)
         packed = {"x": x[order].astype("<i4"), **tree}
         ids = rows.column("id").combine_chunks().take(pa.array(order))
         lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
@@ -76,13 +76,13 @@ def _blocks(width: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, n = [], 0
         for batch in stream:
-            for at in range(0, batch.num_rows, BLOCK):
-                waiting.append(batch.slice(at, BLOCK))
+            for at in range(0, batch.num_rows, size):
+                waiting.append(batch.slice(at, size))
                 n += waiting[-1].num_rows
-                while n >= BLOCK:
+                while n >= size:
                     rows = pa.Table.from_batches(waiting)
-                    yield block(rows.slice(0, BLOCK))
-                    rest = rows.slice(BLOCK)
+                    yield block(rows.slice(0, size))
+                    rest = rows.slice(size)
                     waiting, n = rest.to_batches(), rest.num_rows
         if n:
             yield block(pa.Table.from_batches(waiting))
@@ -176,12 +176,12 @@ def _assigner(centroids: np.ndarray, width: int):
     return run
 
 
-def cluster(df: DataFrame, k: int, rounds: int, id_col: str = "vec_id", vector: str = "embedding", width: int = 64, scale: int = 256, salt: str = "2:", first: Column | None = None) -> tuple[DataFrame, np.ndarray]:
-    """id, cluster and distance for each whole vector of this width, and the final centroids. first: vectors with its least values are the first centroids."""
+def cluster(df: DataFrame, k: int, rounds: int, id_col: str = "vec_id", vector: str = "embedding", width: int = 64, scale: int = 256, salt: str = "2:", first: Column | None = None, block: int = BLOCK, leaf: int = LEAF) -> tuple[DataFrame, np.ndarray]:
+    """id, cluster and distance for each whole vector of this width, and the final centroids. first: vectors with its least values are the first centroids. block, leaf: vectors of a tree and of its leaves."""
     i, v = F.col(f"`{id_col}`"), F.col(f"`{vector}`")
     kind = df.select(i.alias("id")).schema["id"].dataType.simpleString()
     rows = df.filter(is_whole(v) & (F.size(v) == width)).select(i.alias("id"), integers(v, scale, MOST).alias("x"), (F.sha2(F.concat(F.lit(salt), i.cast("string")), 256) if first is None else first).alias("h"))
-    blocks = shared_checkpoint(rows.select("id", "x").mapInArrow(_blocks(width), f"ids array<{kind}>, " + ", ".join(f"{c} binary" for c in _BLOCK)))
+    blocks = shared_checkpoint(rows.select("id", "x").mapInArrow(_blocks(width, block, leaf), f"ids array<{kind}>, " + ", ".join(f"{c} binary" for c in _BLOCK)))
     seeds = rows.orderBy(F.col("h").asc_nulls_last(), "x").limit(k).select("x").collect()  # k vectors, by the least of each task
     centroids = np.array([s["x"] for s in seeds], dtype=np.int64).reshape(-1, width)
     schema = f"id {kind}, cluster int, distance long"
