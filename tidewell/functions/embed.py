@@ -34,7 +34,7 @@ def hash_model_id(dim: int = 384) -> str:
 def letter_frequencies(text: Column) -> Column:
     """A unit vector of the counts of a to z: small, deterministic and expressible in SQL."""
     low = F.array(F.lower(F.coalesce(text, F.lit(""))))
-    counts = F.element_at(F.transform(low, lambda t: F.array(*((F.length(t) - F.length(F.translate(t, chr(c), ""))).cast("double") for c in range(97, 123)))), 1)
+    counts = F.element_at(F.transform(low, lambda t: F.array(*((F.size(F.split(t, chr(c))) - 1).cast("double") for c in range(97, 123)))), 1)
     return unit(counts)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import settled
+from ..shared import local, settled
 from .fulltext import K1, SIZES, Word, B, _plans, bm25, gram_count, grams_of, idf_of
 from .fusion import rank_hits
 
@@ -367,7 +367,7 @@ def _scorer(plan: Plan, k: int, digits: int, alive: Callable[[int, int], np.ndar
         for q, found in enumerate(best):
             if found:
                 top = heapq.nsmallest(k, found)
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(top), pa.int32()), pa.array([i for _, i in top], id_type), pa.array([-s for s, _ in top], pa.float64())], names=["q", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([plan.queries[q][0]] * len(top)), pa.array([i for _, i in top], id_type), pa.array([-s for s, _ in top], pa.float64())], names=["query_id", "id", "score"])
 
     return run
 
@@ -424,8 +424,8 @@ def search_blocks(index: TextIndex, queries: DataFrame, k: int, id_col: str = "c
         plan = Plan(block, fields, {key: idf_of(index.n_docs, n) for key, n in df.items()}, {f: max(1e-9, a) for f, a in index.avg_dl.items()})
         heads = index.blocks.filter(F.col("term").isin(asked)).select("_segment", "win", "field", "term", "n", "max_tf", "min_ratio")
         bounds = settled(heads.repartition("_segment", "win").sortWithinPartitions("_segment", "win").mapInArrow(_bounder(plan), "q int, _segment int, win long, bound double"))
-        best = bounds.withColumn("place", F.row_number().over(_window_order())).filter(F.col("place") <= FIRST).select("_segment", "win").distinct()
-        first = settled(best)  # FIRST for each query at most
+        best = bounds.withColumn("place", F.row_number().over(_window_order())).filter(F.col("place") <= FIRST).select("_segment", "win").distinct().toArrow()  # FIRST for each query at most
+        first = F.broadcast(local(spark, _segment=best["_segment"].combine_chunks(), win=best["win"].combine_chunks()))
 
         def read(chosen: DataFrame, asked: list = asked, plan: Plan = plan) -> DataFrame:
             rows = index.blocks.filter(F.col("term").isin([DOCS, *asked])).select("_segment", *_NAMES)
@@ -437,26 +437,24 @@ def search_blocks(index: TextIndex, queries: DataFrame, k: int, id_col: str = "c
                 rows = rows.join(chosen, ["_segment", "win"], "left_semi").unionByName(kept, allowMissingColumns=True)
             else:
                 rows = rows.join(chosen, ["_segment", "win"], "left_semi")
-            return rows.repartition("_segment", "win").sortWithinPartitions("_segment", "win").mapInArrow(_scorer(plan, k, digits, index.alive), f"q int, id {kinds[0]}, score double")
-
-        found = settled(read(F.broadcast(first)))
-        scores: dict[int, list[float]] = {}
-        for r in rank_hits(found.withColumnRenamed("q", "query_id"), "id").filter(F.col("rank") <= k).select("query_id", "score").collect():  # k for each query
-            scores.setdefault(r[0], []).append(r[1])
-        least = [(q, min(s) - 10.0**-digits) for q, s in scores.items() if len(s) >= k]
-        rest = bounds.join(F.broadcast(first), ["_segment", "win"], "left_anti")
-        if least:
-            rest = rest.join(F.broadcast(spark.createDataFrame(least, "q int, least double")), "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
-        second = settled(rest.select("_segment", "win").distinct())
+            return rows.repartition("_segment", "win").sortWithinPartitions("_segment", "win").mapInArrow(_scorer(plan, k, digits, index.alive), f"query_id {kinds[1]}, id {kinds[0]}, score double")
+
+        found = settled(read(first))
+        ranked = rank_hits(found, "id").groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+        scores = {r["query_id"]: r["least"] for r in ranked.collect()}  # a row for each query
+        least = [scores.get(q[0]) for q in block]
+        rest = bounds.join(first, ["_segment", "win"], "left_anti")
+        known = local(spark, q=pa.array(range(len(block)), pa.int32()), least=pa.array([None if x is None else x - 10.0**-digits for x in least], pa.float64()))
+        rest = rest.join(F.broadcast(known), "q").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+        second = rest.select("_segment", "win").distinct()
         if counter is not None:
+            second = settled(second)
             both = first.unionByName(second)
             counted = heads.join(both.withColumn("read", F.lit(True)), ["_segment", "win"], "left").agg(F.count(F.lit(1)), F.count("read")).first()
             total = bounds.select("_segment", "win").distinct().count()
             for name, n in (("windows", total), ("windows_read", both.count()), ("blocks", counted[0]), ("blocks_read", counted[1])):
                 counter[name] = counter.get(name, 0) + n
-        hits = found if second.isEmpty() else found.unionByName(read(second))
-        names = spark.createDataFrame([(q, b[0]) for q, b in enumerate(block)], f"q int, query_id {kinds[1]}")
-        hits = hits.join(F.broadcast(names), "q").select("query_id", F.col("id").alias(id_col), "score")  # a row for each query of the block
+        hits = found.unionByName(read(second)).withColumnRenamed("id", id_col)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], f"query_id {kinds[1]}, {id_col} {kinds[0]}, score double")

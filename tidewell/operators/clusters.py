@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import settled
+from ..shared import local, settled
 from .fusion import rank_hits
 from .vector import BLOCK_VALUES, _matrix, _partial
 
@@ -25,8 +25,8 @@ from .vector import BLOCK_VALUES, _matrix, _partial
 ROOM, SIZE = 32 << 20, 96
 #: Clusters that a query reads before it knows its k-th score.
 FIRST = 8
-#: Most cluster numbers that become a filter on the scan.
-ASKED = 2048
+#: Most cluster numbers that become a filter on the scan, and that a search names at all.
+ASKED, MOST = 2048, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,9 @@ class VectorIndex:
     heads: DataFrame
 
 
-def assign(x: np.ndarray, rounds: int = 3) -> np.ndarray:
+def assign(x: np.ndarray, size: int = SIZE, rounds: int = 3) -> np.ndarray:
     """A cluster for each row: evenly spaced rows as first centres, then means."""
-    k = max(1, len(x) // SIZE)
+    k = max(1, len(x) // size)
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
     found = np.zeros(len(x), dtype=np.int64)
     for r in range(rounds):
@@ -55,28 +55,28 @@ def assign(x: np.ndarray, rounds: int = 3) -> np.ndarray:
     return found
 
 
-def with_clusters(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+def with_clusters(rows: DataFrame, vector: str = "embedding", size: int = SIZE) -> DataFrame:
     """rows whose vector is not null, with _cluster, sorted by it in each partition. Nothing is shuffled."""
     place = rows.columns.index(vector)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-        size, base = 0, TaskContext.get().partitionId() << 32
+        held, base = 0, TaskContext.get().partitionId() << 32
 
         def clustered(batches: list[pa.RecordBatch], base: int) -> tuple[pa.RecordBatch, int]:
             table = pa.Table.from_batches(batches).combine_chunks()
-            found = assign(_matrix(table.column(place).combine_chunks()))
+            found = assign(_matrix(table.column(place).combine_chunks()), size)
             return table.append_column("_cluster", pa.array(found + base)).combine_chunks(), int(found.max()) + 1
 
         for batch in stream:
             batch = batch.filter(batch.column(place).is_valid())
             if batch.num_rows:
                 waiting.append(batch)
-                size += 8 * len(batch.column(place).flatten())
-            if size >= ROOM:
+                held += 8 * len(batch.column(place).flatten())
+            if held >= ROOM:
                 table, n = clustered(waiting, base)
                 yield from table.to_batches()
-                waiting, size, base = [], 0, base + n
+                waiting, held, base = [], 0, base + n
         if waiting:
             yield from clustered(waiting, base)[0].to_batches()
 
@@ -114,9 +114,9 @@ def heads_of(stored: DataFrame, vector: str = "embedding") -> DataFrame:
     return stored.select("_cluster", vector).mapInArrow(run, "_cluster long, centre array<double>, radius double, n long")
 
 
-def index_of(rows: DataFrame, vector: str = "embedding") -> VectorIndex:
+def index_of(rows: DataFrame, vector: str = "embedding", size: int = SIZE) -> VectorIndex:
     """An index of rows, in the shared folder."""
-    stored = settled(with_clusters(rows, vector))
+    stored = settled(with_clusters(rows, vector, size))
     return VectorIndex(stored.withColumn("_segment", F.lit(0)), settled(heads_of(stored, vector)).withColumn("_segment", F.lit(0)))
 
 
@@ -158,26 +158,32 @@ def clustered_topk(index: VectorIndex, queries: DataFrame, k: int, id_col: str =
         heads = index.heads.select("_segment", "_cluster", "centre", "radius")
         shape = "q int, _segment int, _cluster long, bound double"
 
-        def read(chosen: DataFrame) -> DataFrame:
-            n = [c[0] for c in chosen.select("_cluster").distinct().limit(ASKED + 1).collect()]
+        def read(chosen: pa.Table) -> DataFrame:
+            n = chosen["_cluster"].unique().to_pylist()
             near = rows.filter(F.col("_cluster").isin(n)) if len(n) <= ASKED else rows
-            return near.join(chosen, ["_segment", "_cluster"], "left_semi").select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(_partial(ids, matrix, k, digits), f"query_id {kinds[1]}, id {kinds[0]}, score double")
+            few = local(spark, _segment=chosen["_segment"].combine_chunks(), _cluster=chosen["_cluster"].combine_chunks())
+            return near.join(F.broadcast(few) if len(chosen) <= ASKED else few, ["_segment", "_cluster"], "left_semi").select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(_partial(ids, matrix, k, digits), f"query_id {kinds[1]}, id {kinds[0]}, score double")
 
         best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "_segment", "_cluster"))
-        first = settled(heads.mapInArrow(_bounder(matrix, None), shape).withColumn("place", best).filter(F.col("place") <= FIRST).select("_segment", "_cluster").distinct())
-        found = settled(read(F.broadcast(first)))  # FIRST clusters for each query at most
-        scores: dict = {}
-        for r in rank_hits(found, "id").filter(F.col("rank") <= k).select("query_id", "score").collect():  # k for each query
-            scores.setdefault(r[0], []).append(r[1])
-        least = np.array([min(scores[i]) - 10.0**-digits if len(scores.get(i, ())) >= k else -np.inf for i in ids])
-        second = settled(heads.mapInArrow(_bounder(matrix, least), shape).select("_segment", "_cluster").distinct().join(F.broadcast(first), ["_segment", "_cluster"], "left_anti"))
+        first = heads.mapInArrow(_bounder(matrix, None), shape).withColumn("place", best).filter(F.col("place") <= FIRST).select("_segment", "_cluster").distinct().toArrow()  # FIRST for each query at most
+        found = settled(read(first))
+        ranked = rank_hits(found, "id").groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+        scores = {r["query_id"]: r["least"] for r in ranked.collect()}  # a row for each query
+        least = np.array([-np.inf if scores.get(i) is None else scores[i] - 10.0**-digits for i in ids])
+        # a number for each cluster of 96 vectors at most; beyond what a driver holds, the scan of all vectors is as good
+        second = heads.mapInArrow(_bounder(matrix, least), shape).select("_segment", "_cluster").distinct().limit(MOST + 1).toArrow()
+        if len(second) > MOST:
+            hits = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(_partial(ids, matrix, k, digits), f"query_id {kinds[1]}, id {kinds[0]}, score double")
+        else:
+            done = set(zip(first["_segment"].to_pylist(), first["_cluster"].to_pylist(), strict=True))
+            second = second.filter(pa.array([p not in done for p in zip(second["_segment"].to_pylist(), second["_cluster"].to_pylist(), strict=True)], pa.bool_()))
+            hits = found.unionByName(read(second)) if len(second) else found
         if counter is not None:
-            for name, n in (("clusters", heads.select("_segment", "_cluster").distinct().count()), ("clusters_read", first.count() + second.count())):
+            for name, n in (("clusters", heads.select("_segment", "_cluster").distinct().count()), ("clusters_read", len(first) + len(second))):
                 counter[name] = counter.get(name, 0) + n
-        hits = found if second.isEmpty() else found.unionByName(read(second))
         out = hits if out is None else out.unionByName(hits)
 
-    for q in queries.select("query_id", vector).filter(F.col(vector).isNotNull()).toLocalIterator():
+    for q in queries.select("query_id", vector).filter(F.col(vector).isNotNull()).repartition(1).toLocalIterator():  # one job, whatever the partitions
         block.append((q[0], q[1]))
         if len(block) * max(1, len(q[1])) >= BLOCK_VALUES:
             search()

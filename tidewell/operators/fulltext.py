@@ -70,7 +70,7 @@ def parse_query(text: str | None, fields: tuple[str, ...], syntax: bool = True)
 def _plans(queries: DataFrame, text: str, fields: tuple[str, ...], syntax: bool) -> Iterator[list[tuple]]:
     """(query_id, words) of the queries that ask for something, in blocks of at most BLOCK_TERMS grams."""
     block, terms = [], set()
-    for q in queries.select("query_id", text).toLocalIterator():
+    for q in queries.select("query_id", text).repartition(1).toLocalIterator():  # one job, whatever the partitions
         words = parse_query(q[1], fields, syntax)
         if any(w.wanted for w in words):
             block.append((q[0], words))

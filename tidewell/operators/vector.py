@@ -88,7 +88,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
         found = rows.mapInArrow(_partial(ids, matrix, k, digits), f"query_id {kinds[1]}, id {kinds[0]}, score double")
         out, block = found if out is None else out.unionByName(found), []
 
-    for q in queries.select("query_id", vector).filter(F.col(vector).isNotNull()).toLocalIterator():
+    for q in queries.select("query_id", vector).filter(F.col(vector).isNotNull()).repartition(1).toLocalIterator():  # one job, whatever the partitions
         block.append((q[0], q[1]))
         if len(block) * max(1, len(q[1])) >= BLOCK_VALUES:
             search()

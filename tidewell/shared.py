@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +29,8 @@ def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder, and read from there."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table that is part of the plan."""
+    return spark.createDataFrame(pa.table(columns))

@@ -10,15 +10,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import DimensionError, NotFoundError, ReadOnlyError, StorageError, UnsupportedLanguageError
 from ..operators.blocks import DOCS, SHIFT, WINDOW, TextIndex, build_blocks, decode_postings, term_counts
 from ..operators.clusters import VectorIndex, heads_of, with_clusters
 from ..operators.retrieve import FIELDS, with_fields
 from ..schema import CHUNK
-from ..shared import settled
+from ..shared import local, settled
 from . import corpus
 from .code import chunk_typescript
 from .markdown import chunk_markdown
@@ -103,6 +105,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
         self._dead: tuple[int, Dead] | None = None
+        self._schemas: dict[tuple[str, str], str] = {}
 
     # ---- manifests
 
@@ -126,6 +129,7 @@ class Store:
             stream.close()
         if found.get("format_version") != FORMAT_VERSION:
             raise StorageError(f"format {found.get('format_version')}, expected {FORMAT_VERSION}")
+        self._schemas |= {(s, t): schema for s, own in found["tables"].items() for t, schema in own.items()}
         return found
 
     def _commit(self, manifest: dict) -> dict:
@@ -149,7 +153,10 @@ class Store:
     # ---- reading
 
     def _read(self, segment: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/segments/{segment}/{table}")
+        """A table of a segment; its schema, where the manifest has it, is not read from the files again."""
+        known = self._schemas.get((segment, table))
+        reader = self.spark.read.schema(T.StructType.fromJson(json.loads(known))) if known else self.spark.read
+        return reader.parquet(f"{self.root}/segments/{segment}/{table}")
 
     def dead(self, m: dict) -> Dead:
         """The bitmaps of a version. They are kept for the next read of it."""
@@ -236,17 +243,18 @@ class Store:
     def _write(self, m: dict, chunks: DataFrame | None, gone: DataFrame | None = None, fresh: bool = False) -> dict:
         """A new version: the segments of m, none of them if fresh, and one more with chunks, in place of those with their ids and of the ids in gone."""
         name = uuid.uuid4().hex
-        base, tables, counts = f"{self.root}/segments/{name}", [], []
+        base, counts = f"{self.root}/segments/{name}", []
+        tables: dict[str, str] = {}
         total = dict.fromkeys(("n", *FIELDS), 0) if fresh else dict(m["lengths"])
 
         def write(table: str, rows: DataFrame, **options: str) -> None:
             rows.write.options(**{"compression": "zstd", **options}).parquet(f"{base}/{table}")
-            tables.append(table)
+            tables[table] = self._schemas[name, table] = rows.schema.json()
 
         small = {"parquet.block.size": str(8 << 20)}  # row groups that lookups can skip
         if chunks is not None:
             by_length = chunks.sortWithinPartitions(F.length("content")) if "content" in chunks.columns else chunks
-            write("chunks", by_length.withColumn("_row", F.monotonically_increasing_id()), **{"parquet.bloom.filter.enabled#chunk_id": "true"})
+            write("chunks", by_length.withColumn("_row", F.monotonically_increasing_id()), **{"parquet.bloom.filter.enabled#chunk_id": "true", **small})
             stored = self._read(name, "chunks")
             if "embedding" in stored.columns:
                 if m["embedder_dim"] and not stored.filter(F.size("embedding") != m["embedder_dim"]).isEmpty():
@@ -254,7 +262,8 @@ class Store:
                 write("vectors", with_clusters(stored.drop(*FIELDS)), **small)
                 write("clusters", heads_of(self._read(name, "vectors")))
             write("ids", stored.select("chunk_id", "_row").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), **small)
-            gone = self._read(name, "ids").select("chunk_id")
+            own = self._read(name, "ids").select("chunk_id")
+            gone = own if gone is None else own.unionByName(gone.select("chunk_id")).distinct()
             if m["fulltext"]:
                 write("postings", self._built(stored).sortWithinPartitions("term", "field", "win"), **small)
                 blocks = self._read(name, "postings")
@@ -269,7 +278,7 @@ class Store:
             hits = settled(hits.select("_segment", "_row", "chunk_id"))
             n = hits.count()
             if n:
-                places = self.spark.createDataFrame(list(enumerate(m["segments"])), "_segment int, segment string")
+                places = local(self.spark, _segment=pa.array(range(len(m["segments"])), pa.int32()), segment=pa.array(m["segments"]))
                 bits = F.bitmap_construct_agg(F.col("_row").bitwiseAND(BUCKET - 1)).alias("bits")
                 write("dead", hits.join(F.broadcast(places), "_segment").groupBy("segment", F.shiftright("_row", BUCKET_BITS).alias("bucket")).agg(bits))  # a row for each segment of places
                 taken = {"n": n, **dict.fromkeys(FIELDS, 0)}
