@@ -73,16 +73,31 @@ def logits(session, tokens, pairs: list[tuple[str, str]]) -> list[float]:
     return (found if found.ndim == 1 else found[:, 0] if found.shape[1] == 1 else found[:, 1]).astype(float).tolist()
 
 
+def by_length(texts: list[str], batch: int, max_chars: int) -> list[list[int]]:
+    """Places of texts in batches of like length: at most `batch` of them, and at most max_chars when padded to the longest (one text may be longer)."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if not out or len(out[-1]) == batch or len(texts[i]) * (len(out[-1]) + 1) > max_chars:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+def embedded(session, tokens, texts: list[str], batch: int = 32, max_chars: int = 1 << 16) -> np.ndarray:
+    """`pooled` of all texts, in their order; batches are of like length, so little is padding."""
+    parts = by_length(texts, batch, max_chars)
+    found = [pooled(session, tokens, [texts[i] for i in part]) for part in parts]
+    back = np.argsort([i for part in parts for i in part], kind="stable")
+    return np.concatenate(found)[back] if found else np.zeros((0, 0))
+
+
 def onnx_embed(model: str, tokenizer: str, max_tokens: int = 512, batch: int = 32):
     """embed(column) -> column: mean pooling over the mask, unit length. The model is loaded once in each Python worker."""
 
     def run(stream: Iterator[pd.Series]) -> Iterator[pd.Series]:
         session, tokens = _session(model, tokenizer, max_tokens)
         for texts in stream:
-            out: list = []
-            for at in range(0, len(texts), batch):
-                out += pooled(session, tokens, [t or "" for t in texts.iloc[at : at + batch]]).astype(np.float32).tolist()
-            yield pd.Series(out)
+            yield pd.Series(embedded(session, tokens, [t or "" for t in texts], batch).astype(np.float32).tolist())
 
     return F.pandas_udf(run, T.ArrayType(T.FloatType()))
 

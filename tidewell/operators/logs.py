@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import running_sums
+
 TOKENS_PER_LINE = 5
 
 
@@ -33,10 +35,9 @@ def by_key(log: DataFrame, key: str) -> DataFrame:
 
 
 def trend(log: DataFrame, order: str, value: str) -> DataFrame:
-    """log with running sums of value and of the estimate. Sums by `order` are formed before the one ordered pass."""
+    """log's sums by `order`, with running sums of them and of the estimate. No task has the whole order."""
     sums = log.groupBy(order).agg(_sum(value).alias("total"))
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("running", F.sum("total").over(w)).withColumn("running_estimate", F.col("running") * TOKENS_PER_LINE)
+    return running_sums(sums, {"running": F.col("total")}, order).withColumn("running_estimate", F.col("running") * TOKENS_PER_LINE)
 
 
 def top_n(log: DataFrame, value: str, n: int = 5, tie: str = "commit") -> DataFrame:

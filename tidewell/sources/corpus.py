@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 import tarfile
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
@@ -25,13 +26,30 @@ def visible(relative: Column) -> Column:
     return ~F.exists(folders, lambda p: p.startswith(".") | (p == "_index")) & ~F.element_at(parts, -1).startswith(".")
 
 
+def _relative(path: Column, root: str) -> Column:
+    base = root.rstrip("/").removeprefix("file://") + "/"
+    plain = F.regexp_replace(path, r"^file:/+", "/")
+    return F.substring(plain, F.length(F.lit(base)) + 1, F.length(plain))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, source (relative), modificationTime and length of each visible file; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    return files.select("path", _relative(F.col("path"), root).alias("source"), "modificationTime", "length").filter(visible(F.col("source")))
+
+
+def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """path, source, modificationTime, length, content and lang of the files at these paths below root."""
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    # a path is read as a pattern, so its special characters are marked
+    files = spark.read.format("binaryFile").load([re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths]) if paths else spark.createDataFrame([], shape)
+    return files.select("path", _relative(F.col("path"), root).alias("source"), "modificationTime", "length", "content").withColumn("lang", detect_lang(F.col("source")))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path, source (relative), lang and content of each visible file, in order of path within a read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    plain = F.regexp_replace("path", r"^file:/+", "/")
-    rel = F.substring(plain, F.length(F.lit(base)) + 1, F.length(plain))
-    return files.select("path", rel.alias("source"), "content").filter(visible(F.col("source"))).withColumn("lang", detect_lang(F.col("source")))
+    return files.select("path", _relative(F.col("path"), root).alias("source"), "content").filter(visible(F.col("source"))).withColumn("lang", detect_lang(F.col("source")))
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("had_bad_bytes", T.BooleanType())]))

@@ -240,8 +240,8 @@ class Store:
             return rows.filter(F.col("chunk_id").isin(few))  # read from the row groups that may hold them
         return rows.join(ids, "chunk_id", "left_semi")
 
-    def _write(self, m: dict, chunks: DataFrame | None, gone: DataFrame | None = None, fresh: bool = False) -> dict:
-        """A new version: the segments of m, none of them if fresh, and one more with chunks, in place of those with their ids and of the ids in gone."""
+    def _write(self, m: dict, chunks: DataFrame | None, gone: DataFrame | None = None, fresh: bool = False, files: DataFrame | None = None) -> dict:
+        """A new version: the segments of m, none of them if fresh, and one more with chunks, in place of those with their ids and of the ids in gone. files: what is known of files from now on."""
         name = uuid.uuid4().hex
         base, counts = f"{self.root}/segments/{name}", []
         tables: dict[str, str] = {}
@@ -259,9 +259,12 @@ class Store:
             if "embedding" in stored.columns:
                 if m["embedder_dim"] and not stored.filter(F.size("embedding") != m["embedder_dim"]).isEmpty():
                     raise DimensionError(f"an embedding is not of width {m['embedder_dim']}")
-                write("vectors", with_clusters(stored.drop(*FIELDS)), **small)
+                digest = content_digest(F.col("content")) if "content" in stored.columns else F.lit(None).cast("string")
+                write("vectors", with_clusters(stored.withColumn("_digest", digest).drop(*FIELDS)), **small)
                 write("clusters", heads_of(self._read(name, "vectors")))
             write("ids", stored.select("chunk_id", "_row").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), **small)
+            if "source" in stored.columns:
+                write("sources", stored.select("source", "chunk_id", "_row").repartitionByRange("source").sortWithinPartitions("source"), **small)
             own = self._read(name, "ids").select("chunk_id")
             gone = own if gone is None else own.unionByName(gone.select("chunk_id")).distinct()
             if m["fulltext"]:
@@ -293,6 +296,8 @@ class Store:
                 total = {k: total[k] - taken[k] for k in total}
         if counts:
             write("terms", reduce(DataFrame.unionByName, counts).groupBy("field", "term").agg(F.sum("df").alias("df")).repartitionByRange("term").sortWithinPartitions("term"), **small)
+        if files is not None:
+            write("files", files.select("source", "modified", "length", "digest", "removed").repartitionByRange("source").sortWithinPartitions("source"), **small)
         segments = [*([] if fresh else m["segments"]), name]
         listed = {s: w for s, w in (m["tables"] | {name: tables}).items() if s in segments}
         return self._commit(m | {"version": m["version"] + 1, "segments": segments, "tables": listed, "lengths": total})
@@ -344,11 +349,42 @@ class Store:
         self._writable()
         return self._added(self._write(self._current(), new.dropDuplicates(["chunk_id"])))
 
-    def replace(self, gone: DataFrame, new: DataFrame) -> dict:
-        """Adds chunks, in place of those with equal ids and of the ids in gone, as one version."""
+    def replace(self, gone: DataFrame, new: DataFrame, files: DataFrame | None = None) -> dict:
+        """Adds chunks, in place of those with equal ids and of the ids in gone, as one version; files (source, modified, length, digest, removed) are noted with it."""
         self._writable()
         once = new.dropDuplicates(["chunk_id"])
-        return self._added(self._write(self._current(), once, gone.select("chunk_id").distinct()))
+        return self._added(self._write(self._current(), once, gone.select("chunk_id").distinct(), files=files))
+
+    def files(self) -> DataFrame:
+        """source, modified, length and digest of the files that the current chunks come from, as last noted."""
+        return self._files(self._current())
+
+    def _files(self, m: dict) -> DataFrame:
+        noted = self._segments(m, "files", live=False)
+        if noted is None:
+            return self.spark.createDataFrame([], "source string, modified timestamp, length long, digest string")
+        last = noted.groupBy("source").agg(F.max_by(F.struct("modified", "length", "digest", "removed"), "_segment").alias("f"))
+        return last.select("source", "f.*").filter("NOT removed").drop("removed")
+
+    def ids_of(self, sources: DataFrame) -> DataFrame:
+        """chunk_id of the current chunks of these sources."""
+        rows = self._segments(self._current(), "sources")
+        if rows is None:
+            raise NotFoundError("the store's chunks have no source")
+        few = [r[0] for r in sources.select("source").limit(self.LOOKUP + 1).collect()]
+        found = rows.filter(F.col("source").isin(few)) if len(few) <= self.LOOKUP else rows.join(sources.select("source"), "source", "left_semi")
+        return found.select("chunk_id")
+
+    def known_vectors(self, digests: DataFrame) -> DataFrame | None:
+        """digest and embedding of texts (by content_digest) that any segment has embedded, one row for each. None if nothing is embedded."""
+        m = self.manifest()
+        rows = None if m is None else self._segments(m, "vectors", live=False)
+        if rows is None:
+            return None
+        few = [r[0] for r in digests.select("digest").limit(self.LOOKUP + 1).collect()]
+        rows = rows.select(F.col("_digest").alias("digest"), "embedding")
+        rows = rows.filter(F.col("digest").isin(few)) if len(few) <= self.LOOKUP else rows.join(digests.select("digest"), "digest", "left_semi")
+        return rows.dropDuplicates(["digest"])
 
     def delete(self, ids: DataFrame) -> dict:
         self._writable()
@@ -358,7 +394,9 @@ class Store:
         """A version of one segment with all live chunks."""
         self._writable()
         m = self._current()
-        return self._write(m, self._rows(m).drop("_row", "_segment"), fresh=True)
+        noted = any("files" in own for own in m["tables"].values())
+        files = self._files(m).withColumn("removed", F.lit(False)) if noted else None
+        return self._write(m, self._rows(m).drop("_row", "_segment"), fresh=True, files=files)
 
     def vacuum(self) -> list[str]:
         """Removes manifests before the current one and segments that it does not list; returns the segments removed. For when no reader is at an older version."""
@@ -408,10 +446,67 @@ class Dead:
         return np.unpackbits(np.frombuffer(zlib.decompress(found)[at : at + WINDOW // 8], dtype=np.uint8), bitorder="little") == 0
 
 
+def content_digest(content: Column) -> Column:
+    return F.sha2(F.coalesce(content, F.lit("")), 256)
+
+
+def embed_once(chunks: DataFrame, store: Store, embed: Callable[[Column], Column]) -> DataFrame:
+    """chunks with embeddings: of texts that the store has embedded, from there; of the others each different text goes to the model once."""
+    rows = settled(chunks.withColumn("_digest", content_digest(F.col("content"))))
+    texts = rows.groupBy(F.col("_digest").alias("digest")).agg(F.any_value("content").alias("content"))
+    known = store.known_vectors(texts)
+    new = texts if known is None else texts.join(known, "digest", "left_anti")
+    # apart from the join: the model's column must not be computed for rows that have a vector
+    made = settled(new.select("digest", embed(F.col("content")).alias("embedding")))
+    vectors = made if known is None else made.unionByName(known.withColumn("embedding", F.col("embedding").cast(made.schema["embedding"].dataType)))
+    return rows.join(vectors, F.col("_digest") == F.col("digest"), "left").drop("_digest", "digest")
+
+
+def noted_files(files: DataFrame) -> DataFrame:
+    """source, modified, length, digest and removed of files with content."""
+    return files.select("source", F.col("modificationTime").alias("modified"), F.col("length").cast("long").alias("length"), F.sha2("content", 256).alias("digest"), F.lit(False).alias("removed"))
+
+
 def index_folder(spark: SparkSession, root: str, store: Store, embed: Callable[[Column], Column], model_id: str, dim: int, dispatcher: Dispatcher | None = None, fulltext: bool = True) -> dict:
-    """Chunks, embeds and stores a folder; returns files, chunks and skipped."""
+    """Chunks, embeds and stores a folder; returns files, chunks and skipped. Texts that the store has embedded with this model before are not embedded again."""
     d = dispatcher or Dispatcher.default()
     files = corpus.read_text(corpus.scan(spark, root))
-    chunks = d.chunk(files).withColumn("embedding", embed(F.col("content")))
-    store.save(chunks, model_id, dim, fulltext)
+    chunks = d.chunk(files)
+    before = store.manifest()
+    same = before is not None and (before["embedder_model_id"], before["embedder_dim"]) == (model_id, dim)
+    store.save(embed_once(chunks, store, embed) if same else chunks.withColumn("embedding", embed(F.col("content"))), model_id, dim, fulltext)
     return index_stats(files, store.chunks(), d.supported()).first().asDict()
+
+
+#: Most paths of one read.
+PATHS = 10_000
+
+
+def sync_folder(spark: SparkSession, root: str, store: Store, embed: Callable[[Column], Column], model_id: str, dim: int, dispatcher: Dispatcher | None = None) -> dict:
+    """Brings the store up to what the folder has now; returns the numbers of files added, changed, removed and touched (new time, same bytes).
+
+    The store knows each file's time, length and digest. Files with the time and length noted are not opened. All chunks of a changed file go, also those whose place in the file has moved, those of a removed file go,
+    and both with the new ones in one version: a run that stops half-way leaves the version before, and the next one does it all. Texts known to the store are not embedded again.
+    """
+    d = dispatcher or Dispatcher.default()
+    store.open_or_create(model_id, dim)
+    there = corpus.listing(spark, root).select("path", "source", "modificationTime", "length")
+    known = store.files().select(F.col("source").alias("_source"), "modified", F.col("length").alias("_length"), F.col("digest").alias("_digest"))
+    met = there.join(known, F.col("source") == F.col("_source"), "full")
+    same = F.coalesce((F.col("modificationTime") == F.col("modified")) & (F.col("length") == F.col("_length")), F.lit(False))
+    open_ = settled(met.filter(~same))
+    paths = [r[0] for r in open_.filter("path IS NOT NULL").select("path").collect()]  # names of what has changed
+    removed = open_.filter("path IS NULL").select(F.col("_source").alias("source"))
+    reads = [corpus.scan_paths(spark, root, paths[at : at + PATHS]) for at in range(0, len(paths), PATHS)]
+    files = settled(reduce(DataFrame.unionByName, reads) if reads else corpus.scan_paths(spark, root, []))
+    noted = noted_files(files).join(open_.select(F.col("_source"), "_digest"), F.col("source") == F.col("_source"), "left")
+    noted = settled(noted.select("source", "modified", "length", "digest", "removed", F.when(F.col("_source").isNull(), "added").when(F.col("digest") == F.col("_digest"), "touched").otherwise("changed").alias("kind")))
+    counts = {r["kind"]: r["n"] for r in noted.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {k: counts.get(k, 0) for k in ("added", "changed", "touched")} | {"removed": removed.count()}
+    if any(out.values()):
+        new = noted.filter("kind <> 'touched'")
+        chunks = embed_once(d.chunk(corpus.read_text(files.join(new.select("source"), "source", "left_semi"))), store, embed)
+        left = removed.select("source", F.lit(None).cast("timestamp").alias("modified"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("digest"), F.lit(True).alias("removed"))
+        old = noted.filter("kind = 'changed'").select("source").unionByName(removed)
+        store.replace(store.ids_of(old), chunks, files=noted.drop("kind").unionByName(left))
+    return out
