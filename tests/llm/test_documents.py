@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontam, htmltext, lines, mixing, quality, simhash, urls
+from tidewell.llm import chat, common, decontam, htmltext, lines, mixing, quality, simhash, urls
 
 from .conftest import SCHEMA, sha
 
@@ -143,15 +143,24 @@ def test_linked_tiles(words, radius):
         assert {p: got.get(p, p) for p in root} == root
 
 
-@pytest.mark.parametrize("small", [0, 1 << 18])
-def test_long_chain_of_components(spark, monkeypatch, small):
-    monkeypatch.setattr(simhash, "SMALL_FOREST", small)
+@pytest.mark.parametrize("room", [5, 1 << 18])
+def test_long_chain_of_components(spark, monkeypatch, room):
+    monkeypatch.setattr(simhash, "CONTRACT", room)
     n = 60
     edges = spark.createDataFrame([(bytes([i + 1]), bytes([i])) for i in range(n)] + [(b"\xf1", b"\xf0")], "u binary, v binary").repartition(7)
     got = {bytes(r.node)[0]: bytes(r.root)[0] for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 0xF0: 0xF0, 0xF1: 0xF0}
 
 
+def test_hot_labels(spark):
+    """A key that most rows share, and a thousand others."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id") % 1111).alias("k"))
+    labels = spark.range(-1, 2000).select(F.col("id").alias("k_"), (F.col("id") * 2).alias("label"))
+    got = common.join_hot(rows, labels, "k", "k_")
+    assert got.filter("label <> 2 * k").count() == 0 and got.select("id").distinct().count() == got.count() == 20_000
+    assert common.join_hot(rows, labels.filter("k_ > 5"), "k", "k_").count() == rows.filter("k > 5").count() and common.join_hot(rows.limit(0), labels, "k", "k_").count() == 0
+
+
 def test_near_dedup(spark, empty_df):
     base = " ".join(f"w{i * 7 % 101}q{i}" for i in range(300))
     near = base.replace("w7q1 ", "changed ")

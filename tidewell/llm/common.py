@@ -69,6 +69,25 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if one row in so many has it, so there are fewer hot keys than that.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, labels: DataFrame, key: str, label_key: str) -> DataFrame:
+    """rows with the label of their key, for each row that has one; labels has a row for each key at most.
+
+    Fewer than HOT keys have more than 1 / HOT of the rows each. Their labels are broadcast; the rows of the others are shuffled to theirs, in which no key is large.
+    """
+    rows = rows.select("*")
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = shared_checkpoint(counts)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.filter(F.col("_n") > max(1, total // HOT)).select("_key")
+    few = F.broadcast(shared_checkpoint(labels.join(F.broadcast(hot), F.col(label_key) == F.col("_key")).drop("_key")))
+    cold = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left_anti")
+    return rows.join(few, F.col(key) == F.col(label_key)).unionByName(cold.join(labels, F.col(key) == F.col(label_key)))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A key for a row: equal for rows with equal id and text (null differs from empty), else different."""
     blank = F.coalesce(text, F.lit(""))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, shared_checkpoint, table
+from .common import WORD, join_hot, let, shared_checkpoint, table
 
 FAN = 64
 WEIGHTS = (3, 1, 2)
@@ -103,8 +103,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     rows = sized(docs, doc_id, source, text)
     goal = shared_checkpoint(targets(rows, weights, share, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    other = goal.withColumnRenamed("source", "source_")
-    units = rows.join(other, rows["source"].eqNullSafe(other["source_"])).drop("source_")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    units = join_hot(rows.withColumn("key", key), goal.withColumn("key_", key).drop("source"), "key", "key_").drop("key", "key_")
     units = units.withColumn("base", F.floor(rate + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), rate - F.col("base"))).withColumn("p", F.when(F.col("p") < 1e-12, F.lit(0.0)).otherwise(F.col("p")))
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
     groups = F.ceil(F.col("n") / F.lit(FAN))
@@ -133,8 +133,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5_mixing that no draw decides, and whether the draw keeps its bounds."""
-    near = F.abs(F.sum("taken").over(Window.partitionBy("target", "source_size")) - F.col("target")) <= F.max("size").over(Window.partitionBy("target", "source_size")) + 1e-6
-    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken").between(0, 2 * F.col("size")) & near).alias("in_bounds"))
+    mixed = shared_checkpoint(mix(table(spark, sf_dir, "documents")))
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    sums = mixed.groupBy(key.alias("key_")).agg((F.abs(F.sum("taken") - F.max("target")) <= F.max("size") + 1e-6).alias("near"))
+    rows = join_hot(mixed.withColumn("key", key), shared_checkpoint(sums), "key", "key_")
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken").between(0, 2 * F.col("size")) & F.col("near")).alias("in_bounds"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Fingerprints of 64 bits or a multiple come from one Arrow pass over the texts. D
 into packed tiles. Two tiles, and two stretches of them, are compared only if their population counts can lie within the radius; this
 loses no pair, for two fingerprints differ in at least as many bits as their counts do. A tile reports a spanning forest of
 its links, as trees of few branches, and a pair of tiles what joins their components, never the links themselves. Components follow by minimum labels
-with pointer jumping, each round in the shared checkpoint and the one before it removed; a forest of at most SMALL_FOREST edges is labelled in one task.
+with pointer jumping over what tasks have contracted, each round in the shared checkpoint and the one before it removed. Keys that many rows share (a component, a text that has a million copies) meet
+their labels in a broadcast of these few labels.
 
 Two texts whose shingle counts have cosine c differ in a share of about acos(c) / pi of the bits. `dedup` takes the distinct shingles of five words, 256
 bits and a radius of 88, and verifies each link within the radius, unless verified links join its ends already: two texts are near copies if of the words of each
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, forget, free_name, mix64, shared_checkpoint, table
+from .common import batches, forget, free_name, join_hot, mix64, shared_checkpoint, table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -250,23 +251,36 @@ def _inner(words: int):
 
 
 def _compare(radius: int, words: int):
-    """The links between tiles: edges between components of the two tiles, not between their members."""
-
-    def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for one, r1, other, r2 in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                a, b = _unpacked(one, words), _unpacked(other, words)
-                roots = np.r_[np.frombuffer(r1, dtype=np.int32), np.frombuffer(r2, dtype=np.int32) + len(a)]
-                yield _edges(*linked(a, b, radius, roots))
+    """The links between the tiles of a cell: edges between components of two tiles, not between their members."""
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        tiles = group.sort_by("tile")
+        bands, lows, highs = (tiles.column(c).to_pylist() for c in ("band", "low", "high"))
+        fps = [_unpacked(x, words) for x in tiles.column("fps").to_pylist()]
+        roots = [np.frombuffer(x, dtype=np.int32) for x in tiles.column("roots").to_pylist()]
+        made = [_edges(fps[0][:0], fps[0][:0])]
+        for a in range(len(fps)):
+            for b in range(a + 1, len(fps)):
+                if (bands[a], bands[b]) == (i, j) and lows[b] <= highs[a] + radius:
+                    u, v = linked(fps[a], fps[b], radius, np.r_[roots[a], roots[b] + len(fps[a])])
+                    if len(u):
+                        made.append(_edges(u, v))
+        return pa.Table.from_batches(made)
 
     return compare
 
 
+#: Most tiles of a band.
+BAND = 32
+
+
 def links(prints: DataFrame, radius: int = 4, words: int = 1) -> DataFrame:
     """u, v: edges between distinct fingerprints whose components are those of all links within the radius.
 
     A fingerprint has one edge at most from its own tile; two tiles add edges between their components only. A group of near copies in
-    t tiles so costs its size and a few edges for each two tiles, not one for each member and tile.
+    t tiles so costs its size and a few edges for each two tiles, not one for each member and tile. Neighbouring tiles form bands, and a task compares the tiles of two bands, so a tile
+    is sent once for each band within the radius, not for each tile.
     """
     spark = prints.sparkSession
     distinct = shared_checkpoint(prints.select("fp", "ones").distinct())
@@ -274,23 +288,25 @@ def links(prints: DataFrame, radius: int = 4, words: int = 1) -> DataFrame:
     tile_rows = max(1024, min(65536, -(-n // 24)))
     ordered = distinct.repartitionByRange(max(1, min(parts, -(-n // tile_rows))), "ones", "fp").sortWithinPartitions("ones", "fp")
     tiles = shared_checkpoint(ordered.mapInArrow(_tiles(tile_rows, radius, words), _TILE))
-    about = tiles.select("tile", "low", "high")
-    # two tiles within the radius share the strip that is the larger of their low counts, and only that one
-    reach = about.select(F.col("tile").alias("t1"), F.col("low").alias("low1"), F.explode(F.sequence("low", F.col("high") + radius)).alias("strip"))
-    other = reach.select(F.col("t1").alias("t2"), F.col("low1").alias("low2"), "strip")
-    pairs = reach.join(other, "strip").filter((F.col("strip") == F.greatest("low1", "low2")) & (F.col("t1") < F.col("t2"))).select("t1", "t2")
-    side = lambda k: tiles.select(F.col("tile").alias(f"t{k}"), F.col("fps").alias(f"f{k}"), F.col("roots").alias(f"r{k}"))
-    packed = pairs.join(side(1), "t1").join(side(2), "t2").select("f1", "r1", "f2", "r2").repartition(max(parts, 4 * spark.sparkContext.defaultParallelism))
-    between = packed.mapInArrow(_compare(radius, words), "u binary, v binary")
+    about = sorted(tiles.select("tile", "low", "high").collect())  # three numbers for each tile
+    count = max(1, -(-len(about) // BAND), min(len(about), int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))))
+    size = max(1, -(-len(about) // count))
+    bands = [about[k : k + size] for k in range(0, len(about), size)]
+    reach = [(min(t["low"] for t in b), max(t["high"] for t in b)) for b in bands]
+    cells = [[(min(i, j), max(i, j)) for j in range(len(bands)) if reach[max(i, j)][0] <= reach[min(i, j)][1] + radius] for i in range(len(bands))]
+    known = spark.createDataFrame([(t["tile"], i, [list(c) for c in cells[i]]) for i, b in enumerate(bands) for t in b], "of long, band int, cells array<array<int>>")
+    dealt = tiles.join(F.broadcast(known), F.col("tile") == F.col("of")).select("tile", "low", "high", "fps", "roots", "band", F.explode("cells").alias("c"))  # a row for each tile of at least 1024
+    dealt = dealt.select(F.get("c", F.lit(0)).alias("i"), F.get("c", F.lit(1)).alias("j"), "tile", "low", "high", "fps", "roots", "band")
+    between = dealt.groupBy("i", "j").applyInArrow(_compare(radius, words), "u binary, v binary")
     return tiles.select("fps", "roots").mapInArrow(_inner(words), "u binary, v binary").unionByName(between)
 
 
-#: So many edges at most are labelled in one task; more go round by round.
-SMALL_FOREST = 1 << 18
+#: Edges of a forest that one task contracts.
+CONTRACT = 1 << 18
 
 
-def _label(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node with the least of its component."""
+def _contract(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a task's edges: an edge for each node but the least of its component, as trees of few branches, and that least node."""
     up: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -304,29 +320,41 @@ def _label(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = find(u), find(v)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    for at in range(0, len(nodes), 1 << 16):
-        some = nodes[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([find(x) for x in some], pa.binary())], names=["node", "root"])
+    members: dict[bytes, list[bytes]] = {}
+    for x in up:
+        members.setdefault(find(x), []).append(x)
+    rows: list[tuple[bytes, bytes, bytes]] = []
+    for root, own in members.items():
+        own.sort()  # the root first
+        rows += [(x, own[(k - 1) // BRANCHES], root) for k, x in enumerate(own) if k]
+    for at in range(0, len(rows), 1 << 16):
+        columns = zip(*rows[at : at + (1 << 16)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["u", "v", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node reachable over the edges, for each node that has one."""
-    once = shared_checkpoint(edges.distinct())
-    if once.count() <= SMALL_FOREST:
-        labels = shared_checkpoint(once.coalesce(1).mapInArrow(_label, "node binary, root binary"))
-        forget(once)
-        return labels
-    both = shared_checkpoint(once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    """node, root: the least node reachable over the edges, for each node that has one.
+
+    Tasks contract CONTRACT edges each, so that one edge a node is left of whatever links a task has, and each node starts at the least of its component there; rounds of minimum labels
+    with pointer jumping join what the tasks have apart. Edges in one task need no more than the round that finds nothing to do.
+    """
+    once = shared_checkpoint(edges)
+    n = once.count()
+    trees = shared_checkpoint(once.repartition(max(1, -(-n // CONTRACT))).mapInArrow(_contract, "u binary, v binary, root binary"))
     forget(once)
-    labels = kept = shared_checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    starts = trees.select(F.col("u").alias("node"), "root").unionByName(trees.select(F.col("v").alias("node"), "root"))
+    labels = kept = shared_checkpoint(starts.groupBy("node").agg(F.min("root").alias("root")))
+    both = shared_checkpoint(trees.select("u", "v").unionByName(trees.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    forget(trees)
     while True:
         heard = both.join(labels, both["u"] == labels["node"]).groupBy("v").agg(F.min("root").alias("heard"))
         told = labels.join(heard, labels["node"] == heard["v"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("heard", "root")).alias("root"))
+        told = shared_checkpoint(told)
         up = labels.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        new = shared_checkpoint(told.join(up, told["root"] == up["up"], "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
+        new = shared_checkpoint(join_hot(told, up, "root", "up").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
         changed = not new.filter("root < old").isEmpty()
         forget(kept)
+        forget(told)
         kept, labels = new, new.select("node", "root")
         if not changed:
             forget(both)
@@ -341,8 +369,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = shared_checkpoint(classes)
     named = shared_checkpoint(classes.groupBy("root").agg(F.min("least").alias("component_id")))  # apart from the join, so that a large component's classes spread
-    named = shared_checkpoint(classes.join(named, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "a", "fp", "component_id")
+    named = shared_checkpoint(join_hot(classes, named.withColumnRenamed("root", "root_"), "root", "root_").select("fp", "component_id"))
+    return join_hot(prints, named.withColumnRenamed("fp", "fp_"), "fp", "fp_").select("doc_id", "a", "fp", "component_id")
 
 
 #: The least share of each text's words that lie in common shingles, for near copies, as a fraction.
@@ -528,8 +556,9 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     named = classes.select("fp", "b", "least", own.alias("own")).join(roots, F.col("own") == roots["node"], "left").select("fp", "b", "least", F.coalesce("head", "own").alias("head"))
     named = shared_checkpoint(named)
     heads = shared_checkpoint(named.groupBy("head").agg(F.min("least").alias("component_id")))
-    named = shared_checkpoint(named.join(heads, "head").select("fp", "b", "component_id"))
-    return prints.join(named, ["fp", "b"]).select("doc_id", "a", "component_id")
+    named = shared_checkpoint(join_hot(named, heads.withColumnRenamed("head", "head_"), "head", "head_").select(F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0"))).alias("node_"), "component_id"))
+    node = F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0")))
+    return join_hot(prints.withColumn("node", node), named, "node", "node_").select("doc_id", "a", "component_id")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 88, size: int = 5, words: int = 4) -> DataFrame:
