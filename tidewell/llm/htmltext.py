@@ -48,11 +48,17 @@ _LABELS = frozenset("class id role aria-label".split())
 #: Words that mark what surrounds an article, and words beside which some of them do not.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar navbar nav navigation menu submenu cookie cookies consent notice gdpr popup modal overlay "
-    "comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget widgets complementary contentinfo search toolbar".split()
+    "comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget widgets complementary contentinfo toolbar".split()
+)
+#: Words that say nothing but how a marked element looks or where it is. A name with any other word is that of a subject (notice-board, comment-on-policy) and marks nothing.
+_FRAME = frozenset(
+    "a area bar block bottom box btn button buttons card col column container content count form global group heading hidden icon icons inner item items js label left link links list main message "
+    "mini mobile new no number outer page panel primary right row section site slot space strip text thread title top unit user view wrap wrapper zone one two three id".split()
 )
 _PLACES = frozenset("header footer side aside masthead".split())
 _OWN = frozenset("article post entry content story body text main title".split())
 _STATES = frozenset("has with without no layout is".split())
+_KNOWN = _MARKS | _PLACES | _OWN | _FRAME
 
 #: Of a block: itself, its neighbours, its tag, and where it stands.
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "paragraph", "in_main", "page_has_main", "in_aside_tag", "in_marked_element")
@@ -124,15 +130,15 @@ class _Tags:
             at = end
 
 
-def _marked(attributes: str, heading: bool) -> bool:
-    """Whether a word of class, id, role or label says that this is not the article. A title may be called what it likes."""
+def _marked(attributes: str, heading: bool, main: bool) -> bool:
+    """Whether a name in class, id, role or label says that this is not the article. A title may be called what it likes, and an article may have a header."""
     if heading or "=" not in attributes:
         return False
     for m in _ATTR.finditer(attributes):
         if m[1].lower() in _LABELS:
             for token in (m[2] or m[3] or m[4] or "").lower().split():
                 parts = set(_PART.findall(token))
-                if not parts & _STATES and (parts & _MARKS or (parts & _PLACES and not parts & _OWN)):
+                if not parts & _STATES and parts <= _KNOWN and (parts & _MARKS or (parts & _PLACES and not parts & _OWN and not (main and "header" in parts))):
                     return True
     return False
 
@@ -213,7 +219,7 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
                     main, aside, marked, has_main = True, False, False, True
                 if name not in ("html", "body"):
                     aside = aside or (name in _ASIDE and not (name == "header" and main))
-                    marked = marked or _marked(page[rest:end], name in _HEADINGS)
+                    marked = marked or _marked(page[rest:end], name in _HEADINGS, main)
                 open_.setdefault(name, []).append(len(names))
                 names.append(name)
                 places.append((main, aside, marked))
@@ -245,6 +251,17 @@ LABELLED = (
     "<ul><li>[1]<li>[2]<li>[1]<li>[1]</ul><p>@{38}</p><p>@{6}</p><p>@{42}</p><ul><li>@{9}<li>@{12}</ul><p>@{33}</p><ul><li>[3]<li>[4]<li>[2]</ul><div>{3}</div>",
     "<table><tr><td>[1]<td>[1]<td>[2]</table><center><h2>@{4}</h2></center><p>@{50}</p><p>@{24} [3] {20}</p><p>@{4}</p><p>@{40}</p><p>[1] [1]</p><address>{6} [1]</address>",
     "<div>{3}</div><div>[1]</div><div>[1]</div><div>[2]</div><h1>@{5}</h1><p>@{22}</p><p>@{31}</p><p>@{2}</p><p>@{27}</p><h3>{2}</h3><div>[6]</div><div>[7]</div><div>[5]</div><div>{5}</div>",
+    "<nav>[1] [2]</nav><h1>@{5}</h1><p>@{12} [2]</p><p>@{20} [2] {5}</p><p>@{40} [4] {5}</p><p>@[2] {14} [3] {9}</p><p>@{15} [9] {12}</p><p>@{26}</p><div>[2] {1}</div><div>[3] [4]</div>",
+    "<div>[1] [1]</div><h2>@{4}</h2><div>@{11} [2] {6}</div><div>@{22} [3]</div><div>@{9} [4] {8}</div><div>@{31} [2] {7}</div><ul><li>@{7} [2] {5}<li>@{12} [3]</ul><p>[4]</p><p>[2] {2} [1]</p>",
+    "<p>@{31}</p><p>@{6}</p><p>@{28}</p><p>@{5}</p><div>[9] [12] [7]</div><p>{6}</p>",
+    "<h1>@{5}</h1><div>@{25}</div><div>@{7}</div><div>@{26}</div><div>@{8}</div><div>[14] [10]</div><div>{7}</div><div>[11] [16]</div><div>{5}</div>",
+    "<div>{3}</div><div>{2}</div><div>{3}</div><h1>@{6}</h1><div>@{33}</div><div>@{3}</div><div>@{41}</div><div>@{3}</div><div>@{28}</div><div>{2}</div><div>{3}</div>",
+    "<h1>@{5}</h1><p>@{45}</p><p>@{50}</p>",
+    "<p>@{60}</p><p>@{80}</p><p>@{24}</p><p>@{9}</p>",
+    "<div>@{90}</div><div>@{120}</div><div>@{65}</div>",
+    "<h2>@{4}</h2><p>@{70}</p><p>@{12}</p>",
+    "<p>@{24} [5] {11}</p><p>@{16} [2]</p><p>@{13} [6] {14} [3]</p><p>@{35} [3]</p><div>[3] {1} [2]</div><div>{1} [2]</div>",
+    "<article><h1>@{5}</h1><p>@{12} [2]</p><p>@{3} [6]</p><section class=search-history><p>@{21} [2]</p></section><div class=notice-board><p>@{17}</p><p>@{4}</p></div><div class=advert><p>{17}</p></div></article>",
     "<div>[2] {1} [2]</div><div>@{60}</div><div>@{55}</div><div>@{48}</div><div>[2] {2}</div><div>{2} [2]</div>",
     "<div><p>[1] [1] [1]</p></div><div class=post><h2 class=post-header>@{5}</h2><p>@{26}</p><p>@{5}</p><p>@{36}</p></div><div class=comments><p>{25}</p><p>{18}</p></div><div id=footer><p>{9}</p></div>",
     "<div class=promo><p>{15}</p></div><h1>@{7}</h1><p>@{34}</p><div class='banner ad'><p>{10}</p></div><p>@{29}</p><p>@{8}</p><p>@{30}</p><div class=newsletter><p>{16}</p></div><p>[2] [2]</p>",
