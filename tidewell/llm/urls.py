@@ -39,6 +39,13 @@ news herald gazette library archive museum gallery theatre orchestra weather cli
 maths history geography travel railway hiking cycling gardening kitchen recipes bakery health hospital clinic council city village parish energy software docs
 manual wiki forum community radio music cinema books poetry language dictionary maps harbour farm market bank insurance law sports football tennis chess
 """.split()
+#: Innocent words that have a word to block in them, or most of one.
+HARD = """
+better alphabet sorbets tibet elizabeth spamer spandau address advice adventure admiral academic roads heads threads beads shadow ladder accreditation accredited creditable sloans sloth
+cryptography cryptology popcorn cornwall essex sussex middlesex sexton casinoe cassino dietrich pillar caterpillar medieval medlar bingham cracker cracow nutcracker museo seoul oseola
+niagara adulthood escorial viscount cheetah cheaper clicker rambling gambia pottery lotterby replication flowers software pokerwork spoken chess-clubs trackside backtrack linkage farmers
+wingspan pharmacology pharmacist roulade slottery tornado discus payable prizewinning counterpoint keyboard gentle lending promontory assembly classic passage cassette association
+""".split()
 #: Names that mean nothing, which are to be allowed: so many, spelled by rule.
 PLAIN = 36
 #: Reserved domains, and paths that say nothing; one row in eight has a path of its label instead.
@@ -50,7 +57,7 @@ BLOCK_PATHS, ALLOW_PATHS = ("/win/", "/bonus?x", "/go/777", "/promo", "/join"),
 def labelled() -> list[tuple[str, float]]:
     """The training table: 1 is to be blocked. A word stands alone, before and after another, and with a number."""
     rows = []
-    for label, words, own in ((1.0, BLOCK, BLOCK_PATHS), (0.0, ALLOW, ALLOW_PATHS)):
+    for label, words, own in ((1.0, BLOCK, BLOCK_PATHS), (0.0, ALLOW, ALLOW_PATHS), (0.0, HARD, ALLOW_PATHS)):
         for i, word in enumerate(words):
             other, third = words[(7 * i + 3) % len(words)], words[(11 * i + 5) % len(words)]
             for k, name in enumerate((word, f"{word}-{other}", f"{third}{word}", f"www.{word}{i % 9}", f"m.{other}-{word}", f"blog.{word}")):
@@ -64,7 +71,7 @@ def labelled() -> list[tuple[str, float]]:
     return rows
 
 
-TABLE_ROWS = 6 * (len(BLOCK) + len(ALLOW)) + 4 * PLAIN
+TABLE_ROWS = 6 * (len(BLOCK) + len(ALLOW) + len(HARD)) + 4 * PLAIN
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
