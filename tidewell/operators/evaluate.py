@@ -26,6 +26,15 @@ def per_query(returned: DataFrame, truth: DataFrame, k: int, id_col: str = "chun
     return r.select("query_id", recall.alias("recall"), mrr.alias("mrr"), hits.cast("long").alias("hits"), missed.alias("missed"), "latency_ms")
 
 
+def per_query_judged(judged: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """query_id, recall, mrr and hits for each row of totals (query_id, n_relevant); judged: query_id, rank and whether the hit is relevant. What is relevant need not be listed."""
+    good = (F.col("rank") <= k) & F.coalesce("relevant", F.lit(False))
+    found = judged.groupBy("query_id").agg(F.count_if(good).alias("hits"), F.min(F.when(good, F.col("rank"))).alias("first"))
+    r = totals.join(found, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
+    recall = F.when(F.col("n_relevant") > 0, F.col("hits") / F.col("n_relevant")).otherwise(F.lit(0.0))
+    return r.select("query_id", recall.alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), "hits")
+
+
 def upper_median(values: Column) -> Column:
     """sorted[min(n / 2, n - 1)]: an element, not an interpolation."""
     s = F.array_sort(values)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import hash_embed, letter_frequencies
 from ..functions.enhance import rule_enhance
 from ..functions.lang import detect_lang
+from ..functions.metadata import from_json, read_path, to_json
 from ..operators.blocks import search_blocks
 from ..operators.context import cite
 from ..operators.evaluate import per_query, smoke_totals, summarize
@@ -17,8 +18,9 @@ from ..operators.logs import by_key, by_type
 from ..operators.retrieve import Options, migration_query, rerank_by, retrieve, stub_rerank
 from ..shared import scratch
 from ..sources.corpus import audit_utf8, checksums, read_text, visible
+from ..sources.headings import wide_sections
 from ..sources.index import Dispatcher, Store
-from ..sources.markdown import chunk_markdown
+from ..sources.markdown import chunk_markdown, front_matter
 from ..sources.querysets import load_telemetry
 from ..streaming.ingest import sessions
 from .evaluation import _ASKED, _OTHERS, _asked, _ranked, _sql_template
@@ -124,6 +126,40 @@ _SHAPES = (
 )
 
 
+def q_sections_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of all documents as files whose lines lie in ranges over all tasks."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("\n| "))
+    body = F.concat(F.lit("before\n# "), "source", F.lit("\n| "), text, F.lit("\n### End\n"), "lang", F.lit("\n## Last\n\n# Next\nx"))
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), body.alias("body"))
+    s = wide_sections(files, "file", "body")
+    return s.select("file", F.col("section").cast("long").alias("section"), F.array_join("heading_path", " / ").alias("heading"), F.col("parent_section").cast("long").alias("parent_section"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("content").alias("content_md5"))
+
+
+SECTIONS_WIDE = """
+WITH t AS (SELECT 'd' || doc_id AS file, source, lang, '| ' || replace(replace(coalesce(text, ''), chr(13), ''), chr(10), chr(10) || '| ') AS body FROM documents),
+n AS (SELECT *, len(string_split(body, chr(10))) AS n FROM t)
+SELECT file, 1::BIGINT AS section, source AS heading, NULL::BIGINT AS parent_section, 3::BIGINT AS start, (2 + n)::BIGINT AS "end", md5(body) AS content_md5 FROM n
+UNION ALL SELECT file, 2, source || ' / End', 1, n + 4, n + 4, md5(lang) FROM n UNION ALL SELECT file, 4, 'Next', NULL, n + 8, n + 8, md5('x') FROM n
+"""
+
+
+def q_metadata_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested front matter read by path, and metadata through JSON and back."""
+    n = F.col("doc_id").cast("string")
+    front = F.concat(F.lit("---\nowner: {team: "), "source", F.lit(", ids: ["), n, F.lit(", 7, "), n, F.lit("]}\nflag: true\n---\n"))
+    files = read(spark, sf_dir, "documents").select(n.alias("source"), F.concat(front, F.coalesce("text", F.lit(""))).alias("text"))
+    kept = front_matter(files).withColumn("front", from_json(to_json(F.col("front"))))
+    at = lambda path, kind: read_path(F.col("front"), path, kind)
+    return kept.select("source", at("$.owner.team", "string").alias("team"), at("$.owner.ids[2]", "bigint").alias("third"), at("$.flag", "boolean").alias("flag"), at("$.owner.team", "int").alias("not_a_number"), to_json(F.col("front")).alias("json"))
+
+
+METADATA_VARIANT = """
+SELECT doc_id::VARCHAR AS source, source AS team, doc_id AS third, TRUE AS flag, NULL::INT AS not_a_number,
+       '{"flag":true,"owner":{"ids":[' || doc_id || ',7,' || doc_id || '],"team":"' || source || '"}}' AS json
+FROM documents
+"""
+
+
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
     text = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("p_partkey") % len(_SHAPES) + 1).cast("int"))
@@ -364,12 +400,14 @@ SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS longes
 QUERIES = {
     "corpus_paths": q_corpus_paths, "utf8_decode": q_utf8_decode, "utf8_audit": q_utf8_audit, "file_checksums": q_file_checksums, "frontmatter_split": q_frontmatter_split, "chunk_ids": q_chunk_ids,
     "code_chunks": q_code_chunks, "languages_union": q_languages_union, "store_roundtrip": q_store_roundtrip, "get_by_id": q_get_by_id, "blank_query": q_blank_query, "smoke_totals": q_smoke_totals,
+    "sections_wide": q_sections_wide, "metadata_variant": q_metadata_variant,
     "null_search": q_null_search, "two_stage_rerank": q_two_stage_rerank, "stub_rerank": q_stub_rerank, "citations": q_citations, "migration_query": q_migration_query, "hash_embedding": q_hash_embedding,
     "rule_enhance": q_rule_enhance, "eval_summary": q_eval_summary, "stats_by_round": q_stats_by_round, "stats_by_feature": q_stats_by_feature, "telemetry_scan": q_telemetry_scan, "event_sessions": q_event_sessions,
 }
 SQL = {
     "corpus_paths": CORPUS_PATHS, "utf8_decode": UTF8_DECODE, "utf8_audit": UTF8_AUDIT, "file_checksums": FILE_CHECKSUMS, "frontmatter_split": FRONTMATTER_SPLIT, "chunk_ids": CHUNK_IDS,
     "code_chunks": CODE_CHUNKS, "languages_union": LANGUAGES_UNION, "store_roundtrip": STORE_ROUNDTRIP, "get_by_id": GET_BY_ID, "blank_query": BLANK_QUERY, "smoke_totals": SMOKE_TOTALS,
+    "sections_wide": SECTIONS_WIDE, "metadata_variant": METADATA_VARIANT,
     "null_search": NULL_SEARCH, "two_stage_rerank": TWO_STAGE_RERANK, "stub_rerank": STUB_RERANK, "citations": CITATIONS, "migration_query": MIGRATION_QUERY, "hash_embedding": HASH_EMBEDDING,
     "rule_enhance": RULE_ENHANCE, "eval_summary": EVAL_SUMMARY, "stats_by_round": STATS_BY_ROUND, "stats_by_feature": STATS_BY_FEATURE, "telemetry_scan": TELEMETRY_SCAN, "event_sessions": EVENT_SESSIONS,
 }

@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions.enhance import INTENT_KEYWORDS, TEMPLATES, classify_intent, extract_entities, hyde_document
 from ..operators.containment import contained
-from ..operators.evaluate import exact_percentiles, per_query
+from ..operators.evaluate import exact_percentiles, per_query, per_query_judged
 from ..operators.logs import annotate, append_new, classify_change, classify_path, override_reason, pending, summary, top_n, trend
 from ..operators.vector import vector_topk
 from ..streaming.ingest import windowed_counts
 from .search import _SCORES, _vectors, read
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The ten nearest others of each query vector, and the others of its label."""
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of each query vector."""
     corpus, queries = _vectors(spark, sf_dir)
     top = vector_topk(corpus, queries, 11, "vec_id").filter("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy("rank")
-    top = top.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
+    return top.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest others of each query vector, and all others of its label: what a list of misses is made of."""
     e = read(spark, sf_dir, "embeddings")
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     same = asked.join(e.select("vec_id", "label"), "label").filter("vec_id <> query_id")
     truth = same.groupBy("query_id").agg(F.array_sort(F.collect_list("vec_id")).alias("relevant"))
-    return top, truth
+    return _top(spark, sf_dir), truth
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The hits with whether their label is the query's, and how many others have it. A number for each label, no lists."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    top = _top(spark, sf_dir)
+    hit, asked = e.withColumnRenamed("label", "hit_label"), e.withColumnRenamed("vec_id", "query_id")
+    judged = top.join(hit, "vec_id").join(asked, "query_id").select("query_id", "rank", (F.col("hit_label") == F.col("label")).alias("relevant"))
+    sizes = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    return judged, asked.filter("query_id % 50 = 0").join(sizes, "label").select("query_id", "n_relevant")
 
 
 _OTHERS = (
@@ -35,7 +49,7 @@ n AS (SELECT query_id, count(*) AS n FROM s WHERE label = q_label GROUP BY 1)"""
 
 
 def q_eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_query(*_ranked(spark, sf_dir), 10, "vec_id").select("query_id", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"), "hits")
+    return per_query_judged(*_judged(spark, sf_dir), 10).select("query_id", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"), "hits")
 
 
 EVAL_RECALL_MRR = f"""WITH {_OTHERS}

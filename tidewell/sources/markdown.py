@@ -8,6 +8,8 @@ code fence counts as a heading; `fence_aware` leaves fences alone.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ParseError, UnsupportedLanguageError
+from ..functions.metadata import from_json
 
 LEVELS = range(1, 7)
 HEADING = r"^\s*(#{1,6})(?: (.*))?$"
@@ -29,6 +32,7 @@ _FRONT = T.StructType(
         T.StructField("complexity", T.StringType()),
         T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("api_name", T.StringType()),
+        T.StructField("json", T.StringType()),
     ]
 )
 _SPLIT = T.StructType([T.StructField("front", _FRONT), T.StructField("body", T.StringType()), T.StructField("offset", T.IntegerType())])
@@ -67,12 +71,17 @@ def _split(text: pd.Series) -> pd.DataFrame:
         front = None if f is None else {
             "platforms": _strings(f.get("platforms")), "api_version": _string(f.get("api_version")), "deprecated": bool(f.get("deprecated", False)),
             "type": _string(f.get("type")), "source_framework": _string(f.get("source_framework")), "complexity": _string(f.get("complexity")),
-            "tags": _strings(f.get("tags")), "api_name": _string(f.get("api_name")),
+            "tags": _strings(f.get("tags")), "api_name": _string(f.get("api_name")), "json": json.dumps(f, default=str, ensure_ascii=False),
         }
         rows.append((front, body, offset))
     return pd.DataFrame(rows, columns=["front", "body", "offset"])
 
 
+def front_matter(files: DataFrame) -> DataFrame:
+    """source and front, the front matter of Markdown files (source, text) as VARIANT, nested values and all; null without any."""
+    return files.select("source", from_json(_split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")))["front"]["json"]).alias("front"))
+
+
 def platform_name(raw: Column) -> Column:
     """The platform that a synonym stands for, or null."""
     low = F.lower(raw)
