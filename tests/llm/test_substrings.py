@@ -184,3 +184,27 @@ def test_symbols_agree_inside_equal_windows():
         x, _, lo, hi = recompress.symbols(SimpleNamespace(hash=words, owner=np.zeros(100, dtype=np.int64)))
         seen.append({(n, a, b) for n, a, b in zip(x.tolist(), lo.tolist(), hi.tolist(), strict=True) if a >= 20 and b <= 80})
     assert seen[0] == seen[1] and len(seen[0]) > 5
+
+
+def test_runs_are_packed_and_found_again(docs):
+    """Anchors kept by runs are those of every stretch."""
+    texts = [(d[1] or "").encode() for d in docs]
+    ends = np.cumsum([len(t) for t in texts])
+
+    class Block:
+        ids, lengths, data = np.arange(len(texts)), np.array([len(t) for t in texts]), b"".join(texts)
+        starts = ends - [len(t) for t in texts]
+
+    Block.ends = ends
+    copy = np.arange(len(texts)) % 7 == 3
+    runs = suffix._runs(Block, copy, 50)
+    again = suffix._Runs.unpacked(*runs.packed())
+    assert all((getattr(runs, k) == getattr(again, k)).all() for k in ("start", "count", "anchor")) and runs.count.max() <= 27
+    want = []
+    for lo, t, c in zip(Block.starts.tolist(), texts, copy.tolist(), strict=True):
+        if not c:
+            a, h = suffix.anchors(np.frombuffer(t, dtype=np.uint8), 50)
+            want += [(lo + i, lo + int(x), int(h[x])) for i, x in enumerate(a)]
+    _, h = runs.names(Block, 8)
+    got = [(int(s) + i, int(x), int(y)) for s, n, x, y in zip(runs.start, runs.count, runs.anchor, h, strict=True) for i in range(int(n))]
+    assert got == want and len(got) > 1000
