@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, common, lines, mixing, quality, simhash
+from tidewell.llm import chat, common, decontam, lines, mixing, quality, recompress, simhash, suffix
 
 from .conftest import SCHEMA
 from .test_documents import brute_lines, brute_print, brute_quality
@@ -144,3 +144,12 @@ def test_folders_of_a_cluster_are_named(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_folder(type("S", (), {"sparkContext": Context()})())
+
+
+@pytest.mark.parametrize("run", [suffix.dedup, recompress.dedup, simhash.near_duplicates, simhash.dedup, lambda d: decontam.occurrences(d, d.select(F.lit(1).alias("item_id"), F.lit("a benchmark item of some length").alias("text")).limit(1))], ids=["op3", "op6", "op9", "near_dedup", "op10"])
+def test_ids_are_numbers_or_read_as_one(spark, run):
+    text = " ".join(f"word{i}" for i in range(60))
+    good = spark.createDataFrame([("1", text), ("2", text), (None, "x"), ("3", "a benchmark item of some length")], "doc_id string, text string")
+    assert run(good).count() > 0
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        run(spark.createDataFrame([("one", text)], "doc_id string, text string")).count()

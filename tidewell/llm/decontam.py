@@ -10,7 +10,7 @@ occurrence.
 
 The benchmark is the stated query set. It is taken in blocks of at most BLOCK_CHARS characters, each broadcast for one scan of the documents, which
 move nowhere; a benchmark of n blocks costs n scans, and the broadcasts of a query stay until it is done. Null and blank texts and items match
-nothing. Items shorter than 1 / budget have no edits and are matched exactly. Repeated rows are judged alike. Long texts are scanned in overlapping pieces. Extra columns pass through
+nothing. Ids are numbers, or text that reads as one; other text as an id is an error of the cast. Items shorter than 1 / budget have no edits and are matched exactly. Repeated rows are judged alike. Long texts are scanned in overlapping pieces. Extra columns pass through
 whatever their names. An empty table or benchmark gives no occurrence.
 """
 

@@ -17,7 +17,7 @@ ends depend on what surrounds them, and every symbol carries the stretch of word
 No repeat is lost: a repeated window decides the same symbols wherever it lies. Exact copies of a smaller document are recognised as a whole by
 128 bits of BLAKE2, and what copies share among themselves counts once.
 
-Null, empty and blank texts have no words. Rows of equal id do not remove each other's words. A null id counts as
+Ids are numbers, or text that reads as one; other text as an id is an error of the cast. Null, empty and blank texts have no words. Rows of equal id do not remove each other's words. A null id counts as
 greater than all ids. A long text is a block by itself. Columns besides id and text are not read. An empty table gives an empty result.
 """
 

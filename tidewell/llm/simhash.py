@@ -15,7 +15,7 @@ one in ten at a similarity of 0.4, and two texts without a shingle in common com
 Only texts with a link move for this, in blocks of one group or of many small groups. Of a large group's blocks the heads of their components meet, and then only what is not in
 the largest component meets the other blocks. The comparison of all pairs is quadratic in the number of distinct fingerprints, and verification in the size of a group whose links fail.
 
-A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
+Ids are numbers, or text that reads as one; other text as an id is an error of the cast. A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
 class whatever their number; rows with a null id take part but name no component (a component of such rows alone has
 a null id). Long texts are counted piece by piece. Extra columns pass through `dedup` whatever their names. An empty table gives an empty result.
 """
