@@ -127,6 +127,11 @@ def test_parents(spark):
     assert rows(context.parent_of(c, "c1"), "chunk_id") == [("p1",)]
 
 
+def test_scores_from_distances(spark):
+    d = spark.createDataFrame([(0.0,), (0.25,), (1.0,), (7.0,), (-1.0,), (None,), (float("nan"),)], "d double")
+    assert [r[0] for r in d.select(vector.distance_score(F.col("d"))).collect()] == [1.0, 0.75, 0.0, 0.0, 1.0, None, None]
+
+
 def test_previews(spark):
     d = spark.createDataFrame([("é" * 150, ["a", "b"]), ("x\ny", [])], "t string, h array<string>")
     out = rows(d, context.console_preview(F.col("t")), context.heading_display(F.col("h")))

@@ -37,9 +37,15 @@ def expand_strict(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return expanded
 
 
+def parents_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """child_id and the parent's columns, for each of ids (chunk_id) whose chunk has a parent that is there. A chunk is no parent of itself."""
+    own = chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").select(F.col("chunk_id").alias("child_id"), F.col("parent_id").alias("_p")).filter(F.col("_p") != F.col("child_id"))
+    return own.join(chunks, own["_p"] == chunks["chunk_id"]).drop("_p")
+
+
 def parent_of(chunks: DataFrame, chunk_id: str) -> DataFrame:
-    own = chunks.filter(F.col("chunk_id") == chunk_id).select(F.col("parent_id").alias("_p")).filter(F.col("_p") != chunk_id)
-    return chunks.join(own, chunks["chunk_id"] == own["_p"], "left_semi")
+    """The parent of one chunk, if it has one."""
+    return parents_of(chunks, chunks.filter(F.col("chunk_id") == chunk_id).select("chunk_id")).drop("child_id")
 
 
 def heading_display(path: Column) -> Column:

@@ -26,6 +26,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(cut(a), cut(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def distance_score(distance: Column) -> Column:
+    """A score from a distance: 1 for none, 0 for 1 and more; null for null and for what is no number."""
+    d = distance.cast("double")
+    return F.when(d.isNotNull() & ~F.isnan(d), 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))
+
+
 def check_dim(df: DataFrame, vector: str, dim: int) -> DataFrame:
     """df, failing at run time on a vector of another width."""
     found = F.size(vector)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lang import detect_lang
-from ..operators.context import console_preview, expand_to_parent, flatten_with_parent_content, heading_display, lines_display, parent_audit, preview
+from ..operators.context import console_preview, expand_to_parent, flatten_with_parent_content, heading_display, lines_display, parent_audit, parents_of, preview
 from ..sources.corpus import folder_counts
 from ..sources.index import delete, index_stats, last_write
 from ..sources.markdown import chunk_type, platform_name, sections
@@ -86,6 +86,17 @@ def q_flatten_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLATTEN_PARENT = f"WITH {_TURNS} SELECT h.chunk_id, coalesce(p.content, h.content) AS content FROM ch h LEFT JOIN ch p ON p.chunk_id = h.parent_id"
 
 
+def q_parents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents of the assistants' turns, and of what has none."""
+    chunks = _turn_chunks(spark, sf_dir)
+    asked = chunks.filter("element_at(heading_path, -1) <> 'user'").select("chunk_id")
+    return parents_of(chunks, asked.unionByName(asked)).select("child_id", "chunk_id", "content")
+
+
+PARENTS_OF = f"""WITH {_TURNS}, a AS (SELECT 'c' || conv_id || 't' || turn AS child_id, 'c' || conv_id AS up FROM conversations WHERE role <> 'user')
+SELECT child_id, chunk_id, content FROM a JOIN top ON chunk_id = up"""
+
+
 def q_strict_parent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _turn_chunks(spark, sf_dir)
     return parent_audit(expand_to_parent(chunks, chunks))
@@ -185,11 +196,11 @@ DELETE_IDS = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT d
 
 QUERIES = {
     "markdown_chunks": q_markdown_chunks, "markdown_parents": q_markdown_parents, "expand_parent": q_expand_parent, "flatten_parent": q_flatten_parent,
-    "strict_parent_audit": q_strict_parent_audit, "citation_preview": q_citation_preview, "lang_detect": q_lang_detect, "index_stats": q_index_stats,
+    "strict_parent_audit": q_strict_parent_audit, "parents_of": q_parents_of, "citation_preview": q_citation_preview, "lang_detect": q_lang_detect, "index_stats": q_index_stats,
     "corpus_counts": q_corpus_counts, "frontmatter_apply": q_frontmatter_apply, "upsert_last_write": q_upsert_last_write, "delete_ids": q_delete_ids,
 }
 SQL = {
     "markdown_chunks": MARKDOWN_CHUNKS, "markdown_parents": MARKDOWN_PARENTS, "expand_parent": EXPAND_PARENT, "flatten_parent": FLATTEN_PARENT,
-    "strict_parent_audit": STRICT_PARENT_AUDIT, "citation_preview": CITATION_PREVIEW, "lang_detect": LANG_DETECT, "index_stats": INDEX_STATS,
+    "strict_parent_audit": STRICT_PARENT_AUDIT, "parents_of": PARENTS_OF, "citation_preview": CITATION_PREVIEW, "lang_detect": LANG_DETECT, "index_stats": INDEX_STATS,
     "corpus_counts": CORPUS_COUNTS, "frontmatter_apply": FRONTMATTER_APPLY, "upsert_last_write": UPSERT_LAST_WRITE, "delete_ids": DELETE_IDS,
 }

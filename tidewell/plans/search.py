@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import DimensionError, StorageError
 from ..functions.embed import hash_embed, letter_frequencies
 from ..operators.blocks import gram_stats, search_blocks
 from ..operators.clusters import clustered_topk
@@ -12,7 +13,7 @@ from ..operators.filters import Filters, fulltext_filter, score_threshold, vecto
 from ..operators.fulltext import bm25_topk
 from ..operators.fusion import rrf_fuse
 from ..operators.retrieve import Options, retrieve, with_fields
-from ..operators.vector import check_dim, vector_topk
+from ..operators.vector import check_dim, distance_score, vector_topk
 from ..shared import scratch
 from ..sources.index import Store
 
@@ -71,6 +72,37 @@ def q_vector_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTOR_DIM_CHECK = "SELECT len(embedding)::BIGINT AS dim, count(*) AS n FROM embeddings GROUP BY 1"
 
 
+def q_distance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from distances along the first axis, some of them below 0 and above 1."""
+    e = read(spark, sf_dir, "embeddings")
+    distance = 1.0 - 3.0 * F.get("embedding", F.lit(0)).cast("double")
+    return e.select("vec_id", F.round(distance_score(distance), 9).alias("score"))
+
+
+DISTANCE_SCORE = "SELECT vec_id, round(1.0e0 - greatest(0.0e0, least(1.0e0, 1.0e0 - 3.0e0 * embedding[1]::DOUBLE)), 9) AS score FROM embeddings"
+
+
+def q_store_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty store of a width, filled, opened again without naming the width, and refused with another."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.concat(F.lit("e"), F.col("label").cast("string")).alias("source"), F.lit("arkts").alias("lang"), F.lit("").alias("content"), "embedding")
+    store = Store(spark, scratch(spark, "store"))
+    empty = store.open_or_create("m", 64, fulltext=False)["lengths"]["n"]
+    store.upsert(e)
+    again = Store(spark, store.root, read_only=True)
+    dim = again.open_or_create("m", 0)["embedder_dim"]
+    refused = 0
+    for model, width in (("m", 65), ("other", 64)):
+        try:
+            again.open_or_create(model, width)
+        except (DimensionError, StorageError):
+            refused += 1
+    counts = again.chunks("m", dim).groupBy(F.size("embedding").cast("long").alias("dim"), "source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("*", F.lit(empty).cast("long").alias("n_before"), F.lit(refused).cast("long").alias("refused"))
+
+
+STORE_OPEN = "SELECT len(embedding)::BIGINT AS dim, 'e' || label AS source, count(*) AS n, 0::BIGINT AS n_before, 2::BIGINT AS refused FROM embeddings GROUP BY 1, 2"
+
+
 def q_rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, queries = _vectors(spark, sf_dir)
     half = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
@@ -318,14 +350,14 @@ BEST_OF_SOURCE = "SELECT * FROM (SELECT source, doc_id, n_chars, row_number() OV
 
 QUERIES = {
     "vector_topk": q_vector_topk, "vector_topk_filtered": q_vector_topk_filtered, "vector_threshold": q_vector_threshold, "vector_dim_check": q_vector_dim_check,
-    "rrf_fuse": q_rrf_fuse, "ngram_postings_stats": q_ngram_postings_stats, "bm25_topk": q_bm25_topk, "bm25_filtered": q_bm25_filtered,
+    "distance_score": q_distance_score, "store_open": q_store_open, "rrf_fuse": q_rrf_fuse, "ngram_postings_stats": q_ngram_postings_stats, "bm25_topk": q_bm25_topk, "bm25_filtered": q_bm25_filtered,
     "bm25_phrases_stored": q_bm25_phrases_stored, "vector_topk_stored": q_vector_topk_stored,
     "bm25_fields": q_bm25_fields, "bm25_stored": q_bm25_stored, "hybrid_stored": q_hybrid_stored, "hybrid_topk": q_hybrid_topk, "hybrid_sql": q_hybrid_sql, "deprecated_excluded": q_deprecated_excluded, "api_version_semantics": q_api_version_semantics,
     "best_of_source": q_best_of_source,
 }
 SQL = {
     "vector_topk": VECTOR_TOPK, "vector_topk_filtered": VECTOR_TOPK_FILTERED, "vector_threshold": VECTOR_THRESHOLD, "vector_dim_check": VECTOR_DIM_CHECK,
-    "rrf_fuse": RRF_FUSE, "ngram_postings_stats": NGRAM_POSTINGS_STATS, "bm25_topk": BM25_TOPK, "bm25_filtered": BM25_FILTERED,
+    "distance_score": DISTANCE_SCORE, "store_open": STORE_OPEN, "rrf_fuse": RRF_FUSE, "ngram_postings_stats": NGRAM_POSTINGS_STATS, "bm25_topk": BM25_TOPK, "bm25_filtered": BM25_FILTERED,
     "bm25_phrases_stored": BM25_PHRASES, "vector_topk_stored": VECTOR_TOPK_FILTERED,
     "bm25_fields": BM25_FIELDS, "bm25_stored": BM25_FIELDS, "hybrid_stored": HYBRID_STORED, "hybrid_sql": HYBRID_SQL, "deprecated_excluded": DEPRECATED_EXCLUDED, "api_version_semantics": API_VERSION_SEMANTICS, "best_of_source": BEST_OF_SOURCE,
 }
