@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
@@ -54,25 +54,27 @@ def exact_percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
     A mergeable sketch gives values shortly below and above each place, with room for its error. What lies below is counted, and only the few values
     in between are put in order.
     """
-    from pyspark.sql import Window
-
     room, accuracy = 0.002, 10_000
     g, v = F.col(group).alias("_g"), F.col(value).alias("_v")
     rows = df.select(g, v).filter("_v IS NOT NULL")
     near = [min(1.0, max(0.0, q + d)) for q in (0.5, 0.99) for d in (-room, room)]
-    bounds = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_b")).withColumnRenamed("_g", "_h")
-    places = F.array(F.least(F.floor(F.col("_n") / 2), F.col("_n") - 1), F.ceil(F.col("_n") * 0.99) - 1)
-    bounds = bounds.select("_h", "_n", F.explode(F.arrays_zip(F.array(F.lit(0), F.lit(1)).alias("k"), places.alias("place"))).alias("_p"), "_b").select("_h", "_n", "_p.k", "_p.place", F.get("_b", 2 * F.col("_p.k")).alias("_lo"), F.get("_b", 2 * F.col("_p.k") + 1).alias("_hi"))
+    bounds = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_b"))
+    places = (F.least(F.floor(F.col("_n") / 2), F.col("_n") - 1), F.ceil(F.col("_n") * 0.99) - 1)
+    bounds = bounds.select(F.col("_g").alias("_h"), "_n", *(p.alias(f"_place{k}") for k, p in enumerate(places)), *(F.get("_b", F.lit(2 * k + i)).alias(f"_{side}{k}") for k in (0, 1) for i, side in enumerate(("lo", "hi"))))
     met = rows.join(bounds, F.col("_g").eqNullSafe(F.col("_h")))
-    below = F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0))
-    # equal values between the bounds are counted, not listed
-    counted = met.withColumn("_in", F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))).groupBy("_g", "k", "_n", "place", "_in").agg(F.count(F.lit(1)).alias("_c"), below.alias("_below"))
-    base = F.sum("_below").over(Window.partitionBy("_g", "k"))
-    upto = F.sum(F.when(F.col("_in").isNotNull(), F.col("_c"))).over(Window.partitionBy("_g", "k").orderBy(F.col("_in").asc_nulls_first()))
-    placed = counted.withColumn("_to", base + upto)
-    hit = F.when((F.col("_to") - F.col("_c") <= F.col("place")) & (F.col("place") < F.col("_to")), F.col("_in"))
-    at = lambda k: F.max(F.when(F.col("k") == k, hit))
-    return placed.groupBy(F.col("_g").alias(group)).agg(at(0).alias("p50"), at(1).alias("p99"), F.max("_n").alias("n"))
+    within = [F.col("_v").between(F.col(f"_lo{k}"), F.col(f"_hi{k}")) for k in (0, 1)]
+    below = [F.count_if(F.col("_v") < F.col(f"_lo{k}")).alias(f"_below{k}") for k in (0, 1)]
+    # a row is counted once, for both places; equal values between bounds are counted, not listed
+    met = met.withColumn("_in", F.when(within[0] | within[1], F.col("_v")))
+    counted = met.groupBy("_g", *(c for c in bounds.columns if c != "_h"), "_in").agg(F.count(F.lit(1)).alias("_c"), *below)
+    whole, upto = Window.partitionBy("_g"), Window.partitionBy("_g").orderBy(F.col("_in").asc_nulls_first())
+    hits = []
+    for k in (0, 1):
+        inside = F.coalesce(F.col("_in").between(F.col(f"_lo{k}"), F.col(f"_hi{k}")), F.lit(False))
+        to = F.sum(f"_below{k}").over(whole) + F.sum(F.when(inside, F.col("_c")).otherwise(0)).over(upto)
+        hits.append(F.when(inside & (to - F.col("_c") <= F.col(f"_place{k}")) & (F.col(f"_place{k}") < to), F.col("_in")).alias(f"_hit{k}"))
+    placed = counted.select("_g", "_n", *hits)
+    return placed.groupBy(F.col("_g").alias(group)).agg(F.max("_hit0").alias("p50"), F.max("_hit1").alias("p99"), F.max("_n").alias("n"))
 
 
 def summarize(results: DataFrame) -> DataFrame:
