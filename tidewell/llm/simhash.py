@@ -12,8 +12,9 @@ bits and a radius of 88, and verifies each link within the radius, unless verifi
 SIMILAR lie in shingles that the other has too. So single changed words cost what they are, wherever they stand, while a third of own text is always too much. All
 pairs with a Jaccard similarity of 0.8 are far within (they differ in 39 bits on average); by normal estimate the radius misses
 one in ten at a similarity of 0.4, and two texts without a shingle in common come within it three times in 10^7 pairs.
-Only texts with a link move for this, in blocks of one group or of many small groups. Of a large group's blocks the heads of their components meet, and then only what is not in
-the largest component meets the other blocks. The comparison of all pairs is quadratic in the number of distinct fingerprints, and verification in the size of a group whose links fail.
+Such near copies share shingles, so `dedup` compares only what does (see shingles): a group of texts that may be near copies, in blocks of one group or of many small groups. A group of
+more than BLOCK_TEXTS is cut by the links of its fingerprints first, by tiles. Of a large group's blocks the heads of their components meet, and then only what is not in
+the largest component meets the other blocks. The comparison of all pairs is quadratic in the number of distinct fingerprints for `near_duplicates`, and in the size of a group for `dedup`.
 
 Ids are numbers, or text that reads as one; other text as an id is an error of the cast. A null text, an empty text and a text of white space have no words and fingerprint zero. Documents with equal fingerprints form one
 class whatever their number; rows with a null id take part but name no component (a component of such rows alone has
@@ -31,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import batches, forget, free_name, join_hot, mix64, shared_checkpoint, table
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -544,21 +546,41 @@ def verified_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
     return inside.unionByName(_across_blocks(large, radius, size, words))
 
 
+def _grouped(texts: DataFrame, edges: DataFrame, radius: int, words: int) -> DataFrame:
+    """b, c, fp and root of the texts whose group has others: all links that are within the radius and similar lie inside groups.
+
+    Groups of more than BLOCK_TEXTS are cut by the links of their fingerprints within the radius.
+    """
+    roots = components(edges)
+    group = shared_checkpoint(texts.join(roots, F.col("u") == F.col("node")).groupBy("b", "c", "fp").agg(F.min("root").alias("root")))
+    large = shared_checkpoint(group.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_TEXTS).select(F.col("root").alias("large")))
+    if large.isEmpty():
+        return group
+    marked = group.join(large, F.col("root") == F.col("large"), "left")
+    ones = F.udf(lambda x: int.from_bytes(x, "big").bit_count(), "int")
+    near = components(links(marked.filter("large IS NOT NULL").select("fp").distinct().withColumn("ones", ones("fp")), radius, words)).select("node", F.col("root").alias("near"))
+    cut = F.when(F.col("large").isNull(), F.col("root")).otherwise(F.concat("root", F.coalesce("near", "fp")))
+    return shared_checkpoint(marked.join(near, F.col("large").isNotNull() & (F.col("fp") == F.col("node")), "left").select("b", "c", "fp", cut.alias("root")))
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 88, size: int = 5, words: int = 4) -> DataFrame:
     """doc_id, a and component_id for each row of docs: components of the links within the radius that are similar."""
-    prints = shared_checkpoint(fingerprints(docs, doc_id, text, size, words, repeats=False, body=True))
-    near = components(links(prints, radius, words))
-    classes = prints.groupBy("fp", "b").agg(F.min("doc_id").alias("least"), F.max("chars").alias("chars"), F.min(F.struct("doc_id", "a")).alias("one"))
-    classes = classes.join(near, classes["fp"] == near["node"], "left").select("fp", "b", "least", "chars", F.col("one.doc_id").alias("id"), F.col("one.a").alias("a"), F.coalesce("root", "fp").alias("root"))
-    classes = shared_checkpoint(classes)
-    roots = components(verified_links(docs, classes, doc_id, text, radius, size, words)).withColumnRenamed("root", "head")
+    d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    b, c = (F.xxhash64(F.lit(k), F.coalesce(t, F.lit(""))).alias(name) for k, name in ((2, "b"), (3, "c")))
+    rows = shared_checkpoint(docs.select(d.cast("long").alias("doc_id"), _row_hash(d, t).alias("a"), b, c, F.coalesce(F.length(t), F.lit(0)).cast("long").alias("chars")))
+    sign = lambda found: _packed(fingerprints_of(found, size, words, repeats=False))
+    texts, edges = shingles.candidates(docs, doc_id, text, (b, c), size, SIMILAR, sign)
+    classes = shared_checkpoint(rows.groupBy("b", "c").agg(F.min("doc_id").alias("least"), F.max("chars").alias("chars"), F.min(F.struct("doc_id", "a")).alias("one")))
+    near = classes.join(_grouped(texts, edges, radius, words), ["b", "c"]).select("fp", "b", "c", "least", "chars", F.col("one.doc_id").alias("id"), F.col("one.a").alias("a"), "root")
+    near = shared_checkpoint(near)
     own = F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0")))
-    named = classes.select("fp", "b", "least", own.alias("own")).join(roots, F.col("own") == roots["node"], "left").select("fp", "b", "least", F.coalesce("head", "own").alias("head"))
-    named = shared_checkpoint(named)
+    roots = components(verified_links(docs, near, doc_id, text, radius, size, words)).withColumnRenamed("root", "head")
+    named = shared_checkpoint(near.join(roots, own == F.col("node")).select("b", "c", "least", "head"))
     heads = shared_checkpoint(named.groupBy("head").agg(F.min("least").alias("component_id")))
-    named = shared_checkpoint(join_hot(named, heads.withColumnRenamed("head", "head_"), "head", "head_").select(F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0"))).alias("node_"), "component_id"))
-    node = F.concat("fp", F.unhex(F.lpad(F.hex("b"), 16, "0")))
-    return join_hot(prints.withColumn("node", node), named, "node", "node_").select("doc_id", "a", "component_id")
+    named = shared_checkpoint(join_hot(named, heads.withColumnRenamed("head", "head_"), "head", "head_").select("b", "c", "component_id", F.lit(True).alias("linked")))
+    key = F.concat(F.lpad(F.hex("b"), 16, "0"), F.lpad(F.hex("c"), 16, "0"))
+    labels = shared_checkpoint(classes.join(named, ["b", "c"], "left").select(key.alias("key_"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")))
+    return join_hot(rows.withColumn("key", key), labels, "key", "key_").select("doc_id", "a", "component_id")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 88, size: int = 5, words: int = 4) -> DataFrame:
