@@ -208,3 +208,27 @@ def test_runs_are_packed_and_found_again(docs):
     _, h = runs.names(Block, 8)
     got = [(int(s) + i, int(x), int(y)) for s, n, x, y in zip(runs.start, runs.count, runs.anchor, h, strict=True) for i in range(int(n))]
     assert got == want and len(got) > 1000
+
+
+def test_messages_of_many_shards(docs, docs_df, monkeypatch):
+    """Copies and anchors are asked for at partitions of their own size, however many shards there are; blocks grow with the input; stretches are spread out a few runs at a time."""
+    from tidewell.llm import blocks
+
+    asked, answer = [], blocks.answer
+
+    def counted(questions, reply, n_parts):
+        asked.append((n_parts, questions.filter("part >= 0").count()))
+        return answer(questions, reply, n_parts)
+
+    monkeypatch.setattr(blocks, "answer", counted)
+    monkeypatch.setattr(suffix, "RAW_PER_PARTITION", 300)
+    monkeypatch.setattr(suffix, "AT_ONCE", 7)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(blocks, "MOST_BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "BLOCKS_PER_CORE", 1)
+    raw = sum(len((t or "").encode()) for _, t, *_ in docs)
+    assert blocks.growing(docs_df, "text") == min(2000, raw // 4) > 500
+    assert got_bytes(docs_df) == brute_bytes(docs)
+    n_blocks = blocks.pack(docs_df, "doc_id", "text", block_bytes=blocks.growing(docs_df, "text")).count()
+    (copies, n_copies), (names, n_names), (shards, _) = asked
+    assert copies == names == 4 and shards > 60 and n_copies <= 4 * n_blocks and n_names <= 4 * n_blocks
